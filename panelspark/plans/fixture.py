@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from panelspark.functions.vocab import SERIES
 from panelspark.operators.joins import join_rolled_denominator
@@ -21,8 +22,15 @@ STATUSES = {"F": "clinical", "O": "lab", "P": "post_mortem"}
 FIRST_YEAR, LAST_YEAR = 1995, 2001
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One input table; its schema is read from the files once per process."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _nation_names(spark: SparkSession, sf_dir: str) -> DataFrame:
