@@ -100,9 +100,11 @@ def _as_array(df: DataFrame, key: Sequence[str], month: str, cols: Sequence[str]
         ),
     )
     rows = rows.withColumns({f"_m_{c}": _sum(F.col("_rows")[c]) / F.col("n") for c in cols})
-    return rows.select(
-        *key, "n", *[F.transform(F.col("_rows")[c], lambda v, c=c: v - F.col(f"_m_{c}")).alias(f"_x_{c}") for c in cols]
-    )
+
+    def centred(c: str) -> Column:
+        return F.transform(F.col("_rows")[c], lambda v: v - F.col(f"_m_{c}")).alias(f"_x_{c}")
+
+    return rows.select(*key, "n", *[centred(c) for c in cols])
 
 
 def _sum(values: Column) -> Column:

@@ -83,12 +83,14 @@ def fill_months(
     Each row spans the gap up to the next one, so no join against a calendar is needed.
     """
     following = F.lead(month, 1).over(series_window(key, month))
-    last = F.coalesce(F.add_months(following, -1), F.col(month))
-    spread = df.select(
+    spans = df.select(
         *key,
         F.col(month).alias("_own"),
         *cols,
-        F.explode(F.sequence(F.col(month), F.greatest(last, F.col(month)), F.expr("interval 1 month"))).alias(month),
+        F.greatest(F.coalesce(F.add_months(following, -1), F.col(month)), F.col(month)).alias("_last"),
+    )
+    spread = spans.select(
+        *key, "_own", *cols, F.explode(F.sequence("_own", "_last", F.expr("interval 1 month"))).alias(month)
     )
     value = lambda c: F.when(F.col("_own") == F.col(month), F.col(c)).otherwise(F.lit(fill))
     return spread.select(*key, month, *[value(c).alias(c) for c in cols])

@@ -64,7 +64,7 @@ COMMON: dict[str, str] = {
     "national_den": f"SELECT year, {SUM_POPS} FROM den GROUP BY year",
     "national_months": f"""SELECT p.*, {POPS}, {RATE_EXPRS}
         FROM national_counts p JOIN national_den d ON p.year = d.year""",
-    "price_series": """SELECT region, month, sum(o.o_totalprice) / 1e5 AS value FROM (
+    "price_series": """SELECT region, month, sqrt(sum(o.o_totalprice)) AS value FROM (
         SELECT n.n_name AS region, date_trunc('month', o_orderdate)::DATE AS month, o_totalprice
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation n ON c_nationkey = n_nationkey) o
         GROUP BY region, month""",

@@ -1 +1,492 @@
-"""placeholder"""
+"""Queries of the time-series operators (T*)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from panelspark.operators import forecast as fc
+from panelspark.operators import joins, regression, rollup, rows, series, windows
+from panelspark.plans import fixture as fx
+from panelspark.plans.oracle import CASES, POPS, RATE_EXPRS, ROUND_RATES, ols_sql, r, with_sql
+from panelspark.plans.registry import query, rounded
+
+KEY = ["region"]
+W = "(PARTITION BY region ORDER BY month)"
+MAX_P = 2
+
+
+def price_series(spark, sf):
+    """Square root of the order value by region and month: the fractional series."""
+    orders = fx.table(spark, sf, "orders").select("o_custkey", F.trunc("o_orderdate", "month").alias("month"), "o_totalprice")
+    customer = fx.table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
+    sums = (
+        orders.join(customer, orders["o_custkey"] == customer["c_custkey"])
+        .groupBy("n_nationkey", "month")
+        .agg(F.sqrt(F.sum("o_totalprice")).alias("value"))
+    )
+    names = fx.table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("region"))
+    return sums.join(names, "n_nationkey").select("region", "month", "value")
+
+
+def filled_series(spark, sf):
+    return windows.fill_months(price_series(spark, sf), KEY, "month", ["value"], fill=0.0)
+
+
+FILLED = (
+    "filled",
+    """SELECT s.region, s.month, coalesce(p.value, 0.0::DOUBLE) AS value FROM
+    (SELECT region, unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH))::DATE AS month FROM price_series GROUP BY region) s
+    LEFT JOIN price_series p ON p.region = s.region AND p.month = s.month""",
+)
+_TOTAL = "catt_incidence + cam_incidence + goat_incidence + shp_incidence"
+
+
+@query(
+    "t1_series_build",
+    with_sql(
+        f"SELECT region, month, {r('hum_incidence')}, {r(_TOTAL, 6, 'animal_incidence')} FROM regional_months WHERE month <= DATE '2001-06-01'"
+    ),
+)
+def t1(spark, sf):
+    return rounded(series.series_build(fx.regional_months(spark, sf), KEY, cutoff="2001-06-01"))
+
+
+_LIMIT = 35
+
+
+@query(
+    "t2_extend_series",
+    with_sql(
+        f"SELECT year, month, {r('hum_cases::DOUBLE', 6, 'hum_cases')}, catt_cases, cam_cases, goat_cases, shp_cases, {POPS}, {ROUND_RATES} FROM ("
+        f"SELECT year, month, hum_cases::DOUBLE AS hum_cases, {CASES[len('hum_cases, '):]}, {POPS}, hum_incidence, catt_incidence, cam_incidence, goat_incidence, shp_incidence FROM national_months WHERE year < 2001"
+        f" UNION ALL SELECT c.*, {POPS}, {RATE_EXPRS} FROM fixed c JOIN national_den d ON c.year = d.year)",
+        [
+            (
+                "fixed",
+                f"""SELECT year, month, CASE WHEN hum_cases > {_LIMIT} THEN (SELECT round_even(avg(hum_cases), 0) FROM national_counts WHERE year = 2001 AND hum_cases < {_LIMIT})
+                ELSE hum_cases END::DOUBLE AS hum_cases, catt_cases, cam_cases, goat_cases, shp_cases FROM national_counts WHERE year = 2001""",
+            )
+        ],
+    ),
+)
+def t2(spark, sf):
+    monthly = rollup.sum_by(fx.base_panel(spark, sf), ["year", "month"], rollup.CASES)
+    den = fx.denominators(spark, sf)
+    history, later = monthly.where(F.col("year") < 2001), monthly.where(F.col("year") == 2001)
+    later = rows.replace_outliers(later, [("hum_cases", _LIMIT, ">")], mean_of="below")
+    both = [
+        rows.rate_columns(joins.join_rolled_denominator(part, den, ["year"], rollup.POPS), rollup.RATE_PAIRS)
+        for part in (history.withColumn("hum_cases", F.col("hum_cases").cast("double")), later)
+    ]
+    stacked = joins.union_all(*both)
+    return rounded(stacked.select("year", "month", *rollup.CASES, *rollup.POPS, *rollup.RATE_PAIRS)).orderBy("month")
+
+
+_YEARS = list(range(1995, 2002))
+
+
+@query(
+    "t3_season_table",
+    with_sql(
+        "SELECT region, month(month)::INT AS month_of_year, "
+        + ", ".join(r(f"sum(hum_incidence) FILTER (WHERE year = {y})", 6, f"y{y}") for y in _YEARS)
+        + " FROM regional_months GROUP BY region, month(month)"
+    ),
+)
+def t3(spark, sf):
+    return rounded(series.season_table(fx.regional_months(spark, sf), KEY, "month", "hum_incidence", _YEARS))
+
+
+_F1, _F2 = "ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING", "ROWS BETWEEN 5 PRECEDING AND 6 FOLLOWING"
+
+
+@query(
+    "t4_decompose",
+    with_sql(
+        f"SELECT t.region, t.month, {r('value')}, {r('trend')}, {r('season')}, {r('value - trend - season', 6, 'remainder')} FROM t JOIN s ON t.region = s.region AND month(t.month) = s.m",
+        [
+            FILLED,
+            (
+                "t",
+                f"SELECT region, month, value, CASE WHEN count(*) OVER a = 12 AND count(*) OVER b = 12 THEN (avg(value) OVER a + avg(value) OVER b) / 2 END AS trend FROM filled "
+                f"WINDOW a AS (PARTITION BY region ORDER BY month {_F1}), b AS (PARTITION BY region ORDER BY month {_F2})",
+            ),
+            ("raw", "SELECT region, month(month) AS m, avg(value - trend) AS v FROM t GROUP BY region, month(month)"),
+            ("s", "SELECT region, m, v - avg(v) OVER (PARTITION BY region) AS season FROM raw"),
+        ],
+    ),
+)
+def t4(spark, sf):
+    return rounded(series.decompose(filled_series(spark, sf), KEY))
+
+
+_CENTRED = (
+    "centred",
+    "SELECT region, month, value - avg(value) OVER (PARTITION BY region) AS x, row_number() OVER (PARTITION BY region ORDER BY month) AS k, count(*) OVER (PARTITION BY region) AS n FROM filled",
+)
+_ACF = (
+    "acf",
+    """SELECT a.region, l.lag::INT AS lag, coalesce(sum(a.x * b.x), 0) / any_value(v.v) AS acf FROM centred a CROSS JOIN range(0, 60) l(lag)
+    LEFT JOIN centred b ON a.region = b.region AND b.k = a.k - l.lag
+    JOIN (SELECT region, sum(x * x) AS v FROM centred GROUP BY region) v ON v.region = a.region
+    WHERE l.lag <= least(floor(10 * log10(a.n)), a.n - 1) GROUP BY a.region, l.lag""",
+)
+
+
+@query("t5_acf", with_sql(f"SELECT region, lag, {r('acf')} FROM acf", [FILLED, _CENTRED, _ACF]))
+def t5(spark, sf):
+    return rounded(series.acf(filled_series(spark, sf), KEY))
+
+
+@query(
+    "t6_pacf",
+    with_sql(
+        f"SELECT region, k::INT AS lag, {r('phi[k]', 6, 'pacf')} FROM dl WHERE k > 0",
+        [
+            FILLED,
+            _CENTRED,
+            _ACF,
+            ("rho", "SELECT region, list(acf ORDER BY lag) FILTER (WHERE lag > 0) AS rho, max(lag) AS top FROM acf GROUP BY region"),
+            (
+                "dl",
+                """SELECT region, rho, top, 0::BIGINT AS k, []::DOUBLE[] AS phi FROM rho UNION ALL
+                SELECT region, rho, top, k + 1, list_concat(list_transform(range(1, k + 1), lambda j: phi[j] - nw * phi[k + 1 - j]), [nw]) FROM (
+                SELECT *, (rho[k + 1] - coalesce(list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * rho[k + 1 - j])), 0))
+                / (1 - coalesce(list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * rho[j])), 0)) AS nw FROM dl WHERE k < top)""",
+            ),
+        ],
+        recursive=True,
+    ),
+)
+def t6(spark, sf):
+    return rounded(series.pacf(filled_series(spark, sf), KEY))
+
+
+_CCF = (
+    "two",
+    "SELECT region, hum_cases - avg(hum_cases) OVER (PARTITION BY region) AS x, catt_cases - avg(catt_cases) OVER (PARTITION BY region) AS y, row_number() OVER (PARTITION BY region ORDER BY month) AS k FROM regional_counts",
+)
+
+
+@query(
+    "t7_ccf",
+    with_sql(
+        f"""SELECT a.region, l.lag::INT AS lag, {r('coalesce(sum(a.x * b.y), 0) / any_value(s.s)', 6, 'ccf')} FROM two b CROSS JOIN range(-12, 13) l(lag)
+        JOIN two a ON a.region = b.region AND a.k = b.k + l.lag
+        JOIN (SELECT region, sqrt(sum(x * x) * sum(y * y)) AS s FROM two GROUP BY region) s ON s.region = b.region GROUP BY a.region, l.lag""",
+        [_CCF],
+    ),
+)
+def t7(spark, sf):
+    monthly = rollup.sum_by(fx.base_panel(spark, sf), ["region", "month"], ["hum_cases", "catt_cases"])
+    return rounded(series.ccf(monthly, KEY, "hum_cases", "catt_cases", 12))
+
+
+@query(
+    "t8_adf_statistic",
+    with_sql(
+        f"SELECT region, n AS n_used, 4 AS k, {r('b1', 6, 'gamma')}, {r('b1 / se1', 6, 'statistic')}, -3.96::DOUBLE AS crit_1, -3.41::DOUBLE AS crit_5, -3.12::DOUBLE AS crit_10 FROM adf_fit",
+        [
+            FILLED,
+            (
+                "d",
+                f"SELECT region, month, value - lag(value) OVER w AS dy, lag(value) OVER w AS lev, (row_number() OVER w - 1)::DOUBLE AS t FROM filled WINDOW w AS {W}",
+            ),
+            (
+                "dd",
+                f"SELECT *, lag(dy, 1) OVER w AS d1, lag(dy, 2) OVER w AS d2, lag(dy, 3) OVER w AS d3, lag(dy, 4) OVER w AS d4 FROM d WINDOW w AS {W}",
+            ),
+            ("ok_rows", "SELECT * FROM dd WHERE d4 IS NOT NULL"),
+            *ols_sql("adf", "ok_rows", KEY, "dy", ["lev", "t", "d1", "d2", "d3", "d4"]),
+        ],
+    ),
+)
+def t8(spark, sf):
+    return rounded(series.adf(filled_series(spark, sf), KEY, k_max=5))
+
+
+# ---------------------------------------------------------------- forecasts
+
+
+def _ar_blocks(train: str, test: str, keys: list[str], xreg: bool = False, d: int = 0) -> list[tuple[str, str]]:
+    """Order choice, recursion and interval spreads of the AR(0..2) family in SQL; ends in ``path``."""
+    k = ", ".join(keys)
+    part = f"(PARTITION BY {k} ORDER BY month)"
+    x = ["x"] if xreg else []
+    on = f"USING ({k})"
+    first = len(x)
+    value = "y - lag(y) OVER w" if d else "y"
+    blocks = [
+        ("base", f"SELECT {k}, month, y AS lev, {value} AS v{', x' if xreg else ''} FROM {train} WHERE y IS NOT NULL{' AND x IS NOT NULL' if xreg else ''} WINDOW w AS {part}"),
+        ("lagged", f"SELECT *, lag(v, 1) OVER w AS l1, lag(v, 2) OVER w AS l2 FROM base WINDOW w AS {part}"),
+        ("used", "SELECT * FROM lagged WHERE l1 IS NOT NULL AND l2 IS NOT NULL"),
+    ]
+    for p in range(3):
+        blocks += ols_sql(f"f{p}", "used", keys, "v", [*x, "l1", "l2"][: first + p])
+    aic = [
+        f"f{p}.n * ln(greatest(f{p}.sse, f{p}.sst * 1e-15) / f{p}.n) + 2 * ({p + first} + 2)" for p in range(3)
+    ]
+    blocks.append(
+        (
+            "chosen",
+            f"SELECT f0.{', f0.'.join(keys)}, f0.n, CASE WHEN a0 <= a1 AND a0 <= a2 THEN 0 WHEN a1 <= a2 THEN 1 ELSE 2 END AS p FROM f0_fit f0 JOIN (SELECT f0.{', f0.'.join(keys)}, {', '.join(f'{a} AS a{i}' for i, a in enumerate(aic))} "
+            f"FROM f0_fit f0 JOIN f1_fit f1 {on} JOIN f2_fit f2 {on}) {on}",
+        )
+    )
+    pick = lambda cells: "CASE p WHEN 0 THEN {} WHEN 1 THEN {} ELSE {} END".format(*cells)
+    blocks.append(
+        (
+            "model",
+            f"SELECT {k}, f0.n, p, {pick([f'f{i}.b0' for i in range(3)])} AS c, "
+            f"{pick(['0', f'f1.b{first + 1}', f'f2.b{first + 1}'])} AS phi1, {pick(['0', '0', f'f2.b{first + 2}'])} AS phi2, "
+            f"{pick([f'f{i}.b1' for i in range(3)]) if xreg else '0'} AS beta, "
+            f"{pick([f'f{i}.sse' for i in range(3)])} / (f0.n - p - {first + 1}) AS s2, {pick(['a0', 'a1', 'a2'])} AS aic "
+            f"FROM f0_fit f0 JOIN f1_fit f1 {on} JOIN f2_fit f2 {on} JOIN chosen {on} JOIN (SELECT {', '.join(f'f0.{c}' for c in keys)}, {', '.join(f'{a} AS a{i}' for i, a in enumerate(aic))} "
+            f"FROM f0_fit f0 JOIN f1_fit f1 {on} JOIN f2_fit f2 {on}) {on}",
+        )
+    )
+    blocks.append(
+        ("last", f"SELECT {k}, max(month) AS last_month, arg_max(v, month) AS y1, arg_max(l1, month) AS y2, arg_max(lev, month) AS lev FROM used GROUP BY {k}")
+    )
+    blocks.append(
+        ("ahead", f"SELECT {k}, month, {'x, ' if xreg else ''}row_number() OVER {part} AS step FROM {test}")
+    )
+    new = f"m.c + m.phi1 * y1 + m.phi2 * y2{' + m.beta * a.x' if xreg else ''}"
+    psi = "m.phi1 * q1 + m.phi2 * q2"
+    kk = ", ".join(f"z.{c}" for c in keys)
+    blocks.append(
+        (
+            "path",
+            f"SELECT {k}, NULL::DATE AS month, 0::BIGINT AS step, y1, y2, lev, 1.0::DOUBLE AS q1, 0.0::DOUBLE AS q2, 1.0::DOUBLE AS wgt, 1.0::DOUBLE AS nxt, NULL::DOUBLE AS point, NULL::DOUBLE AS spread FROM last "
+            f"UNION ALL SELECT {kk}, a.month, z.step + 1, {new}, y1, {'lev + ' if d else ''}{new}, {psi}, q1, "
+            + (f"wgt + {psi}, nxt + (wgt + {psi}) * (wgt + {psi})" if d else f"{psi}, nxt + ({psi}) * ({psi})")
+            + f", {'lev + ' if d else ''}{new}, nxt FROM path z JOIN model m {on} JOIN ahead a ON {' AND '.join(f'a.{c} = z.{c}' for c in keys)} AND a.step = z.step + 1",
+        )
+    )
+    return blocks
+
+
+def _limits() -> str:
+    cells = []
+    for name, sign, z in (
+        ("lower_80", "-", 1.2815515655446004),
+        ("upper_80", "+", 1.2815515655446004),
+        ("lower_95", "-", 1.959963984540054),
+        ("upper_95", "+", 1.959963984540054),
+    ):
+        cells.append(r(f"point {sign} {z}::DOUBLE * sqrt(s2 * spread)", 6, name))
+    return ", ".join(cells)
+
+
+_SPLIT = [
+    FILLED,
+    (
+        "parts",
+        "SELECT *, CASE WHEN k <= floor(n * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS part FROM (SELECT region, month, value AS y, row_number() OVER (PARTITION BY region ORDER BY month) AS k, count(*) OVER (PARTITION BY region) AS n FROM filled)",
+    ),
+    ("train_part", "SELECT region, month, y FROM parts WHERE part = 'train'"),
+    ("test_part", "SELECT region, month, y FROM parts WHERE part = 'test'"),
+]
+_PLAIN = [*_SPLIT, *_ar_blocks("train_part", "test_part", KEY)]
+_PLAIN_FC = "SELECT p.region, p.month, p.step::INT AS step, round_even(p.point, 3) AS forecast, p.point, t.y AS actual, m.s2, p.spread FROM path p JOIN test_part t ON t.region = p.region AND t.month = p.month JOIN model m ON m.region = p.region WHERE p.step > 0"
+
+
+def _parts(spark, sf):
+    return rows.holdout(filled_series(spark, sf), KEY, "month")
+
+
+@query(
+    "t9_ar_forecast",
+    with_sql(
+        f"SELECT region, month, step, forecast + 0.0::DOUBLE AS forecast, {_limits()}, {r('actual')} FROM ({_PLAIN_FC})",
+        _PLAIN,
+        recursive=True,
+    ),
+)
+def t9(spark, sf):
+    return rounded(fc.ar_forecast(_parts(spark, sf), KEY, "month", "value", MAX_P))
+
+
+_X_KEYS = ["region", "lag"]
+_X_SPLIT = [
+    (
+        "numbered",
+        "SELECT region, month, hum_cases::DOUBLE AS y, (catt_cases + goat_cases + shp_cases)::DOUBLE AS x0, row_number() OVER (PARTITION BY region ORDER BY month) AS k, count(*) OVER (PARTITION BY region) AS n FROM regional_counts",
+    ),
+    (
+        "parts",
+        "SELECT a.region, l.lag::INT AS lag, a.month, a.y, b.x0 AS x, CASE WHEN a.k <= floor(a.n * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS part FROM numbered a CROSS JOIN range(0, 7) l(lag) LEFT JOIN numbered b ON b.region = a.region AND b.k = a.k - l.lag",
+    ),
+    ("train_part", "SELECT region, lag, month, y, x FROM parts WHERE part = 'train'"),
+    ("test_part", "SELECT region, lag, month, y, x FROM parts WHERE part = 'test'"),
+]
+_ARX = [*_X_SPLIT, *_ar_blocks("train_part", "test_part", _X_KEYS, xreg=True)]
+_ARX_FC = "SELECT p.region, p.lag, p.month, p.step::INT AS step, round_even(p.point, 3) AS forecast, p.point, t.y AS actual, m.s2, p.spread FROM path p JOIN test_part t ON t.region = p.region AND t.lag = p.lag AND t.month = p.month JOIN model m ON m.region = p.region AND m.lag = p.lag WHERE p.step > 0"
+
+
+def _x_parts(spark, sf):
+    monthly = rollup.sum_by(fx.base_panel(spark, sf), ["region", "month"], rollup.CASES)
+    pair = monthly.select(
+        "region",
+        "month",
+        F.col("hum_cases").cast("double").alias("y"),
+        (F.col("catt_cases") + F.col("goat_cases") + F.col("shp_cases")).cast("double").alias("x"),
+    )
+    return rows.holdout(pair, KEY, "month")
+
+
+@query(
+    "t10_arx_forecast",
+    with_sql(
+        f"SELECT region, lag, month, step, forecast + 0.0::DOUBLE AS forecast, {_limits()}, {r('actual')} FROM ({_ARX_FC})",
+        _ARX,
+        recursive=True,
+    ),
+)
+def t10(spark, sf):
+    return rounded(fc.arx_forecast(_x_parts(spark, sf), KEY, "month", "y", "x", max_p=MAX_P))
+
+
+@query(
+    "t11_prediction_intervals",
+    with_sql(
+        f"SELECT p.region, p.month, p.step::INT AS step, {r('point', 6, 'forecast')}, {_limits()} FROM path p JOIN model m ON m.region = p.region WHERE p.step > 0",
+        [
+            FILLED,
+            ("train_part", "SELECT region, month, value AS y FROM filled"),
+            (
+                "test_part",
+                "SELECT region, (max(month) + INTERVAL 1 MONTH * s.i)::DATE AS month FROM filled, range(1, 13) s(i) GROUP BY region, s.i",
+            ),
+            *_ar_blocks("train_part", "test_part", KEY, d=1),
+        ],
+        recursive=True,
+    ),
+)
+def t11(spark, sf):
+    models = fc.fit_ar(filled_series(spark, sf), KEY, max_p=MAX_P, d=1)
+    return rounded(fc.forecast(models, KEY, MAX_P, horizon=12, d=1))
+
+
+_FITTED = "SELECT region, month, lagged.v AS y, c + phi1 * l1 + phi2 * l2 AS fitted FROM lagged JOIN model USING (region)"
+
+
+@query(
+    "t12_fitted_values",
+    with_sql(
+        f"SELECT region, month, {r('y', 6, 'value')}, {r('fitted')}, {r('y - fitted', 6, 'residual')} FROM ({_FITTED})",
+        _PLAIN,
+        recursive=True,
+    ),
+)
+def t12(spark, sf):
+    return rounded(_train_residuals(spark, sf))
+
+
+def _train_residuals(spark, sf):
+    train = _parts(spark, sf).where(F.col("part") == "train").select("region", "month", "value")
+    models = fc.fit_ar(train, KEY, max_p=MAX_P)
+    return fc.fitted_values(train, models, KEY, MAX_P)
+
+
+def _acc(actual: str = "actual", fitted: str = "forecast") -> str:
+    e = f"({actual} - {fitted})"
+    return ", ".join(
+        [
+            r(f"avg(abs({e}))", 6, "mae"),
+            r(f"sqrt(avg({e} * {e}))", 6, "rmse"),
+            r(f"avg(abs({e} / nullif({actual}, 0))) * 100", 6, "mape"),
+        ]
+    )
+
+
+@query(
+    "t13_forecast_accuracy",
+    with_sql(f"SELECT region, lag, {_acc()} FROM ({_ARX_FC}) GROUP BY region, lag", _ARX, recursive=True),
+)
+def t13(spark, sf):
+    paths = fc.arx_forecast(_x_parts(spark, sf), KEY, "month", "y", "x", max_p=MAX_P)
+    return rounded(regression.accuracy(paths, "actual", "forecast", ["region", "lag"]))
+
+
+def _comparison_sql() -> str:
+    x = [(n, b) for n, b in _ARX]
+    plain = []
+    rename = {"train_part": "train_p", "test_part": "test_p"}
+    for name, body in _ar_blocks("train_p", "test_p", KEY):
+        rename[name] = f"p_{name}"
+        plain.append((name, body))
+    import re
+
+    def sub(text: str) -> str:
+        return re.sub(r"\b(" + "|".join(sorted(rename, key=len, reverse=True)) + r")\b", lambda m: rename[m.group(1)], text)
+
+    # block names of the plain family get a prefix; aliases f0..f2 keep their meaning inside each block
+    prefixed = [(sub(n), sub(b)) for n, b in plain]
+    extra = [
+        ("train_p", "SELECT DISTINCT region, month, y FROM parts WHERE part = 'train' AND lag = 0"),
+        ("test_p", "SELECT DISTINCT region, month, y FROM parts WHERE part = 'test' AND lag = 0"),
+    ]
+    plain_fc = sub(_PLAIN_FC)
+    return with_sql(
+        f"SELECT region, 'Model with no exogenous variable' AS model, {_acc()} FROM ({plain_fc}) GROUP BY region UNION ALL "
+        f"SELECT region, 'Model with exogenous variable' AS model, {_acc()} FROM ({_ARX_FC}) WHERE lag = 1 GROUP BY region",
+        [*x, *extra, *prefixed],
+        recursive=True,
+    )
+
+
+@query("t14_model_comparison", _comparison_sql())
+def t14(spark, sf):
+    parts = _x_parts(spark, sf)
+    plain = fc.ar_forecast(parts, KEY, "month", "y", MAX_P)
+    with_x = fc.arx_forecast(parts, KEY, "month", "y", "x", lags=[1], max_p=MAX_P)
+    return rounded(fc.model_comparison(plain, with_x, KEY))
+
+
+_RES = ("res", f"SELECT region, month, y - fitted AS residual FROM ({_FITTED}) WHERE fitted IS NOT NULL")
+
+
+@query(
+    "t15_residual_histogram",
+    with_sql(
+        f"SELECT region, n_bins, bin, {r('lo + (bin - 1) * (hi - lo) / n_bins', 6, 'low')}, {r('lo + bin * (hi - lo) / n_bins', 6, 'high')}, count(*) AS count FROM ("
+        "SELECT region, n_bins, lo, hi, least(floor((residual - lo) / (hi - lo) * n_bins) + 1, n_bins)::BIGINT AS bin FROM res JOIN st USING (region)) GROUP BY region, n_bins, lo, hi, bin",
+        [
+            *_PLAIN,
+            _RES,
+            (
+                "st",
+                "SELECT region, min(residual) AS lo, max(residual) AS hi, greatest(least(ceil((max(residual) - min(residual)) / (2 * (quantile_cont(residual, 0.75) - quantile_cont(residual, 0.25)) / pow(count(*), 1 / 3.0::DOUBLE))), 500), 1)::BIGINT AS n_bins FROM res GROUP BY region",
+            ),
+        ],
+        recursive=True,
+    ),
+)
+def t15_histogram(spark, sf):
+    residuals = _train_residuals(spark, sf).where(F.col("residual").isNotNull())
+    return rounded(fc.residual_histogram(residuals, KEY))
+
+
+@query(
+    "t15_residual_acf",
+    with_sql(
+        f"SELECT region, lag, {r('acf')} FROM acf",
+        [*_PLAIN, ("res", _RES[1]), (_CENTRED[0], _CENTRED[1].replace("value", "residual").replace("FROM filled", "FROM res")), _ACF],
+        recursive=True,
+    ),
+)
+def t15_acf(spark, sf):
+    return rounded(series.acf(_train_residuals(spark, sf).select("region", "month", "residual"), KEY, value="residual"))
+
+
+@query(
+    "t15_residual_pairs",
+    with_sql(
+        f"SELECT region, month, {r('previous')}, {r('current')} FROM (SELECT region, month, lag(residual) OVER {W} AS previous, residual AS current FROM res) WHERE previous IS NOT NULL",
+        [*_PLAIN, _RES],
+        recursive=True,
+    ),
+)
+def t15_pairs(spark, sf):
+    return rounded(fc.residual_pairs(_train_residuals(spark, sf), KEY, "month"))
