@@ -4,11 +4,15 @@ Groups are reduced to means and centred cross products with built-in covariance
 aggregates, which combine partial results before the shuffle and need no second
 pass for centring. The k-by-k system of each group is then factored in a
 projection, one step per column, so nothing leaves the JVM.
+
+Results are unnested with the ``_outer`` generators: the plain ones make the
+optimizer infer a size filter and push it, expanded, below every one of these steps.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,10 +22,7 @@ PIVOT_TOLERANCE = 1e-12
 
 
 def _total(parts: Sequence[Column]) -> Column:
-    out = F.lit(0.0)
-    for part in parts:
-        out = out + part
-    return out
+    return reduce(lambda a, b: a + b, parts) if parts else F.lit(0.0)
 
 
 def normal_equations(
@@ -34,11 +35,15 @@ def normal_equations(
         aggs += [F.covar_pop(a, b).alias(f"_vxx{i}_{j}") for j, b in enumerate(xs) if j > i]
     moments = df.groupBy(*by).agg(*aggs, *extra)
     k = len(xs)
-    scaled = {"_syy": F.col("_vyy") * F.col("n")}
+    # a group has at least one complete row, so nothing is null; saying so to the
+    # optimizer keeps null checks out of the generated code of all later steps
+    sure = lambda col: F.coalesce(col, F.lit(0.0))
+    scaled = {"_my": sure(F.col("_my")), "_syy": sure(F.col("_vyy") * F.col("n"))}
     for i in range(k):
-        scaled[f"_c{i}"] = F.col(f"_vxy{i}") * F.col("n")
+        scaled[f"_mx{i}"] = sure(F.col(f"_mx{i}"))
+        scaled[f"_c{i}"] = sure(F.col(f"_vxy{i}") * F.col("n"))
         for j in range(i, k):
-            scaled[f"_s{j}_{i}"] = F.col(f"_vxx{i}_{j}") * F.col("n")
+            scaled[f"_s{j}_{i}"] = sure(F.col(f"_vxx{i}_{j}") * F.col("n"))
     return moments.withColumns(scaled).drop("_vyy", *[c for c in moments.columns if c.startswith(("_vxy", "_vxx"))])
 
 
@@ -67,9 +72,10 @@ def factor(df: DataFrame, k: int, p: str = "") -> DataFrame:
         pivot = c(f"s{j}_{j}") - _total([c(f"l{j}_{m}") * c(f"l{j}_{m}") for m in range(j)])
         df = df.withColumn(
             f"{p}_r{j}",
-            F.when(
-                pivot > F.lit(PIVOT_TOLERANCE) * c(f"s{j}_{j}"), F.try_divide(F.lit(1.0), F.sqrt(pivot))
-            ).otherwise(F.lit(0.0)),
+            F.coalesce(
+                F.when(pivot > F.lit(PIVOT_TOLERANCE) * c(f"s{j}_{j}"), F.try_divide(F.lit(1.0), F.sqrt(pivot))),
+                F.lit(0.0),
+            ),
         )
         step = {
             f"{p}_z{j}": (c(f"c{j}") - _total([c(f"l{j}_{m}") * c(f"z{m}") for m in range(j)])) * c(f"r{j}")

@@ -41,7 +41,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), stri
             for j, b in enumerate(cols)
         ]
     )
-    return wide.select(*by, F.inline(entries))
+    return wide.select(*by, F.inline_outer(entries))
 
 
 def lagged_corr(

@@ -194,7 +194,7 @@ def forecast(
 
     path = F.aggregate(F.sequence(F.lit(1), F.col("_h")), start, step, lambda acc: acc["out"])
     steps = rows.withColumn("_path", path).select(
-        *key, "sigma2", "_months", F.posexplode("_path").alias("_i", "_s")
+        *key, "sigma2", "_months", F.posexplode_outer("_path").alias("_i", "_s")
     )
     width = F.sqrt(F.col("sigma2") * F.col("_s.spread"))
     return steps.select(
@@ -262,7 +262,7 @@ def xreg_lags(
         )
         for n in lags
     ]
-    return parts.withColumn("_lags", F.array(*values)).select(*key, month, y, "part", F.inline("_lags"))
+    return parts.withColumn("_lags", F.array(*values)).select(*key, month, y, "part", F.inline_outer("_lags"))
 
 
 def arx_forecast(

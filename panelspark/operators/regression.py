@@ -66,7 +66,7 @@ def fit_lagged(design: DataFrame, key: Sequence[str], spec: Spec) -> DataFrame:
     stacked = F.array(
         F.struct(F.lit(INDIVIDUAL).alias("model"), "_ind.*"), F.struct(F.lit(COMBINED).alias("model"), "_all.*")
     )
-    return both.select(*key, "lag", "n", F.inline(stacked))
+    return both.select(*key, "lag", "n", F.inline_outer(stacked))
 
 
 def lagged_ols(df: DataFrame, order: str, spec: Spec = Spec(), key: Sequence[str] = ()) -> DataFrame:
@@ -94,7 +94,7 @@ def coef_table(models: DataFrame, keys: Sequence[str], digits: int | None = 3) -
     """
     pairs = F.arrays_zip(F.col("terms"), F.col("coef"), F.col("se"))
     rows = fit_stats(models).select(
-        *keys, "n", "rank", "r_squared", "aic", "adj_r_squared", F.posexplode(pairs).alias("position", "_t")
+        *keys, "n", "rank", "r_squared", "aic", "adj_r_squared", F.posexplode_outer(pairs).alias("position", "_t")
     )
     rows = rows.select(
         "*", F.col("_t.terms").alias("term"), F.col("_t.coef").alias("estimate"), F.col("_t.se").alias("std_error")

@@ -86,7 +86,7 @@ def backcast(
         lambda acc, _: F.concat(acc, F.array(F.bround(F.element_at(acc, -1) * shrink, 0))),
     )
     keep = [c for c in df.columns if c not in (base, growth)]
-    return df.select(*keep, F.posexplode(path).alias("_back", value)).select(
+    return df.select(*keep, F.posexplode_outer(path).alias("_back", value)).select(
         *keep, (F.lit(base_year) - F.col("_back")).alias(year), value
     )
 

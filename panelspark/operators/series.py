@@ -136,7 +136,7 @@ def acf(
     df: DataFrame, key: Sequence[str], month: str = "month", value: str = "value", max_lag: int | None = None
 ) -> DataFrame:
     """Autocorrelation (key, lag, acf): mean of the whole series, divisor n; gap-free months expected."""
-    return _acf_array(df, key, month, value, max_lag).select(*key, F.posexplode("_acf").alias("lag", "acf"))
+    return _acf_array(df, key, month, value, max_lag).select(*key, F.posexplode_outer("_acf").alias("lag", "acf"))
 
 
 def pacf(
@@ -164,7 +164,7 @@ def pacf(
     )
     return (
         rows.where(F.size("_rho") > 0)
-        .select(*key, F.posexplode(values).alias("lag", "pacf"))
+        .select(*key, F.posexplode_outer(values).alias("lag", "pacf"))
         .withColumn("lag", F.col("lag") + 1)
     )
 
@@ -185,7 +185,7 @@ def ccf(
         base = F.slice(b, F.greatest(-h, F.lit(0)) + 1, size)
         return F.struct(h.alias("lag"), F.try_divide(_dot(lead, base), F.col("_scale")).alias("ccf"))
 
-    return rows.select(*key, F.inline(F.transform(F.sequence(-F.col("_top"), F.col("_top")), at)))
+    return rows.select(*key, F.inline_outer(F.transform(F.sequence(-F.col("_top"), F.col("_top")), at)))
 
 
 def adf(

@@ -72,7 +72,7 @@ def lag_expand(
         *[(F.lag(c, n).over(w) if n else F.col(c)).alias(f"_{n}_{c}") for n in lags for c in cols],
     )
     stack = F.array(*[F.struct(F.lit(n).alias("lag"), *[F.col(f"_{n}_{c}").alias(c) for c in cols]) for n in lags])
-    return shifted.select(*key, order, *keep, F.inline(stack))
+    return shifted.select(*key, order, *keep, F.inline_outer(stack))
 
 
 def fill_months(
@@ -90,7 +90,7 @@ def fill_months(
         F.greatest(F.coalesce(F.add_months(following, -1), F.col(month)), F.col(month)).alias("_last"),
     )
     spread = spans.select(
-        *key, "_own", *cols, F.explode(F.sequence("_own", "_last", F.expr("interval 1 month"))).alias(month)
+        *key, "_own", *cols, F.explode_outer(F.sequence("_own", "_last", F.expr("interval 1 month"))).alias(month)
     )
     value = lambda c: F.when(F.col("_own") == F.col(month), F.col(c)).otherwise(F.lit(fill))
     return spread.select(*key, month, *[value(c).alias(c) for c in cols])

@@ -151,7 +151,7 @@ def _national(spark, sf):
 def i4(spark, sf):
     models = regression.lagged_ols(_national(spark, sf), "month")
     pairs = F.arrays_zip("terms", "coef", "se")
-    long = models.select("lag", "model", "n", "rank", F.posexplode(pairs).alias("position", "t"))
+    long = models.select("lag", "model", "n", "rank", F.posexplode_outer(pairs).alias("position", "t"))
     return rounded(
         long.select(
             "lag",
