@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import calendar
 from collections.abc import Sequence
 from functools import reduce
 
@@ -71,13 +72,22 @@ def parse_number(col: Column, scale: float = 1.0) -> Column:
     return F.regexp_replace(F.trim(col), ",", "").try_cast("double") * F.lit(float(scale))
 
 
+_MONTH_NAMES = "|".join(
+    name.lower() for m in range(1, 13) for name in (calendar.month_name[m], calendar.month_abbr[m])
+)
+
+
 def to_month(col: Column) -> Column:
-    """'January 2022' or 'Jan 2022', in any letter case, to the first of that month."""
-    text = F.initcap(F.lower(squish(col)))
-    parsed = F.coalesce(
-        F.try_to_date(text, "MMMM yyyy"), F.try_to_date(text, "MMM yyyy"), F.try_to_date(text, "M yyyy")
+    """'January 2022', 'Jan 2022' or '1 2022', in any letter case, to the first of that month.
+
+    The shape is tested first, so that only readable text reaches the date parser:
+    a miss there is an exception, caught, for every row.
+    """
+    text = F.lower(squish(col))
+    short = F.initcap(F.regexp_replace(text, "^([a-z]{3})[a-z]*", "$1"))
+    return F.when(text.rlike(rf"^({_MONTH_NAMES}) \d{{4}}$"), F.try_to_date(short, "MMM yyyy")).when(
+        text.rlike(r"^(0?[1-9]|1[0-2]) \d{4}$"), F.try_to_date(text, "M yyyy")
     )
-    return F.trunc(parsed, "month")
 
 
 def month_from_parts(month: Column, year: Column) -> Column:

@@ -3,7 +3,8 @@
 Groups are reduced to means and centred cross products with built-in covariance
 aggregates, which combine partial results before the shuffle and need no second
 pass for centring. The k-by-k system of each group is then factored in a
-projection, one step per column, so nothing leaves the JVM.
+projection, one step per column, so nothing leaves the JVM. The steps are written
+as expression text, a few hundred terms of Column objects being slow to build.
 
 Results are unnested with the ``_outer`` generators: the plain ones make the
 optimizer infer a size filter and push it, expanded, below every one of these steps.
@@ -12,7 +13,6 @@ optimizer infer a size filter and push it, expanded, below every one of these st
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,122 +21,116 @@ from pyspark.sql import functions as F
 PIVOT_TOLERANCE = 1e-12
 
 
-def _total(parts: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, parts) if parts else F.lit(0.0)
+def _sum(parts: Sequence[str]) -> str:
+    return "(" + " + ".join(parts) + ")" if parts else "0D"
+
+
+def _less(first: str, parts: Sequence[str]) -> str:
+    return f"({first} - {_sum(parts)})" if parts else first
+
+
+Steps = dict[str, str]
+
+
+def add_steps(df: DataFrame, steps: Steps) -> DataFrame:
+    """Add columns that may refer to each other in the order given (lateral aliases): one projection chain."""
+    return df.selectExpr("*", *[f"{text} AS {name}" for name, text in steps.items()])
 
 
 def normal_equations(
     df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str], extra: Sequence[Column] = ()
 ) -> DataFrame:
     """One row per group: count, means, centred cross products. Rows must be complete."""
-    aggs = [F.count(F.lit(1)).alias("n"), F.avg(y).alias("_my"), F.var_pop(y).alias("_vyy")]
-    for i, a in enumerate(xs):
-        aggs += [F.avg(a).alias(f"_mx{i}"), F.covar_pop(a, y).alias(f"_vxy{i}"), F.var_pop(a).alias(f"_vxx{i}_{i}")]
-        aggs += [F.covar_pop(a, b).alias(f"_vxx{i}_{j}") for j, b in enumerate(xs) if j > i]
-    moments = df.groupBy(*by).agg(*aggs, *extra)
     k = len(xs)
+    aggs = ["count(1) AS n", f"avg({y}) AS _ay", f"var_pop({y}) AS _vyy"]
+    for i, a in enumerate(xs):
+        aggs += [f"avg({a}) AS _a{i}", f"covar_pop({a}, {y}) AS _vy{i}", f"var_pop({a}) AS _v{i}_{i}"]
+        aggs += [f"covar_pop({a}, {xs[j]}) AS _v{j}_{i}" for j in range(i + 1, k)]
+    moments = df.groupBy(*by).agg(*[F.expr(a) for a in aggs], *extra)
     # a group has at least one complete row, so nothing is null; saying so to the
     # optimizer keeps null checks out of the generated code of all later steps
-    sure = lambda col: F.coalesce(col, F.lit(0.0))
-    scaled = {"_my": sure(F.col("_my")), "_syy": sure(F.col("_vyy") * F.col("n"))}
+    scaled = {"_my": "coalesce(_ay, 0D)", "_syy": "coalesce(_vyy * n, 0D)"}
     for i in range(k):
-        scaled[f"_mx{i}"] = sure(F.col(f"_mx{i}"))
-        scaled[f"_c{i}"] = sure(F.col(f"_vxy{i}") * F.col("n"))
+        scaled[f"_mx{i}"] = f"coalesce(_a{i}, 0D)"
+        scaled[f"_c{i}"] = f"coalesce(_vy{i} * n, 0D)"
         for j in range(i, k):
-            scaled[f"_s{j}_{i}"] = sure(F.col(f"_vxx{i}_{j}") * F.col("n"))
-    return moments.withColumns(scaled).drop("_vyy", *[c for c in moments.columns if c.startswith(("_vxy", "_vxx"))])
-
-
-def pooled(df: DataFrame, k: int, prefix: str) -> DataFrame:
-    """Normal equations of the single predictor that is the sum of all ``k``, under ``prefix``."""
-    cross = [F.col(f"_s{max(i, j)}_{min(i, j)}") for i in range(k) for j in range(k)]
-    return df.withColumns(
-        {
-            f"{prefix}_my": F.col("_my"),
-            f"{prefix}_syy": F.col("_syy"),
-            f"{prefix}_mx0": _total([F.col(f"_mx{i}") for i in range(k)]),
-            f"{prefix}_c0": _total([F.col(f"_c{i}") for i in range(k)]),
-            f"{prefix}_s0_0": _total(cross),
-        }
-    )
+            scaled[f"_s{j}_{i}"] = f"coalesce(_v{j}_{i} * n, 0D)"
+    kept = [c for c in moments.columns if not c.startswith(("_v", "_a"))]
+    return moments.selectExpr(*[f"`{c}`" for c in kept], *[f"{text} AS {name}" for name, text in scaled.items()])
+
+
+def pooled_steps(k: int, p: str) -> Steps:
+    """Normal equations of the single predictor that is the sum of all ``k``, under prefix ``p``."""
+    return {
+        f"{p}_my": "_my",
+        f"{p}_syy": "_syy",
+        f"{p}_mx0": _sum([f"_mx{i}" for i in range(k)]),
+        f"{p}_c0": _sum([f"_c{i}" for i in range(k)]),
+        f"{p}_s0_0": _sum([f"_s{max(i, j)}_{min(i, j)}" for i in range(k) for j in range(k)]),
+    }
 
 
-def factor(df: DataFrame, k: int, p: str = "") -> DataFrame:
+def factor_steps(k: int, p: str = "") -> Steps:
     """Cholesky factor columns ``l``, inverse pivots ``r`` and projections ``z``.
 
     A dependent column gets an inverse pivot of 0 and drops out of everything
     after it, as in a pivotless rank-revealing fit.
     """
-    c = lambda name: F.col(f"{p}_{name}")
+    steps: Steps = {}
     for j in range(k):
-        pivot = c(f"s{j}_{j}") - _total([c(f"l{j}_{m}") * c(f"l{j}_{m}") for m in range(j)])
-        df = df.withColumn(
-            f"{p}_r{j}",
-            F.coalesce(
-                F.when(pivot > F.lit(PIVOT_TOLERANCE) * c(f"s{j}_{j}"), F.try_divide(F.lit(1.0), F.sqrt(pivot))),
-                F.lit(0.0),
-            ),
+        steps[f"{p}_d{j}"] = _less(f"{p}_s{j}_{j}", [f"{p}_l{j}_{m} * {p}_l{j}_{m}" for m in range(j)])
+        steps[f"{p}_r{j}"] = (
+            f"coalesce(CASE WHEN {p}_d{j} > {PIVOT_TOLERANCE}D * {p}_s{j}_{j} "
+            f"THEN try_divide(1D, sqrt({p}_d{j})) END, 0D)"
         )
-        step = {
-            f"{p}_z{j}": (c(f"c{j}") - _total([c(f"l{j}_{m}") * c(f"z{m}") for m in range(j)])) * c(f"r{j}")
-        }
+        steps[f"{p}_z{j}"] = f"{_less(f'{p}_c{j}', [f'{p}_l{j}_{m} * {p}_z{m}' for m in range(j)])} * {p}_r{j}"
         for i in range(j + 1, k):
-            step[f"{p}_l{i}_{j}"] = (
-                c(f"s{i}_{j}") - _total([c(f"l{i}_{m}") * c(f"l{j}_{m}") for m in range(j)])
-            ) * c(f"r{j}")
-        df = df.withColumns(step)
-    return df
+            inner = _less(f"{p}_s{i}_{j}", [f"{p}_l{i}_{m} * {p}_l{j}_{m}" for m in range(j)])
+            steps[f"{p}_l{i}_{j}"] = f"{inner} * {p}_r{j}"
+    return steps
 
 
-def back_substitute(
-    df: DataFrame, k: int, p: str = "", keep: Callable[[int], Column] | None = None
-) -> DataFrame:
-    """Slope columns ``b``; ``keep(j)`` restricts the fit to a leading set of predictors."""
-    c = lambda name: F.col(f"{p}_{name}")
+def back_steps(k: int, p: str = "", keep: Callable[[int], str] | None = None) -> Steps:
+    """Slope columns ``b``; ``keep(j)``, a condition, restricts the fit to a leading set of predictors."""
+    steps: Steps = {}
     for j in reversed(range(k)):
-        value = (c(f"z{j}") - _total([c(f"l{i}_{j}") * c(f"b{i}") for i in range(j + 1, k)])) * c(f"r{j}")
-        df = df.withColumn(f"{p}_b{j}", value if keep is None else F.when(keep(j), value).otherwise(F.lit(0.0)))
-    return df
+        value = f"{_less(f'{p}_z{j}', [f'{p}_l{i}_{j} * {p}_b{i}' for i in range(j + 1, k)])} * {p}_r{j}"
+        steps[f"{p}_b{j}"] = value if keep is None else f"CASE WHEN {keep(j)} THEN {value} ELSE 0D END"
+    return steps
 
 
-def inverse_rows(df: DataFrame, k: int, p: str = "") -> DataFrame:
+def inverse_steps(k: int, p: str = "") -> Steps:
     """Rows ``v`` of the inverse factor and ``u`` = inverse factor times the predictor means."""
-    c = lambda name: F.col(f"{p}_{name}")
+    steps: Steps = {}
     for i in range(k):
-        row = {f"{p}_v{i}_{i}": c(f"r{i}")}
+        steps[f"{p}_v{i}_{i}"] = f"{p}_r{i}"
         for j in range(i):
-            row[f"{p}_v{i}_{j}"] = -c(f"r{i}") * _total([c(f"l{i}_{m}") * c(f"v{m}_{j}") for m in range(j, i)])
-        df = df.withColumns(row)
-        df = df.withColumn(f"{p}_u{i}", _total([c(f"v{i}_{j}") * c(f"mx{j}") for j in range(i + 1)]))
-    return df
+            steps[f"{p}_v{i}_{j}"] = f"-{p}_r{i} * {_sum([f'{p}_l{i}_{m} * {p}_v{m}_{j}' for m in range(j, i)])}"
+        steps[f"{p}_u{i}"] = _sum([f"{p}_v{i}_{j} * {p}_mx{j}" for j in range(i + 1)])
+    return steps
+
+
+def intercept_text(k: int, p: str = "") -> str:
+    return _less(f"{p}_my", [f"{p}_b{j} * {p}_mx{j}" for j in range(k)])
 
 
-def solve(df: DataFrame, terms: Sequence[str], out: str, p: str = "") -> DataFrame:
-    """Add struct ``out``: terms, coefficients, standard errors (intercept first), rank, sse, sst."""
+def solve_steps(terms: Sequence[str], out: str, p: str = "") -> Steps:
+    """Struct ``out``: terms, coefficients, standard errors (intercept first), rank, sse, sst."""
     k = len(terms)
-    c = lambda name: F.col(f"{p}_{name}")
-    df = inverse_rows(back_substitute(factor(df, k, p), k, p), k, p)
-    df = df.withColumns(
-        {
-            f"{p}_rank": F.lit(1) + sum((F.when(c(f"r{j}") > 0, 1).otherwise(0) for j in range(k)), F.lit(0)),
-            f"{p}_sse": F.greatest(c("syy") - _total([c(f"z{j}") * c(f"z{j}") for j in range(k)]), F.lit(0.0)),
-        }
+    steps = {**factor_steps(k, p), **back_steps(k, p), **inverse_steps(k, p)}
+    steps[f"{p}_rank"] = _sum(["1", *[f"CASE WHEN {p}_r{j} > 0D THEN 1 ELSE 0 END" for j in range(k)]])
+    steps[f"{p}_sse"] = f"greatest({_less(f'{p}_syy', [f'{p}_z{j} * {p}_z{j}' for j in range(k)])}, 0D)"
+    steps[f"{p}_s2"] = f"CASE WHEN n > {p}_rank THEN {p}_sse / (n - {p}_rank) END"
+    variance0 = _sum(["try_divide(1D, n)", *[f"{p}_u{j} * {p}_u{j}" for j in range(k)]])
+    variance = [_sum([f"{p}_v{i}_{j} * {p}_v{i}_{j}" for i in range(j, k)]) for j in range(k)]
+    used = lambda j, text: f"CASE WHEN {p}_r{j} > 0D THEN {text} END"
+    names = ", ".join(f"'{t}'" for t in ["(Intercept)", *terms])
+    coefs = ", ".join([intercept_text(k, p), *[used(j, f"{p}_b{j}") for j in range(k)]])
+    errors = ", ".join(
+        [f"sqrt({p}_s2 * {variance0})", *[used(j, f"sqrt({p}_s2 * {variance[j]})") for j in range(k)]]
     )
-    df = df.withColumn(f"{p}_s2", F.try_divide(c("sse"), F.when(F.col("n") > c("rank"), F.col("n") - c("rank"))))
-    intercept = c("my") - _total([c(f"b{j}") * c(f"mx{j}") for j in range(k)])
-    used = lambda j, value: F.when(c(f"r{j}") > 0, value)
-    variance0 = F.try_divide(F.lit(1.0), F.col("n")) + _total([c(f"u{j}") * c(f"u{j}") for j in range(k)])
-    variance = [_total([c(f"v{i}_{j}") * c(f"v{i}_{j}") for i in range(j, k)]) for j in range(k)]
-    return df.withColumn(
-        out,
-        F.struct(
-            F.array(*[F.lit(t) for t in ["(Intercept)", *terms]]).alias("terms"),
-            F.array(intercept, *[used(j, c(f"b{j}")) for j in range(k)]).alias("coef"),
-            F.array(
-                F.sqrt(c("s2") * variance0), *[used(j, F.sqrt(c("s2") * variance[j])) for j in range(k)]
-            ).alias("se"),
-            c("rank").alias("rank"),
-            c("sse").alias("sse"),
-            c("syy").alias("sst"),
-        ),
+    steps[out] = (
+        f"named_struct('terms', array({names}), 'coef', array({coefs}), 'se', array({errors}), "
+        f"'rank', {p}_rank, 'sse', {p}_sse, 'sst', {p}_syy)"
     )
+    return steps

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from panelspark.functions.columns import zero_to_null
 from panelspark.functions.vocab import ANIMALS, SERIES
 from panelspark.operators.ordering import exact_quantiles
-from panelspark.operators.reshape import pivot_multi
 from panelspark.operators.rollup import RATE_PAIRS, sum_by
 from panelspark.operators.windows import rolling_mean
 
@@ -22,26 +21,29 @@ def quantile_breaks(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFram
     return exact_quantiles(df, col, QUARTILES, by, "breaks")
 
 
-def class_columns(value: Column, breaks: Column, prefix: str = "class") -> dict[str, Column]:
+def class_columns(value: Column, edges: Column, n_edges: int, prefix: str = "class") -> dict[str, Column]:
     """Index and label of the right-closed class, lowest value included.
 
-    Equal breaks are merged. Null and out-of-range values get class 0, label '0'.
+    ``edges`` is sorted and distinct, with at most ``n_edges`` entries. Null and
+    out-of-range values get class 0, label '0'.
     """
-    edges = F.array_distinct(breaks)
-    upper = F.slice(edges, F.lit(2), F.greatest(F.size(edges) - 1, F.lit(0)))
+    above = [F.coalesce((value > F.try_element_at(edges, F.lit(i))).cast("int"), F.lit(0)) for i in range(2, n_edges)]
     inside = value.between(F.element_at(edges, 1), F.element_at(edges, -1))
-    index = F.when(inside, F.size(F.filter(upper, lambda b: b < value)) + 1).otherwise(F.lit(0))
+    index = F.when(inside, sum(above, F.lit(1))).otherwise(F.lit(0))
     bounds = [F.format_string("%.2f", F.round(F.try_element_at(edges, index + i), 2)) for i in (0, 1)]
     label = F.when(index == 0, F.lit("0")).otherwise(F.concat(bounds[0], F.lit("-"), bounds[1]))
     return {f"{prefix}_index": index.cast("int"), f"{prefix}_label": label}
 
 
 def quantile_class(df: DataFrame, col: str, prefix: str = "class", breaks: DataFrame | None = None) -> DataFrame:
-    """Add class index and label; breaks from ``df`` itself unless given as a one-row table."""
-    one = (breaks if breaks is not None else quantile_breaks(df, col)).scalar()
-    return (
-        df.withColumn("_breaks", one).withColumns(class_columns(F.col(col), F.col("_breaks"), prefix)).drop("_breaks")
-    )
+    """Add class index and label; breaks from ``df`` itself unless given as a one-row table.
+
+    Equal breaks are merged. The breaks are one scalar subquery, so a constant to every row.
+    """
+    one = breaks if breaks is not None else quantile_breaks(df, col)
+    edges = one.select(F.array_distinct("breaks")).scalar()
+    columns = class_columns(F.col(col), F.col("_edges"), len(QUARTILES), prefix)
+    return df.withColumn("_edges", edges).withColumns(columns).drop("_edges")
 
 
 def map_table(yearly: DataFrame, region_names: DataFrame, spelling: Column, names_key: str = "region") -> DataFrame:
@@ -50,22 +52,36 @@ def map_table(yearly: DataFrame, region_names: DataFrame, spelling: Column, name
     ``yearly`` is keyed by (region, year, diagnosis). Human breaks come from the
     region-years; animal breaks are pooled over the four species, zeros left out.
     """
-    rates = list(RATE_PAIRS)
     animal = [f"{s}_incidence" for s in ANIMALS]
-    sums = sum_by(yearly, ["region", "year"], rates).withColumn("region", spelling)
-    human = quantile_class(sums, "hum_incidence", "human")
-    long = human.unpivot(
-        ["region", "year", "hum_incidence", "human_index", "human_label"], animal, "variable", "value"
-    ).withColumn("value", zero_to_null(F.col("value")))
-    classed = quantile_class(long, "value", "cat")
-    wide = pivot_multi(
-        classed,
-        ["region", "year", "hum_incidence", "human_index", "human_label"],
-        "variable",
-        animal,
-        ["value", "cat_index", "cat_label"],
+    sums = sum_by(yearly, ["region", "year"], list(RATE_PAIRS)).withColumns(
+        {c: zero_to_null(F.col(c)) for c in animal}
+    )
+    # both sets of breaks in one pass: the values carry which set they belong to
+    long = sums.unpivot(["region", "year"], ["hum_incidence", *animal], "variable", "value")
+    pooled = long.withColumn("kind", F.when(F.col("variable") == "hum_incidence", "human").otherwise("animal"))
+    breaks = quantile_breaks(pooled, "value", ["kind"])
+    edges = breaks.agg(
+        F.struct(
+            *[
+                F.max(F.when(F.col("kind") == kind, F.array_distinct("breaks"))).alias(kind)
+                for kind in ("human", "animal")
+            ]
+        )
+    ).scalar()
+    n = len(QUARTILES)
+    columns = class_columns(F.col("hum_incidence"), F.col("_edges.human"), n, "human")
+    for c in animal:
+        found = class_columns(F.col(c), F.col("_edges.animal"), n)
+        columns |= {
+            f"value_{c}": F.col(c),
+            f"cat_index_{c}": found["class_index"],
+            f"cat_label_{c}": found["class_label"],
+        }
+    # every species has its own columns already, so there is nothing to pivot back
+    classed = sums.withColumns({"_edges": edges, "region": spelling}).withColumns(columns)
+    return classed.drop("_edges", *animal).join(
+        region_names.withColumnRenamed(names_key, "region"), ["region"], "inner"
     )
-    return wide.join(region_names.withColumnRenamed(names_key, "region"), ["region"], "inner")
 
 
 def smoothed_long(monthly: DataFrame, k: int = 4) -> DataFrame:

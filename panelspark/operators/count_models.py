@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
@@ -15,7 +17,7 @@ from panelspark.functions.columns import row_sum
 from panelspark.functions.tails import normal_two_sided_p
 from panelspark.functions.vocab import ANIMALS
 from panelspark.operators.regression import Z_90
-from panelspark.operators.rows import factor_codes, standardise
+from panelspark.operators.rows import standardise, step_codes
 from panelspark.operators.windows import lag_expand
 from panelspark.session import materialise
 
@@ -50,7 +52,7 @@ def count_design(df: DataFrame, spec: CountSpec) -> DataFrame:
         F.ln(F.when(F.col(spec.pop) > 0, F.col(spec.pop).cast("double"))).alias("log_pop"),
         *[F.col(x).cast("double").alias(x) for x in spec.xs],
     )
-    coded = factor_codes(base, spec.month, "time_code", [spec.region])
+    coded = step_codes(base, [spec.region], spec.month, "time_code")
     rows = lag_expand(
         coded, [spec.region], spec.month, spec.xs, spec.lags, keep=[spec.y, "log_pop", "time_code"]
     ).dropna()
@@ -79,7 +81,7 @@ def fit_count_model(df: DataFrame, spec: CountSpec = CountSpec(), family: str =
     if family not in ("poisson", "quasipoisson"):
         raise ValueError(f"unknown family {family!r}")
     spark = df.sparkSession
-    design = materialise(count_design(df, spec), "count-design")
+    design = materialise(count_design(df, spec), "count-design", partition_by=["lag"])
     inputs = [*spec.predictors, "time_code"]
     stages = []
     if spec.region_effects:
@@ -101,9 +103,9 @@ def fit_count_model(df: DataFrame, spec: CountSpec = CountSpec(), family: str =
             tol=1e-10,
         ),
     ]
-    rows: list[tuple] = []
-    for lag in spec.lags:  # one fit per lag; the coefficients are a handful of numbers
-        part = design.where(F.col("lag") == lag)
+
+    def fit(lag: int) -> list[tuple]:
+        part = design.where(F.col("lag") == lag).persist(StorageLevel.MEMORY_AND_DISK)
         fitted = Pipeline(stages=stages).fit(part)
         model = fitted.stages[-1]
         names = list(inputs)
@@ -113,14 +115,18 @@ def fit_count_model(df: DataFrame, spec: CountSpec = CountSpec(), family: str =
         errors = list(summary.coefficientStandardErrors)
         dispersion = 1.0
         if family == "quasipoisson":
-            dispersion = (
-                fitted.transform(part)
-                .agg((F.sum((F.col(spec.y) - F.col("mu")) ** 2 / F.col("mu")) / summary.residualDegreeOfFreedom))
-                .head()[0]
-            )
+            pearson = F.sum((F.col(spec.y) - F.col("mu")) ** 2 / F.col("mu"))
+            dispersion = fitted.transform(part).agg(pearson / summary.residualDegreeOfFreedom).head()[0]
+        part.unpersist()
         estimates = [*[float(b) for b in model.coefficients], float(model.intercept)]
-        for name, b, se in zip([*names, "(Intercept)"], estimates, errors):
-            rows.append((lag, name, b, float(se) * dispersion**0.5, float(dispersion)))
+        return [
+            (lag, name, b, float(se) * dispersion**0.5, float(dispersion))
+            for name, b, se in zip([*names, "(Intercept)"], estimates, errors)
+        ]
+
+    # one iterative fit per lag, side by side; what comes back is a handful of coefficients
+    with ThreadPoolExecutor(max_workers=len(spec.lags)) as pool:
+        rows = [row for found in pool.map(inheritable_thread_target(spark)(fit), spec.lags) for row in found]
     table = spark.createDataFrame(rows, "lag int, term string, estimate double, std_error double, dispersion double")
     z = F.try_divide(F.col("estimate"), F.col("std_error"))
     return table.withColumn("statistic", z).withColumn("p_value", normal_two_sided_p(F.col("statistic")))

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.functions.linalg import back_substitute, factor, normal_equations
+from panelspark.functions.linalg import add_steps, back_steps, factor_steps, intercept_text, normal_equations
 from panelspark.operators.regression import accuracy
 from panelspark.operators.windows import series_window
 
@@ -71,40 +71,32 @@ def fit_ar(
     )
     usable = design.dropna(subset=["_y", *xs])
     ne = normal_equations(usable, key, "_y", xs, extra=[F.max_by(state, month).alias("_state")])
-    ne = factor(ne, k)
 
-    n = F.col("n").cast("double")
-    sse = F.col("_syy")
-    for j in range(first):
-        sse = sse - F.col(f"_z{j}") * F.col(f"_z{j}")
     paths = []
-    for p in range(max_p + 1):
-        if p:
-            z = F.col(f"_z{first + p - 1}")
-            sse = sse - z * z
-        floor_ = F.greatest(sse, F.col("_syy") * F.lit(1e-15))
-        size = p + first
-        enough = F.col("n") > size + 1
-        aic = F.when(enough, n * F.ln(F.try_divide(floor_, n)) + F.lit(2.0 * (size + 2)))
-        paths.append(
-            F.struct(
-                F.coalesce(aic, F.lit(float("inf"))).alias("aic"), F.lit(p).alias("p"), F.greatest(sse, F.lit(0.0)).alias("sse")
+    sse = "_syy"
+    for size in range(k + 1):
+        if size:
+            sse = f"{sse} - _z{size - 1} * _z{size - 1}"
+        if size >= first:
+            aic = (
+                f"CASE WHEN n > {size + 1} THEN n * ln(try_divide(greatest({sse}, _syy * 1e-15D), CAST(n AS DOUBLE)))"
+                f" + {2.0 * (size + 2)}D END"
             )
-        )
-    ne = ne.withColumn("_best", F.array_min(F.array(*paths)))
-    ne = back_substitute(
-        ne, k, keep=lambda j: F.lit(True) if j < first else F.lit(j - first) < F.col("_best.p")
-    )
-    intercept = F.col("_my")
-    for j in range(k):
-        intercept = intercept - F.col(f"_b{j}") * F.col(f"_mx{j}")
+            paths.append(
+                f"named_struct('aic', coalesce({aic}, DOUBLE('Infinity')), 'p', {size - first}, 'sse', greatest({sse}, 0D))"
+            )
+    steps = factor_steps(k)
+    steps["_best"] = f"array_min(array({', '.join(paths)}))"
+    steps["_p"] = "_best.p"
+    steps |= back_steps(k, keep=lambda j: "true" if j < first else f"{j - first} < _p")
+    ne = add_steps(ne, steps)
     free = F.col("n") - F.col("_best.p") - F.lit(first + 1)
     return ne.select(
         *key,
         "n",
         F.col("_best.p").alias("p"),
         F.lit(d).alias("d"),
-        intercept.alias("intercept"),
+        F.expr(intercept_text(k)).alias("intercept"),
         F.array(*[F.col(f"_b{first + j}") for j in range(max_p)]).alias("phi"),
         (F.col("_b0") if xreg else F.lit(0.0)).alias("beta"),
         F.try_divide(F.col("_best.sse"), F.when(free > 0, free)).alias("sigma2"),

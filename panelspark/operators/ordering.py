@@ -14,7 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SPLITS = 64
+_WIDTHS = (64, 32, 16, 8, 4, 2, 1)
+SPLITS = sum(_WIDTHS)
 
 
 def cumulative_counts(counts: DataFrame, col: str, count: str, by: Sequence[str] = ()) -> DataFrame:
@@ -23,19 +24,30 @@ def cumulative_counts(counts: DataFrame, col: str, count: str, by: Sequence[str]
     ``counts`` has one row per (by, col).
     """
     by = list(by)
+    # asking for the count keeps this branch's aggregate the same as the others', so its shuffle is shared
+    present = counts.where(F.col(count) > 0)
     sampled = (
-        counts.select(*by, col)
+        present.select(*by, col)
         .withColumn("_h", F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64(col))))
         .where(F.col("_h") <= SPLITS)
         if by
-        else counts.select(col).orderBy(F.xxhash64(col)).limit(SPLITS)
+        else present.select(col).orderBy(F.xxhash64(col)).limit(SPLITS)
     )
     splits = sampled.groupBy(*by).agg(F.sort_array(F.collect_list(col)).alias("_splits"))
     if by:
-        rows = counts.join(splits, by)
+        rows = present.join(splits, by)
     else:
-        rows = counts.withColumn("_splits", splits.scalar())
-    rows = rows.withColumn("_bucket", F.size(F.filter("_splits", lambda s: s < F.col(col)))).drop("_splits")
+        rows = present.withColumn("_splits", splits.scalar())
+    # binary search in generated code: each step adds its width if the split there is below the value.
+    # A literal start keeps the bucket non-null; a nullable join key would be tested, expanded, on every input row.
+    steps, at = [], "0"
+    for width in _WIDTHS:
+        below = f"coalesce(try_element_at(_splits, {at} + {width}) < `{col}`, false)"
+        steps.append(f"{at} + CASE WHEN {below} THEN {width} ELSE 0 END AS _b{width}")
+        at = f"_b{width}"
+    rows = rows.selectExpr(*[f"`{c}`" for c in rows.columns], *steps).select(
+        *[c for c in rows.columns if c != "_splits"], F.col(at).alias("_bucket")
+    )
 
     # at most SPLITS + 1 rows per group
     order = Window.partitionBy(*by).orderBy("_bucket")
@@ -84,5 +96,7 @@ def exact_quantiles(
 
 def dense_codes(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     """Distinct (by, col) with ``code``: the 1-based position of the label in sort order."""
-    labels = df.select(*by, col).where(F.col(col).isNotNull()).distinct().withColumn("_one", F.lit(1))
+    labels = df.select(*by, col).where(F.col(col).isNotNull()).groupBy(*by, col).agg(
+        F.max(F.lit(1)).alias("_one")
+    )
     return cumulative_counts(labels, col, "_one", by).select(*by, col, F.col("cum").cast("int").alias("code"))

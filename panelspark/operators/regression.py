@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.columns import nan_to
-from panelspark.functions.linalg import normal_equations, pooled, solve
+from panelspark.functions.linalg import add_steps, normal_equations, pooled_steps, solve_steps
 from panelspark.functions.tails import t_two_sided_p
 from panelspark.functions.vocab import TERM_DISPLAY
 from panelspark.operators.windows import difference, lag_expand
@@ -50,7 +50,7 @@ def fit_ols(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str]) -> Data
 
     A predictor that depends on earlier ones has a null coefficient and lowers the rank.
     """
-    solved = solve(normal_equations(df, by, y, xs), xs, "_fit")
+    solved = add_steps(normal_equations(df, by, y, xs), solve_steps(xs, "_fit"))
     return solved.select(*by, "n", "_fit.*")
 
 
@@ -61,8 +61,8 @@ def fit_lagged(design: DataFrame, key: Sequence[str], spec: Spec) -> DataFrame:
     so the design is read once.
     """
     k = len(spec.xs)
-    ne = pooled(normal_equations(design, [*key, "lag"], spec.y, spec.xs), k, "t")
-    both = solve(solve(ne, spec.xs, "_ind"), [spec.total], "_all", "t")
+    steps = {**pooled_steps(k, "t"), **solve_steps(spec.xs, "_ind"), **solve_steps([spec.total], "_all", "t")}
+    both = add_steps(normal_equations(design, [*key, "lag"], spec.y, spec.xs), steps)
     stacked = F.array(
         F.struct(F.lit(INDIVIDUAL).alias("model"), "_ind.*"), F.struct(F.lit(COMBINED).alias("model"), "_all.*")
     )

@@ -127,6 +127,11 @@ def factor_codes(df: DataFrame, col: str, code: str, by: Sequence[str] = ()) ->
     return df.join(codes, [*by, col], "left")
 
 
+def step_codes(df: DataFrame, key: Sequence[str], order: str, code: str) -> DataFrame:
+    """1-based code of each step within its series; equal steps share a code."""
+    return df.withColumn(code, F.dense_rank().over(Window.partitionBy(*key).orderBy(order)))
+
+
 def holdout(df: DataFrame, key: Sequence[str], order: str, frac: float = 0.8) -> DataFrame:
     """Mark the first ``floor(frac * n)`` rows of each series as ``train``, the rest as ``test``.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.columns import row_sum
-from panelspark.functions.linalg import normal_equations, solve
+from panelspark.functions.linalg import add_steps, normal_equations, solve_steps
 from panelspark.functions.vocab import ANIMALS
 from panelspark.operators.reshape import pivot
 from panelspark.operators.windows import series_window
@@ -153,8 +153,14 @@ def pacf(
         new = F.try_divide(
             F.element_at(rho, k) - _dot(phi, F.reverse(before)), F.lit(1.0) - _dot(phi, before)
         )
-        updated = F.concat(F.zip_with(phi, F.reverse(phi), lambda a, b: a - new * b), F.array(new))
-        return F.struct(updated.alias("phi"), F.concat(state["out"], F.array(new)).alias("out"))
+        # the one-element transform evaluates the new coefficient once
+        return F.transform(
+            F.array(new),
+            lambda v: F.struct(
+                F.concat(F.zip_with(phi, F.reverse(phi), lambda a, b: a - v * b), F.array(v)).alias("phi"),
+                F.concat(state["out"], F.array(v)).alias("out"),
+            ),
+        )[0]
 
     values = F.aggregate(
         F.sequence(F.lit(1), F.size(rho)),
@@ -162,11 +168,8 @@ def pacf(
         step,
         lambda state: state["out"],
     )
-    return (
-        rows.where(F.size("_rho") > 0)
-        .select(*key, F.posexplode_outer(values).alias("lag", "pacf"))
-        .withColumn("lag", F.col("lag") + 1)
-    )
+    found = F.when(F.size(rho) > 0, values)
+    return rows.select(*key, F.posexplode_outer(found).alias("lag", "pacf")).withColumn("lag", F.col("lag") + 1)
 
 
 def ccf(
@@ -230,7 +233,8 @@ def adf(
     }
     rows = rows.withColumns(lags).where(F.col("_t") > F.col("_k"))
     xs = ["_level", "_t", *lags]
-    solved = solve(normal_equations(rows, key, "_d", xs, extra=[F.max("_k").alias("k")]), xs, "_fit")
+    moments = normal_equations(rows, key, "_d", xs, extra=[F.max("_k").alias("k")])
+    solved = add_steps(moments, solve_steps(xs, "_fit"))
     gamma, se = F.element_at("_fit.coef", 2), F.element_at("_fit.se", 2)
     return solved.select(
         *key,

@@ -405,7 +405,7 @@ def p18(spark, sf):
 def p19(spark, sf):
     monthly = rollup.sum_by(fx.base_panel(spark, sf), ["region", "year", "month"], rollup.CASES)
     coded = rows.factor_codes(monthly.select("region", "month"), "region", "region_id")
-    return rows.factor_codes(coded, "month", "time_id", ["region"])
+    return rows.step_codes(coded, ["region"], "month", "time_id")
 
 
 @query(
