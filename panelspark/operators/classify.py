@@ -30,7 +30,8 @@ def class_columns(value: Column, edges: Column, n_edges: int, prefix: str = "cla
     above = [F.coalesce((value > F.try_element_at(edges, F.lit(i))).cast("int"), F.lit(0)) for i in range(2, n_edges)]
     inside = value.between(F.element_at(edges, 1), F.element_at(edges, -1))
     index = F.when(inside, sum(above, F.lit(1))).otherwise(F.lit(0))
-    bounds = [F.format_string("%.2f", F.round(F.try_element_at(edges, index + i), 2)) for i in (0, 1)]
+    ends = [F.try_element_at(edges, index), F.coalesce(F.try_element_at(edges, index + 1), F.element_at(edges, -1))]
+    bounds = [F.format_string("%.2f", F.round(end, 2)) for end in ends]
     label = F.when(index == 0, F.lit("0")).otherwise(F.concat(bounds[0], F.lit("-"), bounds[1]))
     return {f"{prefix}_index": index.cast("int"), f"{prefix}_label": label}
 

@@ -234,7 +234,7 @@ def a6(spark, sf):
 @query(
     "a7_mean_growth",
     with_sql(
-        "SELECT region, round_even(avg((v - b) / b * 100), 2) AS growth_rate FROM (SELECT region, v, lag(v) OVER (PARTITION BY region ORDER BY year) AS b FROM (SELECT region, year, sum(hum_cases)::DOUBLE AS v FROM panel GROUP BY region, year)) GROUP BY region"
+        "SELECT region, round_even(avg((v - b) / nullif(b, 0) * 100), 2) AS growth_rate FROM (SELECT region, v, lag(v) OVER (PARTITION BY region ORDER BY year) AS b FROM (SELECT region, year, sum(hum_cases)::DOUBLE AS v FROM panel GROUP BY region, year)) GROUP BY region"
     ),
 )
 def a7(spark, sf):
@@ -277,7 +277,7 @@ def a8(spark, sf):
     "w1_pct_change",
     with_sql(
         "SELECT region, year, hum_cases, "
-        + r("(hum_cases - b)::DOUBLE / b * 100", 6, "growth_rate")
+        + r("(hum_cases - b)::DOUBLE / nullif(b, 0) * 100", 6, "growth_rate")
         + " FROM (SELECT region, year, hum_cases, lag(hum_cases) OVER (PARTITION BY region ORDER BY year) AS b FROM (SELECT region, year, sum(hum_cases)::BIGINT AS hum_cases FROM panel GROUP BY region, year))"
     ),
 )
@@ -378,14 +378,23 @@ def c1(spark, sf):
 
 
 def _class_sql(value: str, q: str, prefix: str) -> str:
-    index = f"CASE WHEN {value} BETWEEN {q}[1] AND {q}[5] THEN 1 + ({value} > {q}[2])::INT + ({value} > {q}[3])::INT + ({value} > {q}[4])::INT ELSE 0 END"
-    label = f"CASE WHEN {value} BETWEEN {q}[1] AND {q}[5] THEN printf('%.2f', round({q}[{index}], 2)) || '-' || printf('%.2f', round({q}[{index} + 1], 2)) ELSE '0' END"
+    """Class of ``value`` among the distinct sorted edges ``q``."""
+    inside = f"{value} BETWEEN {q}[1] AND {q}[-1]"
+    index = f"CASE WHEN {inside} THEN 1 + len(list_filter({q}[2:len({q}) - 1], lambda b: b < {value})) ELSE 0 END"
+    label = (
+        f"CASE WHEN {inside} THEN printf('%.2f', round({q}[{index}], 2)) || '-' || "
+        f"printf('%.2f', round(coalesce({q}[{index} + 1], {q}[-1]), 2)) ELSE '0' END"
+    )
     return f"({index})::INT AS {prefix}_index, {label} AS {prefix}_label"
 
 
+def _edges(value: str) -> str:
+    return f"list_sort(list_distinct(quantile_cont({value}, {_Q})))"
+
+
 @query(
     "c2_quantile_class",
-    f"""WITH q AS (SELECT quantile_cont(l_extendedprice, {_Q}) AS q FROM lineitem)
+    f"""WITH q AS (SELECT {_edges('l_extendedprice')} AS q FROM lineitem)
     SELECT class_index, class_label, count(*) AS n FROM (SELECT {_class_sql('l_extendedprice', 'q', 'class')} FROM lineitem, q) GROUP BY ALL""",
 )
 def c2(spark, sf):
@@ -408,8 +417,8 @@ def _map_sql() -> str:
         FROM h JOIN w ON h.region = w.region AND h.year = w.year JOIN nation n ON n.n_name = h.region JOIN region g ON g.r_regionkey = n.n_regionkey""",
         [
             ("yr", _YEARLY_RATES),
-            ("hq", f"SELECT quantile_cont(value, {_Q}) AS q FROM yr WHERE variable = 'hum'"),
-            ("aq", f"SELECT quantile_cont(nullif(value, 0), {_Q}) AS q FROM yr WHERE variable <> 'hum'"),
+            ("hq", f"SELECT {_edges('value')} AS q FROM yr WHERE variable = 'hum'"),
+            ("aq", f"SELECT {_edges('nullif(value, 0)')} AS q FROM yr WHERE variable <> 'hum'"),
             ("h", f"SELECT region, year, value, {_class_sql('value', 'q', 'human')} FROM yr, hq WHERE variable = 'hum'"),
             ("a", f"SELECT region, year, variable, value, {_class_sql('value', 'q', 'cat')} FROM (SELECT region, year, variable, nullif(value, 0) AS value FROM yr WHERE variable <> 'hum'), aq"),
             ("w", f"SELECT region, year, {wide} FROM a GROUP BY region, year"),
