@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.operators.windows import lag_expand
@@ -17,21 +17,21 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), stri
     a null are skipped.
     """
     cols = list(cols)
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     rows = F.count(F.lit(1))
-    full = lambda c: F.count(c) == rows
+
+    def entry(a: str, b: str) -> Column:
+        # the built-in corr raises on a constant column in ANSI mode; here that entry is null
+        x, y = F.col(a), F.col(b)
+        if not strict:
+            x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+        spread = F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y))
+        r = F.try_divide(F.covar_pop(x, y), spread) if a != b else F.when(spread > 0, F.lit(1.0))
+        return F.when((F.count(a) == rows) & (F.count(b) == rows), r) if strict else r
+
     aggs = [
-        (
-            F.when(full(cols[i]) & full(cols[j]), F.corr(cols[i], cols[j])) if strict else F.corr(cols[i], cols[j])
-        ).alias(f"_r{i}_{j}")
-        for i, j in pairs
-    ]
-    diagonal = [
-        (F.when(full(c) & (F.stddev_pop(c) > 0), F.lit(1.0)) if strict else F.when(F.stddev_pop(c) > 0, F.lit(1.0)))
-        .alias(f"_r{i}_{i}")
-        for i, c in enumerate(cols)
+        entry(cols[i], cols[j]).alias(f"_r{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))
     ]
-    wide = df.groupBy(*by).agg(*aggs, *diagonal)
+    wide = df.groupBy(*by).agg(*aggs)
     entries = F.array(
         *[
             F.struct(

@@ -182,13 +182,18 @@ def summary_table(
 
 
 def present_summary(table: DataFrame, diagnoses: dict[str, str], by: Sequence[str] = ()) -> DataFrame:
-    """The published form: thousands separators, counts with shares, two decimals."""
+    """The published form: thousands separators, counts with shares, two decimals.
+
+    The average is taken of the total as shown, in whole cases.
+    """
+    total, years = F.col("total_cases"), F.try_divide(F.col("total_cases"), F.col("average_cases"))
+    average = F.coalesce(F.try_divide(F.bround(total, 0), years), F.lit(0.0))
     return table.select(
         *by,
         F.col("species").alias("Species"),
-        comma(F.col("total_cases")).alias("Total cases"),
-        comma(F.col("average_cases"), 1).alias("Average cases"),
-        *[count_with_share(F.col(f"{stem}_cases"), F.col("total_cases")).alias(d) for d, stem in diagnoses.items()],
+        comma(total).alias("Total cases"),
+        comma(average, 1).alias("Average cases"),
+        *[count_with_share(F.col(f"{stem}_cases"), total).alias(d) for d, stem in diagnoses.items()],
         comma(F.col("mean"), 2).alias("Mean incidence rate"),
         F.round("min", 2).alias("Minimum incidence rate"),
         F.round("median", 2).alias("Median incidence rate"),
