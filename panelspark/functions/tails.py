@@ -11,48 +11,48 @@ from pyspark.sql import functions as F
 LARGE_DF = 2000
 
 
-def normal_two_sided_p(z: Column) -> Column:
-    """P(|Z| > |z|) from the power series of the normal integral."""
-    a = F.least(F.abs(z), F.lit(8.5))
-    series = F.aggregate(
-        F.sequence(F.lit(1), F.lit(150)),
-        F.struct(a.alias("term"), a.alias("sum")),
-        lambda acc, i: F.struct(
-            (acc["term"] * a * a / (2 * i + 1)).alias("term"),
-            (acc["sum"] + acc["term"] * a * a / (2 * i + 1)).alias("sum"),
-        ),
-        lambda acc: acc["sum"],
+def normal_two_sided_p(z: str) -> Column:
+    """P(|Z| > |z|) of column ``z`` from the power series of the normal integral."""
+    return F.expr(_normal_text(f"`{z}`"))
+
+
+def _normal_text(z: str) -> str:
+    a = f"least(abs({z}), 8.5D)"
+    series = (
+        f"aggregate(sequence(1, 150), named_struct('a', {a}, 't', {a}, 's', {a}), "
+        "(acc, i) -> named_struct('a', acc.a, 't', acc.t * acc.a * acc.a / (2 * i + 1), "
+        "'s', acc.s + acc.t * acc.a * acc.a / (2 * i + 1)), acc -> acc.s)"
     )
-    density = F.exp(-a * a / 2) / F.lit(math.sqrt(2 * math.pi))
-    return F.greatest(F.lit(1.0) - 2 * density * series, F.lit(0.0))
+    density = f"exp(-{a} * {a} / 2) / {math.sqrt(2 * math.pi)}D"
+    return f"greatest(1D - 2 * {density} * {series}, 0D)"
 
 
-def t_two_sided_p(t: Column, df: Column) -> Column:
-    """P(|T| > |t|) for whole degrees of freedom; null where df < 1.
+def t_two_sided_p(t: str, df: str) -> Column:
+    """P(|T| > |t|) of column ``t`` for whole degrees of freedom ``df`` (an expression); null where df < 1.
 
     The distribution function is a finite sum of powers of cos(theta), with
     theta = atan(t / sqrt(df)); odd and even df start differently.
     """
-    nu = df.cast("double")
-    odd = F.pmod(df.cast("long"), F.lit(2)).cast("double")
-    cos2 = F.try_divide(nu, nu + t * t)
-    cos = F.sqrt(cos2)
-    sin = F.try_divide(F.abs(t), F.sqrt(nu + t * t))
-    start = F.when(odd == 1, cos).otherwise(F.lit(1.0))
-    count = F.floor((nu - odd) / 2).cast("int")
-    total = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(count - 1, F.lit(1))),
-        F.struct(start.alias("term"), start.alias("sum")),
-        lambda acc, j: F.struct(
-            (acc["term"] * cos2 * (2 * j - 1 + odd) / (2 * j + odd)).alias("term"),
-            (acc["sum"] + acc["term"] * cos2 * (2 * j - 1 + odd) / (2 * j + odd)).alias("sum"),
-        ),
-        lambda acc: acc["sum"],
+    t, nu = f"`{t}`", f"CAST({df} AS DOUBLE)"
+    odd = f"CAST(pmod({df}, 2) AS DOUBLE)"
+    cos2 = f"try_divide({nu}, {nu} + {t} * {t})"
+    count = f"CAST(floor(({df}) / 2) AS INT)"  # terms of the sum, for odd and even df alike
+    total = (
+        f"aggregate(sequence(1, greatest({count} - 1, 1)), "
+        f"named_struct('c', {cos2}, 'o', {odd}, 't', {{start}}, 's', {{start}}), "
+        "(acc, j) -> named_struct('c', acc.c, 'o', acc.o, "
+        "'t', acc.t * acc.c * (2 * j - 1 + acc.o) / (2 * j + acc.o), "
+        "'s', acc.s + acc.t * acc.c * (2 * j - 1 + acc.o) / (2 * j + acc.o)), acc -> acc.s)"
+    )
+    start = f"CASE WHEN {odd} = 1 THEN sqrt({cos2}) ELSE 1D END"
+    series = f"CASE WHEN {count} >= 2 THEN {total.format(start=start)} WHEN {count} = 1 THEN {start} ELSE 0D END"
+    sin = f"try_divide(abs({t}), sqrt({nu} + {t} * {t}))"
+    inside = (
+        f"CASE WHEN {odd} = 1 THEN (atan2(abs({t}), sqrt({nu})) + {sin} * {series}) * {2 / math.pi}D "
+        f"ELSE {sin} * {series} END"
     )
-    series = F.when(count >= 2, total).when(count == 1, start).otherwise(F.lit(0.0))
-    inside = F.when(odd == 1, (F.atan2(F.abs(t), F.sqrt(nu)) + sin * series) * F.lit(2 / math.pi)).otherwise(
-        sin * series
+    corrected = f"({t} * (1 - try_divide(1D, 4 * {nu})) / sqrt(1 + {t} * {t} / (2 * greatest({nu}, 1D))))"
+    return F.expr(
+        f"CASE WHEN {df} > {LARGE_DF} THEN {_normal_text(corrected)} "
+        f"WHEN {df} >= 1 THEN greatest(1D - {inside}, 0D) END"
     )
-    corrected = t * (1 - F.try_divide(F.lit(1.0), 4 * nu)) / F.sqrt(1 + t * t / (2 * F.greatest(nu, F.lit(1.0))))
-    exact = F.greatest(F.lit(1.0) - inside, F.lit(0.0))
-    return F.when(df > LARGE_DF, normal_two_sided_p(corrected)).when(df >= 1, exact)

@@ -21,19 +21,19 @@ def quantile_breaks(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFram
     return exact_quantiles(df, col, QUARTILES, by, "breaks")
 
 
-def class_columns(value: Column, edges: Column, n_edges: int, prefix: str = "class") -> dict[str, Column]:
+def class_columns(value: str, edges: str, n_edges: int, prefix: str = "class") -> dict[str, Column]:
     """Index and label of the right-closed class, lowest value included.
 
     ``edges`` is sorted and distinct, with at most ``n_edges`` entries. Null and
-    out-of-range values get class 0, label '0'.
+    out-of-range values get class 0, label '0'. Both arguments name columns.
     """
-    above = [F.coalesce((value > F.try_element_at(edges, F.lit(i))).cast("int"), F.lit(0)) for i in range(2, n_edges)]
-    inside = value.between(F.element_at(edges, 1), F.element_at(edges, -1))
-    index = F.when(inside, sum(above, F.lit(1))).otherwise(F.lit(0))
-    ends = [F.try_element_at(edges, index), F.coalesce(F.try_element_at(edges, index + 1), F.element_at(edges, -1))]
-    bounds = [F.format_string("%.2f", F.round(end, 2)) for end in ends]
-    label = F.when(index == 0, F.lit("0")).otherwise(F.concat(bounds[0], F.lit("-"), bounds[1]))
-    return {f"{prefix}_index": index.cast("int"), f"{prefix}_label": label}
+    inside = f"{value} BETWEEN element_at({edges}, 1) AND element_at({edges}, -1)"
+    above = " + ".join(f"int(coalesce({value} > try_element_at({edges}, {i}), false))" for i in range(2, n_edges))
+    index = f"CASE WHEN {inside} THEN 1 + {above} ELSE 0 END"
+    low = f"round(try_element_at({edges}, {index}), 2)"
+    high = f"round(coalesce(try_element_at({edges}, {index} + 1), element_at({edges}, -1)), 2)"
+    label = f"CASE WHEN {inside} THEN format_string('%.2f-%.2f', {low}, {high}) ELSE '0' END"
+    return {f"{prefix}_index": F.expr(index), f"{prefix}_label": F.expr(label)}
 
 
 def quantile_class(df: DataFrame, col: str, prefix: str = "class", breaks: DataFrame | None = None) -> DataFrame:
@@ -43,7 +43,7 @@ def quantile_class(df: DataFrame, col: str, prefix: str = "class", breaks: DataF
     """
     one = breaks if breaks is not None else quantile_breaks(df, col)
     edges = one.select(F.array_distinct("breaks")).scalar()
-    columns = class_columns(F.col(col), F.col("_edges"), len(QUARTILES), prefix)
+    columns = class_columns(f"`{col}`", "_edges", len(QUARTILES), prefix)
     return df.withColumn("_edges", edges).withColumns(columns).drop("_edges")
 
 
@@ -70,9 +70,9 @@ def map_table(yearly: DataFrame, region_names: DataFrame, spelling: Column, name
         )
     ).scalar()
     n = len(QUARTILES)
-    columns = class_columns(F.col("hum_incidence"), F.col("_edges.human"), n, "human")
+    columns = class_columns("hum_incidence", "_edges.human", n, "human")
     for c in animal:
-        found = class_columns(F.col(c), F.col("_edges.animal"), n)
+        found = class_columns(c, "_edges.animal", n)
         columns |= {
             f"value_{c}": F.col(c),
             f"cat_index_{c}": found["class_index"],

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.operators.windows import lag_expand
@@ -17,31 +17,26 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), stri
     a null are skipped.
     """
     cols = list(cols)
-    rows = F.count(F.lit(1))
 
-    def entry(a: str, b: str) -> Column:
+    def entry(a: str, b: str) -> str:
         # the built-in corr raises on a constant column in ANSI mode; here that entry is null
-        x, y = F.col(a), F.col(b)
+        x, y = f"`{a}`", f"`{b}`"
         if not strict:
-            x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-        spread = F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y))
-        r = F.try_divide(F.covar_pop(x, y), spread) if a != b else F.when(spread > 0, F.lit(1.0))
-        return F.when((F.count(a) == rows) & (F.count(b) == rows), r) if strict else r
-
-    aggs = [
-        entry(cols[i], cols[j]).alias(f"_r{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))
-    ]
-    wide = df.groupBy(*by).agg(*aggs)
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(a).alias("var_1"), F.lit(b).alias("var_2"), F.col(f"_r{min(i, j)}_{max(i, j)}").alias("r")
-            )
-            for i, a in enumerate(cols)
-            for j, b in enumerate(cols)
-        ]
+            x, y = f"CASE WHEN {y} IS NOT NULL THEN {x} END", f"CASE WHEN {x} IS NOT NULL THEN {y} END"
+        spread = f"sqrt(var_pop({x})) * sqrt(var_pop({y}))"
+        r = f"try_divide(covar_pop({x}, {y}), {spread})" if a != b else f"CASE WHEN {spread} > 0 THEN 1D END"
+        return f"CASE WHEN count(`{a}`) = count(1) AND count(`{b}`) = count(1) THEN {r} END" if strict else r
+
+    span = range(len(cols))
+    wide = df.groupBy(*by).agg(
+        *[F.expr(entry(cols[i], cols[j])).alias(f"_r{i}_{j}") for i in span for j in span if j >= i]
+    )
+    entries = ", ".join(
+        f"named_struct('var_1', '{cols[i]}', 'var_2', '{cols[j]}', 'r', _r{min(i, j)}_{max(i, j)})"
+        for i in span
+        for j in span
     )
-    return wide.select(*by, F.inline_outer(entries))
+    return wide.selectExpr(*[f"`{k}`" for k in by], f"inline_outer(array({entries}))")
 
 
 def lagged_corr(
@@ -53,10 +48,8 @@ def lagged_corr(
     null there makes its entries null.
     """
     rows = lag_expand(df, key, order, xs, range(max_lag + 1), keep=[y])
-    complete = F.col(y).isNotNull()
-    for x in xs:
-        complete = complete & F.col(x).isNotNull()
-    return corr_matrix(rows.where((F.col("lag") == 0) | complete), [y, *xs], [*key, "lag"])
+    complete = " AND ".join(f"`{c}` IS NOT NULL" for c in [y, *xs])
+    return corr_matrix(rows.where(f"lag = 0 OR ({complete})"), [y, *xs], [*key, "lag"])
 
 
 def avg_abs_corr(matrix: DataFrame, y: str, key: Sequence[str] = ()) -> DataFrame:

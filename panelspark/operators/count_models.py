@@ -129,7 +129,7 @@ def fit_count_model(df: DataFrame, spec: CountSpec = CountSpec(), family: str =
         rows = [row for found in pool.map(inheritable_thread_target(spark)(fit), spec.lags) for row in found]
     table = spark.createDataFrame(rows, "lag int, term string, estimate double, std_error double, dispersion double")
     z = F.try_divide(F.col("estimate"), F.col("std_error"))
-    return table.withColumn("statistic", z).withColumn("p_value", normal_two_sided_p(F.col("statistic")))
+    return table.withColumn("statistic", z).withColumn("p_value", normal_two_sided_p("statistic"))
 
 
 def rate_ratios(coefs: DataFrame, drop: Sequence[str] = ("time_code", "(Intercept)")) -> DataFrame:

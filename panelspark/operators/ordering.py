@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _WIDTHS = (64, 32, 16, 8, 4, 2, 1)
@@ -76,22 +76,22 @@ def exact_quantiles(
     counts = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_cnt"))
     ranked = cumulative_counts(counts, col, "_cnt", by)
 
-    def at(rank: Column) -> Column:
-        return F.min(F.when(F.col("cum") > rank, F.col(col)))
-
-    aggs = []
-    for i, p in enumerate(probs):
-        position = (F.col("total") - 1) * F.lit(float(p))
-        aggs += [
-            at(F.floor(position)).alias(f"_lo{i}"),
-            at(F.ceil(position)).alias(f"_hi{i}"),
-            F.max(position - F.floor(position)).alias(f"_f{i}"),
+    position = [f"(total - 1) * {float(p)}D" for p in probs]
+    # the value at a 0-based rank is the smallest whose running count exceeds the rank
+    at = lambda rank: f"min(CASE WHEN cum > {rank} THEN `{col}` END)"
+    picked = ranked.groupBy(*by).agg(
+        *[
+            F.expr(text).alias(name)
+            for i, pos in enumerate(position)
+            for name, text in (
+                (f"_lo{i}", at(f"floor({pos})")),
+                (f"_hi{i}", at(f"ceil({pos})")),
+                (f"_f{i}", f"max({pos} - floor({pos}))"),
+            )
         ]
-    picked = ranked.groupBy(*by).agg(*aggs)
-    values = [
-        F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}") for i in range(len(probs))
-    ]
-    return picked.select(*by, F.array(*values).alias(alias))
+    )
+    values = ", ".join(f"_lo{i} + (_hi{i} - _lo{i}) * _f{i}" for i in range(len(position)))
+    return picked.selectExpr(*[f"`{k}`" for k in by], f"array({values}) AS {alias}")
 
 
 def dense_codes(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:

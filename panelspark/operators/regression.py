@@ -102,7 +102,7 @@ def coef_table(models: DataFrame, keys: Sequence[str], digits: int | None = 3) -
     statistic = F.try_divide(F.col("estimate"), F.col("std_error"))
     rows = rows.withColumn("statistic", statistic).withColumns(
         {
-            "p_value": t_two_sided_p(F.col("statistic"), F.col("n") - F.col("rank")),
+            "p_value": t_two_sided_p("statistic", "n - rank"),
             "conf_low": F.col("estimate") - F.lit(Z_90) * F.col("std_error"),
             "conf_high": F.col("estimate") + F.lit(Z_90) * F.col("std_error"),
         }

@@ -7,7 +7,6 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.columns import rate
 from panelspark.operators.ordering import dense_codes
 
 
@@ -69,7 +68,8 @@ def date_cutoff(df: DataFrame, month: str, cutoff: str, after: bool = False) ->
 
 def rate_columns(df: DataFrame, pairs: dict[str, tuple[str, str]], per: float = 1e6) -> DataFrame:
     """``{result: (cases, population)}`` as rates."""
-    return df.withColumns({new: rate(F.col(c), F.col(p), per) for new, (c, p) in pairs.items()})
+    rates = [f"try_divide(double(`{c}`), double(`{p}`)) * {float(per)}D AS `{new}`" for new, (c, p) in pairs.items()]
+    return df.selectExpr(*[f"`{c}`" for c in df.columns if c not in pairs], *rates)
 
 
 def backcast(

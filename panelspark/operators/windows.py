@@ -64,15 +64,16 @@ def lag_expand(
 
     All lags come from one window pass, so a loop over lags is a grouping key.
     """
-    w = series_window(key, order)
-    shifted = df.select(
-        *key,
-        order,
-        *keep,
-        *[(F.lag(c, n).over(w) if n else F.col(c)).alias(f"_{n}_{c}") for n in lags for c in cols],
+    part = f"PARTITION BY {', '.join(f'`{k}`' for k in key)} " if key else ""
+    over = f"OVER ({part}ORDER BY `{order}`)"
+    fixed = [f"`{c}`" for c in [*key, order, *keep]]
+    shifted = df.selectExpr(
+        *fixed, *[f"{f'lag(`{c}`, {n}) {over}' if n else f'`{c}`'} AS `_{n}_{c}`" for n in lags for c in cols]
+    )
+    entries = ", ".join(
+        f"named_struct('lag', {n}, " + ", ".join(f"'{c}', `_{n}_{c}`" for c in cols) + ")" for n in lags
     )
-    stack = F.array(*[F.struct(F.lit(n).alias("lag"), *[F.col(f"_{n}_{c}").alias(c) for c in cols]) for n in lags])
-    return shifted.select(*key, order, *keep, F.inline_outer(stack))
+    return shifted.selectExpr(*fixed, f"inline_outer(array({entries}))")
 
 
 def fill_months(

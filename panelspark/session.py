@@ -10,13 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "panelspark", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with adaptive execution on; on a cluster ``master`` comes from spark-submit."""
+    """A session with adaptive execution on; on a cluster ``master`` comes from spark-submit.
+
+    Call-site tracking of Column operations is off: the statistics build thousands of
+    them, and tracking costs several round trips to the JVM for each.
+    """
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)

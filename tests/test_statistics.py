@@ -68,13 +68,13 @@ def test_t_tail(spark, t, df):
     x = np.linspace(0, abs(t), 200_001)
     scale = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
     want = 1 - 2 * np.trapezoid(scale * (1 + x * x / df) ** (-(df + 1) / 2), x)
-    got = spark.range(1).select(t_two_sided_p(F.lit(t), F.lit(df))).first()[0]
+    got = spark.range(1).select(F.lit(t).alias("t")).select(t_two_sided_p("t", str(df))).first()[0]
     assert math.isclose(got, want, abs_tol=1e-6)
 
 
 def test_normal_tail(spark):
     for z in (0.0, 0.5, 1.96, 4.0, 9.0):
-        got = spark.range(1).select(normal_two_sided_p(F.lit(z))).first()[0]
+        got = spark.range(1).select(F.lit(z).alias("z")).select(normal_two_sided_p("z")).first()[0]
         assert math.isclose(got, math.erfc(z / math.sqrt(2)), abs_tol=1e-12)
 
 
