@@ -18,10 +18,14 @@ _WIDTHS = (64, 32, 16, 8, 4, 2, 1)
 SPLITS = sum(_WIDTHS)
 
 
-def cumulative_counts(counts: DataFrame, col: str, count: str, by: Sequence[str] = ()) -> DataFrame:
+def cumulative_counts(
+    counts: DataFrame, col: str, count: str, by: Sequence[str] = (), ranks: Sequence[str] = ()
+) -> DataFrame:
     """Add ``cum`` (running total of ``count`` in ``col`` order) and ``total``, within ``by``.
 
-    ``counts`` has one row per (by, col).
+    ``counts`` has one row per (by, col). With ``ranks``, 0-based expressions over
+    ``total``, only the buckets that hold one of them are ranked and returned; the
+    others are neither shuffled nor sorted.
     """
     by = list(by)
     # asking for the count keeps this branch's aggregate the same as the others', so its shuffle is shared
@@ -56,8 +60,10 @@ def cumulative_counts(counts: DataFrame, col: str, count: str, by: Sequence[str]
         .agg(F.sum(count).alias("_n"))
         .withColumn("_before", F.sum("_n").over(order) - F.col("_n"))
         .withColumn("total", F.sum("_n").over(Window.partitionBy(*by)))
-        .drop("_n")
     )
+    if ranks:
+        totals = totals.where(" OR ".join(f"({r} >= _before AND {r} < _before + _n)" for r in ranks))
+    totals = totals.drop("_n")
     inside = (
         Window.partitionBy(*by, "_bucket").orderBy(col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
@@ -74,9 +80,9 @@ def exact_quantiles(
     """Linear-interpolation quantiles of the non-null values, one array per group."""
     by = list(by)
     counts = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_cnt"))
-    ranked = cumulative_counts(counts, col, "_cnt", by)
-
     position = [f"(total - 1) * {float(p)}D" for p in probs]
+    ranks = [f"{end}({pos})" for pos in position for end in ("floor", "ceil")]
+    ranked = cumulative_counts(counts, col, "_cnt", by, ranks)
     # the value at a 0-based rank is the smallest whose running count exceeds the rank
     at = lambda rank: f"min(CASE WHEN cum > {rank} THEN `{col}` END)"
     picked = ranked.groupBy(*by).agg(
