@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from panelspark.llm import chat, decontaminate, sharding
+from panelspark.llm import bpe, chat, decontaminate, sharding
 from panelspark.llm.registry import query, table
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 SHARDS = sharding.uniform_tree(4, 2, 5)
 
 
+@query("op1_bpe_speculate")
+def op1(spark, sf):
+    vocabulary = bpe.Vocabulary(BYTE_BPE)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    both = bpe.decode(bpe.encode(docs, vocabulary).drop("text"), vocabulary)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query("op5_shard_tree")
 def op5(spark, sf):
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")

@@ -44,7 +44,7 @@ ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
 
 @lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(BASE, -1, 1 << 64)
     up, down = np.ones(n, U64), np.ones(n, U64)
     up[1:], down[1:] = U64(BASE), U64(inverse)
@@ -86,7 +86,7 @@ def split(raw: np.ndarray, offsets: np.ndarray, kind: np.ndarray = NOT_SPACE) ->
         piece = data[at:upto]
         edge = np.diff(np.concatenate([[0], kind[piece].view(np.int8), [0]]).astype(np.int8))
         start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        up, down = _powers(max(PIECE, 1 << int(len(piece)).bit_length()))
+        up, down = powers(max(PIECE, 1 << int(len(piece)).bit_length()))
         sums = np.zeros(len(piece) + 1, U64)
         np.cumsum(BYTE_NUMBERS[piece] * up[: len(piece)], out=sums[1:])
         hashes.append(mix((sums[end] - sums[start]) * down[start]))
