@@ -25,6 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from panelspark.llm import words as W
 
@@ -298,7 +299,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out: s
                 made = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*rest.slice(a, b - a).columns, made], [*rest.schema.names, out])
 
-    schema = source.drop("_text").schema.add(out, "array<int>")
+    schema = source.drop("_text").schema.add(out, ArrayType(IntegerType()))
     return source.mapInArrow(run, schema)
 
 
