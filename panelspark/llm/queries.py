@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, chat, decontaminate, sharding
+from panelspark.llm import bpe, chat, decontaminate, html_extract, sharding
 from panelspark.llm.registry import query, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -37,6 +37,12 @@ def op5(spark, sf):
     return grown.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+@query("op7_html_main_text")
+def op7(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
 CONTROL_SQL = r"[<\[]\\*(?:/?s>|<SYS>>|</SYS>>|/?INST\]|/?ROLE\])"
 
 
