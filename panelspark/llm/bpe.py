@@ -32,7 +32,7 @@ from panelspark.llm import words as W
 #: Fixed: the pattern of the vocabulary's authors.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = np.int64(1) << 40
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 20 << 20
 SHORT = 128
 
 
@@ -294,7 +294,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out: s
         encoder = Encoder(held.value, specials)
         for batch in batches:
             rest = batch.drop_columns(["_text"])
-            for a, b, _, _ in W.slices(batch["_text"], 4 << 20):
+            for a, b, _, _ in W.slices(batch["_text"]):
                 ids, first = encoder.encode(batch["_text"].slice(a, b - a).to_pylist())
                 made = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*rest.slice(a, b - a).columns, made], [*rest.schema.names, out])
