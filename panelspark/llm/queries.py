@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, chat, decontaminate, html_extract, sharding
+from panelspark.llm import bpe, chat, decontaminate, html_extract, neardup, sharding
 from panelspark.llm.registry import query, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +25,11 @@ def op1(spark, sf):
     )
 
 
+@query("op4_setsketch_dedup")
+def op4(spark, sf):
+    return neardup.dedup(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 @query("op5_shard_tree")
 def op5(spark, sf):
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
