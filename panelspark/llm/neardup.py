@@ -12,13 +12,12 @@ are equal about as often as the sets overlap. Registers are put into ``BANDS`` b
 ``ROWS``; texts that agree on a band share a bucket. At the similarity of 0.85 a pair
 shares no bucket in 7 of 100 million cases.
 
-Buckets give candidates without all their pairs. Each one first tests its members
-against the smallest, and what is found is joined into components. Only buckets that
-still hold several components go on: more of their members, twice as many in each
-round, are tested against those of other components, until every pair of different
-components was tested or joined. A pair is dropped without a look at the texts if the
-set sizes rule it out, or if the likelihood of both sketches and both sizes puts their
-similarity more than five standard deviations below the bar.
+Buckets give candidates without all their pairs as rows. Each one first tests its
+members against the smallest, and what is found is joined into components. In buckets
+that still hold several components, blocks of bounded size are compared inside tasks,
+and every pair of different components is tested there. A pair is dropped without a
+look at the texts if the set sizes rule it out, or if the likelihood of both sketches
+and both sizes puts their similarity five standard deviations below the bar.
 
 Null ids link with nothing; their component is null and they are kept. Rows that repeat
 an id are one document; null texts have no words.
@@ -42,6 +41,8 @@ REGISTERS = BANDS * ROWS
 LOWEST, HIGHEST = -3.2, 23.2
 LOG_BASE = (HIGHEST - LOWEST) / 65535
 SLACK = 5.0
+#: Rows and shingles of a block of a bucket's members.
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 500_000
 U64 = np.uint64
 
 _random = W.mix(np.arange(1, 2 * REGISTERS + 1, dtype=U64) * U64(0xD1342543DE82EF95))
@@ -224,33 +225,84 @@ def link_classes(classes: DataFrame, texts: DataFrame, bar: int, size: int = SHI
     star = members.where("doc <> low").select(F.col("doc").alias("a"), F.col("low").alias("b")).distinct()
     links = materialise(test(star), "links")
     labels = materialise(components(links), "labels")
+    more = settle(members.select("bucket", "doc"), labels, held.join(pages, "doc"), bar, size)
+    return components(links.union(more))
 
-    # members of buckets with several components, numbered; those below ``done`` were tested against all others
-    def labelled() -> DataFrame:
-        named = rows_left.join(labels, rows_left["doc"] == labels["node"], "left")
-        return named.select("bucket", "doc", "place", F.coalesce("component", "doc").alias("component"))
-
-    ordered = Window.partitionBy("bucket").orderBy("doc")
-    rows_left = members.select("bucket", "doc", F.lit(0).alias("place"))
-    done, first = 1, True
-    while True:
-        named = labelled()
-        split = named.groupBy("bucket").agg(
-            F.min("component").alias("one"), F.max("component").alias("two"), F.max("place").alias("last")
-        ).where("one <> two" if first else f"one <> two AND last >= {done}")
-        left = named.join(split.select("bucket"), "bucket", "left_semi")
-        if first:
-            left = left.withColumn("place", F.row_number().over(ordered) - 1)
-        left = materialise(left, "unsettled")
-        if not left.take(1):
-            return labels
-        hubs = left.where((F.col("place") >= done) & (F.col("place") < 2 * done + 1)).select(
-            "bucket", F.col("doc").alias("b"), F.col("place").alias("hub"), F.col("component").alias("other")
-        )
-        pairs = left.join(hubs, "bucket").where("component <> other AND (place > hub)").select(F.col("doc").alias("a"), "b").distinct()
-        links = materialise(links.union(test(pairs)), "links")
-        labels = materialise(components(links), "labels")
-        rows_left, done, first = left.drop("component"), 2 * done + 1, False
+
+def settle(members: DataFrame, labels: DataFrame, docs: DataFrame, bar: int, size: int) -> DataFrame:
+    """Links (a, b) between different components that share a bucket; all their pairs are tested.
+
+    The members of a bucket, ordered by component, are cut into blocks of bounded rows
+    and shingles. A task holds two blocks, or one with itself, and is left out if both
+    hold the same component only. It compares sketches as matrices, whole sets where
+    the sketches leave a chance, and gives no more links than join its members.
+    """
+    named = members.join(labels, members["doc"] == labels["node"], "left").select(
+        "bucket", "doc", F.coalesce("component", "doc").alias("component")
+    )
+    split = named.groupBy("bucket").agg(F.min("component").alias("one"), F.max("component").alias("two")).where("one <> two")
+    left = named.join(split.select("bucket"), "bucket", "left_semi").join(docs.select("doc", "n"), "doc")
+    over = Window.partitionBy("bucket").orderBy("component", "doc")
+    place = F.floor((F.row_number().over(over) - 1) / BLOCK_ROWS) + F.floor(F.sum("n").over(over) / BLOCK_SHINGLES)
+    left = materialise(left.withColumn("block", place), "blocks")
+    blocks = left.groupBy("bucket", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    other = blocks.select("bucket", F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    jobs = blocks.join(other, "bucket").where("block <= block2 AND NOT (low = high AND low2 = high2 AND low = low2)")
+    jobs = jobs.select("bucket", "block", "block2").withColumn("job", F.struct("bucket", "block", "block2"))
+    ends = jobs.select("bucket", "block", "job", F.lit(0).alias("side")).union(
+        jobs.where("block < block2").select("bucket", "block2", "job", F.lit(1))
+    )
+    rows = left.drop("n").join(ends, ["bucket", "block"]).select("job", "side", "doc", "component").join(docs, "doc")
+
+    def run(table: pa.Table) -> pa.Table:
+        found = find_links(table, bar, size)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return rows.groupBy("job").applyInArrow(run, "a long, b long").distinct()
+
+
+def find_links(table: pa.Table, bar: int, size: int) -> list[tuple[int, int]]:
+    """Links between the components of two blocks (side 0 and 1), or within one block, that join what isn't yet."""
+    side = np.asarray(table["side"])
+    docs, names = np.asarray(table["doc"]), np.asarray(table["component"])
+    sizes, sketch = np.asarray(table["n"]), _sketches(table["sketch"].combine_chunks())
+    least = bar / 100 - SLACK * (bar / 100 * (1 - bar / 100) / REGISTERS) ** 0.5
+    texts = table["text"].combine_chunks()
+    sets: dict[int, np.ndarray] = {}
+
+    def shingles(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingle_hashes(W.of_texts([texts[i].as_py()]), size)[0]
+        return sets[i]
+
+    _, label = np.unique(names, return_inverse=True)
+    label = label.reshape(-1).copy()
+    mine = np.flatnonzero(side == 0)
+    theirs = np.flatnonzero(side == 1)
+    if len(theirs) == 0:
+        theirs = mine
+    elif len(theirs) < len(mine):
+        mine, theirs = theirs, mine
+    found = []
+    for i in mine.tolist():
+        near = theirs[label[theirs] != label[i]]
+        near = near[100 * np.minimum(sizes[near], sizes[i]) >= bar * np.maximum(sizes[near], sizes[i])]
+        if not len(near):
+            continue
+        # equal registers are at most a little rarer than the similarity; the likelihood decides closer
+        same = (sketch[near] == sketch[i]).mean(1)
+        near, same = near[same >= least - 0.02], same[same >= least - 0.02]
+        if not len(near):
+            continue
+        j = likely_similarity(np.broadcast_to(sketch[i], (len(near), REGISTERS)), sketch[near], np.full(len(near), float(sizes[i])), sizes[near])
+        for k in near[np.argsort(-j, kind="stable")][: int((j >= least).sum())].tolist():
+            if label[k] == label[i]:
+                continue
+            both = len(np.intersect1d(shingles(i), shingles(k), assume_unique=True))
+            if 100 * both >= bar * (sizes[i] + sizes[k] - both):
+                found.append((int(docs[i]), int(docs[k])))
+                label[label == label[k]] = label[i]
+    return found
 
 
 def dedup(df: DataFrame, bar: int = 85, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
