@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, chat, decontaminate, html_extract, neardup, sharding
+from panelspark.llm import bpe, chat, decontaminate, html_extract, neardup, sharding, toxicity
 from panelspark.llm.registry import query, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -48,6 +48,15 @@ def op7(spark, sf):
     return html_extract.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
 
 
+@query("op8_toxicity_kn")
+def op8(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    model = toxicity.train(docs, table(spark, sf, "labels"), held_out)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 CONTROL_SQL = r"[<\[]\\*(?:/?s>|<SYS>>|</SYS>>|/?INST\]|/?ROLE\])"
 
 
