@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, chat, decontaminate, html_extract, neardup, sharding, toxicity
+from panelspark.llm import bpe, chat, decontaminate, html_extract, language_model, neardup, sharding, toxicity
 from panelspark.llm.registry import query, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +25,16 @@ def op1(spark, sf):
     )
 
 
+@query("op2_kneser_ney")
+def op2(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    trained = language_model.train(docs.where(~held_out))
+    scored = language_model.score(docs, trained)
+    tokens = F.lit(trained.tokens).cast("long").alias("train_tokens")
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", tokens, "base_score", "score")
+
+
 @query("op4_setsketch_dedup")
 def op4(spark, sf):
     return neardup.dedup(table(spark, sf, "documents").select("doc_id", "text"))
