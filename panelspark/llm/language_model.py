@@ -41,7 +41,7 @@ from panelspark.session import materialise, scratch_path
 U64 = np.uint64
 END_HASH = U64(0x0123456789ABCDEF)
 #: Tokens a task adds up before it sends counts on; entries of a part of the arrays; numbers of a block of statistics.
-GATHER, PART, BLOCK = 3_000_000, 4_000_000, 1 << 20
+GATHER, PART, BLOCK = 1_000_000, 1_000_000, 1 << 18
 
 
 def unmix(x: np.ndarray) -> np.ndarray:
