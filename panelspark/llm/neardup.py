@@ -248,25 +248,30 @@ def settle(members: DataFrame, labels: DataFrame, docs: DataFrame, bar: int, siz
     blocks = left.groupBy("bucket", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     other = blocks.select("bucket", F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     jobs = blocks.join(other, "bucket").where("block <= block2 AND NOT (low = high AND low2 = high2 AND low = low2)")
-    jobs = jobs.select("bucket", "block", "block2").withColumn("job", F.struct("bucket", "block", "block2"))
-    ends = jobs.select("bucket", "block", "job", F.lit(0).alias("side")).union(
-        jobs.where("block < block2").select("bucket", "block2", "job", F.lit(1))
+    jobs = jobs.select("bucket", F.col("block").alias("one"), F.col("block2").alias("two"))
+    ends = jobs.select("bucket", F.col("one").alias("block"), "one", "two", F.lit(0).alias("side")).union(
+        jobs.where("one < two").select("bucket", "two", "one", "two", F.lit(1))
     )
-    rows = left.drop("n").join(ends, ["bucket", "block"]).select("job", "side", "doc", "component").join(docs, "doc")
+    rows = left.drop("n").join(ends, ["bucket", "block"]).select("bucket", "one", "two", "side", "doc", "component").join(docs, "doc")
 
-    def run(table: pa.Table) -> pa.Table:
-        found = find_links(table, bar, size)
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        found = find_links(table, key[0].as_py(), bar, size)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return rows.groupBy("job").applyInArrow(run, "a long, b long").distinct()
+    return rows.groupBy("bucket", "one", "two").applyInArrow(run, "a long, b long").distinct()
 
 
-def find_links(table: pa.Table, bar: int, size: int) -> list[tuple[int, int]]:
-    """Links between the components of two blocks (side 0 and 1), or within one block, that join what isn't yet."""
+def find_links(table: pa.Table, bucket: int, bar: int, size: int) -> list[tuple[int, int]]:
+    """Links between the components of two blocks (side 0 and 1), or within one block, that join what isn't yet.
+
+    A pair that shares the bucket of an earlier band as well is left to that bucket.
+    """
     side = np.asarray(table["side"])
     docs, names = np.asarray(table["doc"]), np.asarray(table["component"])
     sizes, sketch = np.asarray(table["n"]), _sketches(table["sketch"].combine_chunks())
     least = bar / 100 - SLACK * (bar / 100 * (1 - bar / 100) / REGISTERS) ** 0.5
+    keys = band_keys(sketch)
+    earlier = keys[:, : int(np.flatnonzero(keys[0] == bucket)[0])]
     texts = table["text"].combine_chunks()
     sets: dict[int, np.ndarray] = {}
 
@@ -287,6 +292,8 @@ def find_links(table: pa.Table, bar: int, size: int) -> list[tuple[int, int]]:
     for i in mine.tolist():
         near = theirs[label[theirs] != label[i]]
         near = near[100 * np.minimum(sizes[near], sizes[i]) >= bar * np.maximum(sizes[near], sizes[i])]
+        if len(near) and earlier.shape[1]:
+            near = near[~(earlier[near] == earlier[i]).any(1)]
         if not len(near):
             continue
         # equal registers are at most a little rarer than the similarity; the likelihood decides closer
