@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, chat, decontaminate, html_extract, language_model, neardup, sharding, toxicity
+from panelspark.llm import ann, bpe, chat, decontaminate, html_extract, language_model, neardup, sharding, toxicity
 from panelspark.llm.registry import query, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -52,6 +52,11 @@ def op5(spark, sf):
     return grown.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+@query("op6_posting_lists")
+def op6(spark, sf):
+    return ann.nearest(table(spark, sf, "embeddings").select("vec_id", "embedding"), lambda i: i % 100 == 0)
+
+
 @query("op7_html_main_text")
 def op7(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", "url", "html")
