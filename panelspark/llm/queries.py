@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from panelspark.llm import ann, bpe, chat, decontaminate, html_extract, language_model, neardup, sharding, toxicity
+from panelspark.llm import ann, bpe, chat, decontaminate, html_extract, language_model, licenses, neardup, sharding, toxicity
 from panelspark.llm.registry import query, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,6 +35,58 @@ def op2(spark, sf):
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", tokens, "base_score", "score")
 
 
+#: Documents as files: a source's tree of languages and shelves; short texts are the licence files of their directories.
+LICENSE_BYTES = 400
+
+
+def _path(doc_id, lang, source, text):
+    top = F.concat_ws("/", F.coalesce(source, F.lit("none")), F.when(doc_id % 3 > 0, F.coalesce(lang, F.lit("none"))), F.when(doc_id % 3 > 1, (doc_id % 16).cast("string")))
+    name = F.when(F.octet_length(text) < LICENSE_BYTES, F.lit("LICENSE-")).otherwise(F.lit("text-"))
+    return F.concat(top, F.lit("/"), name, doc_id.cast("string"))
+
+
+def _license_sql() -> str:
+    rows, unknown = licenses.vectors()
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    vector = ", ".join(f"({i}, {quoted(n)}, {quoted(w)}, CAST({x!r} AS DOUBLE))" for i, n, w, x in rows)
+    idf = ", ".join(f"({quoted(w)}, CAST({x!r} AS DOUBLE))" for w, x in licenses.frequencies().items())
+    return rf"""
+    WITH vector(template, license, word, weight) AS (VALUES {vector}), idf(word, idf) AS (VALUES {idf}), f AS (
+      SELECT doc_id, text, concat_ws('/', coalesce(source, 'none'), CASE WHEN doc_id % 3 > 0 THEN coalesce(lang, 'none') END,
+        CASE WHEN doc_id % 3 > 1 THEN CAST(doc_id % 16 AS VARCHAR) END) AS dir, strlen(text) < {LICENSE_BYTES} AS is_license FROM documents
+    ), units AS (
+      SELECT doc_id, unnest(string_split(text, chr(10))) AS passage FROM f UNION SELECT doc_id, text FROM f WHERE is_license
+    ), p AS (
+      SELECT doc_id, passage, unnest(regexp_extract_all(lower(passage), '{licenses.WORD}')) AS word FROM units
+      WHERE regexp_matches(passage, '(?i){licenses.MARKS}') OR (doc_id, passage) IN (SELECT doc_id, text FROM f WHERE is_license)
+    ), w AS (
+      SELECT doc_id, passage, word, count(*) * coalesce(any_value(idf), {unknown!r}) AS w FROM p LEFT JOIN idf USING (word) GROUP BY doc_id, passage, word
+    ), c AS (
+      SELECT doc_id, license, round(sum(w * weight) / any_value(norm), 6) AS score
+      FROM w JOIN vector USING (word) JOIN (SELECT doc_id, passage, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id, passage) USING (doc_id, passage)
+      GROUP BY doc_id, passage, license, template
+    ), own AS (
+      SELECT doc_id, license, score FROM c WHERE score >= {licenses.BAR}
+      QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1
+    ), stated AS (
+      SELECT dir AS license_dir, license AS inherited FROM own JOIN f USING (doc_id) WHERE is_license
+      QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, dir || '/LICENSE-' || doc_id) = 1
+    )
+    SELECT doc_id, own.license, own.score, CASE WHEN own.license IS NULL THEN s.inherited END AS inherited,
+      CASE WHEN own.license IS NULL THEN s.license_dir END AS license_dir
+    FROM f LEFT JOIN own USING (doc_id) LEFT JOIN stated s ON f.dir = s.license_dir OR starts_with(f.dir, s.license_dir || '/')
+    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(s.license_dir) DESC NULLS LAST) = 1
+    """
+
+
+@query("op3_license_scan", _license_sql())
+def op3(spark, sf):
+    docs = table(spark, sf, "documents")
+    path = _path(F.col("doc_id"), F.col("lang"), F.col("source"), F.col("text"))
+    found = licenses.scan(docs.select(path.alias("path"), "text"))
+    return found.select(F.regexp_extract("path", r"-(-?\d+)$", 1).cast("long").alias("doc_id"), "license", "score", "inherited", "license_dir")
+
+
 @query("op4_setsketch_dedup")
 def op4(spark, sf):
     return neardup.dedup(table(spark, sf, "documents").select("doc_id", "text"))
