@@ -32,8 +32,10 @@ from panelspark.llm import arrays
 from panelspark.llm import words as W
 from panelspark.session import materialise, scratch_path
 
-SAMPLE = 10_000
-DEPTH, TAIL, TOP = 20, 3, 3
+SAMPLE = 6_000
+DEPTH, TAIL, TOP = 14, 3, 3
+#: Words whose weights a task keeps.
+KEPT = 300_000
 PRIOR, DISCOUNT = 30.0, 0.75
 U64 = np.uint64
 END = 0x00
@@ -80,13 +82,13 @@ def from_spans(found: W.Words, start: np.ndarray, end: np.ndarray) -> Spelling:
     return out
 
 
-def distinct_words(found: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, word) pairs without repeats, and a span for each distinct word."""
+def distinct_words(found: W.Words) -> tuple[np.ndarray, ...]:
+    """(text, word) pairs without repeats, and a span and the hash of each distinct word."""
     hashes, first, back = np.unique(found.hashes, return_index=True, return_inverse=True)
     doc = np.repeat(np.arange(len(found.first) - 1), found.counts())
     pair = np.unique(doc * max(1, len(hashes)) + back.reshape(-1))
     doc, word = np.divmod(pair, max(1, len(hashes)))
-    return doc, word, found.start[first], found.end[first]
+    return doc, word, found.start[first], found.end[first], hashes
 
 
 class Model:
@@ -121,6 +123,37 @@ class Model:
         return (np.where(spelled.live, np.log(chance[:, :, 1]) - np.log(chance[:, :, 0]), 0)).sum(1)
 
 
+class Kept:
+    """Weights of the words a task has met, by hash; emptied when there are too many."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.old = self.new = (np.zeros(0, U64), np.zeros(0))
+
+    def weights(self, found: W.Words, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        out, open_ = np.zeros(len(hashes)), np.ones(len(hashes), bool)
+        for keys, values in (self.old, self.new):
+            at = arrays.find(keys, hashes)
+            hit = at >= 0
+            out[hit], open_[hit] = values[at[hit]], False
+        todo = np.flatnonzero(open_)
+        if len(todo):
+            made = [self.model.weights(from_spans(found, start[i], end[i])) for i in np.array_split(todo, -(-len(todo) // 4096))]
+            out[todo] = np.concatenate(made)
+            self.new = self._joined(self.new, (hashes[todo], out[todo]))
+            if 4 * len(self.new[0]) > len(self.old[0]):
+                full = len(self.old[0]) > KEPT
+                self.old = self.new if full else self._joined(self.old, self.new)
+                self.new = (np.zeros(0, U64), np.zeros(0))
+        return out
+
+    @staticmethod
+    def _joined(a, b):
+        keys, values = np.append(a[0], b[0]), np.append(a[1], b[1])
+        order = np.argsort(keys)
+        return keys[order], values[order]
+
+
 def strongest(doc: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
     """The TOP largest weights of each of n texts, the largest first; 0 where there are fewer words."""
     out = np.zeros((n, TOP))
@@ -160,7 +193,7 @@ def _beginnings(sample: DataFrame) -> DataFrame:
             label = np.asarray(batch["label"])
             for a, b, raw, offsets in W.slices(batch["text"]):
                 found = W.split(raw, offsets, W.ALNUM)
-                doc, word, start, end = distinct_words(found)
+                doc, word, start, end, _ = distinct_words(found)
                 spelled = from_spans(found, start, end)
                 times = np.stack([np.bincount(word[label[a:b][doc] == y], minlength=len(start)) for y in (0, 1)])
                 live = np.column_stack([np.ones(len(start), bool), spelled.live])
@@ -180,7 +213,7 @@ def _steps(sample: DataFrame) -> DataFrame:
         for batch in batches:
             for _, _, raw, offsets in W.slices(batch["text"]):
                 found = W.split(raw, offsets, W.ALNUM)
-                _, _, start, end = distinct_words(found)
+                _, _, start, end, _ = distinct_words(found)
                 s = from_spans(found, start, end)
                 rows = np.unique(np.stack([s.key[:, :-1][s.live], s.key[:, 1:][s.live], s.tail[s.live], s.tail_next[s.live]], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in np.ascontiguousarray(rows.T)], ["before", "after", "tail", "next"])
@@ -201,7 +234,8 @@ def _store(df: DataFrame, folder: str, name: str, values_name: str) -> None:
         arrays.save(folder, values_name, np.stack([v[by] for v in values], 1).astype(np.uint32))
         yield pa.RecordBatch.from_arrays([pa.array([len(keys)], pa.int64())], ["n"])
 
-    df.coalesce(1).mapInArrow(run, "n long").collect()
+    if not df.coalesce(1).mapInArrow(run, "n long").collect():  # no partition, no task
+        list(run([]))
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, sample: int = SAMPLE) -> tuple[str, list[float]]:
@@ -237,7 +271,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, sa
             out, label = [], np.asarray(batch["label"])
             for i in range(batch.num_rows):
                 found = W.split(*W.buffers(batch["text"].slice(i, 1)), W.ALNUM)
-                _, _, start, end = distinct_words(found)
+                _, _, start, end, _ = distinct_words(found)
                 spelled = from_spans(found, start, end)
                 live = np.column_stack([np.ones(len(start), bool), spelled.live])
                 _, back, times = np.unique(np.where(live, spelled.key, 0), return_inverse=True, return_counts=True)
@@ -264,16 +298,14 @@ def score(df: DataFrame, model: tuple[str, list[float]], text_col: str = "text",
     source = df.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
     def run(batches):
-        mapped = Model(folder)
+        kept_weights = Kept(Model(folder))
         beta = np.array(curve)
         for batch in batches:
             rest = batch.drop_columns(["_text"])
             for a, b, raw, offsets in W.slices(batch["_text"]):
                 found = W.split(raw, offsets, W.ALNUM)
-                doc, word, start, end = distinct_words(found)
-                weight = np.concatenate(
-                    [mapped.weights(from_spans(found, start[i : i + 4096], end[i : i + 4096])) for i in range(0, len(start), 4096)] or [np.zeros(0)]
-                )
+                doc, word, start, end, hashes = distinct_words(found)
+                weight = kept_weights.weights(found, start, end, hashes)
                 x = features(strongest(doc, weight[word], b - a))
                 p = 1 / (1 + np.exp(-np.clip(x @ beta[:-1] + beta[-1], -30, 30)))
                 yield pa.RecordBatch.from_arrays([*rest.slice(a, b - a).columns, pa.array(p)], [*rest.schema.names, out])
