@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from panelspark.llm import words as W
 from panelspark.llm.fm_index import FMIndex
@@ -251,26 +252,29 @@ def _cut(found: W.Words, row: int, text: bytes, spans) -> bytes:
     return b"".join(out)
 
 
-def remove(df: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def remove(df: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, changed: str | None = None) -> DataFrame:
     """``df`` with every occurrence of a test phrase cut out of its texts; other rows and columns stay as they are.
 
     Words that a cut brings together are searched again until no occurrence is left.
+    ``changed`` names a boolean column that marks the rows with cuts.
     """
     blocks = item_blocks(benchmark, window)
+    source = df.drop(changed) if changed in df.columns else df
 
     def clean(texts: list[bytes]) -> list[bytes]:
         todo = list(range(len(texts)))
         while todo:
             hit: set[int] = set()
             for phrases in blocks:
-                shard = Shard(phrases.value)
                 some = pa.array([texts[i] for i in todo], pa.binary()).cast(pa.string())
-                found = W.split(*W.buffers(some), W.ALNUM)
-                shard.add(found)
+                shard, found = Shard(phrases.value), None
+                for a, b, raw, offsets in W.slices(some):
+                    shard.add(W.split(raw, offsets, W.ALNUM))
                 _, spans, _ = shard.find()
                 for k, i in enumerate(todo):
                     if len(spans[k][0]):
-                        texts[i] = _cut(found, k, texts[i], spans[k])
+                        found = W.of_texts([texts[i].decode()], W.ALNUM)
+                        texts[i] = _cut(found, 0, texts[i], spans[k])
                         hit.add(i)
             todo = sorted(hit)
         return texts
@@ -278,13 +282,18 @@ def remove(df: DataFrame, benchmark: DataFrame, text_col: str = "text", window:
     def run(batches):
         for batch in batches:
             place = batch.schema.names.index(text_col)
-            for a, b, raw, offsets in W.slices(pa.compute.fill_null(batch[text_col], ""), 16 << 20):
+            filled = pa.compute.fill_null(batch[text_col], "")
+            for a, b, _, _ in W.slices(filled, SHARD_BYTES // 2):
                 part = batch.slice(a, b - a)
                 before = [None if t is None else t.encode() for t in part[text_col].to_pylist()]
                 after = clean([t or b"" for t in before])
-                same = [a if b is not None else None for a, b in zip(after, before)]
                 cols = list(part.columns)
-                cols[place] = pa.array(same, pa.binary()).cast(part.schema.types[place])
-                yield pa.RecordBatch.from_arrays(cols, part.schema.names)
-
-    return df.mapInArrow(run, df.schema)
+                cols[place] = pa.array([t if b is not None else None for t, b in zip(after, before)], pa.binary()).cast(part.schema.types[place])
+                names = part.schema.names
+                if changed is not None:
+                    cols.append(pa.array([b is not None and t != b for t, b in zip(after, before)], pa.bool_()))
+                    names = [*names, changed]
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    more = [StructField(changed, BooleanType())] if changed is not None else []
+    return source.mapInArrow(run, StructType([*source.schema.fields, *more]))

@@ -326,7 +326,7 @@ def dedup(df: DataFrame, bar: int = 85, size: int = SHINGLE, id_col: str = "doc_
     labels = link_classes(classes.select("doc", "n", "sketch"), texts, bar, size)
     rep = classes.select("k1", "k2", "n", F.col("doc").alias("rep"))
     joined = signed.drop("sketch").join(rep, ["k1", "k2", "n"], "left").join(labels, F.col("rep") == F.col("node"), "left")
-    component = F.coalesce("component", "rep", "doc")
+    component = F.when(F.col("doc").isNotNull(), F.coalesce("component", "rep", "doc"))
     return joined.select(
         F.col("doc").alias("doc_id"),
         F.col("n").alias("n_shingles"),
