@@ -30,7 +30,8 @@ from panelspark.session import materialise
 
 #: Vectors of the sample, rows of the sample for a list, and the most bytes of all centroids.
 SAMPLE, PER_LIST, CENTROID_BYTES = 20_000, 40, 32 << 20
-DEGREE, BEAM = 16, 112
+#: Edges of a centroid; centroids kept while searching for a query and for a row of the index.
+DEGREE, BEAM, INDEX_BEAM = 16, 112, 32
 BOUNDARY, COPIES, RATIO, ENOUGH = 1.3, 3, 1.45, 200
 PART, QUERY_BLOCK = 4096, 1024
 
@@ -152,14 +153,14 @@ def lists_for_row(graph: Graph, ids: np.ndarray, far: np.ndarray) -> np.ndarray:
     return keep & np.isfinite(far)
 
 
-def _assigned(rows: DataFrame, graph, keep) -> DataFrame:
+def _assigned(rows: DataFrame, graph, keep, beam: int) -> DataFrame:
     """(list, id, vec) for each list that ``keep(graph, ids, far)`` picks."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids, far = graph.value.search(matrix(part["vec"]))
+                ids, far = graph.value.search(matrix(part["vec"]), beam)
                 picked = keep(graph.value, ids, far)
                 row, place = np.nonzero(picked)
                 taken = part.take(pa.array(row))
@@ -187,7 +188,7 @@ def nearest(
     width = points.shape[1]
     per_list = max(PER_LIST, int(np.ceil(len(points) * width * 8 / CENTROID_BYTES)))
     graph = spark.sparkContext.broadcast(Graph(centroids(points, per_list)))
-    index = materialise(_assigned(rows, graph, lists_for_row), "lists")
+    index = materialise(_assigned(rows, graph, lists_for_row, INDEX_BEAM), "lists")
     sizes = {r["list"]: r["n"] for r in index.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
     held = np.array([sizes.get(i, 0) for i in range(len(graph.value.c))])
     enough = ENOUGH * k
@@ -198,7 +199,7 @@ def nearest(
         before = np.cumsum(held[ids], 1) - held[ids]
         return np.isfinite(far) & ((far <= ratio * far[:, :1]) | (before < enough))
 
-    queries = materialise(_assigned(rows.where(is_query(F.col("id"))), graph, probe), "probes")
+    queries = materialise(_assigned(rows.where(is_query(F.col("id"))), graph, probe, BEAM), "probes")
     parts = F.create_map(*[x for i, n in sizes.items() if n > PART for x in (F.lit(i), F.lit(-(-n // PART)))]) if max(sizes.values()) > PART else None
     count_of = lambda: F.coalesce(parts[F.col("list")], F.lit(1)) if parts is not None else F.lit(1)
     asked = {r["list"]: r["n"] for r in queries.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
