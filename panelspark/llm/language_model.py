@@ -27,7 +27,10 @@ are 0 and every token has the chance 1. Repeated rows count as often as they sta
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -54,12 +57,17 @@ def unmix(x: np.ndarray) -> np.ndarray:
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Numbers as planes of bytes; planes of zeros compress to nothing."""
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Numbers as planes of bytes, as many as the largest needs, behind one byte that tells how many."""
+    values = np.ascontiguousarray(values, "<u8")
+    width = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
+    return bytes([width]) + values.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
 def from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1).astype(U64)
+    raw = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((raw.shape[1], 8), np.uint8)
+    out[:, : data[0]] = raw.T
+    return out.view("<u8").reshape(-1).astype(U64)
 
 
 def pack(keys: np.ndarray) -> bytes:
@@ -79,7 +87,7 @@ def bits_for(entries: int, part: int = PART) -> int:
     return max(0, int(np.ceil(np.log2(max(1, entries) / part))))
 
 
-def add_up(keys: list[np.ndarray], counts: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def add_up(keys: Sequence[np.ndarray], counts: Sequence[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and the sums of their counts (of their occurrences)."""
     every = np.concatenate(keys) if keys else np.zeros(0, U64)
     if counts is None:
@@ -143,18 +151,15 @@ def _by_part(df: DataFrame, column: str, n: int) -> DataFrame:
     return df.repartition(max(1, n), column).sortWithinPartitions(column)
 
 
-def _groups(batches, column: str):
-    """(value, rows) of each run of rows with one value, as lists of columns."""
-    here, held = None, []
-    for batch in batches:
-        for row in zip(*(batch[c].to_pylist() for c in batch.schema.names)):
-            if held and row[0] != here:
-                yield here, held
-                held = []
-            here = row[0]
-            held.append(row[1:])
-    if held:
-        yield here, held
+def _groups(batches):
+    """(value, rows) for each run of rows with one value in the first column; rows come one at a time."""
+
+    def rows():
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield tuple(column[i].as_py() for column in batch.columns)
+
+    return groupby(rows(), key=itemgetter(0))
 
 
 @dataclass(frozen=True)
@@ -227,8 +232,8 @@ def train(texts: DataFrame, text_col: str = "text") -> Trained:
     gathered = _gather(source, lambda: lambda found: with_ends(found)[0], word_bits)
 
     def store_words(batches):
-        for part, rows in _groups(batches, "part"):
-            keys, counts = add_up([unpack(r[0]) for r in rows], [from_planes(r[1]) for r in rows])
+        for part, rows in _groups(batches):
+            keys, counts = add_up(*zip(*((unpack(r[1]), from_planes(r[2])) for r in rows)))
             arrays.save(folder, f"words-{part}", keys)
             arrays.save(folder, f"word-counts-{part}", counts.astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([len(keys)]), pa.array([int(counts.sum())])], ["part", "n", "tokens"])
@@ -255,8 +260,8 @@ def train(texts: DataFrame, text_col: str = "text") -> Trained:
         return keys_of
 
     def store_pairs(batches):
-        for part, rows in _groups(batches, "part"):
-            keys, counts = add_up([unpack(r[0]) for r in rows], [from_planes(r[1]) for r in rows])
+        for part, rows in _groups(batches):
+            keys, counts = add_up(*zip(*((unpack(r[1]), from_planes(r[2])) for r in rows)))
             arrays.save(folder, f"pairs-{part}", keys)
             arrays.save(folder, f"pair-counts-{part}", np.minimum(counts, 2**32 - 1).astype(np.uint32))
             packed = unmix(keys)
@@ -275,34 +280,31 @@ def train(texts: DataFrame, text_col: str = "text") -> Trained:
                             pa.array([int(ids[a] // BLOCK)]),
                             pa.array([side]),
                             pa.array([pack(ids[a:b])], pa.binary()),
-                            pa.array([b"".join(planes(s[a:b]) for s in sums)], pa.binary()),
+                            pa.array([[planes(s[a:b]) for s in sums]], pa.list_(pa.binary())),
                             pa.array([of_counts.tolist()], pa.list_(pa.int64())),
                         ],
                         ["block", "side", "ids", "sums", "n"],
                     )
                 of_counts = np.zeros(6, np.int64)
 
-    schema = "block long, side string, ids binary, sums binary, n array<long>"
+    schema = "block long, side string, ids binary, sums array<binary>, n array<long>"
     gathered = _gather(source, numbered, pair_bits)
     statistics = materialise(_by_part(gathered, "part", 1 << pair_bits).mapInArrow(store_pairs, schema), "statistics")
     blocks = (vocabulary + 2) // BLOCK + 1
 
     def store_blocks(batches):
-        for block, rows in _groups(batches, "block"):
+        for block, rows in _groups(batches):
             found = np.zeros((5, BLOCK), np.int64)
-            for side, ids, sums, _ in rows:
+            for _, side, ids, sums in rows:
                 at = (unpack(ids) - U64(block * BLOCK)).astype(np.int64)
-                sums = from_planes_many(sums, len(at))
-                if side == "v":
-                    found[:4, at] += sums
-                else:
-                    found[4, at] += sums[0]
+                for k, values in enumerate(sums, 0 if side == "v" else 4):
+                    found[k, at] += from_planes(values).astype(np.int64)
             arrays.save(folder, f"tokens-{block}", found.T.astype(np.int64))
             of_counts = np.bincount(np.minimum(found[4], 5), minlength=6)
             of_counts[0] = 0
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([of_counts.tolist()], pa.list_(pa.int64()))], ["block", "k"])
 
-    kept = _by_part(statistics.select("block", "side", "ids", "sums", "n"), "block", blocks).mapInArrow(store_blocks, "block long, k array<long>").collect()
+    kept = _by_part(statistics.select("block", "side", "ids", "sums"), "block", blocks).mapInArrow(store_blocks, "block long, k array<long>").collect()
     first_of_part = statistics.select(F.posexplode("n").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
     n, k = np.zeros(6), np.zeros(6)
     for r in first_of_part:
@@ -315,11 +317,6 @@ def train(texts: DataFrame, text_col: str = "text") -> Trained:
     return Trained(folder, word_bits, sizes, pair_bits, tokens, pairs, ((0.0, *d), (0.0, *e)), rest)
 
 
-def from_planes_many(data: bytes, n: int) -> np.ndarray:
-    """Several equally long runs of planes, a row each."""
-    return np.stack([from_planes(data[i : i + 8 * n]) for i in range(0, len(data), 8 * n)]).astype(np.int64)
-
-
 class Model:
     """The mapped arrays of a trained model."""
 
