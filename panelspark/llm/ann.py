@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.llm import words as W
 from panelspark.session import materialise
 
 #: Vectors of the sample, rows of the sample for a list, and the most bytes of all centroids.
@@ -166,7 +167,7 @@ def _assigned(rows: DataFrame, graph, keep, beam: int) -> DataFrame:
                 taken = part.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row, place].astype(np.int64)), taken["id"], taken["vec"]], ["list", "id", "vec"])
 
-    return rows.select("id", "vec").mapInArrow(run, "list long, id long, vec array<double>")
+    return rows.select("id", "vec").mapInArrow(W.tidy(run), "list long, id long, vec array<double>")
 
 
 def nearest(

@@ -300,7 +300,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out: s
                 yield pa.RecordBatch.from_arrays([*rest.slice(a, b - a).columns, made], [*rest.schema.names, out])
 
     schema = source.drop("_text").schema.add(out, ArrayType(IntegerType()))
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(W.tidy(run), schema)
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -328,4 +328,4 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out: str
                 made = text_of(held.value, part)
                 yield pa.RecordBatch.from_arrays([*rest.slice(a, 256).columns, made], [*rest.schema.names, out])
 
-    return source.mapInArrow(run, source.drop("_ids").schema.add(out, "string"))
+    return source.mapInArrow(W.tidy(run), source.drop("_ids").schema.add(out, "string"))

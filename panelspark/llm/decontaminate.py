@@ -201,7 +201,7 @@ def _add_finds(df: DataFrame, phrases) -> DataFrame:
         if held:
             yield from flush(held, shard)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(W.tidy(run), df.schema)
 
 
 def item_blocks(benchmark: DataFrame, window: int = WINDOW) -> list:
@@ -296,4 +296,4 @@ def remove(df: DataFrame, benchmark: DataFrame, text_col: str = "text", window:
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     more = [StructField(changed, BooleanType())] if changed is not None else []
-    return source.mapInArrow(run, StructType([*source.schema.fields, *more]))
+    return source.mapInArrow(W.tidy(run), StructType([*source.schema.fields, *more]))

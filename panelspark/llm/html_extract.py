@@ -210,4 +210,4 @@ def extract(df: DataFrame, html_col: str = "html", out: str = "text", sigma: flo
                 made = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays([*rest.slice(a, b - a).columns, made], [*rest.schema.names, out])
 
-    return source.mapInArrow(run, source.drop("_html").schema.add(out, "string"))
+    return source.mapInArrow(W.tidy(run), source.drop("_html").schema.add(out, "string"))

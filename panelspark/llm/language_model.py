@@ -144,7 +144,7 @@ def _gather(texts: DataFrame, number, bits: int) -> DataFrame:
         if n:
             yield _in_parts(*add_up(held), bits)
 
-    return texts.mapInArrow(run, PARTS)
+    return texts.mapInArrow(W.tidy(run), PARTS)
 
 
 def _by_part(df: DataFrame, column: str, n: int) -> DataFrame:
@@ -238,7 +238,7 @@ def train(texts: DataFrame, text_col: str = "text") -> Trained:
             arrays.save(folder, f"word-counts-{part}", counts.astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([len(keys)]), pa.array([int(counts.sum())])], ["part", "n", "tokens"])
 
-    parts = _by_part(gathered, "part", 1 << word_bits).mapInArrow(store_words, "part long, n long, tokens long").collect()
+    parts = _by_part(gathered, "part", 1 << word_bits).mapInArrow(W.tidy(store_words), "part long, n long, tokens long").collect()
     word_sizes = [0] * (1 << word_bits)
     for r in parts:
         word_sizes[r["part"]] = r["n"]
@@ -289,7 +289,7 @@ def train(texts: DataFrame, text_col: str = "text") -> Trained:
 
     schema = "block long, side string, ids binary, sums array<binary>, n array<long>"
     gathered = _gather(source, numbered, pair_bits)
-    statistics = materialise(_by_part(gathered, "part", 1 << pair_bits).mapInArrow(store_pairs, schema), "statistics")
+    statistics = materialise(_by_part(gathered, "part", 1 << pair_bits).mapInArrow(W.tidy(store_pairs), schema), "statistics")
     blocks = (vocabulary + 2) // BLOCK + 1
 
     def store_blocks(batches):
@@ -304,7 +304,7 @@ def train(texts: DataFrame, text_col: str = "text") -> Trained:
             of_counts[0] = 0
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([of_counts.tolist()], pa.list_(pa.int64()))], ["block", "k"])
 
-    kept = _by_part(statistics.select("block", "side", "ids", "sums"), "block", blocks).mapInArrow(store_blocks, "block long, k array<long>").collect()
+    kept = _by_part(statistics.select("block", "side", "ids", "sums"), "block", blocks).mapInArrow(W.tidy(store_blocks), "block long, k array<long>").collect()
     first_of_part = statistics.select(F.posexplode("n").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
     n, k = np.zeros(6), np.zeros(6)
     for r in first_of_part:
@@ -413,5 +413,5 @@ def score(df: DataFrame, trained: Trained, text_col: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*rest.slice(a, b - a).columns, *cols], [*rest.schema.names, *made])
 
     schema = source.drop("_text").schema.add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double")
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(W.tidy(run), schema)
 

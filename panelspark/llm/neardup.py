@@ -147,7 +147,7 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     ["doc", "n", "k1", "k2", "sketch"],
                 )
 
-    return source.mapInArrow(run, "doc long, n long, k1 long, k2 long, sketch binary")
+    return source.mapInArrow(W.tidy(run), "doc long, n long, k1 long, k2 long, sketch binary")
 
 
 def _sketches(column: pa.Array) -> np.ndarray:
@@ -163,7 +163,7 @@ def buckets(classes: DataFrame) -> DataFrame:
             docs = np.repeat(np.asarray(batch["doc"]), BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(docs)], ["bucket", "doc"])
 
-    return classes.select("doc", "sketch").mapInArrow(run, "bucket long, doc long")
+    return classes.select("doc", "sketch").mapInArrow(W.tidy(run), "bucket long, doc long")
 
 
 def likely(pairs: DataFrame, bar: int) -> DataFrame:
@@ -180,7 +180,7 @@ def likely(pairs: DataFrame, bar: int) -> DataFrame:
             yield batch.filter(pa.array(j >= least)).select(["a", "b"])
 
     possible = pairs.where(F.lit(100) * F.least("n1", "n2") >= F.lit(bar) * F.greatest("n1", "n2"))
-    return possible.select("a", "b", "n1", "n2", "s1", "s2").mapInArrow(run, "a long, b long")
+    return possible.select("a", "b", "n1", "n2", "s1", "s2").mapInArrow(W.tidy(run), "a long, b long")
 
 
 def linked(pairs: DataFrame, bar: int, size: int = SHINGLE) -> DataFrame:
@@ -198,7 +198,7 @@ def linked(pairs: DataFrame, bar: int, size: int = SHINGLE) -> DataFrame:
                 keep.append(100 * both >= bar * (len(mine) + len(other) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    return pairs.select("a", "b", "t1", "t2").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "t1", "t2").mapInArrow(W.tidy(run), "a long, b long")
 
 
 def _with_ends(pairs: DataFrame, members: DataFrame, cols: dict[str, str]) -> DataFrame:

@@ -35,7 +35,9 @@ from panelspark.session import materialise, scratch_path
 SAMPLE = 6_000
 DEPTH, TAIL, TOP = 14, 3, 3
 #: Words whose weights a task keeps.
-KEPT = 300_000
+KEPT = 200_000
+#: The counts are kept in this many parts, as a power of 2.
+PART_BITS = 4
 PRIOR, DISCOUNT = 30.0, 0.75
 U64 = np.uint64
 END = 0x00
@@ -95,8 +97,22 @@ class Model:
     """Maps the counted beginnings and tails; gives the weight of every word."""
 
     def __init__(self, folder: str):
-        self.keys, self.counts = arrays.load(folder, "keys", U64), arrays.load(folder, "counts", np.uint32).reshape(-1, 3)
-        self.tails, self.tail_counts = arrays.load(folder, "tails", U64), arrays.load(folder, "tail-counts", np.uint32).reshape(-1, 2)
+        self.tables = {
+            name: [(arrays.load(folder, f"{name}-{p}", U64), arrays.load(folder, f"{name}-counts-{p}", np.uint32).reshape(-1, width)) for p in range(1 << PART_BITS)]
+            for name, width in (("keys", 3), ("tails", 2))
+        }
+
+    def counts(self, name: str, keys: np.ndarray) -> np.ndarray:
+        """The counts of each key, zeros where it is unknown."""
+        flat = keys.reshape(-1)
+        part = flat >> U64(64 - PART_BITS)
+        out = np.zeros((len(flat), self.tables[name][0][1].shape[1]))
+        for p, (known, counts) in enumerate(self.tables[name]):
+            own = np.flatnonzero(part == p)
+            at = arrays.find(known, flat[own])
+            hit = at >= 0
+            out[own[hit]] = counts[at[hit]]
+        return out.reshape(*keys.shape, -1)
 
     def weights(self, spelled: Spelling, own: np.ndarray | None = None, label: int = 0) -> np.ndarray:
         """log of toxic over ordinary likelihood of each word.
@@ -106,15 +122,12 @@ class Model:
         n = len(spelled.key)
         if n == 0:
             return np.zeros(0)
-        at = arrays.find(self.keys, spelled.key.reshape(-1)).reshape(n, DEPTH + 1)
-        counts = np.where(at[:, :, None] >= 0, self.counts[np.maximum(at, 0)], 0).astype(float) if len(self.keys) else np.zeros((n, DEPTH + 1, 3))
+        counts = self.counts("keys", spelled.key)
         if own is not None:
             counts[:, :, label] = np.maximum(counts[:, :, label] - own, 0)
         before, after = counts[:, :-1], counts[:, 1:]
-        tail = arrays.find(self.tails, spelled.tail.reshape(-1)).reshape(n, DEPTH)
-        follow = arrays.find(self.tails, spelled.tail_next.reshape(-1)).reshape(n, DEPTH)
-        some = lambda at, column: np.where(at >= 0, self.tail_counts[np.maximum(at, 0), column], 0).astype(float) if len(self.tails) else np.zeros(at.shape)
-        total, kinds, times = some(tail, 0), some(tail, 1), some(follow, 0)
+        total, kinds = np.moveaxis(self.counts("tails", spelled.tail), 2, 0)
+        times = self.counts("tails", spelled.tail_next)[:, :, 0]
         low = np.where(total > 0, (np.maximum(times - DISCOUNT, 0) + DISCOUNT * kinds / 256) / np.maximum(total, 1), 1 / 256)
         all_before, all_after = before[:, :, :2].sum(2), after[:, :, :2].sum(2)
         shared = (np.maximum(all_after - DISCOUNT, 0) + DISCOUNT * np.maximum(before[:, :, 2], 1) * low) / np.maximum(all_before, DISCOUNT)
@@ -202,7 +215,7 @@ def _beginnings(sample: DataFrame) -> DataFrame:
                 c = [np.bincount(back.reshape(-1), t[w], len(keys)).astype(np.int64) for t in times]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(c[0]), pa.array(c[1])], ["key", "c0", "c1"])
 
-    added = sample.mapInArrow(run, "key long, c0 long, c1 long")
+    added = sample.mapInArrow(W.tidy(run), "key long, c0 long, c1 long")
     return added.groupBy("key").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
 
 
@@ -218,24 +231,34 @@ def _steps(sample: DataFrame) -> DataFrame:
                 rows = np.unique(np.stack([s.key[:, :-1][s.live], s.key[:, 1:][s.live], s.tail[s.live], s.tail_next[s.live]], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in np.ascontiguousarray(rows.T)], ["before", "after", "tail", "next"])
 
-    return sample.mapInArrow(run, "before long, after long, tail long, next long").distinct()
+    return sample.mapInArrow(W.tidy(run), "before long, after long, tail long, next long").distinct()
 
 
-def _store(df: DataFrame, folder: str, name: str, values_name: str) -> None:
-    """Sorts a bounded table of (key, values...) by key, as unsigned numbers, in one task and writes its arrays."""
+def _store(df: DataFrame, folder: str, name: str) -> None:
+    """Writes a table of (key, values...) as arrays sorted by key, as unsigned numbers, in parts by the top bits."""
     cols = df.columns[1:]
 
     def run(batches):
-        parts = [[np.asarray(b[i]) for i in range(len(cols) + 1)] for b in batches]
-        keys = np.concatenate([p[0] for p in parts] or [np.zeros(0, np.int64)]).view(U64)
-        values = [np.concatenate([p[i + 1] for p in parts] or [np.zeros(0, np.int64)]) for i in range(len(cols))]
-        by = np.argsort(keys)
-        arrays.save(folder, name, keys[by])
-        arrays.save(folder, values_name, np.stack([v[by] for v in values], 1).astype(np.uint32))
-        yield pa.RecordBatch.from_arrays([pa.array([len(keys)], pa.int64())], ["n"])
-
-    if not df.coalesce(1).mapInArrow(run, "n long").collect():  # no partition, no task
-        list(run([]))
+        found: dict[int, list] = {}
+        for batch in batches:
+            table = np.stack([np.asarray(column) for column in batch.columns[1:]], 1)
+            part = np.asarray(batch["_part"])
+            for p in np.unique(part).tolist():
+                found.setdefault(p, []).append(table[part == p])
+        for p, tables in found.items():
+            table = np.concatenate(tables)
+            keys = table[:, 0].view(U64) if table.flags["F_CONTIGUOUS"] else np.ascontiguousarray(table[:, 0]).view(U64)
+            by = np.argsort(keys)
+            arrays.save(folder, f"{name}-{p}", keys[by])
+            arrays.save(folder, f"{name}-counts-{p}", table[by, 1:].astype(np.uint32))
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64())], ["part"])
+
+    part = F.shiftrightunsigned("key", 64 - PART_BITS).alias("_part")
+    parted = df.select(part, "key", *cols).repartition(1 << PART_BITS, "_part")
+    written = {r["part"] for r in parted.mapInArrow(W.tidy(run), "part long").collect()}
+    for p in set(range(1 << PART_BITS)) - written:
+        arrays.save(folder, f"{name}-{p}", np.zeros(0, U64))
+        arrays.save(folder, f"{name}-counts-{p}", np.zeros(0, np.uint32))
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, sample: int = SAMPLE) -> tuple[str, list[float]]:
@@ -250,8 +273,9 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, sa
     folder = scratch_path(spark, "toxicity")
     if not n0 or not n1:
         share = n1 / (n0 + n1) if n0 + n1 else 0.0
-        for name, dtype in (("keys", U64), ("counts", np.uint32), ("tails", U64), ("tail-counts", np.uint32)):
-            arrays.save(folder, name, np.zeros(0, dtype))
+        nothing = spark.createDataFrame([], "key long, a long, b long, c long")
+        _store(nothing, folder, "keys")
+        _store(nothing.drop("c"), folder, "tails")
         return folder, [0.0] * TOP + [float(np.log((share + 1e-9) / (1 - share + 1e-9)))]
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("sample")), 11) / F.lit(float(2**53))
     picked = marked.where(draw < F.when(F.col("label") == 1, sample / n1).otherwise(sample / n0))
@@ -259,11 +283,11 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, sa
     chosen = materialise(chosen, "toxicity-sample")
     counts, steps = _beginnings(chosen), materialise(_steps(chosen), "toxicity-steps")
     kinds = steps.groupBy("before").agg(F.count_distinct("after").alias("kinds"))
-    _store(counts.join(kinds, counts["key"] == kinds["before"], "left").select("key", "c0", "c1", F.coalesce("kinds", F.lit(0)).alias("kinds")), folder, "keys", "counts")
+    _store(counts.join(kinds, counts["key"] == kinds["before"], "left").select("key", "c0", "c1", F.coalesce("kinds", F.lit(0)).alias("kinds")), folder, "keys")
     grams = steps.groupBy("tail", "next").agg(F.count_distinct("before").alias("n"))
     tails = grams.groupBy("tail").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).select(F.col("tail").alias("key"), "n", "kinds")
     follows = grams.groupBy("next").agg(F.sum("n").alias("n")).select(F.col("next").alias("key"), "n", F.lit(0).cast("long").alias("kinds"))
-    _store(tails.union(follows), folder, "tails", "tail-counts")
+    _store(tails.union(follows), folder, "tails")
 
     def own(batches):
         model = Model(folder)
@@ -280,7 +304,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, sa
             cols = np.array(out).reshape(-1, TOP).T
             yield pa.RecordBatch.from_arrays([batch["label"], *(pa.array(c) for c in cols)], ["label", *(f"x{k}" for k in range(TOP))])
 
-    rows = chosen.mapInArrow(own, "label int, " + ", ".join(f"x{k} double" for k in range(TOP))).toPandas()
+    rows = chosen.mapInArrow(W.tidy(own), "label int, " + ", ".join(f"x{k} double" for k in range(TOP))).toPandas()
     y = rows["label"].to_numpy(float)
     m1, m0 = y.sum(), len(y) - y.sum()
     if not m0 or not m1:
@@ -310,4 +334,4 @@ def score(df: DataFrame, model: tuple[str, list[float]], text_col: str = "text",
                 p = 1 / (1 + np.exp(-np.clip(x @ beta[:-1] + beta[-1], -30, 30)))
                 yield pa.RecordBatch.from_arrays([*rest.slice(a, b - a).columns, pa.array(p)], [*rest.schema.names, out])
 
-    return source.mapInArrow(run, source.drop("_text").schema.add(out, "double"))
+    return source.mapInArrow(W.tidy(run), source.drop("_text").schema.add(out, "double"))

@@ -8,6 +8,8 @@ their places.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,6 +21,26 @@ BASE = 0x9E3779B97F4A7C15 | 5
 U64 = np.uint64
 
 
+def tidy(run):
+    """A task's function that gives freed memory back when it ends: workers stay, and would keep it."""
+
+    def wrapped(*args):
+        try:
+            yield from run(*args)
+        finally:
+            release()
+
+    return wrapped
+
+
+def release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # not every C library has it
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit numbers that spreads every bit (the finaliser of splitmix64)."""
     x = x ^ (x >> U64(30))
