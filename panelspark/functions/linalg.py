@@ -32,9 +32,18 @@ def _less(first: str, parts: Sequence[str]) -> str:
 Steps = dict[str, str]
 
 
+PIECE = 60
+
+
 def add_steps(df: DataFrame, steps: Steps) -> DataFrame:
-    """Add columns that may refer to each other in the order given (lateral aliases): one projection chain."""
-    return df.selectExpr("*", *[f"{text} AS {name}" for name, text in steps.items()])
+    """Add columns that may refer to each other in the order given (lateral aliases): one projection chain.
+
+    The analyzer takes a round for each level of references, and has a limit, so long chains go in pieces.
+    """
+    texts = [f"{text} AS {name}" for name, text in steps.items()]
+    for at in range(0, len(texts), PIECE):
+        df = df.selectExpr("*", *texts[at : at + PIECE])
+    return df
 
 
 def normal_equations(

@@ -70,8 +70,12 @@ def count_design(df: DataFrame, spec: CountSpec) -> DataFrame:
     )
 
 
-def fit_count_model(df: DataFrame, spec: CountSpec = CountSpec(), family: str = "poisson") -> DataFrame:
-    """Coefficient table (lag, term, estimate, std_error, statistic, p_value, dispersion).
+def fit_count_model(
+    df: DataFrame, spec: CountSpec = CountSpec(), family: str = "poisson", max_iter: int = 50
+) -> DataFrame:
+    """Coefficient table (lag, term, estimate, std_error, statistic, p_value, dispersion, converged).
+
+    ``converged`` is false where ``max_iter`` steps did not reach the tolerance.
 
     ``family="quasipoisson"`` keeps the mean model and scales the errors by the
     square root of the Pearson dispersion. The design is written once; each lag is
@@ -99,7 +103,7 @@ def fit_count_model(df: DataFrame, spec: CountSpec = CountSpec(), family: str =
             featuresCol="features",
             offsetCol="log_pop",
             predictionCol="mu",
-            maxIter=50,
+            maxIter=max_iter,
             tol=1e-10,
         ),
     ]
@@ -119,15 +123,17 @@ def fit_count_model(df: DataFrame, spec: CountSpec = CountSpec(), family: str =
             dispersion = fitted.transform(part).agg(pearson / summary.residualDegreeOfFreedom).head()[0]
         part.unpersist()
         estimates = [*[float(b) for b in model.coefficients], float(model.intercept)]
+        # the last step count is the limit only where the fit was cut off
+        done = bool(summary.numIterations < max_iter)
         return [
-            (lag, name, b, float(se) * dispersion**0.5, float(dispersion))
+            (lag, name, b, float(se) * dispersion**0.5, float(dispersion), done)
             for name, b, se in zip([*names, "(Intercept)"], estimates, errors)
         ]
 
     # one iterative fit per lag, side by side; what comes back is a handful of coefficients
     with ThreadPoolExecutor(max_workers=len(spec.lags)) as pool:
         rows = [row for found in pool.map(inheritable_thread_target(spark)(fit), spec.lags) for row in found]
-    table = spark.createDataFrame(rows, "lag int, term string, estimate double, std_error double, dispersion double")
+    table = spark.createDataFrame(rows, "lag int, term string, estimate double, std_error double, dispersion double, converged boolean")
     z = F.try_divide(F.col("estimate"), F.col("std_error"))
     return table.withColumn("statistic", z).withColumn("p_value", normal_two_sided_p("statistic"))
 

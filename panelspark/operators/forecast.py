@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.linalg import add_steps, back_steps, factor_steps, intercept_text, normal_equations
+from panelspark.operators.joins import join_same
 from panelspark.operators.regression import accuracy
 from panelspark.operators.windows import series_window
 
@@ -135,7 +136,7 @@ def forecast(
     if future is not None:
         cols = [F.col(month)] + ([F.col(xreg).cast("double").alias("_x")] if xreg else [])
         ahead = future.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("_ahead"))
-        rows = rows.join(ahead, list(key)) if key else rows.withColumn("_ahead", ahead.scalar())
+        rows = join_same(rows, ahead, list(key)) if key else rows.withColumn("_ahead", ahead.scalar())
         rows = rows.withColumn("_months", F.col("_ahead")[month]).withColumn("_h", F.size("_ahead"))
         if xreg:
             rows = rows.withColumn("_xs", F.col("_ahead")["_x"])
@@ -220,7 +221,7 @@ def fitted_values(
     design = ar_design(df, key, month, y, max_p, d, xreg)
     sides = models.select(*key, "intercept", "phi", "beta")
     if key:
-        rows = design.join(sides, list(key))
+        rows = join_same(design, sides, list(key))
     else:
         one = sides.select(F.struct("intercept", "phi", "beta")).scalar()
         rows = design.withColumn("_one", one).select("*", "_one.*")
@@ -277,7 +278,7 @@ def arx_forecast(
     models = fit_ar(stacked.where(F.col("part") == "train"), keys, month, y, max_p, 0, "_xlag")
     test = stacked.where(F.col("part") == "test")
     paths = forecast(models, keys, max_p, future=test, month=month, xreg="_xlag")
-    return paths.join(test.select(*keys, month, F.col(y).alias("actual")), [*keys, month]).withColumn(
+    return join_same(paths, test.select(*keys, month, F.col(y).alias("actual")), [*keys, month]).withColumn(
         "forecast", F.bround("forecast", 3)
     )
 
@@ -289,7 +290,7 @@ def ar_forecast(
     train, test = parts.where(F.col("part") == "train"), parts.where(F.col("part") == "test")
     models = fit_ar(train, key, month, y, max_p, d)
     paths = forecast(models, key, max_p, future=test.select(*key, month), month=month, d=d)
-    return paths.join(test.select(*key, month, F.col(y).alias("actual")), [*key, month]).withColumn(
+    return join_same(paths, test.select(*key, month, F.col(y).alias("actual")), [*key, month]).withColumn(
         "forecast", F.bround("forecast", 3)
     )
 
@@ -327,7 +328,7 @@ def residual_histogram(residuals: DataFrame, key: Sequence[str], col: str = "res
     ).cast("long")
     stats = stats.withColumn("n_bins", F.coalesce(bins, F.lit(1))).drop("_q")
     rows = (
-        residuals.join(stats, list(key))
+        join_same(residuals, stats, list(key))
         if key
         else residuals.withColumn("_one", stats.select(F.struct("*")).scalar()).select(*residuals.columns, "_one.*")
     )

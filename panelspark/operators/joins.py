@@ -1,8 +1,10 @@
 """Joins and set operations.
 
-No side is broadcast by hint: Spark broadcasts below its size threshold, from file
-sizes at planning time and from measured shuffle sizes at run time, and sorts and
-merges otherwise, splitting skewed partitions.
+Spark broadcasts a side below its size threshold, from file sizes at planning time and
+from measured shuffle sizes at run time, and sorts and merges otherwise, splitting
+skewed partitions of plain joins. Adaptive execution does not split a join whose side
+is an aggregate over the join's own shuffle; ``beside`` deals with hot keys there, with
+the one broadcast hint, of fewer than ``HOT`` rows.
 """
 
 from __future__ import annotations
@@ -13,6 +15,41 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Groups with more than one row in HOT are hot; there are fewer than HOT of them.
+HOT = 10_000
+
+
+def join_same(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys in which null equals null; the keys of ``left`` stay, or of ``right`` where ``left`` has no row."""
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in on})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in on])
+    joined = left.join(other, same, how)
+    keys = [F.coalesce(k, f"_r_{k}").alias(k) if how == "full" and k in on else F.col(k) for k in left.columns]
+    return joined.select(*keys, *[c for c in right.columns if c not in on])
+
+
+def beside(df: DataFrame, by: Sequence[str], aggs: dict[str, Column]) -> DataFrame:
+    """Aggregates of each row's group beside the row; null is a group as well.
+
+    Rows of hot groups meet their aggregates in a broadcast of fewer than HOT rows, so
+    they stay where they are; for the shuffle that the other groups need they get a
+    key of their own, spread by a salt.
+    """
+    totals = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), *[c.alias(n) for n, c in aggs.items()])
+    every = totals.agg(F.sum("_rows")).scalar()
+    keyed = totals.select(
+        *[F.col(k).alias(f"_k_{k}") for k in by], F.struct(*aggs).alias("_agg"), (F.col("_rows") * HOT > every).alias("_hot")
+    )
+    hot = F.broadcast(keyed.where("_hot").drop("_hot"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by])
+    names = [f"_k_{k}" for k in by]
+    near = df.join(hot, same, "left").withColumnRenamed("_agg", "_near").drop(*names)
+    salt = F.when(F.col("_near").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16)) + 1).otherwise(F.lit(0))
+    cold = keyed.where("NOT _hot").drop("_hot").withColumn("_cell", F.lit(0).cast("long"))
+    far = near.withColumn("_salt", salt.cast("long")).join(cold, same & (F.col("_salt") == F.col("_cell")), "left")
+    one = F.coalesce("_near", "_agg")
+    return far.select(*[c for c in df.columns if c not in aggs], *[one[n].alias(n) for n in aggs])
+
 
 def join_inner(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """Unmatched rows drop, which also filters (by year, say)."""
@@ -20,11 +57,11 @@ def join_inner(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFram
 
 
 def join_full(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """All rows of both sides on coalesced keys.
+    """All rows of both sides on coalesced keys; a missing key meets a missing one.
 
     Both sides are aggregates with one row per key, so no key is hot here.
     """
-    return left.join(right, list(on), "full")
+    return join_same(left, right, on, "full")
 
 
 def join_rolled_denominator(
@@ -54,5 +91,5 @@ def union_all(*frames: DataFrame) -> DataFrame:
 
 
 def setdiff(left: DataFrame, right: DataFrame, col: str) -> DataFrame:
-    """Labels of ``left`` that ``right`` lacks."""
-    return left.select(col).distinct().join(right.select(col).distinct(), [col], "left_anti")
+    """Labels of ``left`` that ``right`` lacks; null is a label."""
+    return left.select(col).subtract(right.select(col))

@@ -12,6 +12,7 @@ from panelspark.functions.columns import nan_to
 from panelspark.functions.linalg import add_steps, normal_equations, pooled_steps, solve_steps
 from panelspark.functions.tails import t_two_sided_p
 from panelspark.functions.vocab import TERM_DISPLAY
+from panelspark.operators.joins import join_same
 from panelspark.operators.windows import difference, lag_expand
 
 INDIVIDUAL, COMBINED = "Individual", "Combined"
@@ -156,7 +157,7 @@ def predict(coef: Column, xs: Sequence[Column]) -> Column:
 def fitted(design: DataFrame, models: DataFrame, key: Sequence[str], spec: Spec) -> DataFrame:
     """Fitted values and residuals of both specifications, on the scale of the design."""
     sides = models.select(*key, "lag", "model", "coef")
-    rows = design.join(sides, [*key, "lag"])
+    rows = join_same(design, sides, [*key, "lag"])
     xs = [F.col(x) for x in spec.xs]
     whole = xs[0]
     for x in xs[1:]:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.operators.joins import beside
 from panelspark.operators.ordering import dense_codes
 
 
@@ -17,10 +18,6 @@ def conform(df: DataFrame, mapping: dict[str, str | Column]) -> DataFrame:
     )
 
 
-def lower_names(df: DataFrame) -> DataFrame:
-    return df.toDF(*[c.lower() for c in df.columns])
-
-
 def cols_like(
     df: DataFrame,
     contains: str | None = None,
@@ -92,12 +89,12 @@ def backcast(
 
 
 def replace_outliers(
-    df: DataFrame, limits: Sequence[tuple[str, float, str]], mean_of: str = "all"
+    df: DataFrame, limits: Sequence[tuple[str, float, str]], mean_of: str | dict[str, str] = "all"
 ) -> DataFrame:
     """Values beyond a limit become the rounded mean.
 
     ``mean_of="all"`` takes the mean over all rows, outliers included; ``"below"``
-    over the rows under the limit. The means of all columns come from one
+    over the rows under the limit; a dictionary says which for each column. The means of all columns come from one
     aggregate, used as a scalar subquery.
     """
 
@@ -105,7 +102,7 @@ def replace_outliers(
         return F.col(col) >= F.lit(limit) if op == ">=" else F.col(col) > F.lit(limit)
 
     means = [
-        (F.avg(c) if mean_of == "all" else F.avg(F.when(F.col(c) < F.lit(limit), F.col(c)))).alias(c)
+        (F.avg(c) if (mean_of if isinstance(mean_of, str) else mean_of[c]) == "all" else F.avg(F.when(F.col(c) < F.lit(limit), F.col(c)))).alias(c)
         for c, limit, _ in limits
     ]
     pool = df.agg(F.struct(*means).alias("means")).scalar()
@@ -149,9 +146,10 @@ def holdout(df: DataFrame, key: Sequence[str], order: str, frac: float = 0.8) ->
 
 def standardise(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Centre and scale to mean 0 and sample deviation 1; a constant column becomes null."""
-    moments = [F.avg(c).alias(f"_m_{c}") for c in cols] + [F.stddev_samp(c).alias(f"_s_{c}") for c in cols]
+    named = {f"_m_{c}": F.avg(c) for c in cols} | {f"_s_{c}": F.stddev_samp(c) for c in cols}
+    moments = [c.alias(n) for n, c in named.items()]
     if by:
-        joined = df.join(df.groupBy(*by).agg(*moments), list(by))
+        joined = beside(df, by, named)
         mean, dev = (lambda c: F.col(f"_m_{c}")), (lambda c: F.col(f"_s_{c}"))
     else:
         joined = df.withColumn("_mom", df.agg(F.struct(*moments)).scalar())

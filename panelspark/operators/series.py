@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.columns import row_sum
 from panelspark.functions.linalg import add_steps, normal_equations, solve_steps
 from panelspark.functions.vocab import ANIMALS
+from panelspark.operators.joins import join_same
 from panelspark.operators.reshape import pivot
 from panelspark.operators.windows import series_window
 
@@ -42,13 +43,11 @@ def series_build(
     return rows.withColumn(month, F.coalesce(checked.cast("date"), F.col(month)))
 
 
-def duplicate_months(df: DataFrame, key: Sequence[str], month: str = "month") -> DataFrame:
-    """Series and months that occur more than once."""
-    return df.groupBy(*key, month).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-
-
-def season_table(df: DataFrame, key: Sequence[str], month: str, value: str, years: Sequence[int]) -> DataFrame:
-    """Month of year by year."""
+def season_table(df: DataFrame, key: Sequence[str], month: str, value: str, years: Sequence[int] = ()) -> DataFrame:
+    """Month of year by year: a column for each of ``years``, or a row for each year there is without them."""
+    if not years:
+        by = [*key, F.month(month).alias("month_of_year"), F.year(month).alias("year")]
+        return df.groupBy(*by).agg(F.sum(value).alias(value))
     parts = df.select(
         *key, F.year(month).alias("_year"), F.month(month).alias("month_of_year"), F.col(value).alias("_value")
     )
@@ -77,7 +76,7 @@ def decompose(
     means = rows.groupBy(*key, "_month").agg(F.avg(F.col(value) - F.col("trend")).alias("_raw"))
     centred = means.withColumn("season", F.col("_raw") - F.avg("_raw").over(Window.partitionBy(*key))).drop("_raw")
     return (
-        rows.join(centred, [*key, "_month"])
+        join_same(rows, centred, [*key, "_month"])
         .drop("_month")
         .withColumn("remainder", F.col(value) - F.col("trend") - F.col("season"))
     )
@@ -197,15 +196,19 @@ def adf(
     month: str = "month",
     value: str = "value",
     k: int | None = None,
-    k_max: int = 10,
+    k_max: int | None = None,
 ) -> DataFrame:
     """Unit-root regression: change on constant, trend, level before and ``k`` lagged changes.
 
-    ``k`` defaults to trunc((n - 1)^(1/3)) of each series. ``k_max`` bounds the
-    columns generated; a series that needs more fails, so raise it for very long ones
-    (10 serves 1,331 months). Unused lag columns are 0 and drop out of the fit.
+    ``k`` defaults to trunc((n - 1)^(1/3)) of each series. The longest series, found
+    first, sets how many lag columns there are unless ``k_max`` does; with it, a series
+    that needs more fails. Unused lag columns are 0 and drop out of the fit.
     """
-    k_max = k_max if k is None else k
+    if k is not None:
+        k_max = k
+    elif k_max is None:
+        sizes = df.where(F.col(value).isNotNull()).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+        k_max = int(((sizes.agg(F.max("n")).first()[0] or 1) - 1) ** (1 / 3) + 1e-9)
     w = series_window(key, month)
     size = F.count(F.lit(1)).over(Window.partitionBy(*key))
     rows = (

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.operators.joins import beside
+
 
 def series_window(key: Sequence[str], order: str):
     return Window.partitionBy(*key).orderBy(order)
@@ -47,9 +49,9 @@ def group_total(df: DataFrame, by: Sequence[str], col: str, name: str) -> DataFr
     """Group sum beside each row.
 
     Aggregate and join back instead of a window: a group may hold most of the rows,
-    and the partial sums shrink it before the shuffle.
+    the partial sums shrink it before the shuffle and ``beside`` spreads its rows.
     """
-    return df.join(df.groupBy(*by).agg(F.sum(col).alias(name)), list(by))
+    return beside(df, by, {name: F.sum(col)})
 
 
 def lag_expand(

@@ -11,16 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from panelspark.functions.vocab import SERIES
-from panelspark.operators.joins import join_rolled_denominator
-from panelspark.operators.reshape import year_spine
+from panelspark.operators.joins import attach_scalars, join_rolled_denominator
 from panelspark.operators.rollup import CASES, POPS, RATE_PAIRS, sum_by
 from panelspark.operators.rows import rate_columns
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 SERIES_OF = dict(zip(PRIORITIES, SERIES))
 STATUSES = {"F": "clinical", "O": "lab", "P": "post_mortem"}
-FIRST_YEAR, LAST_YEAR = 1995, 2001
-
 
 _SCHEMAS: dict[str, StructType] = {}
 
@@ -107,9 +104,13 @@ def regional_denominators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def denominators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(region, year): static animal populations, human population growing by 2 % of the base a year."""
-    spread = year_spine(regional_denominators(spark, sf_dir), FIRST_YEAR, LAST_YEAR)
-    grown = F.col("base_pop") * (F.lit(100) + (F.col("year") - FIRST_YEAR) * 2) / F.lit(100)
+    """(region, year) for the years of the reports: static animals, people growing by 2 % of the first year's a year."""
+    year = F.year("o_orderdate")
+    span = attach_scalars(
+        regional_denominators(spark, sf_dir), table(spark, sf_dir, "orders"), {"_first": F.min(year), "_last": F.max(year)}
+    )
+    spread = span.withColumn("year", F.explode(F.sequence("_first", "_last")))
+    grown = F.col("base_pop") * (F.lit(100) + (F.col("year") - F.col("_first")) * 2) / F.lit(100)
     return spread.select(
         "region", "year", "catt_pop", "goat_pop", "sheep_pop", "cam_pop", F.bround(grown, 0).cast("long").alias("pop")
     )

@@ -53,8 +53,9 @@ COMMON: dict[str, str] = {
         (SELECT count(*) FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_acctbal < 3000) * 1000 AS cam_pop
         FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name, n.n_nationkey""",
     "den": """SELECT region, y.year::INT AS year, catt_pop, goat_pop, sheep_pop, cam_pop,
-        round_even(base_pop * (100 + (y.year - 1995) * 2) / 100.0::DOUBLE, 0)::BIGINT AS pop
-        FROM regional_den, range(1995, 2002) y(year)""",
+        round_even(base_pop * (100 + (y.year - first) * 2) / 100.0::DOUBLE, 0)::BIGINT AS pop
+        FROM regional_den, (SELECT unnest(range(min(year(o_orderdate)), max(year(o_orderdate)) + 1)) AS year,
+            min(year(o_orderdate)) AS first FROM orders) y""",
     "rated": f"""SELECT p.*, catt_pop, goat_pop, sheep_pop, cam_pop, pop, {RATE_EXPRS}
         FROM panel p JOIN den d ON p.region = d.region AND p.year = d.year""",
     "regional_counts": f"SELECT region, year, month, {SUM_CASES} FROM panel GROUP BY region, year, month",
@@ -164,6 +165,6 @@ def t_p_value(t: str, df: str) -> str:
     )
     sin = f"(abs({t}) / sqrt({df} + ({t}) * ({t})))"
     return (
-        f"greatest(1 - CASE WHEN ({df}) % 2 = 1 THEN (2 / pi()) * (atan(abs({t}) / sqrt({df})) + {sin} * coalesce({odd}, 0)) "
-        f"ELSE {sin} * coalesce({even}, 0) END, 0.0::DOUBLE)"
+        f"CASE WHEN ({t}) IS NOT NULL THEN greatest(1 - CASE WHEN ({df}) % 2 = 1 THEN (2 / pi()) * (atan(abs({t}) / sqrt({df})) + {sin} * coalesce({odd}, 0)) "
+        f"ELSE {sin} * coalesce({even}, 0) END, 0.0::DOUBLE) END"
     )

@@ -48,17 +48,23 @@ def growth_rates(projection: DataFrame, country: str = "Kenya") -> DataFrame:
 
 
 def human_denominators(
-    census: DataFrame, projection: DataFrame, country: str = "Kenya", region: str = "County", total: str = "Total"
+    census: DataFrame,
+    projection: DataFrame,
+    country: str = "Kenya",
+    region: str = "County",
+    total: str = "Total",
+    first: int = FIRST_YEAR,
+    last: int | None = None,
 ) -> DataFrame:
-    """(region, year, pop): census year carried back by growth, later years from the projection."""
+    """(region, year, pop): census year carried back to ``first`` by growth, later years as far as the projection goes."""
     base = rows.filter_in(census, region, ["Total"], keep=False).select(
         C.recode(F.col(region), V.CENSUS_REGION_MAP).alias("region"), F.col(total).alias("base")
     )
     grown = joins.join_inner(base, growth_rates(projection, country), ["region"])
-    past = rows.backcast(grown, "base", "growth_rate", CENSUS_YEAR, CENSUS_YEAR - FIRST_YEAR)
-    later = projection.where(
-        (F.col("region") != country) & F.col("year").between(CENSUS_YEAR + 1, LAST_YEAR)
-    ).select("region", "year", "pop")
+    past = rows.backcast(grown, "base", "growth_rate", CENSUS_YEAR, CENSUS_YEAR - first)
+    later = projection.where((F.col("region") != country) & (F.col("year") > CENSUS_YEAR)).select("region", "year", "pop")
+    if last is not None:
+        later = later.where(F.col("year") <= last)
     return joins.union_all(past, later)
 
 

@@ -26,7 +26,8 @@ def s1(spark, sf):
         "c_custkey", "c_name", "c_nationkey", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("c acctbal")
     )
     sinks.publish(raw, path, "csv")
-    schema = "c_custkey BIGINT, c_name STRING, c_nationkey INT, `c acctbal` DOUBLE"
+    # in another order than the file's
+    schema = "c_name STRING, `c acctbal` DOUBLE, c_custkey BIGINT, c_nationkey INT"
     read = readers.read_table(spark, path, schema, syntactic_names=True)
     return read.withColumnRenamed("c.acctbal", "c_acctbal")
 
@@ -47,8 +48,7 @@ def s2(spark, sf):
     # a sheet of a few dozen regions, its header in the first data row, plus an index column without a name
     lines = sheet.unionByName(head).orderBy("place", "a").coalesce(1)
     lines.select(F.when(F.col("place") == 1, F.lit("7")).alias("_c0"), "a", "b", "c").write.option("header", True).csv(path)
-    schema = "idx STRING, region STRING, base_pop BIGINT, catt_pop BIGINT"
-    return readers.read_table(spark, path, schema, header_row=1).drop("idx")
+    return readers.read_table(spark, path, "catt_pop BIGINT, region STRING, base_pop BIGINT", header_row=1)
 
 
 @query("s3_region_dimension", "SELECT n_name AS region FROM nation")
@@ -78,11 +78,24 @@ def s5(spark, sf):
     return stacked.groupBy("region", "month").agg(F.sum("hum_cases").alias("hum_cases"))
 
 
-@query("s6_write_delimited", with_sql(f"SELECT year, diagnosis, {SUM_CASES} FROM panel GROUP BY year, diagnosis"))
+@query(
+    "s6_write_delimited",
+    with_sql(
+        "SELECT year, region || ', \"' || diagnosis || '\" said' AS label, nullif(hum_cases, 0) AS hum_cases, "
+        "CASE WHEN catt_cases > 1 THEN diagnosis END AS note FROM panel"
+    ),
+)
 def s6(spark, sf):
+    """Text with commas, quotes and missing cells, written delimited by year and read back."""
     path = scratch_path(spark, "s6")
-    sinks.publish(fx.base_panel(spark, sf), path, "parquet", partition_by=["year"])
-    return rollup.sum_by(spark.read.parquet(path), ["year", "diagnosis"], rollup.CASES)
+    table = fx.base_panel(spark, sf).select(
+        "year",
+        F.concat("region", F.lit(', "'), "diagnosis", F.lit('" said')).alias("label"),
+        F.expr("nullif(hum_cases, 0)").alias("hum_cases"),
+        F.when(F.col("catt_cases") > 1, F.col("diagnosis")).alias("note"),
+    )
+    sinks.publish(table, path, "csv")
+    return readers.read_table(spark, path, "hum_cases BIGINT, year INT, note STRING, label STRING")
 
 
 @query(

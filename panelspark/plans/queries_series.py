@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from panelspark.operators import forecast as fc
 from panelspark.operators import joins, regression, rollup, rows, series, windows
 from panelspark.plans import fixture as fx
+from panelspark.plans import panels
 from panelspark.plans.oracle import CASES, POPS, RATE_EXPRS, ROUND_RATES, ols_sql, r, with_sql
 from panelspark.plans.registry import query, rounded
 
@@ -57,44 +58,42 @@ _LIMIT = 35
 @query(
     "t2_extend_series",
     with_sql(
-        f"SELECT year, month, {r('hum_cases::DOUBLE', 6, 'hum_cases')}, catt_cases, cam_cases, goat_cases, shp_cases, {POPS}, {ROUND_RATES} FROM ("
-        f"SELECT year, month, hum_cases::DOUBLE AS hum_cases, {CASES[len('hum_cases, '):]}, {POPS}, hum_incidence, catt_incidence, cam_incidence, goat_incidence, shp_incidence FROM national_months WHERE year < 2001"
+        f"SELECT year, month, {', '.join(f'{c}::DOUBLE AS {c}' for c in (CASES + ', ' + POPS).split(', '))}, {ROUND_RATES} FROM ("
+        f"SELECT year, month, hum_cases::DOUBLE AS hum_cases, {CASES[len('hum_cases, '):]}, {POPS}, hum_incidence, catt_incidence, cam_incidence, goat_incidence, shp_incidence FROM national_months WHERE year < (SELECT max(year) FROM panel)"
         f" UNION ALL SELECT c.*, {POPS}, {RATE_EXPRS} FROM fixed c JOIN national_den d ON c.year = d.year)",
         [
+            ("last", "SELECT * FROM national_counts WHERE year = (SELECT max(year) FROM panel)"),
             (
                 "fixed",
-                f"""SELECT year, month, CASE WHEN hum_cases > {_LIMIT} THEN (SELECT round_even(avg(hum_cases), 0) FROM national_counts WHERE year = 2001 AND hum_cases < {_LIMIT})
-                ELSE hum_cases END::DOUBLE AS hum_cases, catt_cases, cam_cases, goat_cases, shp_cases FROM national_counts WHERE year = 2001""",
-            )
+                f"""SELECT year, month, CASE WHEN hum_cases > {_LIMIT} THEN (SELECT round_even(avg(hum_cases), 0) FROM last WHERE hum_cases < {_LIMIT})
+                ELSE hum_cases END::DOUBLE AS hum_cases, catt_cases, cam_cases, goat_cases, shp_cases FROM last""",
+            ),
         ],
     ),
 )
 def t2(spark, sf):
-    monthly = rollup.sum_by(fx.base_panel(spark, sf), ["year", "month"], rollup.CASES)
+    """The last year of the reports, prepared like a later delivery, below the years before it."""
+    base = fx.base_panel(spark, sf)
+    marked = base.withColumn("_last", base.agg(F.max("year")).scalar())
+    earlier, later = marked.where("year < _last"), marked.where("year = _last")
     den = fx.denominators(spark, sf)
-    history, later = monthly.where(F.col("year") < 2001), monthly.where(F.col("year") == 2001)
-    later = rows.replace_outliers(later, [("hum_cases", _LIMIT, ">")], mean_of="below")
-    both = [
-        rows.rate_columns(joins.join_rolled_denominator(part, den, ["year"], rollup.POPS), rollup.RATE_PAIRS)
-        for part in (history.withColumn("hum_cases", F.col("hum_cases").cast("double")), later)
-    ]
-    stacked = joins.union_all(*both)
-    return rounded(stacked.select("year", "month", *rollup.CASES, *rollup.POPS, *rollup.RATE_PAIRS)).orderBy("month")
-
-
-_YEARS = list(range(1995, 2002))
+    human = later.select(*panels.PANEL_KEYS, "hum_cases")
+    animal = later.select(*panels.PANEL_KEYS, *[c for c in rollup.CASES if c != "hum_cases"])
+    new = panels.later_year(human, animal, den.drop("pop"), den.select("region", "year", "pop"), limit=_LIMIT)
+    monthly = rollup.sum_by(earlier, ["year", "month"], rollup.CASES)
+    history = rows.rate_columns(joins.join_rolled_denominator(monthly, den, ["year"], rollup.POPS), rollup.RATE_PAIRS)
+    return rounded(panels.extend_series(history, new)).orderBy("month")
 
 
 @query(
     "t3_season_table",
     with_sql(
-        "SELECT region, month(month)::INT AS month_of_year, "
-        + ", ".join(r(f"sum(hum_incidence) FILTER (WHERE year = {y})", 6, f"y{y}") for y in _YEARS)
-        + " FROM regional_months GROUP BY region, month(month)"
+        f"SELECT region, year, month(month)::INT AS month_of_year, {r('sum(hum_incidence)', 6, 'hum_incidence')}"
+        " FROM regional_months GROUP BY region, year, month(month)"
     ),
 )
 def t3(spark, sf):
-    return rounded(series.season_table(fx.regional_months(spark, sf), KEY, "month", "hum_incidence", _YEARS))
+    return rounded(series.season_table(fx.regional_months(spark, sf), KEY, "month", "hum_incidence"))
 
 
 _F1, _F2 = "ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING", "ROWS BETWEEN 5 PRECEDING AND 6 FOLLOWING"
@@ -185,24 +184,24 @@ def t7(spark, sf):
 @query(
     "t8_adf_statistic",
     with_sql(
-        f"SELECT region, n AS n_used, 4 AS k, {r('b1', 6, 'gamma')}, {r('b1 / se1', 6, 'statistic')}, -3.96::DOUBLE AS crit_1, -3.41::DOUBLE AS crit_5, -3.12::DOUBLE AS crit_10 FROM adf_fit",
+        f"SELECT f.region, n AS n_used, k, {r('b1', 6, 'gamma')}, {r('b1 / se1', 6, 'statistic')}, -3.96::DOUBLE AS crit_1, -3.41::DOUBLE AS crit_5, -3.12::DOUBLE AS crit_10 FROM adf_fit f JOIN (SELECT DISTINCT region, k FROM dd) USING (region)",
         [
             FILLED,
             (
                 "d",
-                f"SELECT region, month, value - lag(value) OVER w AS dy, lag(value) OVER w AS lev, (row_number() OVER w - 1)::DOUBLE AS t FROM filled WINDOW w AS {W}",
+                f"SELECT region, month, value - lag(value) OVER w AS dy, lag(value) OVER w AS lev, (row_number() OVER w - 1)::DOUBLE AS t, floor(pow(count(*) OVER (PARTITION BY region) - 1, 1 / 3.0::DOUBLE) + 1e-9)::INT AS k FROM filled WINDOW w AS {W}",
             ),
             (
                 "dd",
-                f"SELECT *, lag(dy, 1) OVER w AS d1, lag(dy, 2) OVER w AS d2, lag(dy, 3) OVER w AS d3, lag(dy, 4) OVER w AS d4 FROM d WINDOW w AS {W}",
+                "SELECT *, " + ", ".join(f"CASE WHEN {j} <= k THEN lag(dy, {j}) OVER w ELSE 0 END AS d{j}" for j in range(1, 7)) + f" FROM d WINDOW w AS {W}",
             ),
-            ("ok_rows", "SELECT * FROM dd WHERE d4 IS NOT NULL"),
-            *ols_sql("adf", "ok_rows", KEY, "dy", ["lev", "t", "d1", "d2", "d3", "d4"]),
+            ("ok_rows", "SELECT * FROM dd WHERE t > k"),
+            *ols_sql("adf", "ok_rows", KEY, "dy", ["lev", "t", *[f"d{j}" for j in range(1, 7)]]),
         ],
     ),
 )
 def t8(spark, sf):
-    return rounded(series.adf(filled_series(spark, sf), KEY, k_max=5))
+    return rounded(series.adf(filled_series(spark, sf), KEY))
 
 
 # ---------------------------------------------------------------- forecasts

@@ -372,36 +372,46 @@ def _count_panel(spark, sf):
     return fx.regional_months(spark, sf)
 
 
+def _z_sql(z: str) -> str:
+    """The statistic and its two-sided normal tail, by the midpoint rule over the angle of Craig's integral."""
+    tail = f"list_sum(list_transform(range(0, 400), lambda j: exp(-({z}) * ({z}) / (2 * pow(sin((j + 0.5::DOUBLE) * pi() / 800), 2))))) / 400"
+    return f"{r(z, 2, 'statistic')}, {r(tail, 2, 'p_value')}"
+
+
+def _tested(df):
+    return rounded(rounded(df, "statistic", "p_value", digits=2), *[c for c, kind in df.dtypes if kind == "double" and c not in ("statistic", "p_value")], digits=5)
+
+
 @query(
     "i10_poisson_glm",
-    _poisson_sql(f"SELECT lag, term, {r('b', 5, 'estimate')}, {r('se', 5, 'std_error')} FROM coefs", combined=True),
+    _poisson_sql(
+        f"SELECT lag, term, {r('b', 5, 'estimate')}, {r('se', 5, 'std_error')}, {_z_sql('b / se')}, true AS converged FROM coefs", combined=True
+    ),
 )
 def i10(spark, sf):
     coefs = count_models.fit_count_model(_count_panel(spark, sf), count_models.CountSpec(combined=True))
-    return rounded(coefs.select("lag", "term", "estimate", "std_error"), digits=5)
+    return _tested(coefs.select("lag", "term", "estimate", "std_error", "statistic", "p_value", "converged"))
 
 
 @query(
     "i11_overdispersed_counts",
     _poisson_sql(
-        f"SELECT lag, term, {r('b', 5, 'estimate')}, {r('se * sqrt(phi)', 5, 'std_error')}, {r('phi', 5, 'dispersion')} FROM coefs",
+        f"SELECT lag, term, {r('b', 5, 'estimate')}, {r('se * sqrt(phi)', 5, 'std_error')}, {r('phi', 5, 'dispersion')}, {_z_sql('b / (se * sqrt(phi))')} FROM coefs",
         combined=False,
     ),
 )
 def i11(spark, sf):
     coefs = count_models.fit_count_model(_count_panel(spark, sf), count_models.CountSpec(), "quasipoisson")
-    return rounded(coefs.select("lag", "term", "estimate", "std_error", "dispersion"), digits=5)
+    return _tested(coefs.select("lag", "term", "estimate", "std_error", "dispersion", "statistic", "p_value"))
 
 
 @query(
     "i12_rate_ratios",
     _poisson_sql(
-        f"SELECT lag, term, {r('exp(b)', 5, 'rate_ratio')}, {r('exp(b - 1.645::DOUBLE * se)', 5, 'conf_low')}, {r('exp(b + 1.645::DOUBLE * se)', 5, 'conf_high')} FROM coefs WHERE term NOT IN ('time_code', '(Intercept)')",
+        f"SELECT lag, term, {r('exp(b)', 5, 'rate_ratio')}, {r('exp(b - 1.645::DOUBLE * se)', 5, 'conf_low')}, {r('exp(b + 1.645::DOUBLE * se)', 5, 'conf_high')}, {_z_sql('b / se')} FROM coefs WHERE term NOT IN ('time_code', '(Intercept)')",
         combined=True,
     ),
 )
 def i12(spark, sf):
     coefs = count_models.fit_count_model(_count_panel(spark, sf), count_models.CountSpec(combined=True))
-    return rounded(
-        count_models.rate_ratios(coefs).select("lag", "term", "rate_ratio", "conf_low", "conf_high"), digits=5
-    )
+    return _tested(count_models.rate_ratios(coefs))

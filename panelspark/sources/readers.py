@@ -40,35 +40,47 @@ def read_table(
     drop_unnamed: bool = True,
     fmt: str = "csv",
     syntactic_names: bool = False,
+    bad_cells: str | None = None,
 ) -> DataFrame:
     """Read a headered delimited file (or Parquet).
 
-    ``schema`` gives the types, by position; without one every column is text, so
-    no pass over the data is spent on inference. ``header_row=1`` takes the header
-    from the first data row. Index columns without a name are dropped.
+    ``schema`` gives names and types; columns are matched by their header, in any
+    order, and others are left out. Without it every column is text, so no pass over
+    the data is spent on inference. A file of the path whose header differs from the
+    first one's fails. A cell that its type can't hold fails the read, or becomes null
+    and is counted in the column that ``bad_cells`` names. ``header_row=1`` takes the
+    header from the first data row. Index columns without a name are dropped.
     """
     if fmt == "parquet":
         df = spark.read.parquet(path)
         return df.toDF(*clean_names(df.columns)) if syntactic_names else df
 
-    reader = spark.read.option("header", True).option("nullValue", null).option("mode", "PERMISSIVE")
-    if header_row == 0:
-        df = reader.schema(schema).csv(path) if schema is not None else reader.csv(path)
-    else:
-        # only the header lines come to the driver
-        lines = spark.read.text(path).head(header_row + 1)
-        names = next(csv.reader([lines[header_row].value]))
+    reader = spark.read.option("header", True).option("nullValue", null).option("escape", '"')
+    reader = reader.option("mode", "FAILFAST").option("enforceSchema", False)
+    # only the header lines come to the driver
+    lines = spark.read.text(path).head(header_row + 1)
+    top = next(csv.reader([lines[0].value])) if lines else []
+    names = next(csv.reader([lines[header_row].value])) if len(lines) > header_row else []
+    if header_row:
         fields = [T.StructField(n or f"_c{i}", T.StringType()) for i, n in enumerate(names)]
-        df = reader.schema(T.StructType(fields)).csv(path)
+        df = reader.option("enforceSchema", True).schema(T.StructType(fields)).csv(path)
         same = [F.col(f"`{f.name}`").eqNullSafe(F.lit(n or None)) for f, n in zip(fields, names)]
         df = df.where(~reduce(lambda a, b: a & b, same))
-        if schema is not None:
-            typed = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-            df = df.select(
-                *[F.col(f"`{c}`").try_cast(f.dataType).alias(f.name) for c, f in zip(df.columns, typed)]
-            )
+    else:
+        df = reader.schema(T.StructType([T.StructField(n or f"_c{i}", T.StringType()) for i, n in enumerate(top)])).csv(path)
     if drop_unnamed:
         df = df.drop(*[c for c in df.columns if _is_unnamed(c)])
+    if schema is not None:
+        typed = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+        missing = [f.name for f in typed if f.name not in df.columns]
+        if missing:
+            raise ValueError(f"{path} has no column {', '.join(missing)}")
+        cells = {f.name: F.col(f"`{f.name}`") for f in typed}
+        if bad_cells is None:
+            df = df.select(*[cells[f.name].cast(f.dataType).alias(f.name) for f in typed])
+        else:
+            lost = [(cells[f.name].isNotNull() & cells[f.name].try_cast(f.dataType).isNull()).cast("int") for f in typed]
+            df = df.select(*[cells[f.name].try_cast(f.dataType).alias(f.name) for f in typed], reduce(lambda a, b: a + b, lost).alias(bad_cells))
     return df.toDF(*clean_names(df.columns)) if syntactic_names else df
 
 

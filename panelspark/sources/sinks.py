@@ -15,12 +15,12 @@ def publish(
     partition_by: Sequence[str] = (),
     mode: str = "overwrite",
 ) -> None:
-    """Write a result table; every task writes its own files."""
+    """Write a result table; every task writes its own files. Delimited text has a header, quotes doubled, NA for null."""
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "csv":
-        writer.option("header", True).option("nullValue", "NA").csv(path)
+        writer.option("header", True).option("nullValue", "NA").option("escape", '"').csv(path)
     else:
         writer.format(fmt).save(path)
 

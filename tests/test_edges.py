@@ -148,7 +148,6 @@ def test_duplicate_month_fails(spark):
     df = spark.createDataFrame(data, "month DATE, hum_incidence DOUBLE, x DOUBLE")
     with pytest.raises(Exception, match="two rows for one month"):
         series.series_build(df, [], parts=["x"]).collect()
-    assert series.duplicate_months(df, []).count() == 1
 
 
 def test_window_not_full_is_null(spark):
@@ -168,6 +167,59 @@ def test_filters_and_sets(spark):
     assert values(rows.filter_in(df, "k", ["a"], keep=False), "k") == [("b",), (None,)]
     other = spark.createDataFrame([("b",)], "k STRING")
     assert values(joins.setdiff(df.dropna(), other, "k"), "k") == [("a",)]
+    assert values(joins.setdiff(df, other, "k"), "k") == [("a",), (None,)]
+    assert values(joins.setdiff(df, df, "k"), "k") == []
+
+
+NULL_KEYS = [("a", 1.0), ("a", 3.0), (None, 5.0), (None, 6.0), ("b", None)]
+
+
+def test_null_groups_stay(spark):
+    df = spark.createDataFrame(NULL_KEYS, "k STRING, v DOUBLE")
+    assert values(windows.group_total(df, ["k"], "v", "t"), "k", "v", "t") == sorted(
+        [("a", 1.0, 4.0), ("a", 3.0, 4.0), (None, 5.0, 11.0), (None, 6.0, 11.0), ("b", None, None)], key=str
+    )
+    z = {(r.k, round(r.v, 3)) for r in rows.standardise(df.dropna(subset=["v"]), ["v"], ["k"]).collect()}
+    assert z == {("a", -0.707), ("a", 0.707), (None, -0.707), (None, 0.707)}
+
+
+def test_missing_keys_meet(spark):
+    left = spark.createDataFrame([("a", None, 1), ("b", 2, 2)], "k STRING, y INT, l INT")
+    right = spark.createDataFrame([("a", None, 10), (None, 2, 20)], "k STRING, y INT, r INT")
+    assert values(joins.join_full(left, right, ["k", "y"]), "k", "y", "l", "r") == sorted(
+        [("a", None, 1, 10), ("b", 2, 2, None), (None, 2, None, 20)], key=str
+    )
+
+
+def test_a_hot_group_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(joins, "HOT", 3)
+    df = spark.range(20000).selectExpr("CASE WHEN id % 10 < 9 THEN 'hot' ELSE concat('k', id % 997) END AS k", "id AS v")
+    out = windows.group_total(df, ["k"], "v", "t")
+    sums = {r.k: (r.n, r.s) for r in df.selectExpr("*").groupBy("k").agg({"v": "sum", "*": "count"}).toDF("k", "s", "n").collect()}
+    got = out.groupBy("k", "t").count().collect()
+    assert {r.k: (r["count"], r.t) for r in got} == sums
+    # rows of the hot group carry many keys into the shuffle of the second join
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan and "LeftOuter" in plan
+
+
+def test_outlier_means_differ_by_column(spark):
+    df = spark.createDataFrame([(1.0, 1.0), (9.0, 9.0), (2.0, 3.0)], "a DOUBLE, b DOUBLE")
+    got = rows.replace_outliers(df, [("a", 5.0, ">"), ("b", 5.0, ">")], {"a": "all", "b": "below"})
+    assert values(got, "a", "b") == [(1.0, 1.0), (2.0, 3.0), (4.0, 2.0)]
+
+
+def test_seasons_without_a_list_of_years(spark):
+    data = [(dt.date(y, m, 1), float(y + m)) for y in (1980, 2031) for m in (1, 12)]
+    got = series.season_table(spark.createDataFrame(data, "month DATE, v DOUBLE"), [], "month", "v")
+    assert values(got, "year", "month_of_year", "v") == [(1980, 1, 1981.0), (1980, 12, 1992.0), (2031, 1, 2032.0), (2031, 12, 2043.0)]
+
+
+def test_long_series_has_the_lags_it_needs(spark):
+    data = [("s", dt.date(1900 + i // 12, i % 12 + 1, 1), float((i * 37) % 23) + i * 0.01) for i in range(520)]
+    data += [("t", dt.date(1900 + i // 12, i % 12 + 1, 1), float((i * 31) % 17)) for i in range(60)]
+    got = series.adf(spark.createDataFrame(data, "name STRING, month DATE, value DOUBLE"), ["name"]).collect()
+    assert {r["name"]: (r["k"], r["n_used"]) for r in got} == {"s": (8, 520 - 9), "t": (3, 60 - 4)}
 
 
 def test_series_shorter_than_the_order_gives_no_limits(spark):
@@ -188,6 +240,15 @@ def test_reader_and_sink(spark, tmp_path):
     out_dir = str(tmp_path / "out")
     sinks.publish(spark.createDataFrame([("a", None)], "k STRING, v INT"), out_dir, "csv")
     assert values(readers.read_table(spark, out_dir, "k STRING, v INT"), "k", "v") == [("a", None)]
+    mixed = str(tmp_path / "mixed.csv")
+    with open(mixed, "w") as out:
+        out.write('goat,note,cattle\n1,"a ""b"", c",2\nx,NA,4\n')
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT|cannot be cast"):
+        readers.read_table(spark, mixed, "cattle INT, goat INT").collect()
+    counted = readers.read_table(spark, mixed, "cattle INT, goat INT, note STRING", bad_cells="bad")
+    assert values(counted, "cattle", "goat", "note", "bad") == [(2, 1, 'a "b", c', 0), (4, None, None, 1)]
+    with pytest.raises(ValueError, match="sheep"):
+        readers.read_table(spark, mixed, "sheep INT")
     assert readers.clean_names(["No. sick", "year", "year", "1a", ""]) == ["No..sick", "year", "year.1", "X1a", "X"]
     sinks.save_bundle({"one": plain}, str(tmp_path / "bundle"))
     assert sinks.load_bundle(spark, str(tmp_path / "bundle"), ["one"])["one"].count() == 3

@@ -73,9 +73,22 @@ def test_t_tail(spark, t, df):
 
 
 def test_normal_tail(spark):
-    for z in (0.0, 0.5, 1.96, 4.0, 9.0):
+    for z in (0.0, 0.5, 1.96, 4.0, 8.0, 8.5, 10.0, 30.0):
         got = spark.range(1).select(F.lit(z).alias("z")).select(normal_two_sided_p("z")).first()[0]
-        assert math.isclose(got, math.erfc(z / math.sqrt(2)), abs_tol=1e-12)
+        assert math.isclose(got, math.erfc(z / math.sqrt(2)), rel_tol=1e-9)
+
+
+def test_far_t_tails(spark):
+    """Closed forms for 1 and 2 degrees of freedom, the normal for very many, and no step at any size."""
+
+    def p(t, df):
+        return spark.range(1).select(F.lit(t).alias("t")).select(t_two_sided_p("t", str(df))).first()[0]
+
+    for t in (0.1, 4.0, 1e4, 1e8):
+        assert math.isclose(p(t, 1), 2 / math.pi * math.atan(1 / t), rel_tol=1e-9)
+        assert math.isclose(p(t, 2), 2 / (math.sqrt(2 + t * t) * (math.sqrt(2 + t * t) + t)), rel_tol=1e-9)
+    assert math.isclose(p(9.0, 10**13), math.erfc(9 / math.sqrt(2)), rel_tol=1e-9)
+    assert p(4.0, 1999) > p(4.0, 2000) > p(4.0, 2001) > p(4.0, 2002)
 
 
 def test_quantiles_and_codes_with_a_hot_value(spark):
