@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-
+from panelspark.functions import vocab as V
 from panelspark.operators import classify, joins, reshape, rollup, windows
 from panelspark.plans import fixture as fx
-from panelspark.plans.oracle import CASES, POPS, RATE_EXPRS, ROUND_RATES, SERIES, SUM_CASES, r, with_sql
+from panelspark.plans import panels
+from panelspark.plans.oracle import CASES, POP, POPS, RATE_EXPRS, ROUND_RATES, SERIES, SUM_CASES, r, with_sql
 from panelspark.plans.registry import query, rounded
 
 
@@ -454,3 +455,77 @@ def c3(spark, sf):
 )
 def c4(spark, sf):
     return rounded(classify.smoothed_long(fx.national_months(spark, sf)))
+
+
+# ---------------------------------------------------------------- from raw reports to panels
+
+
+def _raw_tables(spark, sf):
+    """Orders as raw sheets: case reports with loose spellings, monthly human counts, denominators."""
+    orders = fx.table(spark, sf, "orders").join(fx.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    named = orders.join(fx.table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    species = F.element_at(F.array(*map(F.lit, ("CATTLE ", "camels", "Goats", " sheep", "pigs"))), F.substring("o_orderpriority", 1, 1).cast("int"))
+    reports = named.select(
+        F.date_format("o_orderdate", "MMMM").alias("month"),
+        F.year("o_orderdate").alias("year"),
+        F.concat(F.lit("  "), F.lower("n_name"), F.lit(" ")).alias("county"),
+        F.when(F.col("o_orderstatus") == "P", "Anthrax").otherwise("suspected BRUCELLOSIS").alias("disease_condition"),
+        F.when(F.col("o_orderstatus") == "O", "laboratory").alias("diagnosis"),
+        species.alias("species"),
+        (F.col("o_custkey") % 5 + 1).alias("no_sick"),
+    )
+    monthly = named.groupBy("n_name", F.trunc("o_orderdate", "month").alias("m")).agg(
+        F.count_if(F.col("o_orderstatus") == "F").alias("seen"), F.count_if(F.col("o_orderstatus") == "O").alias("tested")
+    )
+    human = monthly.select(
+        F.concat(F.initcap(F.lower("n_name")), F.lit(" County")).alias("county"), F.date_format("m", "MMMM yyyy").alias("periodname"), "seen", "tested"
+    )
+    den = fx.denominators(spark, sf).withColumn("region", F.initcap(F.lower("region")))
+    return reports, human, den
+
+
+_TITLE = "upper(region[1]) || lower(region[2:])"
+
+
+@query(
+    "x1_raw_to_panel",
+    with_sql(
+        "SELECT region, year, month, diagnosis, hum_cases, "
+        + ", ".join(f"{s}_cases::BIGINT AS {s}_cases" for s in ("catt", "cam", "goat", "shp"))
+        + ", "
+        + ", ".join(r(f"{s}_cases::DOUBLE / nullif({p}, 0)::DOUBLE * 1e6", 6, f"{s}_incidence") for s, p in POP.items())
+        + " FROM (SELECT * REPLACE ("
+        + ", ".join(f"CASE WHEN {c} {op} {limit} THEN round_even(avg({c}) OVER (), 0) ELSE {c} END AS {c}" for c, limit, op in V.OUTLIER_LIMITS)
+        + ") FROM h FULL JOIN a USING (region, year, month, diagnosis))",
+        [
+            ("titled", f"SELECT {_TITLE} AS region, year, catt_pop, cam_pop, goat_pop, sheep_pop, pop FROM den"),
+            (
+                "counted",
+                f"""SELECT {_TITLE} AS region, year(o.o_orderdate)::INT AS year, date_trunc('month', o.o_orderdate)::DATE AS month,
+                CASE WHEN o.o_orderstatus = 'O' THEN 'Lab confirmed' ELSE 'Clinically confirmed' END AS diagnosis, left(o_orderpriority, 1) AS p, o_custkey % 5 + 1 AS n, o_orderstatus
+                FROM orders o JOIN (SELECT *, n_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey) c ON o.o_custkey = c.c_custkey""",
+            ),
+            (
+                "a",
+                "SELECT c.*, catt_pop, cam_pop, goat_pop, sheep_pop FROM (SELECT region, year, month, diagnosis, "
+                + ", ".join(f"sum(n) FILTER (WHERE p = '{i}')::BIGINT AS {s}_cases" for i, s in ((1, "catt"), (2, "cam"), (3, "goat"), (4, "shp")))
+                + " FROM counted WHERE o_orderstatus <> 'P' AND p <> '5' GROUP BY ALL) c JOIN titled USING (region, year)",
+            ),
+            (
+                "h",
+                "SELECT m.region, m.year, m.month, d.diagnosis, CASE WHEN d.diagnosis = 'Lab confirmed' THEN tested ELSE seen END::DOUBLE AS hum_cases, pop FROM ("
+                "SELECT region, year, month, count(*) FILTER (WHERE o_orderstatus = 'F') AS seen, count(*) FILTER (WHERE o_orderstatus = 'O') AS tested FROM counted GROUP BY ALL) m "
+                "CROSS JOIN (VALUES ('Lab confirmed'), ('Clinically confirmed')) d(diagnosis) JOIN titled USING (region, year)",
+            ),
+        ],
+    ),
+)
+def x1(spark, sf):
+    """Raw sheets through cleaning, both panels and the base panel."""
+    reports, monthly, den = _raw_tables(spark, sf)
+    cleaned = panels.clean_reports(panels.stack_reports((reports, {c: c for c in panels.REPORT_COLUMNS})))
+    animal = panels.animal_panel(cleaned, den.drop("pop"))
+    human = panels.human_panel(monthly, den.select("region", "year", "pop"), {"Clinically confirmed": "seen", "Lab confirmed": "tested"})
+    base = panels.base_panel(human, animal)
+    counts = [F.col(c).cast("bigint") for c in ("catt_cases", "cam_cases", "goat_cases", "shp_cases")]
+    return rounded(base.select(*panels.PANEL_KEYS, F.col("hum_cases").cast("double"), *counts, *rollup.RATE_PAIRS))
