@@ -10,6 +10,7 @@ from panelspark.plans import fixture as fx
 from panelspark.plans import panels
 from panelspark.plans.oracle import CASES, POPS, RATE_EXPRS, ROUND_RATES, ols_sql, r, with_sql
 from panelspark.plans.registry import query, rounded
+from panelspark.session import materialise
 
 KEY = ["region"]
 W = "(PARTITION BY region ORDER BY month)"
@@ -291,7 +292,8 @@ _PLAIN_FC = "SELECT p.region, p.month, p.step::INT AS step, round_even(p.point,
 
 
 def _parts(spark, sf):
-    return rows.holdout(filled_series(spark, sf), KEY, "month")
+    """Train and test months, written once: both forecasts and their models read them."""
+    return materialise(rows.holdout(filled_series(spark, sf), KEY, "month"), "holdout")
 
 
 @query(
@@ -331,7 +333,7 @@ def _x_parts(spark, sf):
         F.col("hum_cases").cast("double").alias("y"),
         (F.col("catt_cases") + F.col("goat_cases") + F.col("shp_cases")).cast("double").alias("x"),
     )
-    return rows.holdout(pair, KEY, "month")
+    return materialise(rows.holdout(pair, KEY, "month"), "holdout")
 
 
 @query(
