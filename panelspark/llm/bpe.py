@@ -287,26 +287,28 @@ class Encoder:
 def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out: str = "ids", specials: bool = True) -> DataFrame:
     """``df`` with the token ids of its texts as array<int>; an existing column ``out`` is replaced."""
     held = df.sparkSession.sparkContext.broadcast(vocabulary)
+    held_text = W.fresh(df.columns)
     kept = [c for c in df.columns if c != out]
-    source = df.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    source = df.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias(held_text))
 
     def run(batches):
         encoder = Encoder(held.value, specials)
         for batch in batches:
-            rest = batch.drop_columns(["_text"])
-            for a, b, _, _ in W.slices(batch["_text"]):
-                ids, first = encoder.encode(batch["_text"].slice(a, b - a).to_pylist())
+            rest = batch.drop_columns([held_text])
+            for a, b, _, _ in W.slices(batch[held_text]):
+                ids, first = encoder.encode(batch[held_text].slice(a, b - a).to_pylist())
                 made = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*rest.slice(a, b - a).columns, made], [*rest.schema.names, out])
 
-    schema = source.drop("_text").schema.add(out, ArrayType(IntegerType()))
+    schema = source.drop(held_text).schema.add(out, ArrayType(IntegerType()))
     return source.mapInArrow(W.tidy(run), schema)
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the text of its token ids, special tokens as their content; an existing column ``out`` is replaced."""
     held = df.sparkSession.sparkContext.broadcast(vocabulary)
-    source = df.select(*[c for c in df.columns if c != out], F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("_ids"))
+    held_ids = W.fresh(df.columns, "_ids")
+    source = df.select(*[c for c in df.columns if c != out], F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias(held_ids))
 
     def text_of(vocabulary: Vocabulary, ids: pa.ListArray) -> pa.Array:
         first = np.asarray(ids.offsets).astype(np.int64)
@@ -322,10 +324,10 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out: str
 
     def run(batches):
         for batch in batches:
-            rest = batch.drop_columns(["_ids"])
+            rest = batch.drop_columns([held_ids])
             for a in range(0, batch.num_rows, 256):
-                part = batch["_ids"].slice(a, 256)
+                part = batch[held_ids].slice(a, 256)
                 made = text_of(held.value, part)
                 yield pa.RecordBatch.from_arrays([*rest.slice(a, 256).columns, made], [*rest.schema.names, out])
 
-    return source.mapInArrow(W.tidy(run), source.drop("_ids").schema.add(out, "string"))
+    return source.mapInArrow(W.tidy(run), source.drop(held_ids).schema.add(out, "string"))

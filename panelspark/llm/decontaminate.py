@@ -169,7 +169,7 @@ def _merge(old: list[dict], start: np.ndarray, end: np.ndarray) -> list[dict]:
     return [{"start": a, "end": b} for a, b in out]
 
 
-def _add_finds(df: DataFrame, phrases) -> DataFrame:
+def _add_finds(df: DataFrame, phrases, held_text: str) -> DataFrame:
     """Adds the finds of one block of items (a broadcast variable) to the columns n_words, spans and items."""
     kinds = {"n_words": pa.int64(), "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "items": pa.list_(pa.string())}
 
@@ -192,7 +192,7 @@ def _add_finds(df: DataFrame, phrases) -> DataFrame:
     def run(batches):
         held, shard = [], Shard(phrases.value)
         for batch in batches:
-            for a, b, raw, offsets in W.slices(batch["_text"]):
+            for a, b, raw, offsets in W.slices(batch[held_text]):
                 held.append(batch.slice(a, b - a))
                 shard.add(W.split(raw, offsets, W.ALNUM))
                 if shard.full():
@@ -224,17 +224,18 @@ def find(df: DataFrame, benchmark: DataFrame, text_col: str = "text", window: in
 
     Columns of these names in ``df`` are replaced.
     """
+    held_text = W.fresh(df.columns)
     kept = [c for c in df.columns if c not in ("n_words", "spans", "items")]
     at = df.select(
         *kept,
-        F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
+        F.coalesce(F.col(text_col), F.lit("")).alias(held_text),
         F.lit(0).cast("long").alias("n_words"),
         F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"),
         F.array().cast("array<string>").alias("items"),
     )
     for phrases in item_blocks(benchmark, window):
-        at = _add_finds(at, phrases)
-    return at.drop("_text")
+        at = _add_finds(at, phrases, held_text)
+    return at.drop(held_text)
 
 
 def sha256_of_items(items: list[str]) -> str:

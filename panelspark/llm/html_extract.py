@@ -199,15 +199,16 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
 def extract(df: DataFrame, html_col: str = "html", out: str = "text", sigma: float = 1.0) -> DataFrame:
     """``df`` with the main text of its pages in place of the page; an existing column ``out`` is replaced."""
     kept = [c for c in df.columns if c not in (html_col, out)]
-    source = df.select(*kept, F.col(html_col).alias("_html"))
+    held_html = W.fresh(df.columns, "_html")
+    source = df.select(*kept, F.col(html_col).alias(held_html))
 
     def run(batches):
         for batch in batches:
-            rest = batch.drop_columns(["_html"])
-            filled = pa.compute.fill_null(batch["_html"], "")
+            rest = batch.drop_columns([held_html])
+            filled = pa.compute.fill_null(batch[held_html], "")
             for a, b, _, _ in W.slices(filled, 4 << 20):
                 texts = [main_text(page, sigma) for page in filled.slice(a, b - a).to_pylist()]
                 made = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays([*rest.slice(a, b - a).columns, made], [*rest.schema.names, out])
 
-    return source.mapInArrow(W.tidy(run), source.drop("_html").schema.add(out, "string"))
+    return source.mapInArrow(W.tidy(run), source.drop(held_html).schema.add(out, "string"))

@@ -396,13 +396,14 @@ def score(df: DataFrame, trained: Trained, text_col: str = "text") -> DataFrame:
     """
     made = ["n_tokens", "n_known", "base_score", "score"]
     kept = [c for c in df.columns if c not in made]
-    source = df.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    held_text = W.fresh(df.columns)
+    source = df.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias(held_text))
 
     def run(batches):
         model = Model(trained)
         for batch in batches:
-            rest = batch.drop_columns(["_text"])
-            for a, b, raw, offsets in W.slices(batch["_text"]):
+            rest = batch.drop_columns([held_text])
+            for a, b, raw, offsets in W.slices(batch[held_text]):
                 logs, base, known, first = model.logs(W.split(raw, offsets))
                 cols = [
                     pa.array(np.diff(first)),
@@ -412,6 +413,6 @@ def score(df: DataFrame, trained: Trained, text_col: str = "text") -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays([*rest.slice(a, b - a).columns, *cols], [*rest.schema.names, *made])
 
-    schema = source.drop("_text").schema.add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double")
+    schema = source.drop(held_text).schema.add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double")
     return source.mapInArrow(W.tidy(run), schema)
 

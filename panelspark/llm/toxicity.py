@@ -319,14 +319,15 @@ def score(df: DataFrame, model: tuple[str, list[float]], text_col: str = "text",
     """``df`` with the score of its texts; an existing column ``out`` is replaced. Null texts count as empty."""
     folder, curve = model
     kept = [c for c in df.columns if c != out]
-    source = df.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    held_text = W.fresh(df.columns)
+    source = df.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias(held_text))
 
     def run(batches):
         kept_weights = Kept(Model(folder))
         beta = np.array(curve)
         for batch in batches:
-            rest = batch.drop_columns(["_text"])
-            for a, b, raw, offsets in W.slices(batch["_text"]):
+            rest = batch.drop_columns([held_text])
+            for a, b, raw, offsets in W.slices(batch[held_text]):
                 found = W.split(raw, offsets, W.ALNUM)
                 doc, word, start, end, hashes = distinct_words(found)
                 weight = kept_weights.weights(found, start, end, hashes)
@@ -334,4 +335,4 @@ def score(df: DataFrame, model: tuple[str, list[float]], text_col: str = "text",
                 p = 1 / (1 + np.exp(-np.clip(x @ beta[:-1] + beta[-1], -30, 30)))
                 yield pa.RecordBatch.from_arrays([*rest.slice(a, b - a).columns, pa.array(p)], [*rest.schema.names, out])
 
-    return source.mapInArrow(W.tidy(run), source.drop("_text").schema.add(out, "double"))
+    return source.mapInArrow(W.tidy(run), source.drop(held_text).schema.add(out, "double"))

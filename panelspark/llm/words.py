@@ -41,6 +41,14 @@ def release() -> None:
         trim(0)
 
 
+def fresh(columns: list[str], name: str = "_text") -> str:
+    """A column name that isn't taken, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit numbers that spreads every bit (the finaliser of splitmix64)."""
     x = x ^ (x >> U64(30))
