@@ -70,8 +70,14 @@ def fit_lagged(design: DataFrame, key: Sequence[str], spec: Spec) -> DataFrame:
     return both.select(*key, "lag", "n", F.inline_outer(stacked))
 
 
-def lagged_ols(df: DataFrame, order: str, spec: Spec = Spec(), key: Sequence[str] = ()) -> DataFrame:
-    return fit_lagged(lag_design(df, key, order, spec), key, spec)
+def lagged_ols(
+    df: DataFrame, order: str, spec: Spec = Spec(), key: Sequence[str] = (), shared: bool = False
+) -> DataFrame:
+    """Both specifications for every key and lag; with ``shared``, each lag on the rows that all lags have."""
+    design = lag_design(df, key, order, spec)
+    if shared:
+        design = common_sample(design, key, order, spec.lags)
+    return fit_lagged(design, key, spec)
 
 
 def fit_stats(models: DataFrame) -> DataFrame:

@@ -279,6 +279,29 @@ def o2(spark, sf):
     return rounded(ranked.select("region", "lag", "aic", "place"))
 
 
+def _shared_blocks() -> list[tuple[str, str]]:
+    """The model blocks on the months that every lag has."""
+    lags = len(SPEC.lags)
+    own = f" QUALIFY count(*) OVER (PARTITION BY region, month) = {lags}"
+    return [(name, body + own if name == "rows_ok" else body) for name, body in _models_blocks("regional_months", KEY)]
+
+
+@query(
+    "o2_rank_models_shared",
+    with_sql(
+        "SELECT region, lag, n, "
+        + r("aic")
+        + ", (row_number() OVER (PARTITION BY region ORDER BY aic, lag))::INT AS place FROM (SELECT region, lag, n, n * ln(sse / n) + 2 * (rank + 1) AS aic FROM com_fit)",
+        _shared_blocks(),
+    ),
+)
+def o2_shared(spark, sf):
+    """Ranked on one sample, so that the criteria of different lags compare."""
+    models = regression.lagged_ols(fx.regional_months(spark, sf), "month", key=KEY, shared=True)
+    stats = regression.fit_stats(models).where(F.col("model") == regression.COMBINED)
+    return rounded(regression.rank_models(stats, KEY).select("region", "lag", "n", "aic", "place"))
+
+
 # ---------------------------------------------------------------- count models
 
 _COUNT_ITERATIONS = 12
