@@ -1,6 +1,6 @@
 """Near-duplicates by SetSketch registers, verified on whole shingle sets.
 
-A text's set is that of its ``SHINGLE``-word shingles (A-Z as lower case, words apart
+A text's set is that of its shingles of ``size`` words, ``SHINGLE`` if not said (A-Z as lower case, words apart
 by white space; a text with fewer words has its whole sequence as the only one, a text
 without words has none). Texts with equal sets are one class, and all further work is
 on one representative of each class.
@@ -10,7 +10,7 @@ to powers of ``BASE``: the number of the power, between 0 and 65535. Registers o
 union are the larger ones of two sketches, so sketches can be merged, and two registers
 are equal about as often as the sets overlap. Registers are put into ``BANDS`` bands of
 ``ROWS``; texts that agree on a band share a bucket. At the similarity of 0.85 a pair
-shares no bucket in 7 of 100 million cases.
+shares no bucket in 7 of 100 million cases, at 0.8 in 15 of a million.
 
 Buckets give candidates without all their pairs as rows. Each one first tests its
 members against the smallest, and what is found is joined into components. In buckets
@@ -124,14 +124,14 @@ def likely_similarity(one: np.ndarray, two: np.ndarray, n1: np.ndarray, n2: np.n
     return (low + high) / 2
 
 
-def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, n, k1, k2, sketch) of every row: the set's size, a 128-bit hash of it and its registers (null if empty)."""
+def signatures(df: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, n, k1, k2, sketch) of every row, of shingles of ``size`` words: the set's size, a 128-bit hash of it and its registers (null if empty)."""
     source = df.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches):
         for batch in batches:
             for a, b, raw, offsets in W.slices(batch["text"]):
-                hashes, first = shingle_hashes(W.split(raw, offsets))
+                hashes, first = shingle_hashes(W.split(raw, offsets), size)
                 sizes = np.diff(first)
                 full = np.flatnonzero(sizes)
                 starts = first[:-1][full]
@@ -306,7 +306,7 @@ def find_links(table: pa.Table, bucket: int, bar: int, size: int) -> list[tuple[
             if label[k] == label[i]:
                 continue
             both = len(np.intersect1d(shingles(i), shingles(k), assume_unique=True))
-            if 100 * both >= bar * (sizes[i] + sizes[k] - both):
+            if 100 * both >= bar * (len(shingles(i)) + len(shingles(k)) - both):
                 found.append((int(docs[i]), int(docs[k])))
                 label[label == label[k]] = label[i]
     return found
@@ -315,10 +315,10 @@ def find_links(table: pa.Table, bucket: int, bar: int, size: int) -> list[tuple[
 def dedup(df: DataFrame, bar: int = 85, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``df``.
 
-    ``bar`` is the least similarity in hundredths. ``component_id`` is the smallest id
+    ``bar`` is the least similarity in hundredths, ``size`` the words of a shingle. ``component_id`` is the smallest id
     reachable by links, ``kept`` whether it is the document's own.
     """
-    signed = materialise(signatures(df, id_col, text_col), "signatures")
+    signed = materialise(signatures(df, size, id_col, text_col), "signatures")
     some = signed.where("doc IS NOT NULL AND n > 0")
     classes = some.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc", "sketch")).alias("one"))
     classes = materialise(classes.select("k1", "k2", "n", "one.doc", "one.sketch"), "classes")
