@@ -16,6 +16,8 @@ from panelspark.llm.registry import table
 from panelspark.session import materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Words of a shingle and hundredths of similarity that make near-duplicates here; op4 has its own.
+NEAR_WORDS, NEAR_BAR = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +27,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked ones; documents without an id stay."""
+    """The document with the smallest id of each group linked by a similarity of 0.8 in five-word shingles; documents without an id stay."""
     docs = docs.select(COLUMNS)
-    found = materialise(neardup.dedup(docs.select("doc_id", "text")), "near-duplicates")
+    found = materialise(neardup.dedup(docs.select("doc_id", "text"), bar=NEAR_BAR, size=NEAR_WORDS), "near-duplicates")
     gone = found.where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
     left = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
     # rows that repeat a document are the same document
