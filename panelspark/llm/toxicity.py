@@ -1,8 +1,12 @@
 """Toxicity by two class-conditional Kneser-Ney models with shared backoff counts.
 
 A model spells words (letters, digits and signs beyond ASCII; A-Z as lower case) byte
-by byte. It counts in how many texts of a class each beginning of a word occurs, up to
-``DEPTH`` bytes. The chance of the next byte after a beginning is the class's share,
+by byte to its end. It counts in how many texts of a class each beginning of a word
+occurs. A word of more than ``WHOLE`` bytes, or with characters of three bytes and more,
+as in scripts that set no spaces, has more pieces: one that begins at each of its
+characters and overlaps those before. The first piece reaches ``WHOLE`` bytes, the others
+``PIECE``; each counts as a word, so every byte is counted and scored, and an expression
+is found wherever it stands in a run. The chance of the next byte after a beginning is the class's share,
 interpolated with what both classes share: an absolutely discounted count of the same
 beginning over all texts, which backs off to the number of beginnings that the last
 ``TAIL`` bytes continue (the Kneser-Ney continuation count), and that to one in 256.
@@ -32,8 +36,8 @@ from panelspark.llm import arrays
 from panelspark.llm import words as W
 from panelspark.session import materialise, scratch_path
 
-SAMPLE = 6_000
-DEPTH, TAIL, TOP = 14, 3, 3
+SAMPLE = 10_000
+WHOLE, PIECE, TAIL, TOP = 48, 16, 3, 3
 #: Words whose weights a task keeps.
 KEPT = 200_000
 #: The counts are kept in this many parts, as a power of 2.
@@ -44,53 +48,86 @@ END = 0x00
 
 
 class Spelling:
-    """The beginnings of distinct words: ``key[w, k]`` hashes the first k bytes, ``tail`` the last TAIL bytes before byte k."""
-
-    def __init__(self, texts: list[bytes]):
-        n = len(texts)
-        grid = np.zeros((n, DEPTH), np.uint8)
-        size = np.array([min(len(t) + 1, DEPTH) for t in texts], np.int64)
-        for i, t in enumerate(texts):
-            piece = t[: DEPTH - 1] if len(t) < DEPTH else t[:DEPTH]
-            grid[i, : len(piece)] = np.frombuffer(piece, np.uint8)
-        self._spell(grid, size)
-
-    def _spell(self, grid: np.ndarray, size: np.ndarray) -> None:
-        n = len(grid)
-        self.size = size
-        self.key = np.zeros((n, DEPTH + 1), U64)
-        at = np.full(n, U64(0x51ED270B3A1F4C55))
-        self.key[:, 0] = at
-        for k in range(DEPTH):
-            at = W.mix(at * U64(0x9E3779B97F4A7C15) + grid[:, k].astype(U64) + U64(1))
-            self.key[:, k + 1] = at
-        self.grid = grid
-        self.live = np.arange(DEPTH) < size[:, None]
-        wide = np.concatenate([np.full((n, TAIL), 1, np.uint8), grid], 1).astype(U64)
-        tail = np.zeros((n, DEPTH), U64)
-        for j in range(TAIL):
-            tail = tail * U64(257) + wide[:, j : j + DEPTH] + U64(1)
+    """The beginnings of distinct pieces, one piece behind another.
+
+    ``key[first[w] + k]`` hashes the first k bytes of piece w. ``word``, ``at``, ``tail`` and ``tail_next`` are of
+    each step from a beginning to the next: its piece, the place of its first key, the TAIL bytes before, and with the next.
+    """
+
+    def __init__(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray, ended: np.ndarray):
+        size = stop - start + ended
+        n, total = len(size), int(size.sum())
+        self.first = np.append(0, np.cumsum(size + 1))
+        begin = np.cumsum(size) - size
+        self.word = np.repeat(np.arange(n), size)
+        place = np.arange(total) - begin[self.word]
+        self.at = self.first[self.word] + place
+        pos = start[self.word] + place
+        byte = np.where(pos < stop[self.word], data[np.minimum(pos, len(data) - 1)], END).astype(U64)
+        self.key = np.full(total + n, U64(0x51ED270B3A1F4C55))
+        order = np.argsort(-size, kind="stable")
+        falling = -size[order]
+        at = self.key[: len(order)]
+        for k in range(int(size.max()) if n else 0):
+            # the longest come first; those that have ended drop out
+            some = order[: np.searchsorted(falling, -k)]
+            at = W.mix(at[: len(some)] * U64(0x9E3779B97F4A7C15) + byte[begin[some] + k] + U64(1))
+            self.key[self.first[some] + k + 1] = at
+        tail = np.zeros(total, U64)
+        for back in range(TAIL, 0, -1):
+            before = np.where(place >= back, byte[np.maximum(np.arange(total) - back, 0)], U64(1)) if total else byte
+            tail = tail * U64(257) + before + U64(1)
         self.tail = W.mix(tail)
-        self.tail_next = W.mix(tail * U64(257) + grid.astype(U64) + U64(1) + (U64(1) << U64(60)))
+        self.tail_next = W.mix(tail * U64(257) + byte + U64(1) + (U64(1) << U64(60)))
 
 
-def from_spans(found: W.Words, start: np.ndarray, end: np.ndarray) -> Spelling:
-    """Spelling of the words that stand at these spans."""
-    size = np.minimum(end - start + 1, DEPTH)
-    at = start[:, None] + np.arange(DEPTH)
-    grid = np.where(at < end[:, None], found.data[np.minimum(at, len(found.data) - 1)], END).astype(np.uint8)
-    out = Spelling.__new__(Spelling)
-    out._spell(grid, size)
-    return out
+def hashed(data: np.ndarray, start: np.ndarray, stop: np.ndarray, ended: np.ndarray) -> np.ndarray:
+    """A hash of each piece; a whole word's is that of words."""
+    total, size = np.zeros(len(start), U64), stop - start
+    up, _ = W.powers(W.PIECE)
+    for k in range(int(size.max()) if len(size) else 0):
+        total += np.where(k < size, W.BYTE_NUMBERS[data[np.minimum(start + k, len(data) - 1)]] * up[k], U64(0))
+    total = W.mix(total)
+    return np.where(ended, total, W.mix(total + U64(1)))
 
 
-def distinct_words(found: W.Words) -> tuple[np.ndarray, ...]:
-    """(text, word) pairs without repeats, and a span and the hash of each distinct word."""
-    hashes, first, back = np.unique(found.hashes, return_index=True, return_inverse=True)
+def pieces(found: W.Words) -> tuple[np.ndarray, ...]:
+    """(text, start, stop, whether the end is spelled, hash) of the pieces of all words."""
+    data, start, end = found.data, found.start, found.end
     doc = np.repeat(np.arange(len(found.first) - 1), found.counts())
+    stop, ended = np.minimum(end, start + WHOLE), end - start < WHOLE
+    hashes = found.hashes
+    wide = np.append(0, np.cumsum(data >= 0xE0))
+    cut = np.flatnonzero(~ended | (wide[end] > wide[start]))
+    if not len(cut):
+        return doc, start, stop, ended, hashes
+    long = np.flatnonzero(~ended)
+    hashes = hashes.copy()
+    hashes[long] = hashed(data, start[long], stop[long], ended[long])
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[start[cut] + 1] += 1
+    inside[end[cut]] -= 1
+    more = np.flatnonzero((np.cumsum(inside[:-1], dtype=np.int8) > 0) & ((data & 0xC0) != 0x80))
+    word = np.searchsorted(start, more, side="right") - 1
+    more_stop = np.minimum(end[word], more + PIECE)
+    more_ended = end[word] - more < PIECE
+    more_hashes = np.concatenate([hashed(data, more[i], more_stop[i], more_ended[i]) for i in np.array_split(np.arange(len(more)), len(more) // 65536 + 1)])
+    return (
+        np.append(doc, doc[word]),
+        np.append(start, more),
+        np.append(stop, more_stop),
+        np.append(ended, more_ended),
+        np.append(hashes, more_hashes),
+    )
+
+
+def distinct_words(found: W.Words) -> tuple[np.ndarray, ...]:
+    """(text, word) pairs without repeats; span, whether the end is spelled, and hash of each distinct word or piece."""
+    doc, start, stop, ended, hashes = pieces(found)
+    hashes, first, back = np.unique(hashes, return_index=True, return_inverse=True)
     pair = np.unique(doc * max(1, len(hashes)) + back.reshape(-1))
     doc, word = np.divmod(pair, max(1, len(hashes)))
-    return doc, word, found.start[first], found.end[first], hashes
+    return doc, word, start[first], stop[first], ended[first], hashes
 
 
 class Model:
@@ -119,21 +156,21 @@ class Model:
 
         ``own`` takes out what one text of class ``label`` added to the counts of each beginning.
         """
-        n = len(spelled.key)
+        n = len(spelled.first) - 1
         if n == 0:
             return np.zeros(0)
         counts = self.counts("keys", spelled.key)
         if own is not None:
-            counts[:, :, label] = np.maximum(counts[:, :, label] - own, 0)
-        before, after = counts[:, :-1], counts[:, 1:]
-        total, kinds = np.moveaxis(self.counts("tails", spelled.tail), 2, 0)
-        times = self.counts("tails", spelled.tail_next)[:, :, 0]
+            counts[:, label] = np.maximum(counts[:, label] - own, 0)
+        before, after = counts[spelled.at], counts[spelled.at + 1]
+        total, kinds = self.counts("tails", spelled.tail).T
+        times = self.counts("tails", spelled.tail_next)[:, 0]
         low = np.where(total > 0, (np.maximum(times - DISCOUNT, 0) + DISCOUNT * kinds / 256) / np.maximum(total, 1), 1 / 256)
-        all_before, all_after = before[:, :, :2].sum(2), after[:, :, :2].sum(2)
-        shared = (np.maximum(all_after - DISCOUNT, 0) + DISCOUNT * np.maximum(before[:, :, 2], 1) * low) / np.maximum(all_before, DISCOUNT)
+        all_before, all_after = before[:, :2].sum(1), after[:, :2].sum(1)
+        shared = (np.maximum(all_after - DISCOUNT, 0) + DISCOUNT * np.maximum(before[:, 2], 1) * low) / np.maximum(all_before, DISCOUNT)
         shared = np.where(all_before > 0, np.maximum(shared, 1e-12), low)
-        chance = (after[:, :, :2] + PRIOR * shared[:, :, None]) / (before[:, :, :2] + PRIOR)
-        return (np.where(spelled.live, np.log(chance[:, :, 1]) - np.log(chance[:, :, 0]), 0)).sum(1)
+        chance = (after[:, :2] + PRIOR * shared[:, None]) / (before[:, :2] + PRIOR)
+        return np.bincount(spelled.word, np.log(chance[:, 1]) - np.log(chance[:, 0]), n)
 
 
 class Kept:
@@ -143,7 +180,7 @@ class Kept:
         self.model = model
         self.old = self.new = (np.zeros(0, U64), np.zeros(0))
 
-    def weights(self, found: W.Words, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    def weights(self, found: W.Words, start: np.ndarray, stop: np.ndarray, ended: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         out, open_ = np.zeros(len(hashes)), np.ones(len(hashes), bool)
         for keys, values in (self.old, self.new):
             at = arrays.find(keys, hashes)
@@ -151,7 +188,7 @@ class Kept:
             out[hit], open_[hit] = values[at[hit]], False
         todo = np.flatnonzero(open_)
         if len(todo):
-            made = [self.model.weights(from_spans(found, start[i], end[i])) for i in np.array_split(todo, -(-len(todo) // 4096))]
+            made = [self.model.weights(Spelling(found.data, start[i], stop[i], ended[i])) for i in np.array_split(todo, -(-len(todo) // 4096))]
             out[todo] = np.concatenate(made)
             self.new = self._joined(self.new, (hashes[todo], out[todo]))
             if 4 * len(self.new[0]) > len(self.old[0]):
@@ -206,12 +243,11 @@ def _beginnings(sample: DataFrame) -> DataFrame:
             label = np.asarray(batch["label"])
             for a, b, raw, offsets in W.slices(batch["text"]):
                 found = W.split(raw, offsets, W.ALNUM)
-                doc, word, start, end, _ = distinct_words(found)
-                spelled = from_spans(found, start, end)
+                doc, word, start, stop, ended, _ = distinct_words(found)
+                spelled = Spelling(found.data, start, stop, ended)
                 times = np.stack([np.bincount(word[label[a:b][doc] == y], minlength=len(start)) for y in (0, 1)])
-                live = np.column_stack([np.ones(len(start), bool), spelled.live])
-                keys, back = np.unique(spelled.key[live], return_inverse=True)
-                w = np.nonzero(live)[0]
+                keys, back = np.unique(spelled.key, return_inverse=True)
+                w = np.repeat(np.arange(len(start)), np.diff(spelled.first))
                 c = [np.bincount(back.reshape(-1), t[w], len(keys)).astype(np.int64) for t in times]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(c[0]), pa.array(c[1])], ["key", "c0", "c1"])
 
@@ -226,9 +262,9 @@ def _steps(sample: DataFrame) -> DataFrame:
         for batch in batches:
             for _, _, raw, offsets in W.slices(batch["text"]):
                 found = W.split(raw, offsets, W.ALNUM)
-                _, _, start, end, _ = distinct_words(found)
-                s = from_spans(found, start, end)
-                rows = np.unique(np.stack([s.key[:, :-1][s.live], s.key[:, 1:][s.live], s.tail[s.live], s.tail_next[s.live]], 1), axis=0)
+                _, _, start, stop, ended, _ = distinct_words(found)
+                s = Spelling(found.data, start, stop, ended)
+                rows = np.unique(np.stack([s.key[s.at], s.key[s.at + 1], s.tail, s.tail_next], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in np.ascontiguousarray(rows.T)], ["before", "after", "tail", "next"])
 
     return sample.mapInArrow(W.tidy(run), "before long, after long, tail long, next long").distinct()
@@ -295,11 +331,10 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, sa
             out, label = [], np.asarray(batch["label"])
             for i in range(batch.num_rows):
                 found = W.split(*W.buffers(batch["text"].slice(i, 1)), W.ALNUM)
-                _, _, start, end, _ = distinct_words(found)
-                spelled = from_spans(found, start, end)
-                live = np.column_stack([np.ones(len(start), bool), spelled.live])
-                _, back, times = np.unique(np.where(live, spelled.key, 0), return_inverse=True, return_counts=True)
-                weight = model.weights(spelled, times[back.reshape(spelled.key.shape)], int(label[i]))
+                _, _, start, stop, ended, _ = distinct_words(found)
+                spelled = Spelling(found.data, start, stop, ended)
+                _, back, times = np.unique(spelled.key, return_inverse=True, return_counts=True)
+                weight = model.weights(spelled, times[back.reshape(-1)], int(label[i]))
                 out.append(features(strongest(np.zeros(len(weight), np.int64), weight, 1))[0])
             cols = np.array(out).reshape(-1, TOP).T
             yield pa.RecordBatch.from_arrays([batch["label"], *(pa.array(c) for c in cols)], ["label", *(f"x{k}" for k in range(TOP))])
@@ -329,8 +364,8 @@ def score(df: DataFrame, model: tuple[str, list[float]], text_col: str = "text",
             rest = batch.drop_columns([held_text])
             for a, b, raw, offsets in W.slices(batch[held_text]):
                 found = W.split(raw, offsets, W.ALNUM)
-                doc, word, start, end, hashes = distinct_words(found)
-                weight = kept_weights.weights(found, start, end, hashes)
+                doc, word, start, stop, ended, hashes = distinct_words(found)
+                weight = kept_weights.weights(found, start, stop, ended, hashes)
                 x = features(strongest(doc, weight[word], b - a))
                 p = 1 / (1 + np.exp(-np.clip(x @ beta[:-1] + beta[-1], -30, 30)))
                 yield pa.RecordBatch.from_arrays([*rest.slice(a, b - a).columns, pa.array(p)], [*rest.schema.names, out])
