@@ -38,12 +38,12 @@ PART, QUERY_BLOCK = 4096, 1024
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vec) of the rows that take part."""
+    """The distinct (id, vec) of the rows that take part."""
     vec = F.col(vec_col).cast("array<double>")
     fine = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec, lambda x: x != 0)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.when(fine, vec).alias("vec")).where("id IS NOT NULL AND vec IS NOT NULL")
     sizes = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("vec") == (sizes["d"] if sizes else 0))
+    return rows.where(F.size("vec") == (sizes["d"] if sizes else 0)).distinct()
 
 
 def matrix(column) -> np.ndarray:
@@ -180,7 +180,7 @@ def nearest(
     empty = "query_id long, rank int, vec_id long, score double"
     if not total:
         return spark.createDataFrame([], empty)
-    draw = F.shiftrightunsigned(F.xxhash64("id", F.lit("sample")), 11) / F.lit(float(2**53))
+    draw = F.shiftrightunsigned(F.xxhash64("id", "vec", F.lit("sample")), 11) / F.lit(float(2**53))
     # the expected number is the bound; a fifth more is never met by chance
     picked = rows.where(draw < sample / total).select("vec").limit(sample * 6 // 5).toArrow()
     points = matrix(picked["vec"])
@@ -221,7 +221,10 @@ def nearest(
             for q, vec in zip(np.asarray(wanted["id"]).tolist(), x):
                 gap = np.sqrt(((y - vec) ** 2).sum(1))
                 own = np.flatnonzero(ids != q)
-                best = own[np.lexsort((ids[own], gap[own]))[: 2 * k]]
+                # the nearest row of each id
+                own = own[np.lexsort((gap[own], ids[own]))]
+                own = own[np.append(True, ids[own][1:] != ids[own][:-1])] if len(own) else own
+                best = own[np.lexsort((ids[own], gap[own]))[:k]]
                 out["query_id"] += [q] * len(best)
                 out["vec_id"] += ids[best].tolist()
                 out["score"] += gap[best].tolist()
