@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from test_neardup import brute
+from test_neardup_sizes import groups
 
 import corpus_pipeline as P
 from panelspark.llm import queries
@@ -42,7 +42,7 @@ def test_toxicity(stages):
 
 def test_near_duplicates(stages):
     before, after = map(rows, stages[1])
-    want = brute([(d, r["text"]) for d, r in before.items()])
+    want = groups([(d, r["text"]) for d, r in before.items()], P.NEAR_BAR, P.NEAR_WORDS)
     assert set(after) == {d for d, (_, c) in want.items() if c == d}
     assert all(after[d] == before[d] for d in after)
 
