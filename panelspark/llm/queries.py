@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from panelspark.llm import ann, bpe, chat, decontaminate, html_extract, language_model, licenses, neardup, sharding, toxicity
+from panelspark.llm import ann, bpe, chat, decontaminate, fill_middle, html_extract, language_model, licenses, neardup, sharding, toxicity
 from panelspark.llm.registry import query, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -197,3 +197,40 @@ def op10(spark, sf):
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
+
+
+@query(
+    "op12_swar_fill_middle",
+    r"""
+    WITH d AS (
+      SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+        sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+    ), g AS (
+      SELECT doc_id, text, u, CAST(len(u) AS BIGINT) AS n, list_transform(range(0, 4), lambda i: CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT)) AS h FROM d
+    ), c AS (
+      SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+        CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+          WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g
+    ), p AS (
+      SELECT *, array_to_string(u[1 : a], '') AS prefix, array_to_string(u[a + 1 : b], '') AS middle, array_to_string(u[b + 1 : n], '') AS suffix FROM c
+    )
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+      CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+      sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+      sha256(text) AS restored_sha256
+    FROM p
+    """,
+)
+def op12(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    made = fill_middle.restore(fill_middle.transform(docs).drop("text"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        F.length("prefix").cast("long").alias("prefix_chars"),
+        F.length("middle").cast("long").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"),
+    )
