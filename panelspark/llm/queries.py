@@ -5,8 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from panelspark.llm import ann, bpe, chat, decontaminate, fill_middle, html_extract, language_model, licenses, neardup, sharding, toxicity
+from panelspark.llm import ann, bpe, chat, decontaminate, fill_middle, html_extract, language_model, licenses, neardup, sharding, toxicity, vector_codes
 from panelspark.llm.registry import query, table
+from panelspark.operators.joins import beside
+from panelspark.session import materialise
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 SHARDS = sharding.uniform_tree(4, 2, 5)
@@ -234,3 +236,41 @@ def op12(spark, sf):
         F.sha2("output", 256).alias("output_sha256"),
         F.sha2("restored", 256).alias("restored_sha256"),
     )
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    near = """n{i} AS MATERIALIZED (
+      SELECT vec_id, label, part, min_by(entry, (d, entry)) AS entry, min(d) AS error FROM (
+        SELECT v.vec_id, v.label, v.part, b.entry, sum((v.x - b.x) * (v.x - b.x)) AS d FROM v JOIN b{i} b ON v.part = b.part AND v.pos = b.pos
+        GROUP BY v.vec_id, v.label, v.part, b.entry) GROUP BY vec_id, label, part
+    )"""
+    move = """b{j} AS MATERIALIZED (
+      SELECT b.part, b.entry, b.pos, coalesce(m.x, b.x) AS x FROM b{i} b LEFT JOIN (
+        SELECT v.part, n.entry, v.pos, CAST(floor(sum(v.x) / count(*)) AS BIGINT) AS x FROM v JOIN n{i} n ON v.vec_id = n.vec_id AND v.part = n.part
+        GROUP BY v.part, n.entry, v.pos) m ON b.part = m.part AND b.entry = m.entry AND b.pos = m.pos
+    )"""
+    steps = ", ".join(near.format(i=i) + ", " + move.format(i=i, j=i + 1) for i in range(rounds))
+    return f"""
+    WITH k AS (
+      SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM embeddings
+      WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), u AS (
+      SELECT vec_id, label, entry, len(embedding) // {parts} AS width, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS i FROM k
+    ), v AS MATERIALIZED (
+      SELECT vec_id, label, entry, i // width AS part, i % width AS pos, CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM u
+    ), b0 AS MATERIALIZED (SELECT part, entry, pos, x FROM v WHERE entry < {entries}), {steps}, {near.format(i=rounds)},
+    s AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM b{rounds}),
+    c AS (
+      SELECT vec_id, label, string_agg(lower(lpad(to_hex(entry), 2, '0')), '' ORDER BY part) AS code, CAST(sum(error) AS BIGINT) AS error
+      FROM n{rounds} GROUP BY vec_id, label
+    )
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c, s
+    """
+
+
+@query("op13_anchor_codes", _codes_sql())
+def op13(spark, sf):
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    coded, made = vector_codes.encode(vectors)
+    totals = beside(materialise(coded, "vector-codes"), ["label"], {"label_error": F.sum("error")})
+    return totals.select("vec_id", "code", "error", "label_error", F.lit(made.sha256()).alias("codebooks_sha256"))
