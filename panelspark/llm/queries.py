@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from panelspark.llm import ann, bpe, chat, decontaminate, fill_middle, html_extract, language_model, licenses, neardup, sharding, toxicity, vector_codes
+from panelspark.llm import ann, bpe, chat, decontaminate, fill_middle, html_extract, language_model, licenses, neardup, packing, sharding, toxicity, vector_codes
 from panelspark.llm.registry import query, table
 from panelspark.operators.joins import beside
 from panelspark.session import materialise
@@ -274,3 +274,11 @@ def op13(spark, sf):
     coded, made = vector_codes.encode(vectors)
     totals = beside(materialise(coded, "vector-codes"), ["label"], {"label_error": F.sum("error")})
     return totals.select("vec_id", "code", "error", "label_error", F.lit(made.sha256()).alias("codebooks_sha256"))
+
+
+@query("op11_bin_slack_packing")
+def op11(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    cut = packing.pieces(docs, bpe.Vocabulary(BYTE_BPE), ids=None, crc="ids_crc32")
+    packed = packing.pack(cut)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
