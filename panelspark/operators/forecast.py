@@ -1,18 +1,24 @@
 """Autoregressive forecasts for any number of series in one job.
 
 Order selection, coefficients, forecasts and interval widths of a series are
-columns of one row, so there is no job per series, per order or per step. The
+columns of one row, so there is no job per series, per order or per step. In ``fit_ar`` the
 candidate orders are nested: one cross-product aggregate and one factorisation give
-the residual sum of squares of each of them.
+the residual sum of squares of each of them. ``fit_ar_errors`` is a regression with
+autoregressive errors by exact likelihood: one aggregate gives each series' sums of
+products, and batches of them are fitted together (``functions.ar_likelihood``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
+from panelspark.functions import ar_likelihood
 from panelspark.functions.linalg import add_steps, back_steps, factor_steps, intercept_text, normal_equations
 from panelspark.operators.joins import join_same
 from panelspark.operators.regression import accuracy
@@ -50,18 +56,15 @@ def fit_ar(
     y: str = "value",
     max_p: int = 5,
     d: int = 0,
-    xreg: str | None = None,
 ) -> DataFrame:
     """Least-squares autoregression per series, order 0 to ``max_p`` by AIC on a common sample.
 
     The model table has, per key: n, p, intercept, phi (array of ``max_p``, zeros
-    above p), beta (regressor slope), sigma2, aic, and the state forecasts start from:
-    last month, last level, last values of the target (newest first), last regressor.
+    above p), beta (0: no regressor), sigma2, aic, and the state forecasts start from:
+    last month, last level, last values of the target (newest first).
     """
-    design = ar_design(df, key, month, y, max_p, d, xreg)
-    lags = _lag_names(max_p)
-    xs = (["_x"] if xreg else []) + lags
-    first = len(xs) - max_p
+    design = ar_design(df, key, month, y, max_p, d)
+    lags = xs = _lag_names(max_p)
     k = len(xs)
 
     state = F.struct(
@@ -78,28 +81,25 @@ def fit_ar(
     for size in range(k + 1):
         if size:
             sse = f"{sse} - _z{size - 1} * _z{size - 1}"
-        if size >= first:
-            aic = (
-                f"CASE WHEN n > {size + 1} THEN n * ln(try_divide(greatest({sse}, _syy * 1e-15D), CAST(n AS DOUBLE)))"
-                f" + {2.0 * (size + 2)}D END"
-            )
-            paths.append(
-                f"named_struct('aic', coalesce({aic}, DOUBLE('Infinity')), 'p', {size - first}, 'sse', greatest({sse}, 0D))"
-            )
+        aic = (
+            f"CASE WHEN n > {size + 1} THEN n * ln(try_divide(greatest({sse}, _syy * 1e-15D), CAST(n AS DOUBLE)))"
+            f" + {2.0 * (size + 2)}D END"
+        )
+        paths.append(f"named_struct('aic', coalesce({aic}, DOUBLE('Infinity')), 'p', {size}, 'sse', greatest({sse}, 0D))")
     steps = factor_steps(k)
     steps["_best"] = f"array_min(array({', '.join(paths)}))"
     steps["_p"] = "_best.p"
-    steps |= back_steps(k, keep=lambda j: "true" if j < first else f"{j - first} < _p")
+    steps |= back_steps(k, keep=lambda j: f"{j} < _p")
     ne = add_steps(ne, steps)
-    free = F.col("n") - F.col("_best.p") - F.lit(first + 1)
+    free = F.col("n") - F.col("_best.p") - F.lit(1)
     return ne.select(
         *key,
         "n",
         F.col("_best.p").alias("p"),
         F.lit(d).alias("d"),
         F.expr(intercept_text(k)).alias("intercept"),
-        F.array(*[F.col(f"_b{first + j}") for j in range(max_p)]).alias("phi"),
-        (F.col("_b0") if xreg else F.lit(0.0)).alias("beta"),
+        F.array(*[F.col(f"_b{j}") for j in range(max_p)]).alias("phi"),
+        F.lit(0.0).alias("beta"),
         F.try_divide(F.col("_best.sse"), F.when(free > 0, free)).alias("sigma2"),
         F.when(F.col("_best.aic") < F.lit(float("inf")), F.col("_best.aic")).alias("aic"),
         F.col("_state.last_month").alias("last_month"),
@@ -108,6 +108,114 @@ def fit_ar(
     )
 
 
+def _products(
+    df: DataFrame, key: Sequence[str], month: str, y: str, xreg: str | None, size: int, d: int
+) -> DataFrame:
+    """Per series: n, means, sums of centred products at lags below ``size``, the outermost values at both ends, and the last month, level and regressor."""
+    w = series_window(key, month)
+    x = F.col(xreg).cast("double") if xreg else F.lit(0.0)
+    rows = df.select(*key, month, F.col(y).cast("double").alias("_v"), x.alias("_r")).dropna(subset=["_v", "_r"])
+    target = {"_y": "_v", "_x": "_r"}
+    rows = rows.withColumns({new: F.col(old) - F.lag(old, 1).over(w) if d else F.col(old) for new, old in target.items()})
+    rows = rows.where(F.col("_y").isNotNull())
+    whole = Window.partitionBy(*key)
+    rows = rows.withColumns(
+        {
+            "_t": F.row_number().over(w),
+            "_n": F.count(F.lit(1)).over(whole),
+            "_my": F.avg("_y").over(whole),
+            "_mx": F.avg("_x").over(whole),
+        }
+    ).withColumns({"_y": F.col("_y") - F.col("_my"), "_x": F.col("_x") - F.col("_mx")})
+    pairs = [(a, b, h) for a in ("_y", "_x") for b in ("_y", "_x") for h in range(size)]
+    names = {(a, h): f"{a}{h}" for a, _, h in pairs}
+    rows = rows.withColumns({name: F.lag(a, h).over(w) if h else F.col(a) for (a, h), name in names.items()})
+    sums = F.array(*[F.coalesce(F.sum(F.col(names[a, h]) * F.col(b)), F.lit(0.0)) for a, b, h in pairs])
+    outer = F.when((F.col("_t") <= size) | (F.col("_t") > F.col("_n") - size), F.struct("_t", "_y", "_x"))
+    return rows.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max("_my").alias("_my"),
+        F.max("_mx").alias("_mx"),
+        sums.alias("_sums"),
+        F.collect_list(outer).alias("_ends"),
+        F.max_by(F.struct(F.col(month).alias("last_month"), F.col("_v").alias("last_level"), F.col("_r").alias("last_x")), month).alias("_last"),
+    )
+
+
+def fit_ar_errors(
+    df: DataFrame,
+    key: Sequence[str],
+    month: str = "month",
+    y: str = "value",
+    xreg: str | None = None,
+    max_p: int = 5,
+    d: int = 0,
+    steps: int = 100,
+    tolerance: float = 1e-9,
+) -> DataFrame:
+    """Regression of ``y`` on ``xreg`` with autoregressive errors, exact likelihood, order 0 to ``max_p`` by AIC.
+
+    The model table is that of ``fit_ar`` with the regressor's slope ``beta`` and two columns more:
+    ``passes`` that changed a slope or partial autocorrelation by more than ``tolerance``,
+    and ``converged``, whether the last of the ``steps`` passes did not. ``recent`` and ``intercept`` are those of the series
+    less beta times the regressor. All orders use the same months, those without a null. A regressor that never
+    varies has slope 0; a series too short for any order has its mean for a forecast and no AIC.
+    """
+    if d not in (0, 1):
+        raise ValueError("d is 0 or 1")
+    size = max_p + 1
+    stats = _products(df, key, month, y, xreg, size, d)
+    numbers = ["n", "_my", "_mx"]
+    kept = [*key, "_last"]
+
+    def solve(batch: pa.RecordBatch) -> list[pa.Array]:
+        rows = batch.num_rows
+        n, my, mx = (batch[c].to_numpy(zero_copy_only=False) for c in numbers)
+        sums = batch["_sums"].flatten().to_numpy().reshape(rows, 2, 2, size)
+        products = {(a, b): sums[:, i, j] for i, a in enumerate("yx") for j, b in enumerate("yx")}
+        ends = batch["_ends"].flatten()
+        row = np.repeat(np.arange(rows), np.diff(batch["_ends"].offsets.to_numpy()))
+        t = ends.field("_t").to_numpy() - 1
+        back = n[row] - 1 - t
+        first, last = ({a: np.zeros((rows, size)) for a in "yx"} for _ in range(2))
+        for a in "yx":
+            value = ends.field(f"_{a}").to_numpy()
+            first[a][row[t < size], t[t < size]] = value[t < size]
+            last[a][row[back < size], back[back < size]] = value[back < size]
+        made = ar_likelihood.best_order(
+            ar_likelihood.product_sums(products, first, last, n), n, max_p, xreg is not None, steps, tolerance
+        )
+        beta = made["beta"]
+        level = made["c"] + my - beta * mx
+        recent = last["y"] + my[:, None] - beta[:, None] * (last["x"] + mx[:, None])
+        free = n - made["p"] - (2 if xreg else 1)
+        sigma2 = made["sse"] / np.where(free > 0, free, 1)
+        lists = lambda m: pa.ListArray.from_arrays(np.arange(rows + 1, dtype=np.int32) * max_p, m[:, :max_p].reshape(-1))
+        return [
+            pa.array(made["p"].astype(np.int32)),
+            pa.array(level * (1 - made["phi"].sum(1))),
+            lists(made["phi"]),
+            pa.array(beta),
+            pa.array(sigma2, mask=free <= 0),
+            pa.array(made["aic"], mask=~np.isfinite(made["aic"])),
+            lists(recent),
+            pa.array(made["used"]),
+            pa.array(made["converged"]),
+        ]
+
+    names = ["p", "intercept", "phi", "beta", "sigma2", "aic", "recent", "passes", "converged"]
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.select([*kept, "n"]).columns, *solve(batch)], [*kept, "n", *names])
+
+    schema = stats.select(*kept, "n").schema
+    for name, kind in zip(names, ["int", "double", "array<double>", "double", "double", "double", "array<double>", "long", "boolean"]):
+        schema = schema.add(name, DataType.fromDDL(kind))
+    return stats.mapInArrow(run, schema).select(*key, "n", "p", F.lit(d).alias("d"), *names[1:6], "_last.*", *names[6:])
+
+
 def _weighted(phi: Column, newest_first: Column, max_p: int) -> Column:
     out = F.lit(0.0)
     for j in range(1, max_p + 1):
@@ -124,12 +232,13 @@ def forecast(
     month: str = "month",
     xreg: str | None = None,
     d: int = 0,
-    last_x: str | None = None,
+    last_x: str = "last_x",
 ) -> DataFrame:
     """Point forecasts with 80 % and 95 % limits by step.
 
     Without ``future`` the months after the last one are forecast. With it, its
     months (and regressor values) are; a series' future is one array in its row.
+    The recursion is that of the series less beta times the regressor, which is added to each point.
     Interval widths come from the cumulated squares of the moving-average weights.
     """
     rows = models
@@ -141,7 +250,7 @@ def forecast(
         if xreg:
             rows = rows.withColumn("_xs", F.col("_ahead")["_x"])
             if d:
-                start = F.col(last_x) if last_x else F.lit(None).cast("double")
+                start = F.col(last_x)
                 rows = rows.withColumn(
                     "_xs",
                     F.zip_with(
@@ -169,9 +278,8 @@ def forecast(
 
     def step(acc: Column, i: Column) -> Column:
         value = F.col("intercept") + _weighted(F.col("phi"), acc["recent"], max_p)
-        if xreg:
-            value = value + F.col("beta") * F.element_at(F.col("_xs"), i)
-        point = acc["level"] + value if d else value
+        shown = value + F.col("beta") * F.element_at(F.col("_xs"), i) if xreg else value
+        point = acc["level"] + shown if d else shown
         # weights of the next step; on differences the weights accumulate
         psi = _weighted(F.col("phi"), acc["psi"], max_p)
         weight = acc["weight"] + psi if d else psi
@@ -219,6 +327,9 @@ def fitted_values(
 ) -> DataFrame:
     """Fitted value and residual per training month, on the scale of ``y``."""
     design = ar_design(df, key, month, y, max_p, d, xreg)
+    if xreg:
+        w = series_window(key, month)
+        design = design.withColumns({f"_x{j}": F.lag("_x", j).over(w) for j in range(1, max_p + 1)})
     sides = models.select(*key, "intercept", "phi", "beta")
     if key:
         rows = join_same(design, sides, list(key))
@@ -227,7 +338,8 @@ def fitted_values(
         rows = design.withColumn("_one", one).select("*", "_one.*")
     value = F.col("_before") + F.col("intercept")
     for j, name in enumerate(_lag_names(max_p), 1):
-        value = value + F.element_at("phi", j) * F.col(name)
+        earlier = F.col(name) - F.col("beta") * F.col(f"_x{j}") if xreg else F.col(name)
+        value = value + F.element_at("phi", j) * earlier
     if xreg:
         value = value + F.col("beta") * F.col("_x")
     return rows.select(*key, month, F.col("_v").alias(y), value.alias("fitted")).withColumn(
@@ -268,14 +380,14 @@ def arx_forecast(
     max_p: int = 5,
     lag_test: bool = True,
 ) -> DataFrame:
-    """Hold-out forecasts with the lagged regressor, all lags in one job.
+    """Hold-out forecasts with the lagged regressor and autoregressive errors, all lags in one job.
 
     ``parts`` comes from ``rows.holdout``. Rows: key, lag, month, step, forecast,
     limits and the actual value; the point forecast is rounded to 3 decimals.
     """
     stacked = xreg_lags(parts, key, month, y, xreg, lags, lag_test)
     keys = [*key, "lag"]
-    models = fit_ar(stacked.where(F.col("part") == "train"), keys, month, y, max_p, 0, "_xlag")
+    models = fit_ar_errors(stacked.where(F.col("part") == "train"), keys, month, y, "_xlag", max_p)
     test = stacked.where(F.col("part") == "test")
     paths = forecast(models, keys, max_p, future=test, month=month, xreg="_xlag")
     return join_same(paths, test.select(*keys, month, F.col(y).alias("actual")), [*keys, month]).withColumn(
@@ -284,11 +396,11 @@ def arx_forecast(
 
 
 def ar_forecast(
-    parts: DataFrame, key: Sequence[str], month: str, y: str, max_p: int = 5, d: int = 0
+    parts: DataFrame, key: Sequence[str], month: str, y: str, max_p: int = 5, d: int = 0, exact: bool = False
 ) -> DataFrame:
-    """Hold-out forecasts of the series from its own past."""
+    """Hold-out forecasts of the series from its own past; ``exact``: by likelihood, as with a regressor."""
     train, test = parts.where(F.col("part") == "train"), parts.where(F.col("part") == "test")
-    models = fit_ar(train, key, month, y, max_p, d)
+    models = fit_ar_errors(train, key, month, y, None, max_p, d) if exact else fit_ar(train, key, month, y, max_p, d)
     paths = forecast(models, key, max_p, future=test.select(*key, month), month=month, d=d)
     return join_same(paths, test.select(*key, month, F.col(y).alias("actual")), [*key, month]).withColumn(
         "forecast", F.bround("forecast", 3)

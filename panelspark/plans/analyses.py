@@ -76,10 +76,10 @@ def forecasts(
     built = series.series_build(monthly, [])
     past, future = rows.date_cutoff(built, "month", history_end), rows.date_cutoff(built, "month", history_end, after=True)
     parts = rows.holdout(past, [], "month")
-    plain = forecast.ar_forecast(parts, [], "month", "hum_incidence", max_p)
+    plain = forecast.ar_forecast(parts, [], "month", "hum_incidence", max_p, exact=True)
     with_x = forecast.arx_forecast(parts, [], "month", "hum_incidence", "animal_incidence", lags, max_p)
     train = parts.where(F.col("part") == "train")
-    full = forecast.fit_ar(past, [], y="hum_incidence", max_p=max_p)
+    full = forecast.fit_ar_errors(past, [], y="hum_incidence", max_p=max_p)
     fitted = forecast.fitted_values(past, full, [], max_p, y="hum_incidence")
     return {
         "decomposed": series.decompose(built, [], value="hum_incidence"),
