@@ -1,6 +1,7 @@
 """Best-fit packing by minimum bin slack.
 
-``pieces`` encodes whole texts, ends each document with one id and cuts those beyond the
+``pieces`` encodes whole texts (by the tiktoken library with the tokens of the tokenizer file; the tests hold
+its ids against the tokenizers library), ends each document with one id and cuts those beyond the
 capacity into full pieces, the first of which may be shorter. ``pack`` puts pieces into
 sequences of at most ``capacity`` tokens, as few as it can. ``sequences`` writes them out.
 
@@ -32,6 +33,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -45,6 +47,14 @@ CELL = 2_000
 SLACKS = (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48)
 
 
+def encoding(vocabulary: bpe.Vocabulary) -> tiktoken.Encoding:
+    """The vocabulary as ranks; that is the same encoding where ids ascend with the merges and every token is what its own bytes merge into."""
+    if not (vocabulary.alone.all() and (np.diff(vocabulary.ids[256:]) > 0).all()):
+        raise ValueError("the merges of this vocabulary are not ranks of its tokens")
+    ranks = dict(zip(vocabulary.bytes, vocabulary.ids.tolist()))
+    return tiktoken.Encoding("ranks", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens=vocabulary.specials)
+
+
 def cuts(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, number, start, length) of every piece of documents of these sizes; only the first may be shorter."""
     count = -(-sizes // capacity)
@@ -72,13 +82,12 @@ def pieces(
     source = df.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias(held_text))
 
     def run(batches):
-        encoder = bpe.Encoder(held.value)
+        encode, tail = encoding(held.value).encode_to_numpy, np.array([end], np.uint32)
         for batch in batches:
             for a, b, _, _ in W.slices(batch[held_text]):
-                flat, first = encoder.encode(batch[held_text].slice(a, b - a).to_pylist())
-                # the end id behind each document
-                flat = np.insert(flat, first[1:], end)
-                sizes = np.diff(first) + 1
+                encoded = [encode(t, allowed_special="all") for t in batch[held_text].slice(a, b - a).to_pylist()]
+                flat = np.concatenate([x for ids_of in encoded for x in (ids_of, tail)])
+                sizes = np.array([len(x) + 1 for x in encoded])
                 begin = np.cumsum(sizes) - sizes
                 document, number, start, length = cuts(sizes, capacity)
                 at = begin[document] + start

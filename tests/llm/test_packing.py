@@ -70,6 +70,17 @@ def test_query(spark, tokenizer):
     assert check_bins(got, 1024) <= min(-(-sum(lengths) // 1024) + 1, best_fit_decreasing(lengths, 1024))
 
 
+def test_ids_are_those_of_the_tokenizers_library(tokenizer):
+    encode = packing.encoding(bpe.Vocabulary(FILE)).encode_to_numpy
+    rnd = random.Random(9)
+    signs = ["a", "e", "t", " ", "  ", "\n", "1", "'s", "'", "é", "日", "\U0001f600", ".", "ing", "<|endoftext|>", "\u3000", "\u0308"]
+    texts = ["".join(rnd.choice(signs) for _ in range(rnd.randrange(60))) for _ in range(3000)]
+    texts += ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randrange(1, 25))) for _ in range(3000)]
+    texts += ["a" * 50_000, " " * 50_000 + "x", "\n " * 20_000, "日本" * 20_000, "!?" * 20_000]
+    for t in texts:
+        assert encode(t, allowed_special="all").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_sequences_hold_the_documents(spark, tokenizer):
     rows = [(1, "a few words"), (2, None), (3, ""), (4, "long " * 100), (None, "no id"), (5, "<|endoftext|>x"), (5, "<|endoftext|>x")]
     df = spark.createDataFrame([(d, t, 7, "k") for d, t in rows], "doc_id long, text string, piece int, _text string")
