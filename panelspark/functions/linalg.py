@@ -68,6 +68,50 @@ def normal_equations(
     return moments.selectExpr(*[f"`{c}`" for c in kept], *[f"{text} AS {name}" for name, text in scaled.items()])
 
 
+def weighted_equations(
+    df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str], w: str, extra: Sequence[Column] = ()
+) -> DataFrame:
+    """``normal_equations`` with a weight a row: also ``_w``, the sum of weights. One pass over plain sums; rows must be complete."""
+    made = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *weighted_sums([*xs, y], w), *extra)
+    return add_centred(made, len(xs))
+
+
+def weighted_sums(cols: Sequence[str], w: str) -> list[Column]:
+    """Sums of the weight (``_w``), of each column (``_t``) and of each product of two (``_q``)."""
+    sums = [f"sum({w}) AS _w"] + [f"sum({w} * {c}) AS _t{i}" for i, c in enumerate(cols)]
+    sums += [f"sum({w} * {a} * {cols[j]}) AS _q{j}_{i}" for i, a in enumerate(cols) for j in range(i, len(cols))]
+    return [F.expr(a) for a in sums]
+
+
+def add_centred(sums: DataFrame, k: int) -> DataFrame:
+    """Weighted sums ``_w``, ``_t``, ``_q`` (predictors first, then the target) as means and centred cross products."""
+    mean = lambda i: f"coalesce(try_divide(_t{i}, _w), 0D)"
+    cross = lambda j, i: f"coalesce(_q{j}_{i} - _t{j} * {mean(i)}, 0D)"
+    made = {"_my": mean(k), "_syy": cross(k, k)}
+    for i in range(k):
+        made |= {f"_mx{i}": mean(i), f"_c{i}": cross(k, i)}
+        made |= {f"_s{j}_{i}": cross(j, i) for j in range(i, k)}
+    kept = [c for c in sums.columns if not c.startswith(("_t", "_q"))]
+    return sums.selectExpr(*[f"`{c}`" for c in kept], *[f"{text} AS {name}" for name, text in made.items()])
+
+
+def weighted_steps(k: int, out: str) -> Steps:
+    """Struct ``out`` for weights that are inverse variances: coefficients and standard errors, intercept first, null where a predictor dropped out.
+
+    ``root`` are the rows of a matrix whose transpose times itself is the covariance of the slopes.
+    """
+    steps = {**factor_steps(k), **back_steps(k), **inverse_steps(k)}
+    used = lambda j, text: f"CASE WHEN _r{j} > 0D THEN {text} END"
+    coefs = ", ".join([intercept_text(k), *[used(j, f"_b{j}") for j in range(k)]])
+    level = _sum(["try_divide(1D, _w)", *[f"_u{j} * _u{j}" for j in range(k)]])
+    errors = [used(j, f"sqrt({_sum([f'_v{i}_{j} * _v{i}_{j}' for i in range(j, k)])})") for j in range(k)]
+    root = ", ".join(f"array({', '.join([*[f'_v{i}_{j}' for j in range(i + 1)], *['0D'] * (k - i - 1)])})" for i in range(k))
+    steps[out] = (
+        f"named_struct('coef', array({coefs}), 'se', array({', '.join([f'sqrt({level})', *errors])}), 'root', array({root}))"
+    )
+    return steps
+
+
 def pooled_steps(k: int, p: str) -> Steps:
     """Normal equations of the single predictor that is the sum of all ``k``, under prefix ``p``."""
     return {

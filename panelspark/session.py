@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths below the shared folder that this process has handed out, with the session that can delete them.
+_HANDED_OUT: dict[str, SparkSession] = {}
+
 
 def build_session(app: str = "panelspark", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on; on a cluster ``master`` comes from spark-submit.
@@ -45,12 +49,35 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path below the shared folder; deleted by ``discard``, or when the process ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _HANDED_OUT[path] = spark
+    return path
+
+
+def discard(*paths: str) -> None:
+    """Delete scratch paths that nothing reads any more; paths that ``scratch_path`` didn't give are left alone."""
+    for path in paths:
+        spark = _HANDED_OUT.pop(path, None)
+        if spark is not None:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _discard_all() -> None:
+    try:
+        discard(*list(_HANDED_OUT))
+    except Exception:  # noqa: BLE001 - the JVM may have ended before
+        pass
 
 
 def materialise(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: a lineage cut that outlives executors."""
-    path = scratch_path(df.sparkSession, name)
+    return materialise_at(scratch_path(df.sparkSession, name), df, partition_by)
+
+
+def materialise_at(path: str, df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
+    """``materialise`` to a path that the caller may ``discard`` later."""
     df.write.mode("errorifexists").parquet(path, partitionBy=list(partition_by) or None)
     return df.sparkSession.read.schema(df.schema).parquet(path)

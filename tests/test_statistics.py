@@ -247,6 +247,133 @@ def test_count_model_against_newton(spark):
     assert ratios.conf_low < ratios.rate_ratio < ratios.conf_high
 
 
+def _count_rows(seed, regions, n, level=0.0):
+    rng = np.random.default_rng(seed)
+    data = []
+    for i, region in enumerate(regions):
+        shift = rng.normal() * level
+        for t, m in enumerate(months(n - i)):
+            xs = [int(v) for v in rng.poisson(3, 4)]
+            mu = 800 * math.exp(-6 + 0.1 * xs[0] + 0.01 * t + shift)
+            data.append((region, m, float(rng.poisson(mu)), *xs, 800))
+    return data
+
+
+_COUNT_SCHEMA = "region STRING, month DATE, hum_cases DOUBLE, catt_cases INT, cam_cases INT, goat_cases INT, shp_cases INT, pop INT"
+
+
+def _newton(x, y, off, penalty=0.0):
+    b = np.zeros(x.shape[1])
+    b[0] = math.log(y.sum() / np.exp(off).sum())
+    for _ in range(60):
+        mu = np.exp(off + x @ b)
+        info = x.T @ (x * mu[:, None]) + np.diag(np.broadcast_to(penalty, len(b)))
+        b = b + np.linalg.solve(info, x.T @ (y - mu) - penalty * b)
+    return b, np.sqrt(np.diag(np.linalg.inv(info)))
+
+
+def test_counts_by_region_freeze_apart(spark):
+    data = _count_rows(3, ["a", "b", "c", "none"], 40)
+    data = [(r, m, 0.0 if r == "none" else y, *rest) for r, m, y, *rest in data]
+    df = spark.createDataFrame(data, _COUNT_SCHEMA)
+    spec = count_models.CountSpec(lags=(0, 2))
+    design = count_models.count_design(df, spec).toPandas()
+    got = {(r.region, r.lag, r.term): r for r in count_models.fit_count_model(df, spec, by_region=True).collect()}
+    assert len(got) == 4 * 2 * 6
+    names = ["(Intercept)", *spec.inputs]
+    for region in ("a", "b", "c"):
+        for lag in spec.lags:
+            own = design[(design["lag"] == lag) & (design["region"] == region)]
+            x = np.column_stack([np.ones(len(own)), own[spec.inputs].to_numpy(float)])
+            b, se = _newton(x, own["hum_cases"].to_numpy(), own["log_pop"].to_numpy())
+            for i, name in enumerate(names):
+                r = got[region, lag, name]
+                assert r.converged and math.isclose(r.estimate, b[i], abs_tol=1e-7) and math.isclose(r.std_error, se[i], rel_tol=1e-6)
+    # no case at all: no finite estimate, and the others don't wait for it
+    assert all(got["none", lag, n].estimate is None and not got["none", lag, n].converged for lag in spec.lags for n in names)
+    short = count_models.fit_count_model(df, spec, max_iter=2).collect()
+    assert len(short) == 12 and not any(r.converged for r in short)
+
+
+def _region_matrix(design, spec):
+    regions = sorted(design["region"].unique())
+    return regions, np.column_stack([(design["region"] == r).to_numpy(float) for r in regions])
+
+
+def test_region_effects_between_their_limits(spark):
+    spec = count_models.CountSpec(lags=(0,), combined=True)
+    df = spark.createDataFrame(_count_rows(4, list("abcdef"), 30, 0.5), _COUNT_SCHEMA)
+    design = count_models.count_design(df, spec).cache()
+    rows = design.toPandas()
+    y, off = rows["hum_cases"].to_numpy(), rows["log_pop"].to_numpy()
+    x = np.column_stack([np.ones(len(rows)), rows[spec.inputs].to_numpy(float)])
+    regions, dummies = _region_matrix(rows, spec)
+
+    def fit(variance, **how):
+        return {r.region: r for r in count_models.fit_region_effects(design, spec, variance, tolerance=1e-10, **how).collect()}
+
+    # no variance is the pooled fit, unlimited variance the fit with dummies
+    pooled, _ = _newton(x, y, off)
+    none = fit(0.0)
+    assert np.allclose(none["a"].coef, pooled, atol=1e-8) and all(r.effect == 0 and r.converged for r in none.values())
+    full, se = _newton(np.column_stack([dummies, x[:, 1:]]), y, off)
+    free = fit(float("inf"))
+    assert np.allclose([free[r].effect for r in regions], full[:6], atol=1e-7)
+    assert np.allclose(free["a"].coef[1:], full[6:], atol=1e-8) and np.allclose(free["a"].se[1:], se[6:], rtol=1e-6)
+    # in between: ridge on the levels
+    middle = fit(0.04)
+    want, _ = _newton(np.column_stack([x, dummies]), y, off, np.array([0.0] * 3 + [25.0] * 6))
+    assert np.allclose(middle["a"].coef, want[:3], atol=1e-7)
+    assert np.allclose([middle[r].effect for r in regions], want[3:], atol=1e-7)
+    wide = fit(1e9)
+    assert np.allclose([wide[r].effect + wide[r].coef[0] for r in regions], full[:6], atol=1e-5)
+    # an estimated variance is its own mean square, and effects lie nearer to 0 than the dummies
+    found = list(count_models.fit_region_effects(design, spec, tolerance=1e-7).collect())
+    assert all(r.converged for r in found)
+    again = np.mean([r.effect**2 + r.effect_se**2 for r in found])
+    assert math.isclose(found[0].g00, again, rel_tol=1e-4) and 0.01 < found[0].g00 < 2
+    # terms against the region with the most rows
+    terms = {r.term: r for r in count_models.fit_count_model(df, count_models.CountSpec(lags=(0,), combined=True, region_effects=True)).collect()}
+    against, errors = _newton(np.column_stack([np.ones(len(rows)), dummies[:, 1:], x[:, 1:]]), y, off)
+    names = ["(Intercept)", *[f"region_{r}" for r in regions[1:]], *spec.inputs]
+    assert set(terms) == set(names)
+    for i, name in enumerate(names):
+        assert math.isclose(terms[name].estimate, against[i], abs_tol=1e-7) and math.isclose(terms[name].std_error, errors[i], rel_tol=1e-6)
+
+
+def test_levels_and_slopes_of_regions(spark):
+    spec = count_models.CountSpec(lags=(1,), combined=True)
+    rng = np.random.default_rng(6)
+    data = []
+    for region in "abcdefgh":
+        shift, tilt = rng.normal() * 0.4, rng.normal() * 0.02
+        for t, m in enumerate(months(40)):
+            xs = [int(v) for v in rng.poisson(3, 4)]
+            data.append((region, m, float(rng.poisson(600 * math.exp(-4 + 0.05 * xs[0] + shift + tilt * t))), *xs, 600))
+    design = count_models.count_design(spark.createDataFrame(data, _COUNT_SCHEMA), spec).cache()
+    found = count_models.fit_region_effects(design, spec, slope=True, max_iter=60, tolerance=1e-4).collect()
+    g = np.array([[found[0].g00, found[0].g01], [found[0].g01, found[0].g11]])
+    assert np.linalg.eigvalsh(g).min() > 0 and 0.005 < math.sqrt(g[1, 1]) < 0.08
+    # the coefficients are those of the penalised fit with this covariance
+    rows = design.toPandas()
+    regions, dummies = _region_matrix(rows, spec)
+    x = np.column_stack([np.ones(len(rows)), rows[spec.inputs].to_numpy(float)])
+    z = np.column_stack([dummies, dummies * rows["time_code"].to_numpy()[:, None]])
+    full = np.column_stack([x, z])
+    penalty = np.zeros((full.shape[1],) * 2)
+    penalty[3:, 3:] = np.kron(np.linalg.inv(g), np.eye(len(regions)))
+    b = np.zeros(full.shape[1])
+    y, off = rows["hum_cases"].to_numpy(), rows["log_pop"].to_numpy()
+    b[0] = math.log(y.sum() / np.exp(off).sum())
+    for _ in range(60):
+        mu = np.exp(off + full @ b)
+        b = b + np.linalg.solve(full.T @ (full * mu[:, None]) + penalty, full.T @ (y - mu) - penalty @ b)
+    by = {r.region: r for r in found}
+    assert np.allclose(found[0].coef, b[:3], atol=5e-3)
+    assert np.allclose([by[r].effect for r in regions], b[3:11], atol=1e-2)
+    assert np.allclose([by[r].time_effect for r in regions], b[11:], atol=1e-3)
+
+
 def test_strict_correlation(spark):
     df = frame(spark, {"month": months(5), "a": [1.0, 2.0, 4.0, 3.0, 5.0], "b": [2.0, 1.0, 3.0, 5.0, 4.0]})
     broken = df.withColumn("b", F.when(F.col("b") > 1, F.col("b")))
