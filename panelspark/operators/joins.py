@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.session import materialise
+
 #: Groups with more than one row in HOT are hot; there are fewer than HOT of them.
 HOT = 10_000
 
@@ -28,27 +30,31 @@ def join_same(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "
     return joined.select(*keys, *[c for c in right.columns if c not in on])
 
 
-def beside(df: DataFrame, by: Sequence[str], aggs: dict[str, Column]) -> DataFrame:
+def beside(df: DataFrame, by: Sequence[str], aggs: dict[str, Column], written: bool = False) -> DataFrame:
     """Aggregates of each row's group beside the row; null is a group as well.
 
+    ``df`` is computed once, into the shared folder, unless the caller says that it is ``written`` already.
     Rows of hot groups meet their aggregates in a broadcast of fewer than HOT rows, so
     they stay where they are; for the shuffle that the other groups need they get a
     key of their own, spread by a salt.
     """
-    totals = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), *[c.alias(n) for n, c in aggs.items()])
-    every = totals.agg(F.sum("_rows")).scalar()
+    rows = df if written else materialise(df, "beside")
+    every = rows.count()  # from the files' footers
+    totals = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), *[c.alias(n) for n, c in aggs.items()])
     keyed = totals.select(
         *[F.col(k).alias(f"_k_{k}") for k in by], F.struct(*aggs).alias("_agg"), (F.col("_rows") * HOT > every).alias("_hot")
     )
     hot = F.broadcast(keyed.where("_hot").drop("_hot"))
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by])
     names = [f"_k_{k}" for k in by]
-    near = df.join(hot, same, "left").withColumnRenamed("_agg", "_near").drop(*names)
+    near = rows.join(hot, same, "left").withColumnRenamed("_agg", "_near").drop(*names)
+    if every < HOT:  # then every group is hot
+        return near.select(*[c for c in rows.columns if c not in aggs], *[F.col("_near")[n].alias(n) for n in aggs])
     salt = F.when(F.col("_near").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16)) + 1).otherwise(F.lit(0))
     cold = keyed.where("NOT _hot").drop("_hot").withColumn("_cell", F.lit(0).cast("long"))
     far = near.withColumn("_salt", salt.cast("long")).join(cold, same & (F.col("_salt") == F.col("_cell")), "left")
     one = F.coalesce("_near", "_agg")
-    return far.select(*[c for c in df.columns if c not in aggs], *[one[n].alias(n) for n in aggs])
+    return far.select(*[c for c in rows.columns if c not in aggs], *[one[n].alias(n) for n in aggs])
 
 
 def join_inner(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:

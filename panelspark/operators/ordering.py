@@ -1,10 +1,11 @@
 """Exact ranks and quantiles without a single-task sort.
 
 A plain ``dense_rank`` or ``percentile`` sends a whole group to one task. Here the
-distinct values of a group are cut into buckets at sampled split points; buckets
-are ranked side by side and the bucket totals (a few dozen rows per group) supply
-the offsets. The splits only balance the work: results are exact for any splits.
-They are chosen by hash order, so a retried task finds the same ones.
+distinct values of a group are written once with their counts. A group of at most
+``BUCKET`` of them is ranked as it is; a larger one is cut at splits, and every bucket that is still
+larger is cut again, until none is. Buckets are ranked side by side and their totals supply
+the offsets. Splits come from values picked by a hash threshold, so no task sorts a group to find them and
+a retried task finds the same ones. They only balance the work: results are exact for any splits.
 """
 
 from __future__ import annotations
@@ -14,8 +15,59 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_WIDTHS = (64, 32, 16, 8, 4, 2, 1)
-SPLITS = sum(_WIDTHS)
+from panelspark.operators.joins import join_same
+from panelspark.session import discard, materialise, materialise_at, scratch_path
+
+#: The most distinct values that one task ranks.
+BUCKET = 50_000
+#: A bucket is cut into at most WAYS parts at once, at every SPACING-th of the values picked.
+WAYS, SPACING = 128, 8
+
+
+def _cut(rows: DataFrame, keys: list[str], col: str, level: int) -> DataFrame:
+    """``rows`` with ``_bucket`` refined where it holds more than BUCKET rows.
+
+    About SPACING values are picked for each part that a bucket needs; the collected array has at most twice WAYS * SPACING of them.
+    """
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    # parts of a third of a bucket: chance makes some of them larger
+    parts = F.least(F.lit(WAYS), F.ceil(F.col("_size") * 3 / F.lit(BUCKET)))
+    large = sizes.where(F.col("_size") > BUCKET).withColumn("_rate", parts * SPACING / F.col("_size"))
+    chance = F.pmod(F.xxhash64(F.col(col), F.lit(level)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    picked = join_same(rows.select(*keys, col), large, keys).where(chance < F.col("_rate"))
+    ends = f"greatest(size(_all) div {SPACING}, 2)"
+    every = F.expr(f"transform(sequence(1, {ends} - 1), i -> _all[greatest(int(i * size(_all) div {ends}) - 1, 0)])")
+    splits = picked.groupBy(*keys).agg(F.sort_array(F.collect_list(col)).alias("_all")).select(*keys, every.alias("_splits"))
+    mine = [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in keys]
+    other = splits.withColumnsRenamed({k: f"_s_{k}" for k in keys})
+    same = mine[0]
+    for one in mine[1:]:
+        same &= one
+    joined = rows.join(other, same, "left").drop(*[f"_s_{k}" for k in keys])
+    # binary search in generated code: each step adds its width if the split there is below the value
+    steps, at, width = [], "0", 2 * WAYS
+    while width:
+        below = f"coalesce(try_element_at(_splits, {at} + {width}) < `{col}`, false)"
+        steps.append(f"{at} + CASE WHEN {below} THEN {width} ELSE 0 END AS _b{width}")
+        at, width = f"_b{width}", width // 2
+    found = joined.selectExpr(*[f"`{c}`" for c in joined.columns], *steps)
+    refined = F.col("_bucket") * (4 * WAYS) + F.col(at)
+    return found.select(*[c for c in rows.columns if c != "_bucket"], refined.alias("_bucket"))
+
+
+def bucketed(rows: DataFrame, col: str, by: Sequence[str] = ()) -> tuple[DataFrame, bool]:
+    """Written rows, one for each (by, col), with ``_bucket`` ascending in ``col``; whether any group has more than one."""
+    spark, keys = rows.sparkSession, [*by, "_bucket"]
+    out, level, path = rows.withColumn("_bucket", F.lit(0).cast("long")), 0, None
+    while True:
+        most = out.groupBy(*keys).count().agg(F.max("count")).first()[0]
+        if (most or 0) <= BUCKET:
+            return out, level > 0
+        level += 1
+        before, path = path, scratch_path(spark, "buckets")
+        out = materialise_at(path, _cut(out, keys, col, level))
+        if before:
+            discard(before)
 
 
 def cumulative_counts(
@@ -28,32 +80,13 @@ def cumulative_counts(
     others are neither shuffled nor sorted.
     """
     by = list(by)
-    # asking for the count keeps this branch's aggregate the same as the others', so its shuffle is shared
-    present = counts.where(F.col(count) > 0)
-    sampled = (
-        present.select(*by, col)
-        .withColumn("_h", F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64(col))))
-        .where(F.col("_h") <= SPLITS)
-        if by
-        else present.select(col).orderBy(F.xxhash64(col)).limit(SPLITS)
-    )
-    splits = sampled.groupBy(*by).agg(F.sort_array(F.collect_list(col)).alias("_splits"))
-    if by:
-        rows = present.join(splits, by)
-    else:
-        rows = present.withColumn("_splits", splits.scalar())
-    # binary search in generated code: each step adds its width if the split there is below the value.
-    # A literal start keeps the bucket non-null; a nullable join key would be tested, expanded, on every input row.
-    steps, at = [], "0"
-    for width in _WIDTHS:
-        below = f"coalesce(try_element_at(_splits, {at} + {width}) < `{col}`, false)"
-        steps.append(f"{at} + CASE WHEN {below} THEN {width} ELSE 0 END AS _b{width}")
-        at = f"_b{width}"
-    rows = rows.selectExpr(*[f"`{c}`" for c in rows.columns], *steps).select(
-        *[c for c in rows.columns if c != "_splits"], F.col(at).alias("_bucket")
-    )
-
-    # at most SPLITS + 1 rows per group
+    rows, several = bucketed(materialise(counts.where(F.col(count) > 0), "counts"), col, by)
+    inside = Window.partitionBy(*by, "_bucket").orderBy(col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = F.sum(count).over(inside)
+    if not several:
+        whole = F.sum(count).over(Window.partitionBy(*by, "_bucket"))
+        return rows.withColumn("cum", running).withColumn("total", whole).drop("_bucket")
+    # a row for each bucket: few beside the rows, however many groups there are
     order = Window.partitionBy(*by).orderBy("_bucket")
     totals = (
         rows.groupBy(*by, "_bucket")
@@ -63,15 +96,8 @@ def cumulative_counts(
     )
     if ranks:
         totals = totals.where(" OR ".join(f"({r} >= _before AND {r} < _before + _n)" for r in ranks))
-    totals = totals.drop("_n")
-    inside = (
-        Window.partitionBy(*by, "_bucket").orderBy(col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return (
-        rows.join(totals, [*by, "_bucket"])
-        .withColumn("cum", F.sum(count).over(inside) + F.col("_before"))
-        .drop("_bucket", "_before")
-    )
+    joined = join_same(rows, totals.drop("_n"), [*by, "_bucket"])
+    return joined.withColumn("cum", running + F.col("_before")).drop("_bucket", "_before")
 
 
 def exact_quantiles(

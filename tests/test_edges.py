@@ -252,3 +252,23 @@ def test_reader_and_sink(spark, tmp_path):
     assert readers.clean_names(["No. sick", "year", "year", "1a", ""]) == ["No..sick", "year", "year.1", "X1a", "X"]
     sinks.save_bundle({"one": plain}, str(tmp_path / "bundle"))
     assert sinks.load_bundle(spark, str(tmp_path / "bundle"), ["one"])["one"].count() == 3
+
+
+def test_group_totals_read_their_source_once(spark, tmp_path, monkeypatch):
+    spark.range(50_000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL ELSE id % 20000 END AS k", "id AS v").write.parquet(str(tmp_path / "t"))
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(v):
+        reads.add(1)
+        return v
+
+    source = spark.read.parquet(str(tmp_path / "t")).select("k", seen("v").alias("v"))
+    out = joins.beside(source, ["k"], {"total": F.sum("v"), "rows": F.count(F.lit(1))})
+    rows = out.collect()
+    assert len(rows) == 50_000 and reads.value == 50_000
+    plain = {r.k: (r.t, r.n) for r in source.groupBy("k").agg(F.sum("v").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
+    assert all((r.total, r.rows) == plain[r.k] for r in rows)
+    # few rows: every group is hot
+    few = joins.beside(source.limit(9_000), ["k"], {"n": F.count(F.lit(1))}).collect()
+    assert len(few) == 9_000 and sum(r.n for r in few if r.k is None) == sum(1 for r in few if r.k is None) ** 2
