@@ -17,7 +17,7 @@ are pieces for it, so it is taken as many times as they last: a plan has at most
 capacity * (1 + ln capacity) kinds of bins for any number of rows, a size bound that doesn't depend on the data.
 
 Rows find their bin by their number within their length. Every length is cut at random
-into cells of about max(2,000, sqrt(rows)) rows, rows are numbered within a cell, and
+into cells of about max(500, sqrt(rows)) rows, rows are numbered within a cell, and
 offsets of cells (at most sqrt(rows) of them a length) make gapless numbers. One length
 may have all rows. The plan, by length, is joined by a broadcast within the bound above.
 
@@ -42,7 +42,7 @@ from panelspark.llm import bpe
 from panelspark.llm import words as W
 from panelspark.session import materialise
 
-CELL = 2_000
+CELL = 500
 #: Tokens by which a bin may stay short of full, tried in this order.
 SLACKS = (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48)
 

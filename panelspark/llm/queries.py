@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from panelspark.llm import ann, bpe, chat, decontaminate, fill_middle, html_extract, language_model, licenses, neardup, packing, sharding, toxicity, vector_codes
 from panelspark.llm.registry import query, table
 from panelspark.operators.joins import beside
-from panelspark.session import materialise
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 SHARDS = sharding.uniform_tree(4, 2, 5)
@@ -272,7 +271,7 @@ def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
 def op13(spark, sf):
     vectors = table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
     coded, made = vector_codes.encode(vectors)
-    totals = beside(materialise(coded, "vector-codes"), ["label"], {"label_error": F.sum("error")})
+    totals = beside(coded, ["label"], {"label_error": F.sum("error")})
     return totals.select("vec_id", "code", "error", "label_error", F.lit(made.sha256()).alias("codebooks_sha256"))
 
 

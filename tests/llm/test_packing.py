@@ -98,7 +98,7 @@ def test_sequences_hold_the_documents(spark, tokenizer):
     assert sum(len(s["ids"]) for s in made.values()) == sum(len(p[4]) for p in want)
 
 
-@pytest.mark.parametrize("cell", [2000, 3])
+@pytest.mark.parametrize("cell", [500, 3])
 def test_hot_lengths(spark, monkeypatch, cell):
     monkeypatch.setattr(packing, "CELL", cell)
     rnd = random.Random(8)
