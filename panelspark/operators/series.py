@@ -20,6 +20,18 @@ from panelspark.operators.windows import series_window
 
 # published critical values of the unit-root statistic with constant and trend, large samples
 ADF_CRITICAL = {"crit_1": -3.96, "crit_5": -3.41, "crit_10": -3.12}
+# FIXED VALUES: published distribution of that statistic, by probability for each number of changes
+ADF_SIZES = (25, 50, 100, 250, 500, 100000)
+ADF_TABLE = {
+    0.01: (-4.38, -4.15, -4.04, -3.99, -3.98, -3.96),
+    0.025: (-3.95, -3.80, -3.73, -3.69, -3.68, -3.66),
+    0.05: (-3.60, -3.50, -3.45, -3.43, -3.42, -3.41),
+    0.10: (-3.24, -3.18, -3.15, -3.13, -3.13, -3.12),
+    0.90: (-1.14, -1.19, -1.22, -1.23, -1.24, -1.25),
+    0.95: (-0.80, -0.87, -0.90, -0.92, -0.93, -0.94),
+    0.975: (-0.50, -0.58, -0.62, -0.64, -0.65, -0.66),
+    0.99: (-0.15, -0.24, -0.28, -0.31, -0.32, -0.33),
+}
 
 
 def series_build(
@@ -190,6 +202,24 @@ def ccf(
     return rows.select(*key, F.inline_outer(F.transform(F.sequence(-F.col("_top"), F.col("_top")), at)))
 
 
+def interpolate(x: Column, xs: Sequence[Column], ys: Sequence[Column]) -> Column:
+    """The broken line through the points (ascending in ``xs``) at ``x``; beyond the ends, the value of the end."""
+    out = F.when(x.isNull(), F.lit(None).cast("double")).when(x <= xs[0], ys[0])
+    for i in range(1, len(xs)):
+        out = out.when(x <= xs[i], ys[i - 1] + (ys[i] - ys[i - 1]) * (x - xs[i - 1]) / (xs[i] - xs[i - 1]))
+    return out.otherwise(ys[-1])
+
+
+def adf_p_value(statistic: str, changes: str) -> Column:
+    """Probability of a lower statistic, between the tabled sample sizes and then between the tabled probabilities (0.01 to 0.99)."""
+    size = F.col(changes).cast("double")
+    sizes = [F.lit(float(n)) for n in ADF_SIZES]
+    cuts = F.array(*[interpolate(size, sizes, [F.lit(v) for v in row]) for row in ADF_TABLE.values()])
+    probabilities = [F.lit(p) for p in ADF_TABLE]
+    # the one-element transform evaluates the cuts once
+    return F.transform(F.array(cuts), lambda c: interpolate(F.col(statistic), [c[i] for i in range(len(ADF_TABLE))], probabilities))[0]
+
+
 def adf(
     df: DataFrame,
     key: Sequence[str],
@@ -202,7 +232,8 @@ def adf(
 
     ``k`` defaults to trunc((n - 1)^(1/3)) of each series. The longest series, found
     first, sets how many lag columns there are unless ``k_max`` does; with it, a series
-    that needs more fails. Unused lag columns are 0 and drop out of the fit.
+    that needs more fails. Unused lag columns are 0 and drop out of the fit. ``p_value``
+    comes from the published table, at 0.01 and 0.99 beyond its ends.
     """
     if k is not None:
         k_max = k
@@ -236,14 +267,16 @@ def adf(
     }
     rows = rows.withColumns(lags).where(F.col("_t") > F.col("_k"))
     xs = ["_level", "_t", *lags]
-    moments = normal_equations(rows, key, "_d", xs, extra=[F.max("_k").alias("k")])
+    moments = normal_equations(rows, key, "_d", xs, extra=[F.max("_k").alias("k"), (F.max("_n") - 1).alias("_changes")])
     solved = add_steps(moments, solve_steps(xs, "_fit"))
     gamma, se = F.element_at("_fit.coef", 2), F.element_at("_fit.se", 2)
+    solved = solved.withColumn("statistic", F.try_divide(gamma, se))
     return solved.select(
         *key,
         F.col("n").alias("n_used"),
         "k",
         gamma.alias("gamma"),
-        F.try_divide(gamma, se).alias("statistic"),
+        "statistic",
+        adf_p_value("statistic", "_changes").alias("p_value"),
         *[F.lit(v).alias(c) for c, v in ADF_CRITICAL.items()],
     )

@@ -11,12 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.functions import columns as C
 from panelspark.functions import vocab as V
 from panelspark.operators import joins, reshape, rollup, rows
+from panelspark.sources import sinks
 
 REPORT_COLUMNS = ["county", "month", "year", "disease_condition", "diagnosis", "species", "no_sick"]
 PANEL_KEYS = ["region", "year", "month", "diagnosis"]
@@ -191,13 +192,31 @@ def later_year(
     return rows.rate_columns(fixed, rollup.RATE_PAIRS)
 
 
-def extend_series(history: DataFrame, later: DataFrame) -> DataFrame:
-    """The national monthly panel with a later year stacked below."""
-    cols = ["year", "month", *rollup.CASES, *rollup.POPS, *rollup.RATE_PAIRS]
-    typed = [df.select("year", "month", *[F.col(c).cast("double").alias(c) for c in cols[2:]]) for df in (history, later)]
+SERIES_COLUMNS = ["year", "month", *rollup.CASES, *rollup.POPS, *rollup.RATE_PAIRS]
+
+
+def extend_series(history: DataFrame, *later: DataFrame) -> DataFrame:
+    """The national monthly panel with later years stacked below."""
+    cols = SERIES_COLUMNS
+    typed = [df.select("year", "month", *[F.col(c).cast("double").alias(c) for c in cols[2:]]) for df in (history, *later)]
     return joins.union_all(*typed)
 
 
+def publish_years(panel: DataFrame, path: str) -> None:
+    """Write the years that ``panel`` has to the published panel; a year that is there already is replaced, others aren't touched.
+
+    Delivering a year twice equals delivering it once. Years of ``panel`` must be whole.
+    """
+    sinks.replace_partitions(panel, path, ["year"])
+
+
+def read_years(spark: SparkSession, path: str) -> DataFrame:
+    """The published panel, in the columns of ``extend_series``."""
+    kinds = {"year": "INT", "month": "DATE"}
+    schema = ", ".join(f"{c} {kinds.get(c, 'DOUBLE')}" for c in SERIES_COLUMNS)
+    return spark.read.schema(schema).parquet(path).select(*SERIES_COLUMNS)
+
+
 def static_livestock(livestock: DataFrame, year: int) -> DataFrame:
     """The static animal populations set down for another year."""
     one = rollup.first_by(livestock, ["region"], ANIMAL_POPS, "year")

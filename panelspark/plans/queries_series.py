@@ -10,7 +10,7 @@ from panelspark.plans import fixture as fx
 from panelspark.plans import panels
 from panelspark.plans.oracle import CASES, POPS, RATE_EXPRS, ROUND_RATES, ols_sql, r, with_sql
 from panelspark.plans.registry import query, rounded
-from panelspark.session import materialise
+from panelspark.session import materialise, scratch_path
 
 KEY = ["region"]
 W = "(PARTITION BY region ORDER BY month)"
@@ -56,9 +56,7 @@ def t1(spark, sf):
 _LIMIT = 35
 
 
-@query(
-    "t2_extend_series",
-    with_sql(
+_T2_SQL = with_sql(
         f"SELECT year, month, {', '.join(f'{c}::DOUBLE AS {c}' for c in (CASES + ', ' + POPS).split(', '))}, {ROUND_RATES} FROM ("
         f"SELECT year, month, hum_cases::DOUBLE AS hum_cases, {CASES[len('hum_cases, '):]}, {POPS}, hum_incidence, catt_incidence, cam_incidence, goat_incidence, shp_incidence FROM national_months WHERE year < (SELECT max(year) FROM panel)"
         f" UNION ALL SELECT c.*, {POPS}, {RATE_EXPRS} FROM fixed c JOIN national_den d ON c.year = d.year)",
@@ -70,10 +68,17 @@ _LIMIT = 35
                 ELSE hum_cases END::DOUBLE AS hum_cases, catt_cases, cam_cases, goat_cases, shp_cases FROM last""",
             ),
         ],
-    ),
-)
+    )
+
+
+@query("t2_extend_series", _T2_SQL)
 def t2(spark, sf):
     """The last year of the reports, prepared like a later delivery, below the years before it."""
+    return rounded(panels.extend_series(*_t2_parts(spark, sf))).orderBy("month")
+
+
+def _t2_parts(spark, sf):
+    """The panel of the earlier years, and the last year prepared like a later delivery."""
     base = fx.base_panel(spark, sf)
     marked = base.withColumn("_last", base.agg(F.max("year")).scalar())
     earlier, later = marked.where("year < _last"), marked.where("year = _last")
@@ -82,8 +87,18 @@ def t2(spark, sf):
     animal = later.select(*panels.PANEL_KEYS, *[c for c in rollup.CASES if c != "hum_cases"])
     new = panels.later_year(human, animal, den.drop("pop"), den.select("region", "year", "pop"), limit=_LIMIT)
     monthly = rollup.sum_by(earlier, ["year", "month"], rollup.CASES)
-    history = rows.rate_columns(joins.join_rolled_denominator(monthly, den, ["year"], rollup.POPS), rollup.RATE_PAIRS)
-    return rounded(panels.extend_series(history, new)).orderBy("month")
+    return rows.rate_columns(joins.join_rolled_denominator(monthly, den, ["year"], rollup.POPS), rollup.RATE_PAIRS), new
+
+
+@query("t2_append_year", _T2_SQL)
+def t2_append(spark, sf):
+    """The panel published by year; the last year arrives first with doubled counts, then corrected."""
+    history, new = _t2_parts(spark, sf)
+    path = scratch_path(spark, "panel-by-year")
+    panels.publish_years(panels.extend_series(history), path)
+    panels.publish_years(panels.extend_series(new).withColumn("hum_cases", F.col("hum_cases") * 2), path)
+    panels.publish_years(panels.extend_series(new), path)
+    return rounded(panels.read_years(spark, path))
 
 
 @query(
@@ -185,7 +200,7 @@ def t7(spark, sf):
 @query(
     "t8_adf_statistic",
     with_sql(
-        f"SELECT f.region, n AS n_used, k, {r('b1', 6, 'gamma')}, {r('b1 / se1', 6, 'statistic')}, -3.96::DOUBLE AS crit_1, -3.41::DOUBLE AS crit_5, -3.12::DOUBLE AS crit_10 FROM adf_fit f JOIN (SELECT DISTINCT region, k FROM dd) USING (region)",
+        f"SELECT region, n AS n_used, k, {r('b1', 6, 'gamma')}, {r('statistic')}, {r('p', 6, 'p_value')}, -3.96::DOUBLE AS crit_1, -3.41::DOUBLE AS crit_5, -3.12::DOUBLE AS crit_10 FROM tested",
         [
             FILLED,
             (
@@ -198,6 +213,13 @@ def t7(spark, sf):
             ),
             ("ok_rows", "SELECT * FROM dd WHERE t > k"),
             *ols_sql("adf", "ok_rows", KEY, "dy", ["lev", "t", *[f"d{j}" for j in range(1, 7)]]),
+            ("tabled", "SELECT * FROM (VALUES " + ", ".join(f"({n}, {p}::DOUBLE, {row[i]}::DOUBLE)" for p, row in series.ADF_TABLE.items() for i, n in enumerate(series.ADF_SIZES)) + ") AS v(size, p, cut)"),
+            ("spans", "SELECT p, size, cut, lead(size) OVER w AS size2, lead(cut) OVER w AS cut2 FROM tabled WINDOW w AS (PARTITION BY p ORDER BY size)"),
+            ("sized", "SELECT region, b1 / se1 AS statistic, b1, n, k, least(greatest(changes, 25), 100000) AS size FROM adf_fit JOIN (SELECT region, any_value(k) AS k, count(*) - 1 AS changes FROM dd GROUP BY region) USING (region)"),
+            # the line between the two sizes around, then between the two probabilities around
+            ("cuts", "SELECT z.region, s.p, s.cut + (s.cut2 - s.cut) * (z.size - s.size) / (s.size2 - s.size) AS cut FROM sized z JOIN spans s ON z.size >= s.size AND (z.size < s.size2 OR (z.size = 100000 AND s.size2 = 100000))"),
+            ("steps", "SELECT region, p, cut, lead(p) OVER w AS p2, lead(cut) OVER w AS cut2 FROM cuts WINDOW w AS (PARTITION BY region ORDER BY p)"),
+            ("tested", "SELECT z.*, coalesce(CASE WHEN statistic <= (SELECT min(cut) FROM cuts c WHERE c.region = z.region) THEN 0.01 END, s.p + (s.p2 - s.p) * (statistic - s.cut) / (s.cut2 - s.cut), 0.99)::DOUBLE AS p FROM sized z LEFT JOIN steps s ON s.region = z.region AND statistic > s.cut AND statistic <= s.cut2"),
         ],
     ),
 )

@@ -25,6 +25,12 @@ def publish(
         writer.format(fmt).save(path)
 
 
+def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
+    """Write the partitions that ``df`` has rows for, in place of those of the same values; the files of others stay."""
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*partition_by).parquet(path)
+
+
 def save_bundle(tables: dict[str, DataFrame], directory: str, mode: str = "overwrite") -> None:
     """One Parquet directory per name."""
     for name, df in tables.items():

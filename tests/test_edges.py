@@ -9,6 +9,7 @@ from panelspark.functions import columns as C
 from panelspark.functions import vocab as V
 from panelspark.operators import classify, forecast, joins, reshape, rollup, rows, series, windows
 from panelspark.operators.regression import coef_table, fit_ols
+from panelspark.plans import panels
 from panelspark.sources import readers, sinks
 
 
@@ -272,3 +273,36 @@ def test_group_totals_read_their_source_once(spark, tmp_path, monkeypatch):
     # few rows: every group is hot
     few = joins.beside(source.limit(9_000), ["k"], {"n": F.count(F.lit(1))}).collect()
     assert len(few) == 9_000 and sum(r.n for r in few if r.k is None) == sum(1 for r in few if r.k is None) ** 2
+
+
+def test_a_year_delivered_twice_replaces_itself(spark, tmp_path):
+    cols = panels.SERIES_COLUMNS
+    year = lambda y, cases: spark.createDataFrame(
+        [(y, dt.date(y, m, 1), cases + m, *[float(m)] * (len(cols) - 3)) for m in range(1, 13)],
+        "year INT, month DATE, " + ", ".join(f"{c} DOUBLE" for c in cols[2:]),
+    )
+    path = str(tmp_path / "panel")
+    panels.publish_years(panels.extend_series(year(2020, 5.0), year(2021, 6.0)), path)
+    files = lambda y: {f: f.stat().st_mtime_ns for f in (tmp_path / "panel" / f"year={y}").iterdir()}
+    before = files(2020), files(2021)
+    panels.publish_years(panels.extend_series(year(2022, 1.0)), path)
+    once = sorted(map(tuple, panels.read_years(spark, path).collect()))
+    panels.publish_years(panels.extend_series(year(2022, 1.0)), path)
+    assert sorted(map(tuple, panels.read_years(spark, path).collect())) == once and len(once) == 36
+    panels.publish_years(panels.extend_series(year(2022, 9.0)), path)
+    got = panels.read_years(spark, path)
+    assert got.columns == cols and got.count() == 36
+    assert {r.year: r.c for r in got.groupBy("year").agg(F.min("hum_cases").alias("c")).collect()} == {2020: 6.0, 2021: 7.0, 2022: 10.0}
+    assert (files(2020), files(2021)) == before
+
+
+def test_unit_root_probabilities_rise_with_the_statistic(spark):
+    rows_ = [(s / 20, n) for s in range(-120, 40) for n in (5, 25, 40, 80, 300, 10**6)] + [(None, 40)]
+    got = spark.createDataFrame(rows_, "t DOUBLE, n BIGINT").withColumn("p", series.adf_p_value("t", "n")).collect()
+    for n in (5, 25, 40, 80, 300, 10**6):
+        p = [r.p for r in sorted((r for r in got if r.n == n and r.t is not None), key=lambda r: r.t)]
+        assert p == sorted(p) and p[0] == 0.01 and p[-1] == 0.99
+    at = {(r.t, r.n): r.p for r in got}
+    assert at[None, 40] is None and at[-3.6, 25] == 0.05 and at[-3.6, 5] == 0.05
+    # between 25 and 50 changes the cut of 5 % lies at -3.54, of 10 % at -3.204
+    assert abs(at[-3.5, 40] - (0.05 + 0.05 * 0.04 / 0.336)) < 1e-12
