@@ -8,10 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from panelspark.functions.columns import row_sum
+from panelspark.functions.local_regression import seasonal_trend
 from panelspark.functions.linalg import add_steps, normal_equations, solve_steps
 from panelspark.functions.vocab import ANIMALS
 from panelspark.operators.joins import join_same
@@ -94,6 +98,66 @@ def decompose(
     )
 
 
+def odd(x: float) -> int:
+    """The smallest odd number that is not below ``x``."""
+    up = int(np.ceil(x))
+    return up + 1 - up % 2
+
+
+def decompose_local(
+    df: DataFrame,
+    key: Sequence[str],
+    month: str = "month",
+    value: str = "value",
+    period: int = 12,
+    season_span: int = 13,
+    trend_span: int | None = None,
+    inner: int = 2,
+    robust: int = 0,
+) -> DataFrame:
+    """Seasonal-trend decomposition by local regression of a gap-free monthly series: trend, season, remainder.
+
+    The season is smoothed over ``season_span`` years, the trend over ``trend_span`` months (by default the
+    shortest that leaves no season in it). ``robust`` rounds weigh months down by the size of their remainder.
+    A series is one row while it is fitted; two rows for one month fail the job. Months without a value
+    are left out, and a series of fewer than two periods has null components.
+    """
+    trend_span = trend_span or odd(1.5 * period / (1 - 1.5 / season_span))
+    complete = df.where(F.col(month).isNotNull() & F.col(value).isNotNull())
+    pair = F.struct(F.col(month), F.col(value).cast("double").alias(value))
+    rows = complete.groupBy(*key).agg(F.sort_array(F.collect_list(pair)).alias("_rows"))
+    months = F.col("_rows")[month]
+    checked = F.when(F.size(F.array_distinct(months)) == F.size(months), F.col("_rows")).otherwise(
+        F.raise_error(F.lit("two rows for one month of a series")).cast(rows.schema["_rows"].dataType)
+    )
+    rows = rows.select(*key, checked.alias("_rows")).select(*key, "_rows", F.col("_rows")[value].alias("_y"))
+    parts = ["_trend", "_season"]
+
+    def run(batches):
+        for batch in batches:
+            made = []
+            for y in batch["_y"].to_pylist():
+                y = np.array(y, float)
+                short = len(y) < 2 * period
+                made.append([None] * 2 if short else [p.tolist() for p in seasonal_trend(y, period, season_span, trend_span, odd(period), inner, robust)])
+            lists = [pa.array([m[i] for m in made], pa.list_(pa.float64())) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], [*batch.schema.names, *parts])
+
+    schema = rows.select("*").schema
+    for name in parts:
+        schema = schema.add(name, ArrayType(DoubleType()))
+    fitted = rows.mapInArrow(run, schema)
+    cells = F.arrays_zip(
+        F.col("_rows")[month].alias(month),
+        F.col("_y").alias(value),
+        *[F.coalesce(p, F.transform("_y", lambda v: F.lit(None).cast("double"))).alias(p) for p in parts],
+    )
+    out = fitted.select(*key, F.inline_outer(cells))
+    return out.select(*key, month, value, F.col("_trend").alias("trend"), F.col("_season").alias("season")).withColumn(
+        "remainder", F.col(value) - F.col("trend") - F.col("season")
+    )
+
+
 def _as_array(df: DataFrame, key: Sequence[str], month: str, cols: Sequence[str]) -> DataFrame:
     """One row per series: centred value arrays in month order, and their length ``n``."""
     complete = df.where(F.col(month).isNotNull()).dropna(subset=list(cols))

@@ -82,7 +82,7 @@ def forecasts(
     full = forecast.fit_ar_errors(past, [], y="hum_incidence", max_p=max_p)
     fitted = forecast.fitted_values(past, full, [], max_p, y="hum_incidence")
     return {
-        "decomposed": series.decompose(built, [], value="hum_incidence"),
+        "decomposed": series.decompose_local(built, [], value="hum_incidence"),
         "unit_root": series.adf(built, [], value="hum_incidence"),
         "acf": series.acf(train, [], value="hum_incidence"),
         "pacf": series.pacf(train, [], value="hum_incidence"),

@@ -135,6 +135,66 @@ def t4(spark, sf):
     return rounded(series.decompose(filled_series(spark, sf), KEY))
 
 
+_STL_INNER, _STL_ROBUST = 2, 1
+
+
+def _local_blocks(name: str, source: str, places: str, span: int, degree: int, keys: str, weighted: bool) -> tuple[str, str]:
+    """Local regression in SQL: ``source`` (keys, i, v, rw, n) at the rows of ``places`` (keys, i, n)."""
+    left = f"CASE WHEN {span} >= n THEN 1 ELSE least(greatest(i - {(span + 1) // 2} + 1, 1), n - {span} + 1) END"
+    same = " AND ".join(f"s.{k} = p.{k}" for k in keys.split(", "))
+    w = f"CASE WHEN abs(s.i - p.i) > 0.999::DOUBLE * h THEN 0 WHEN abs(s.i - p.i) <= 0.001::DOUBLE * h THEN 1 ELSE pow(1 - pow(abs(s.i - p.i) / h, 3), 3) END{' * s.rw' if weighted else ''}"
+    line = "CASE WHEN sqrt(greatest(c, 0)) > 0.001::DOUBLE * (n - 1) THEN -a / c ELSE 0 END"
+    value = f"(sy + {line} * (sdy - a * sy)) / sw" if degree else "sy / sw"
+    return (
+        name,
+        f"SELECT {keys}, i, n, CASE WHEN sw > 0 THEN {value} END AS v FROM (SELECT *, sd / nullif(sw, 0) AS a, sdd / nullif(sw, 0) - pow(sd / nullif(sw, 0), 2) AS c FROM ("
+        f"SELECT {', '.join('p.' + k for k in keys.split(', '))}, p.i, p.n, sum(w) AS sw, sum(w * d) AS sd, sum(w * d * d) AS sdd, sum(w * near) AS sy, sum(w * d * near) AS sdy FROM ("
+        f"SELECT p.*, s.v AS near, (s.i - p.i)::DOUBLE AS d, ({w})::DOUBLE AS w FROM (SELECT *, greatest(i - lo, hi - i) + greatest({span} - n, 0) // 2 AS h FROM ("
+        f"SELECT *, least(lo + {span} - 1, n) AS hi FROM (SELECT *, {left} AS lo FROM {places}))) p JOIN {source} s ON {same} AND s.i BETWEEN p.lo AND p.hi) p GROUP BY {', '.join('p.' + k for k in keys.split(', '))}, p.i, p.n))",
+    )
+
+
+def _stl_sql() -> str:
+    blocks = [
+        FILLED,
+        ("y0", "SELECT region, month, value AS y, row_number() OVER w AS i, count(*) OVER (PARTITION BY region) AS n, 0.0::DOUBLE AS trend, 0.0::DOUBLE AS season, 1.0::DOUBLE AS rw FROM filled WINDOW w AS (PARTITION BY region ORDER BY month)"),
+    ]
+    at = "y0"
+    for step in range(_STL_INNER * (_STL_ROBUST + 1)):
+        s = f"_{step}"
+        robust = step >= _STL_INNER
+        blocks += [
+            (f"sub{s}", f"SELECT region, (i - 1) % 12 AS m, (i - 1) // 12 + 1 AS i, y - trend AS v, rw, count(*) OVER (PARTITION BY region, (i - 1) % 12) AS n FROM {at}"),
+            (f"subp{s}", f"SELECT region, m, unnest(range(0, any_value(n) + 2)) AS i, any_value(n) AS n FROM sub{s} GROUP BY region, m"),
+            _local_blocks(f"subf{s}", f"sub{s}", f"subp{s}", 13, 0, "region, m", robust),
+            (f"cyc{s}", f"SELECT f.region, f.i * 12 + f.m + 1 AS t, coalesce(f.v, o.v, e.v) AS v FROM subf{s} f LEFT JOIN sub{s} o ON o.region = f.region AND o.m = f.m AND o.i = f.i LEFT JOIN subf{s} e ON e.region = f.region AND e.m = f.m AND e.i = least(greatest(f.i, 1), f.n)"),
+            (f"ma{s}", f"SELECT region, t, avg(v) OVER (PARTITION BY region ORDER BY t ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) AS v FROM cyc{s} QUALIFY count(*) OVER (PARTITION BY region ORDER BY t ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) = 12"),
+            (f"mb{s}", f"SELECT region, t, avg(v) OVER (PARTITION BY region ORDER BY t ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) AS v FROM ma{s} QUALIFY count(*) OVER (PARTITION BY region ORDER BY t ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) = 12"),
+            (f"mc{s}", f"SELECT region, t AS i, avg(v) OVER (PARTITION BY region ORDER BY t ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS v, count(*) OVER (PARTITION BY region) - 2 AS n FROM mb{s} QUALIFY count(*) OVER (PARTITION BY region ORDER BY t ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) = 3"),
+            _local_blocks(f"low{s}", f"mc{s}", f"mc{s}", 13, 1, "region", False),
+            (f"sea{s}", f"SELECT y.region, y.month, y.y, y.i, y.n, y.rw, c.v - l.v AS season FROM {at} y JOIN cyc{s} c ON c.region = y.region AND c.t = y.i + 12 JOIN low{s} l ON l.region = y.region AND l.i = y.i"),
+            (f"des{s}", f"SELECT region, i, y - season AS v, rw, n FROM sea{s}"),
+            _local_blocks(f"tre{s}", f"des{s}", f"des{s}", 21, 1, "region", robust),
+            (f"new{s}", f"SELECT s.*, coalesce(t.v, s.y - s.season) AS trend FROM sea{s} s JOIN tre{s} t ON t.region = s.region AND t.i = s.i"),
+        ]
+        at = f"new{s}"
+        if (step + 1) % _STL_INNER == 0 and step + 1 < _STL_INNER * (_STL_ROBUST + 1):
+            blocks.append(
+                (
+                    f"wgt{s}",
+                    f"SELECT * EXCLUDE (rw, size, cut), CASE WHEN size <= 0.001::DOUBLE * cut THEN 1 WHEN size <= 0.999::DOUBLE * cut THEN pow(1 - pow(size / cut, 2), 2) ELSE 0 END::DOUBLE AS rw FROM ("
+                    f"SELECT *, abs(y - trend - season) AS size, 6 * quantile_cont(abs(y - trend - season), 0.5) OVER (PARTITION BY region) AS cut FROM {at})",
+                )
+            )
+            at = f"wgt{s}"
+    return with_sql(f"SELECT region, month, {r('y', 6, 'value')}, {r('trend')}, {r('season')}, {r('y - trend - season', 6, 'remainder')} FROM {at}", blocks)
+
+
+@query("t4_decompose_local", _stl_sql())
+def t4_local(spark, sf):
+    return rounded(series.decompose_local(filled_series(spark, sf), KEY, inner=_STL_INNER, robust=_STL_ROBUST))
+
+
 _CENTRED = (
     "centred",
     "SELECT region, month, value - avg(value) OVER (PARTITION BY region) AS x, row_number() OVER (PARTITION BY region ORDER BY month) AS k, count(*) OVER (PARTITION BY region) AS n FROM filled",

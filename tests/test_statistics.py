@@ -431,3 +431,95 @@ def test_standardised_columns(spark):
     monthly = fx.regional_months(spark, SF_DIR).select("region", F.col("hum_cases").cast("double").alias("v"))
     z = rows.standardise(monthly, ["v"]).agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("s")).first()
     assert abs(z.m) < 1e-12 and math.isclose(z.s, 1.0)
+
+
+def test_local_decomposition(spark):
+    n = 96
+    season = np.sin(np.arange(n) * 2 * np.pi / 12) * 5
+    y = 3 + 0.5 * np.arange(n) + season
+    spiked = y.copy()
+    spiked[40] += 200
+    data = [("plain", m, float(v)) for m, v in zip(months(n), y)] + [("spiked", m, float(v)) for m, v in zip(months(n), spiked)]
+    data += [("short", m, float(v)) for m, v in zip(months(23), y)] + [(None, m, 4.0) for m in months(30)] + [("plain", dt.date(1990, 1, 1), None)]
+    df = spark.createDataFrame(data, "k STRING, month DATE, value DOUBLE").repartition(3)
+    for robust in (0, 4):
+        got = {}
+        for r in series.decompose_local(df, ["k"], inner=20, robust=robust).orderBy("month").collect():
+            got.setdefault(r.k, []).append(r)
+        assert {k: len(v) for k, v in got.items()} == {"plain": n, "spiked": n, "short": 23, None: 30}
+        # a line and a season that repeats are found as they are
+        assert np.allclose([r.season for r in got["plain"]], season, atol=1e-2)
+        assert np.allclose([r.trend for r in got["plain"]], 3 + 0.5 * np.arange(n), atol=1e-2)
+        assert all(r.trend is None and r.season is None and r.remainder is None and r.value is not None for r in got["short"])
+        assert np.allclose([r.trend for r in got[None]], 4) and np.allclose([r.season for r in got[None]], 0)
+        off = np.abs(np.array([r.trend + r.season for r in got["spiked"]]) - y).max()
+        assert (off < 0.05) == (robust > 0)
+    twice = spark.createDataFrame([("a", months(1)[0], 1.0)] * 2, "k STRING, month DATE, value DOUBLE")
+    with pytest.raises(Exception, match="two rows for one month"):
+        series.decompose_local(twice, ["k"]).collect()
+    assert series.decompose_local(df.limit(0), ["k"]).count() == 0
+
+
+def test_regression_with_autoregressive_errors(spark):
+    """Against the likelihood of the whole covariance matrix, and its neighbours."""
+    rng = np.random.default_rng(12)
+
+    def deviance(y, x, c, beta, phi):
+        n, p = len(y), len(phi)
+        psi = np.zeros(4000)
+        psi[0] = 1
+        for t in range(1, len(psi)):
+            k = min(t, p)
+            psi[t] = phi[:k] @ psi[t - 1 :: -1][:k] if k else 0.0
+        cov = np.array([psi[: len(psi) - h] @ psi[h:] for h in range(n)])
+        cov = cov[np.abs(np.subtract.outer(np.arange(n), np.arange(n)))]
+        u = y - c - beta * x
+        return n * math.log(u @ np.linalg.solve(cov, u) / n) + np.linalg.slogdet(cov)[1]
+
+    data, made = [], {}
+    for key, phi in (("a", [0.8]), ("b", [0.5, 0.3]), ("c", []), (None, [0.6])):
+        n = 60
+        x, u = rng.normal(size=n).cumsum() + 50, np.zeros(n + 50)
+        for t in range(2, n + 50):
+            u[t] = sum(f * u[t - 1 - j] for j, f in enumerate(phi)) + rng.normal()
+        y = 10 + 0.7 * x + u[50:]
+        made[key] = (y, x)
+        data += [(key, m, float(a), float(b)) for m, a, b in zip(months(n), y, x)]
+    flat = [("flat", m, float(v), 2.0) for m, v in zip(months(30), rng.normal(size=30))]
+    few = [("few", m, 3.0 + i, 1.0 * i) for i, m in enumerate(months(2))]
+    gap = [("a", dt.date(1999, 12, 1), None, 1.0)]
+    df = spark.createDataFrame(data + flat + few + gap, "k STRING, month DATE, value DOUBLE, x DOUBLE").repartition(4)
+    models = {r.k: r for r in forecast.fit_ar_errors(df, ["k"], xreg="x", max_p=3).collect()}
+    assert set(models) == {"a", "b", "c", None, "flat", "few"}
+    for key, (y, x) in made.items():
+        m = models[key]
+        phi = np.array(m.phi[: m.p])
+        c = m.intercept / (1 - phi.sum())
+        assert m.converged and m.n == 60 and all(f == 0 for f in m.phi[m.p :])
+        best = deviance(y, x, c, m.beta, phi)
+        assert math.isclose(best + 2 * (m.p + 3), m.aic, rel_tol=1e-9)
+        for step in (1e-3, -1e-3):
+            assert deviance(y, x, c + step, m.beta, phi) > best and deviance(y, x, c, m.beta + step, phi) > best
+            for j in range(m.p):
+                assert deviance(y, x, c, m.beta, phi + step * np.eye(m.p)[j]) > best
+        assert np.allclose(m.recent, (y - m.beta * x)[::-1][:3])
+    assert abs(models["a"].beta - 0.7) < 0.2
+    assert models["flat"].beta == 0 and models["flat"].converged
+    assert models["few"].aic is None and math.isclose(models["few"].intercept, 3.5) and models["few"].sigma2 is None
+    assert not any(r.converged for r in forecast.fit_ar_errors(df.where("k = 'b'"), ["k"], xreg="x", max_p=2, steps=1).collect())
+    # differences: the regressor is differenced as well, and forecasts go on from the last level
+    one = forecast.fit_ar_errors(df.where("k = 'c'"), ["k"], xreg="x", max_p=0, d=1).first()
+    y, x = made["c"]
+    dy, dx = np.diff(y), np.diff(x)
+    assert math.isclose(one.beta, np.cov(dy, dx)[0, 1] / np.var(dx, ddof=1), rel_tol=1e-9) and one.last_x == x[-1]
+    ahead = spark.createDataFrame([("c", dt.date(2010, 1, 1), 60.0), ("c", dt.date(2010, 2, 1), 61.0)], "k STRING, month DATE, x DOUBLE")
+    model = forecast.fit_ar_errors(df.where("k = 'c'"), ["k"], xreg="x", max_p=1, d=1)
+    got = forecast.forecast(model, ["k"], 1, future=ahead, xreg="x", d=1).orderBy("month").collect()
+    m = model.first()
+    v = m.recent[0]
+    want, level, before = [], y[-1], x[-1]
+    for value in (60.0, 61.0):
+        v = m.intercept + m.phi[0] * v
+        level, before = level + v + m.beta * (value - before), value
+        want.append(level)
+    assert np.allclose([r.forecast for r in got], want)
