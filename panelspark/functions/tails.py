@@ -1,4 +1,4 @@
-"""Tail probabilities as Column expressions, integrated as tails (no Python worker).
+"""Tail probabilities and derivatives of the gamma function as Column expressions, integrated as tails (no Python worker).
 
 The density beyond the statistic is summed over ``NODES`` points of the exp-sinh rule,
 whose spacing follows the density's own decay. All terms are positive and nothing is
@@ -39,6 +39,20 @@ def _gamma_ratio(z: str) -> str:
     return f"{back} * sqrt({x}) * exp({series})"
 
 
+def digamma(z: str) -> str:
+    """The derivative of ln Gamma for z > 0, as an expression: the asymptotic series at z + 10, and the recurrence back."""
+    x = f"({z} + 10D)"
+    series = f"ln({x}) - 1D / (2 * {x}) - 1D / (12 * pow({x}, 2)) + 1D / (120 * pow({x}, 4)) - 1D / (252 * pow({x}, 6)) + 1D / (240 * pow({x}, 8))"
+    return f"({series} - ({' + '.join(f'1D / ({z} + {k}D)' for k in range(10))}))"
+
+
+def trigamma(z: str) -> str:
+    """The second derivative of ln Gamma for z > 0, likewise."""
+    x = f"({z} + 10D)"
+    series = f"1D / {x} + 1D / (2 * pow({x}, 2)) + 1D / (6 * pow({x}, 3)) - 1D / (30 * pow({x}, 5)) + 1D / (42 * pow({x}, 7)) - 1D / (30 * pow({x}, 9))"
+    return f"({series} + {' + '.join(f'1D / pow({z} + {k}D, 2)' for k in range(10))})"
+
+
 def t_two_sided_p(t: str, df: str) -> Column:
     """P(|T| > |t|) of column ``t`` for ``df`` degrees of freedom (an expression); null where df < 1 or there is no statistic."""
     a, nu = f"abs(`{t}`)", f"CAST({df} AS DOUBLE)"

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.columns import row_sum
 from panelspark.functions.linalg import add_centred, add_steps, weighted_equations, weighted_steps, weighted_sums
-from panelspark.functions.tails import normal_two_sided_p
+from panelspark.functions.tails import digamma, normal_two_sided_p, trigamma
 from panelspark.functions.vocab import ANIMALS
 from panelspark.operators.joins import join_same
 from panelspark.operators.regression import Z_90
@@ -143,6 +143,70 @@ def fit_poisson(
     return settle(start, iterate, "count-step", max_iter, tolerance)
 
 
+#: The smallest excess variance that is told from none.
+LEAST_EXCESS = 1e-6
+
+
+def fit_linear_variance(
+    design: DataFrame, by: Sequence[str], spec: CountSpec, max_iter: int = 50, tolerance: float = 1e-9
+) -> DataFrame:
+    """Negative binomial model whose variance is ``dispersion`` times the mean, by maximum likelihood: coefficients and dispersion together.
+
+    Newton steps in the coefficients and the logarithm of the excess (dispersion - 1), from the Poisson
+    fit and its Pearson dispersion; a step changes that logarithm by at most 1. A key whose counts vary no more than
+    Poisson counts ends at ``LEAST_EXCESS``, which is the Poisson fit. Model table as
+    ``fit_poisson``, with ``dispersion``.
+    """
+    by, xs, y = list(by), spec.inputs, spec.y
+    k = len(xs)
+    poisson = pearson(design, fit_poisson(design, by, spec, max_iter, tolerance), by, spec)
+    excess = F.ln(F.greatest(F.coalesce(F.col("dispersion"), F.lit(1.0)) - 1, F.lit(0.01)))
+    start = poisson.select(*by, F.concat("coef", F.array(excess)).alias("coef"), F.lit(float("inf")).alias("change"))
+
+    def iterate(state: DataFrame) -> DataFrame:
+        rows = join_same(design, state.select(*by, F.col("coef").alias("_old")), by)
+        rows = rows.withColumn("_eta", linear(F.col("_old"), xs)).withColumn("_theta", F.element_at("_old", k + 2))
+        rows = rows.withColumn("_excess", F.exp("_theta")).withColumn("_a", F.exp(F.col("_eta") + F.col("log_pop")) / F.col("_excess"))
+        rows = add_steps(
+            rows,
+            {
+                "_share": "_excess / (1 + _excess)",
+                # likelihood in a = mean / excess: ln G(y + a) - ln G(a) - a ln(1 + excess) + y ln(share)
+                "_slope": f"_a * ({digamma(f'(`{y}` + _a)')} - {digamma('_a')} - ln(1 + _excess))",
+                "_bend": f"_a * _a * ({trigamma('_a')} - {trigamma(f'(`{y}` + _a)')})",
+                "_hee": "_bend - _slope",
+                "_het": "_slope - _bend + _a * _share",
+                "_htt": f"_bend - _slope - _a * _share * (1 + _share) + `{y}` * _share * (1 - _share)",
+                "_se": "_slope",
+                "_st": f"`{y}` * (1 - _share) - _a * _share - _slope",
+                "_re": "_hee * _eta + _het * _theta + _se",
+                "_rt": "_het * _eta + _htt * _theta + _st",
+            },
+        )
+        sums = {"_w": "_hee", f"_t{k}": "_het", f"_t{k + 1}": "_re", f"_q{k}_{k}": "_htt", f"_q{k + 1}_{k}": "_rt", f"_q{k + 1}_{k + 1}": "0D"}
+        for i, a in enumerate(xs):
+            sums |= {f"_t{i}": f"_hee * `{a}`", f"_q{k}_{i}": f"_het * `{a}`", f"_q{k + 1}_{i}": f"_re * `{a}`"}
+            sums |= {f"_q{j}_{i}": f"_hee * `{a}` * `{xs[j]}`" for j in range(i, k)}
+        total = rows.groupBy(*by).agg(
+            F.count(F.lit(1)).alias("n"), F.any_value("_old").alias("_old"), *[F.sum(F.expr(e)).alias(c) for c, e in sums.items()]
+        )
+        solved = add_steps(add_centred(total, k + 1), weighted_steps(k + 1, "_fit"))
+        old, new = F.element_at("_old", k + 2), F.element_at("_fit.coef", k + 2)
+        theta = F.greatest(F.least(F.greatest(F.coalesce(new, old), old - 1), old + 1), F.ln(F.lit(LEAST_EXCESS)))
+        none = F.array(*[F.lit(None).cast("double")] * (k + 2))
+        fine = F.element_at("_old", 1).isNotNull()
+        coef = F.when(fine, F.concat(F.slice("_fit.coef", 1, k + 1), F.array(theta))).otherwise(none)
+        return solved.select(
+            *by, "n", coef.alias("coef"), F.when(fine, F.col("_fit.se")).otherwise(none).alias("se"), moved(coef, F.col("_old")).alias("change")
+        )
+
+    found = settle(start, iterate, "linear-variance", max_iter, tolerance)
+    return found.select(
+        *by, "n", F.slice("coef", 1, k + 1).alias("coef"), F.slice("se", 1, k + 1).alias("se"),
+        (1 + F.exp(F.element_at("coef", k + 2))).alias("dispersion"), "change", "converged",
+    )
+
+
 def _block_steps(k: int, time: int) -> dict[str, str]:
     """Sums of a region less what its own level and time slope take up, under the names of the sums with prefix ``_e``.
 
@@ -315,11 +379,11 @@ def fit_count_model(
     """Coefficient table (lag, term, estimate, std_error, dispersion, converged, statistic, p_value).
 
     ``family="quasipoisson"`` keeps the mean model and scales the errors by the
-    square root of the Pearson dispersion. With ``by_region`` every region has its own fit for each lag.
+    square root of the Pearson dispersion; ``"linear"`` is the negative binomial model with that kind of variance. With ``by_region`` every region has its own fit for each lag.
     With ``spec.region_effects`` (Poisson, one fit a lag) regions but the one with the most rows have a term of their own.
     ``converged`` is false where ``max_iter`` iterations did not reach the tolerance.
     """
-    if family not in ("poisson", "quasipoisson") or spec.region_effects and (by_region or family != "poisson"):
+    if family not in ("poisson", "quasipoisson", "linear") or spec.region_effects and (by_region or family != "poisson"):
         raise ValueError(f"unknown family {family!r}, or not one with these region effects")
     by = [spec.region, "lag"] if by_region else ["lag"]
     design = materialise(count_design(df, spec), "count-design")
@@ -328,10 +392,11 @@ def fit_count_model(
         z = F.try_divide(F.col("estimate"), F.col("std_error"))
         made = terms.withColumns({"dispersion": F.lit(1.0), "statistic": z})
         return made.withColumn("p_value", normal_two_sided_p("statistic"))
-    models = fit_poisson(design, by, spec, max_iter, tolerance)
+    fit = fit_linear_variance if family == "linear" else fit_poisson
+    models = fit(design, by, spec, max_iter, tolerance)
     if family == "quasipoisson":
         models = pearson(design, models, by, spec).withColumn("se", F.transform("se", lambda s: s * F.sqrt("dispersion")))
-    else:
+    elif family == "poisson":
         models = models.withColumn("dispersion", F.lit(1.0))
     return coefficients(models, by, ["(Intercept)", *spec.inputs], ["dispersion", "converged"])
 

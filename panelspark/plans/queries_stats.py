@@ -438,3 +438,81 @@ def i11(spark, sf):
 def i12(spark, sf):
     coefs = count_models.fit_count_model(_count_panel(spark, sf), count_models.CountSpec(combined=True))
     return _tested(count_models.rate_ratios(coefs))
+
+
+# ---------------------------------------------------------------- counts that vary more than Poisson counts
+
+
+def _item_panel(spark, sf):
+    """The regional panel with the number of line items as the human cases: they come in orders of one to seven."""
+    items = fx.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("items"))
+    orders = fx.table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.trunc("o_orderdate", "month").alias("month"))
+    customer = fx.table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
+    sold = orders.join(items, orders["o_orderkey"] == items["l_orderkey"]).join(customer, orders["o_custkey"] == customer["c_custkey"])
+    counts = sold.groupBy("n_nationkey", "month").agg(F.sum("items").alias("items"))
+    names = fx.table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("region"))
+    panel = fx.regional_months(spark, sf).drop("hum_cases")
+    return panel.join(counts.join(names, "n_nationkey").select("region", "month", F.col("items").alias("hum_cases")), ["region", "month"])
+
+
+_LINEAR_ITERATIONS = 14
+
+
+def _linear_sql() -> str:
+    """Newton steps for coefficients and excess together; differences of digamma and trigamma as finite sums over the count."""
+    base = _poisson_sql("SELECT 1", combined=True)
+    text = base[: base.rindex("\nSELECT 1")]
+    counts = """items AS (SELECT n.n_name AS region, date_trunc('month', o_orderdate)::DATE AS month, count(*) AS items FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+        JOIN customer ON o_custkey = c_custkey JOIN nation n ON c_nationkey = n_nationkey GROUP BY ALL),
+    counted AS (SELECT c.region, c.month, i.items AS hum_cases, c.catt_cases, c.cam_cases, c.goat_cases, c.shp_cases FROM regional_counts c JOIN items i USING (region, month))"""
+    start, end = text.index("counted AS ("), text.index("),\n", text.index("counted AS (")) + 1
+    text = text[:start] + counts + text[end:]
+    k = 3  # intercept, cases, time; the excess comes fourth
+    blocks = [f"e0 AS (SELECT c.*, ln(greatest(phi - 1, 0.01)) AS b{k} FROM c{_COUNT_ITERATIONS} c JOIN phi USING (lag))"]
+    cells = [(i, j) for i in range(k + 2) for j in range(i, k + 2)]
+    cell = lambda i, j: f"a{min(i, j)}_{max(i, j)}"
+    for step in range(_LINEAR_ITERATIONS):
+        eta = " + ".join(f"b{i} * x{i}" for i in range(k))
+        rows = f"SELECT z.*, c.* EXCLUDE (lag), ({eta}) AS eta, exp(off + {eta} - b{k}) AS a, exp(b{k}) AS e FROM z JOIN e{step} c ON c.lag = z.lag"
+        rows = f"SELECT *, e / (1 + e) AS s, a * (coalesce(list_sum(list_transform(range(0, y::BIGINT), lambda m: 1 / (a + m))), 0) - ln(1 + e)) AS d, a * a * coalesce(list_sum(list_transform(range(0, y::BIGINT), lambda m: 1 / ((a + m) * (a + m)))), 0) AS t FROM ({rows})"
+        rows = f"SELECT *, t - d AS hee, d - t + a * s AS het, t - d - a * s * (1 + s) + y * s * (1 - s) AS htt, y * (1 - s) - a * s - d AS st FROM ({rows})"
+        sums = []
+        for i, j in cells:
+            if j < k:
+                e = f"hee * x{i} * x{j}"
+            elif i < k and j == k:
+                e = f"het * x{i}"
+            elif i == k and j == k:
+                e = "htt"
+            elif i < k:
+                e = f"(hee * eta + het * b{k} + d) * x{i}"
+            else:
+                e = f"(het * eta + htt * b{k} + st)" if i == k else "0.0::DOUBLE"
+            sums.append(f"sum({e}) AS a{i}_{j}")
+        blocks.append(f"l{step} AS (SELECT lag, any_value(b{k}) AS old, {', '.join(sums)} FROM ({rows}) GROUP BY lag)")
+        source = f"l{step}"
+        for p in range(k + 1):
+            pivot, out = cell(p, p), []
+            for i, j in cells:
+                if i == p and j == p:
+                    out.append(f"-1.0::DOUBLE / {pivot} AS a{i}_{j}")
+                elif p in (i, j):
+                    out.append(f"{cell(j if i == p else i, p)} / {pivot} AS a{i}_{j}")
+                else:
+                    out.append(f"a{i}_{j} - {cell(i, p)} * {cell(j, p)} / {pivot} AS a{i}_{j}")
+            blocks.append(f"l{step}_{p} AS (SELECT lag, old, {', '.join(out)} FROM {source})")
+            source = f"l{step}_{p}"
+        found = ", ".join(f"a{i}_{k + 1} AS b{i}" for i in range(k))
+        blocks.append(f"e{step + 1} AS (SELECT lag, {found}, greatest(least(greatest(a{k}_{k + 1}, old - 1), old + 1), ln(1e-6)) AS b{k}, {', '.join(f'sqrt(-a{i}_{i}) AS se{i}' for i in range(k))} FROM {source})")
+    last = f"e{_LINEAR_ITERATIONS}"
+    terms = " UNION ALL ".join(
+        f"SELECT lag, '{t}' AS term, {r(f'b{i}', 5, 'estimate')}, {r(f'se{i}', 5, 'std_error')}, {r(f'1 + exp(b{k})', 5, 'dispersion')}, {_z_sql(f'b{i} / se{i}')}, true AS converged FROM {last}"
+        for i, t in enumerate(["(Intercept)", "animal_cases", "time_code"])
+    )
+    return text + ",\n" + ",\n".join(blocks) + "\n" + terms
+
+
+@query("i11_linear_variance", _linear_sql())
+def i11_linear(spark, sf):
+    coefs = count_models.fit_count_model(_item_panel(spark, sf), count_models.CountSpec(combined=True), "linear")
+    return _tested(coefs.select("lag", "term", "estimate", "std_error", "dispersion", "statistic", "p_value", "converged"))

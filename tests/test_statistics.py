@@ -523,3 +523,54 @@ def test_regression_with_autoregressive_errors(spark):
         level, before = level + v + m.beta * (value - before), value
         want.append(level)
     assert np.allclose([r.forecast for r in got], want)
+
+
+def test_digamma_and_trigamma(spark):
+    from panelspark.functions.tails import digamma, trigamma
+
+    got = spark.createDataFrame([(0.01,), (0.5,), (1.0,), (3.7,), (1e5,)], "z DOUBLE").selectExpr("z", f"{digamma('z')} AS d", f"{trigamma('z')} AS t").collect()
+    euler = 0.5772156649015329
+    want = {0.5: (-euler - 2 * math.log(2), math.pi**2 / 2), 1.0: (-euler, math.pi**2 / 6)}
+    for r in got:
+        h = 1e-4 * r.z
+        assert math.isclose(r.d, (math.lgamma(r.z + h) - math.lgamma(r.z - h)) / (2 * h), rel_tol=1e-5, abs_tol=1e-6)
+        if r.z in want:
+            assert np.allclose((r.d, r.t), want[r.z], rtol=1e-12)
+
+
+def test_linear_variance_counts_at_their_maximum(spark):
+    rng = np.random.default_rng(21)
+    data = []
+    for region in ("a", "b", "c", "d"):
+        for t, m in enumerate(months(60)):
+            xs = [int(v) for v in rng.poisson(3, 4)]
+            mu = 800 * math.exp(-5.5 + 0.1 * xs[0] + 0.01 * t)
+            y = rng.negative_binomial(mu / 3, 0.25) if region != "d" else rng.binomial(20, min(mu / 20, 0.9))
+            data.append((region, m, float(y), *xs, 800))
+    df = spark.createDataFrame(data, _COUNT_SCHEMA)
+    spec = count_models.CountSpec(lags=(0,), combined=True)
+    design = count_models.count_design(df, spec).cache()
+    found = {r.region: r for r in count_models.fit_linear_variance(design, ["region", "lag"], spec).collect()}
+    rows = design.toPandas()
+    lgamma = np.vectorize(math.lgamma)
+
+    def likelihood(own, b, excess):
+        x = np.column_stack([np.ones(len(own)), own[spec.inputs].to_numpy(float)])
+        a, y = np.exp(own["log_pop"].to_numpy() + x @ b) / excess, own["hum_cases"].to_numpy()
+        return (lgamma(y + a) - lgamma(a) - a * math.log1p(excess) + y * math.log(excess / (1 + excess))).sum()
+
+    for region in "abc":
+        r, own = found[region], rows[rows["region"] == region]
+        b, excess = np.array(r.coef), r.dispersion - 1
+        best = likelihood(own, b, excess)
+        assert r.converged and 1 < excess < 8
+        for i in range(3):
+            for step in (1e-4, -1e-4):
+                assert likelihood(own, b + step * np.eye(3)[i], excess) < best
+        for factor in np.linspace(0.5, 2, 31):
+            assert likelihood(own, b, excess * factor) <= best + 1e-9
+    # counts that vary less than Poisson counts: the Poisson fit
+    own = rows[rows["region"] == "d"]
+    b, se = _newton(np.column_stack([np.ones(len(own)), own[spec.inputs].to_numpy(float)]), own["hum_cases"].to_numpy(), own["log_pop"].to_numpy())
+    assert found["d"].converged and math.isclose(found["d"].dispersion, 1 + count_models.LEAST_EXCESS)
+    assert np.allclose(found["d"].coef, b, atol=1e-4) and np.allclose(found["d"].se, se, rtol=1e-3)
