@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from panelspark.functions import ar_likelihood
+from panelspark.functions import ar_likelihood, arma_css
 from panelspark.functions.linalg import add_steps, back_steps, factor_steps, intercept_text, normal_equations
 from panelspark.operators.joins import join_same
 from panelspark.operators.regression import accuracy
@@ -216,6 +216,86 @@ def fit_ar_errors(
     return stats.mapInArrow(run, schema).select(*key, "n", "p", F.lit(d).alias("d"), *names[1:6], "_last.*", *names[6:])
 
 
+def fit_arma(
+    df: DataFrame,
+    key: Sequence[str],
+    month: str = "month",
+    y: str = "value",
+    max_p: int = 2,
+    max_q: int = 1,
+    d: int = 0,
+    passes: int = 40,
+    tolerance: float = 1e-6,
+) -> DataFrame:
+    """Autoregression with moving-average terms by conditional least squares, orders up to (``max_p``, ``max_q``) by AIC on the same months.
+
+    The model table is that of ``fit_ar`` with q, ``theta`` and ``shocks`` (the last residuals, newest first),
+    and ``converged``: whether the step after the last of the ``passes`` would change a coefficient by less than
+    ``tolerance`` of one plus its size. A series is one row while it is fitted; two rows for one month fail the job.
+    """
+    if d not in (0, 1):
+        raise ValueError("d is 0 or 1")
+    rows = df.select(*key, month, F.col(y).cast("double").alias("_v")).dropna(subset=[month, "_v"])
+    rows = rows.withColumn("_y", F.col("_v") - F.lag("_v", 1).over(series_window(key, month)) if d else F.col("_v"))
+    cells = F.struct(F.col(month).alias("month"), F.col("_y").alias("y"), F.col("_v").alias("v"))
+    whole = rows.where(F.col("_y").isNotNull()).groupBy(*key).agg(F.sort_array(F.collect_list(cells)).alias("_s"))
+    same = F.size(F.array_distinct(F.col("_s.month"))) == F.size("_s")
+    checked = F.when(same, F.col("_s")).otherwise(F.raise_error(F.lit("two rows for one month of a series")).cast(whole.schema["_s"].dataType))
+    last = F.element_at("_s", -1)
+    state = [last["month"].alias("last_month"), last["v"].alias("last_level")]
+    whole = whole.select(*key, checked.alias("_s")).select(*key, F.size("_s").cast("long").alias("n"), *state, F.col("_s.y").alias("_y"))
+    kept = [*key, "n", "last_month", "last_level"]
+
+    def run(batches):
+        for batch in batches:
+            # few rows at a time: they are padded to the longest
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                lists = [np.array(v, float) for v in part["_y"].to_pylist()]
+                n = np.array([len(v) for v in lists], np.int64)
+                series = np.zeros((len(lists), max(int(n.max()), max_p + 1)))
+                for i, v in enumerate(lists):
+                    series[i, : len(v)] = v
+                made = arma_css.best_order(series, n, max_p, max_q, passes, tolerance)
+                recent = np.array([np.pad(v[::-1][:max_p], (0, max(0, max_p - len(v)))) for v in lists]).reshape(len(lists), max_p)
+                free = n - max_p - made["p"] - made["q"] - 1
+                listed = lambda m, size: pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * size, np.ascontiguousarray(m).reshape(-1))
+                columns = [
+                    pa.array(made["p"].astype(np.int32)),
+                    pa.array(made["q"].astype(np.int32)),
+                    pa.array(np.where(np.isfinite(made["aic"]), made["c"], [v.mean() for v in lists])),
+                    listed(made["phi"], max_p),
+                    listed(made["theta"], max_q),
+                    pa.array(made["sse"] / np.where(free > 0, free, 1), mask=(free <= 0) | ~np.isfinite(made["aic"])),
+                    pa.array(made["aic"], mask=~np.isfinite(made["aic"])),
+                    listed(recent, max_p),
+                    listed(made["shocks"], max_q),
+                    pa.array(made["converged"]),
+                ]
+                yield pa.RecordBatch.from_arrays([*part.select(kept).columns, *columns], [*kept, *names])
+
+    kinds = {
+        "p": "int", "q": "int", "intercept": "double", "phi": "array<double>", "theta": "array<double>", "sigma2": "double",
+        "aic": "double", "recent": "array<double>", "shocks": "array<double>", "converged": "boolean",
+    }
+    names, schema = list(kinds), whole.select(*kept).schema
+    for name, kind in kinds.items():
+        schema = schema.add(name, DataType.fromDDL(kind))
+    return whole.mapInArrow(run, schema).withColumns({"d": F.lit(d), "beta": F.lit(0.0)})
+
+
+def arma_forecast(
+    parts: DataFrame, key: Sequence[str], month: str, y: str, max_p: int = 2, max_q: int = 1, d: int = 0, passes: int = 40
+) -> DataFrame:
+    """Hold-out forecasts by ``fit_arma``, the point forecast rounded to 3 decimals."""
+    train, test = parts.where(F.col("part") == "train"), parts.where(F.col("part") == "test")
+    models = fit_arma(train, key, month, y, max_p, max_q, d, passes)
+    paths = forecast(models, key, max_p, future=test.select(*key, month), month=month, d=d, max_q=max_q)
+    return join_same(paths, test.select(*key, month, F.col(y).alias("actual")), [*key, month]).withColumn(
+        "forecast", F.bround("forecast", 3)
+    )
+
+
 def _weighted(phi: Column, newest_first: Column, max_p: int) -> Column:
     out = F.lit(0.0)
     for j in range(1, max_p + 1):
@@ -233,12 +313,14 @@ def forecast(
     xreg: str | None = None,
     d: int = 0,
     last_x: str = "last_x",
+    max_q: int = 0,
 ) -> DataFrame:
     """Point forecasts with 80 % and 95 % limits by step.
 
     Without ``future`` the months after the last one are forecast. With it, its
     months (and regressor values) are; a series' future is one array in its row.
     The recursion is that of the series less beta times the regressor, which is added to each point.
+    With ``max_q`` the models have moving-average terms (``theta``, ``shocks``); later shocks are 0.
     Interval widths come from the cumulated squares of the moving-average weights.
     """
     rows = models
@@ -274,16 +356,22 @@ def forecast(
         F.lit(1.0).alias("weight"),
         F.lit(1.0).alias("spread"),
         F.array().cast("array<struct<point:double,spread:double>>").alias("out"),
+        *([F.col("shocks").alias("shocks")] if max_q else []),
     )
 
     def step(acc: Column, i: Column) -> Column:
         value = F.col("intercept") + _weighted(F.col("phi"), acc["recent"], max_p)
+        if max_q:
+            value = value + _weighted(F.col("theta"), acc["shocks"], max_q)
         shown = value + F.col("beta") * F.element_at(F.col("_xs"), i) if xreg else value
         point = acc["level"] + shown if d else shown
         # weights of the next step; on differences the weights accumulate
         psi = _weighted(F.col("phi"), acc["psi"], max_p)
+        if max_q:
+            psi = psi + F.coalesce(F.get(F.col("theta"), i - 1), F.lit(0.0))
         weight = acc["weight"] + psi if d else psi
-        push = lambda arr, v: F.slice(F.concat(F.array(v), arr), 1, max_p)
+        push = lambda arr, v, size=max_p: F.slice(F.concat(F.array(v), arr), 1, size)
+        shocks = [push(acc["shocks"], F.lit(0.0), max_q).alias("shocks")] if max_q else []
         return F.struct(
             push(acc["recent"], value).alias("recent"),
             point.alias("level"),
@@ -291,6 +379,7 @@ def forecast(
             weight.alias("weight"),
             (acc["spread"] + weight * weight).alias("spread"),
             F.concat(acc["out"], F.array(F.struct(point.alias("point"), acc["spread"].alias("spread")))).alias("out"),
+            *shocks,
         )
 
     path = F.aggregate(F.sequence(F.lit(1), F.col("_h")), start, step, lambda acc: acc["out"])

@@ -469,6 +469,90 @@ def t9(spark, sf):
     return rounded(fc.ar_forecast(_parts(spark, sf), KEY, "month", "value", MAX_P))
 
 
+ARMA_PASSES = 40
+
+
+def _arma_blocks(train: str, test: str) -> list[tuple[str, str]]:
+    """ARMA(0..2, 0..1) by conditional least squares in SQL; ends in ``path``.
+
+    One recursion runs over months and passes: a row is a series and order at one month of one pass, with the residual, its
+    derivatives and the sums so far; behind the last month the sums give the next step.
+    """
+    names = ["c", "f1", "f2", "m1"]
+    pairs = [(i, j) for i in range(4) for j in range(i, 4)]
+    cell = lambda i, j: f"s{min(i, j)}{max(i, j)}"
+    sums = [cell(i, j) for i, j in pairs] + [f"r{i}" for i in range(4)]
+    carried = "region, p, q, n"
+    start = ", ".join(["0.0::DOUBLE AS " + x for x in ["e1", *[f"g{i}" for i in range(4)], "sse", *sums]])
+    # a month: residual and derivatives from those of the month before
+    month = (
+        f"SELECT {carried}, it, t + 1 AS t, {', '.join(f'b_{x}, d_{x}, k_{x}' for x in names)}, least_sse, scale, e AS e1, {', '.join(f'h{i} AS g{i}' for i in range(4))}, sse + e * e AS sse, "
+        + ", ".join(f"s{i}{j} + h{i} * h{j} AS s{i}{j}" for i, j in pairs)
+        + ", "
+        + ", ".join(f"r{i} + h{i} * e AS r{i}" for i in range(4))
+        + " FROM (SELECT z.*, y.y - k_c - k_f1 * y.l1 - k_f2 * y.l2 - k_m1 * e1 AS e, -1 - k_m1 * g0 AS h0, CASE WHEN p > 0 THEN -y.l1 - k_m1 * g1 ELSE 0 END AS h1, "
+        "CASE WHEN p > 1 THEN -y.l2 - k_m1 * g2 ELSE 0 END AS h2, CASE WHEN q > 0 THEN -e1 - k_m1 * g3 ELSE 0 END AS h3 FROM run z JOIN months y ON y.region = z.region AND y.t = z.t WHERE z.t <= z.n)"
+    )
+    # the end of a pass: keep or halve, then solve by sweeping the parameters that the order has
+    swept = f"SELECT *, sse <= least_sse * (1 + 1e-9::DOUBLE) AS better, it = 0 OR (abs(k_m1) > 0.98::DOUBLE * (1 - 1e-12::DOUBLE) AND -r3 * k_m1 > 0) AS still FROM run WHERE t > n AND it < {ARMA_PASSES}"
+    has = ["true", "p > 0", "p > 1", "q > 0 AND NOT still"]
+    keep = f"{carried}, it, better, still, {', '.join(f'b_{x}, d_{x}, k_{x}' for x in names)}, least_sse, scale, sse"
+    for s in range(4):
+        ok = f"({has[s]} AND abs({cell(s, s)}) > 0)"
+        out = []
+        cols = [*pairs, *[(i, 4) for i in range(4)]]
+        at = lambda i, j: f"r{i}" if j == 4 else cell(i, j)
+        for i, j in cols:
+            if i == s and j == s:
+                new = f"-1.0::DOUBLE / {at(s, s)}"
+            elif i == s or j == s:
+                new = f"{at(j if i == s else i, s) if j != 4 else at(s, 4)} / {at(s, s)}"
+            else:
+                right = at(s, 4) if j == 4 else cell(j, s)
+                new = f"{at(i, j)} - {cell(i, s)} * {right} / {at(s, s)}"
+            out.append(f"CASE WHEN {ok} THEN {new} ELSE {at(i, j)} END AS {at(i, j)}")
+        swept = f"SELECT {keep}, {', '.join(out)} FROM ({swept})"
+    moved = ", ".join(f"CASE WHEN better THEN k_{x} ELSE b_{x} END AS b_{x}, CASE WHEN better THEN CASE WHEN {h} THEN -r{i} ELSE 0 END ELSE d_{x} END AS d_{x}" for i, (x, h) in enumerate(zip(names, has)))
+    ended = f"SELECT {carried}, it + 1 AS it, {moved}, CASE WHEN better THEN sse ELSE least_sse END AS least_sse, CASE WHEN better THEN 1 ELSE scale / 2 END AS scale FROM ({swept})"
+    again = f"SELECT {carried}, it, 3 AS t, {', '.join(f'b_{x}, d_{x}, {"least(greatest(b_m1 + scale * d_m1, -0.98::DOUBLE), 0.98::DOUBLE)" if x == "m1" else f"b_{x} + scale * d_{x}"} AS k_{x}' for x in names)}, least_sse, scale, {start} FROM ({ended})"
+    first = ", ".join(f"{v} AS b_{x}, 0.0::DOUBLE AS d_{x}, {v} AS k_{x}" for x, v in zip(names, ["mean", *["0.0::DOUBLE"] * 3]))
+    on = "USING (region)"
+    return [
+        ("scaled", f"SELECT region, month, avg(y) OVER w AS mean, coalesce(nullif(stddev_pop(y) OVER w, 0), 1) AS dev, (y - avg(y) OVER w) / coalesce(nullif(stddev_pop(y) OVER w, 0), 1) AS y, count(*) OVER w AS n FROM {train} WHERE y IS NOT NULL WINDOW w AS (PARTITION BY region)"),
+        ("months", "SELECT *, lag(y, 1) OVER w AS l1, lag(y, 2) OVER w AS l2, row_number() OVER w AS t FROM scaled WINDOW w AS (PARTITION BY region ORDER BY month)"),
+        ("orders_tried", "SELECT region, p::INT AS p, q::INT AS q, any_value(n) AS n, avg(y) FILTER (t > 2) AS mean FROM months CROSS JOIN range(0, 3) a(p) CROSS JOIN range(0, 2) b(q) GROUP BY region, p, q"),
+        ("run", f"SELECT {carried}, 0 AS it, 3::BIGINT AS t, {first}, 'Infinity'::DOUBLE AS least_sse, 1.0::DOUBLE AS scale, {start} FROM orders_tried UNION ALL ({month} UNION ALL {again})"),
+        ("fits", f"SELECT *, (n - 2) * ln(least_sse / (n - 2)) + 2 * (p + q + 2) AS aic FROM run WHERE it = {ARMA_PASSES} AND t = 3"),
+        ("model", "SELECT region, p, q, b_c AS c, b_f1 AS phi1, b_f2 AS phi2, b_m1 AS theta, least_sse / (n - 3 - p - q) AS s2 FROM fits QUALIFY row_number() OVER (PARTITION BY region ORDER BY aic, p, q) = 1"),
+        ("tail", "SELECT m.region, y.t, y.n, y.y - c - phi1 * l1 - phi2 * l2 AS e, y.y, y.l1, theta FROM months y JOIN model m USING (region) WHERE t > 2"),
+        ("shock", "SELECT region, 3::BIGINT AS t, e FROM tail WHERE t = 3 UNION ALL SELECT x.region, x.t, x.e - x.theta * z.e FROM shock z JOIN tail x ON x.region = z.region AND x.t = z.t + 1"),
+        ("last", f"SELECT region, x.y AS y1, x.l1 AS y2, z.e AS e1 FROM shock z JOIN tail x USING (region, t) WHERE x.t = x.n"),
+        ("ahead", f"SELECT region, month, row_number() OVER (PARTITION BY region ORDER BY month) AS step FROM {test}"),
+        (
+            "scaled_path",
+            "SELECT region, NULL::DATE AS month, 0::BIGINT AS step, y1, y2, e1, 1.0::DOUBLE AS q1, 0.0::DOUBLE AS q2, 1.0::DOUBLE AS nxt, NULL::DOUBLE AS point, NULL::DOUBLE AS spread FROM last "
+            "UNION ALL SELECT region, month, step, v, y1, 0, w, q1, nxt + w * w, v, nxt FROM (SELECT z.region, a.month, a.step, m.c + m.phi1 * y1 + m.phi2 * y2 + m.theta * e1 AS v, y1, "
+            f"m.phi1 * q1 + m.phi2 * q2 + CASE WHEN a.step = 1 THEN m.theta ELSE 0 END AS w, q1, nxt FROM scaled_path z JOIN model m {on} JOIN ahead a ON a.region = z.region AND a.step = z.step + 1)",
+        ),
+        ("path", "SELECT p.region, month, step, point * dev + mean AS point, spread * dev * dev AS spread FROM scaled_path p JOIN (SELECT DISTINCT region, mean, dev FROM scaled) USING (region)"),
+    ]
+
+
+@query(
+    "t9_arma_forecast",
+    with_sql(
+        f"SELECT region, p, q, month, step, forecast + 0.0::DOUBLE AS forecast, {_limits()}, {r('actual')} FROM (SELECT p.region, m.p, m.q, p.month, p.step::INT AS step, round_even(p.point, 3) AS forecast, p.point, t.y AS actual, m.s2, p.spread FROM path p JOIN test_part t ON t.region = p.region AND t.month = p.month JOIN model m ON m.region = p.region WHERE p.step > 0)",
+        [*_SPLIT, *_arma_blocks("train_part", "test_part")],
+        recursive=True,
+    ),
+)
+def t9_arma(spark, sf):
+    parts = _parts(spark, sf)
+    models = fc.fit_arma(parts.where("part = 'train'"), KEY, max_p=MAX_P, max_q=1, passes=ARMA_PASSES).select("region", "p", "q")
+    paths = fc.arma_forecast(parts, KEY, "month", "value", MAX_P, 1, passes=ARMA_PASSES)
+    return rounded(joins.join_same(paths, models, KEY))
+
+
 _X_KEYS = ["region", "lag"]
 _X_SPLIT = [
     (

@@ -574,3 +574,62 @@ def test_linear_variance_counts_at_their_maximum(spark):
     b, se = _newton(np.column_stack([np.ones(len(own)), own[spec.inputs].to_numpy(float)]), own["hum_cases"].to_numpy(), own["log_pop"].to_numpy())
     assert found["d"].converged and math.isclose(found["d"].dispersion, 1 + count_models.LEAST_EXCESS)
     assert np.allclose(found["d"].coef, b, atol=1e-4) and np.allclose(found["d"].se, se, rtol=1e-3)
+
+
+def _residuals(y, c, phi, theta, start):
+    e = np.zeros(len(y))
+    for t in range(start, len(y)):
+        ma = sum(v * (e[t - 1 - j] if t - 1 - j >= start else 0.0) for j, v in enumerate(theta))
+        e[t] = y[t] - c - sum(f * y[t - 1 - j] for j, f in enumerate(phi)) - ma
+    return e[start:]
+
+
+def test_moving_average_terms(spark):
+    rng = np.random.default_rng(31)
+    series_, data = {}, []
+    for key, phi, theta, n in (("ar", [0.6], [], 150), ("ma", [], [0.7, 0.2], 160), (None, [0.5], [0.4], 140)):
+        e = rng.normal(size=n + 50)
+        y = np.zeros(n + 50)
+        for t in range(2, n + 50):
+            y[t] = sum(f * y[t - 1 - j] for j, f in enumerate(phi)) + e[t] + sum(v * e[t - 1 - j] for j, v in enumerate(theta))
+        series_[key] = y[50:] * 30 + 200
+        data += [(key, m, float(v)) for m, v in zip(months(n), series_[key])]
+    data += [("flat", m, 5.0) for m in months(20)] + [("few", m, float(i)) for i, m in enumerate(months(3))] + [("ar", dt.date(1990, 1, 1), None)]
+    df = spark.createDataFrame(data, "k STRING, month DATE, value DOUBLE").repartition(3)
+    models = {r.k: r for r in forecast.fit_arma(df, ["k"], max_p=2, max_q=2).collect()}
+    assert set(models) == {"ar", "ma", None, "flat", "few"}
+    for key, y in series_.items():
+        m = models[key]
+        phi, theta = np.array(m.phi[: m.p]), np.array(m.theta[: m.q])
+        sse = lambda c, f, v: (_residuals(y, c, f, v, 2) ** 2).sum()
+        best, count = sse(m.intercept, phi, theta), len(y) - 2
+        assert m.converged and m.n == len(y)
+        assert math.isclose(m.sigma2, best / (count - m.p - m.q - 1), rel_tol=1e-9)
+        assert math.isclose(m.aic, count * math.log(best / count) + 2 * (m.p + m.q + 2), rel_tol=1e-9)
+        for step in (1e-4, -1e-4):
+            assert sse(m.intercept * (1 + step), phi, theta) > best
+            assert all(sse(m.intercept, phi + step * np.eye(m.p)[j], theta) > best for j in range(m.p))
+            assert all(sse(m.intercept, phi, theta + step * np.eye(m.q)[j]) > best for j in range(m.q))
+        assert np.allclose(m.shocks[: m.q], _residuals(y, m.intercept, phi, theta, 2)[::-1][: m.q])
+    assert models["ma"].q > 0 and models["few"].aic is None and models["few"].intercept == 1.0 and models["flat"].intercept == 5.0
+    paths = forecast.forecast(forecast.fit_arma(df, ["k"], max_p=2, max_q=2), ["k"], 2, 6, max_q=2).orderBy("month").collect()
+    for key, y in series_.items():
+        m = models[key]
+        recent, shocks = list(m.recent), list(m.shocks)
+        psi = [1.0]
+        for i in range(1, 6):
+            psi.append(sum(m.phi[j] * psi[i - 1 - j] for j in range(2) if i - 1 - j >= 0) + (m.theta[i - 1] if i <= 2 else 0.0))
+        own = [r for r in paths if r.k == key]
+        assert len(own) == 6
+        for i, r in enumerate(own):
+            v = m.intercept + sum(m.phi[j] * recent[j] + m.theta[j] * shocks[j] for j in range(2))
+            recent, shocks = [v, recent[0]], [0.0, shocks[0]]
+            width = math.sqrt(m.sigma2 * sum(p * p for p in psi[: i + 1]))
+            assert math.isclose(r.forecast, v) and math.isclose(r.upper_95 - r.forecast, forecast.Z_95 * width)
+    # a model on the border of the invertible ones: over-differenced noise
+    noise = np.diff(rng.normal(size=120))
+    edge = forecast.fit_arma(frame(spark, {"month": months(119), "value": list(noise)}), [], max_p=0, max_q=1).first()
+    assert edge.converged and -0.98 - 1e-9 <= edge.theta[0] < -0.8
+    with pytest.raises(Exception, match="two rows for one month"):
+        forecast.fit_arma(frame(spark, {"month": months(1) * 2, "value": [1.0, 2.0]}), []).collect()
+    assert forecast.fit_arma(df.limit(0), ["k"]).count() == 0
