@@ -9,9 +9,9 @@ low and high ratios give a threshold between them.
 
 Lines belong to regions: the outermost ``article`` or ``main`` they stand in, or else
 the innermost container. A region with a line in the high cluster is content and is
-kept whole, so short paragraphs and headings beside long ones stay. Where a page marks
-an ``article`` or ``main`` with text, only such regions are content, whatever their
-ratios, as the mark says more than the lengths do.
+kept whole, so short paragraphs and headings beside long ones stay. The mark of an
+``article`` or ``main`` raises the ratios of its lines by the factor MARK and decides nothing alone: an
+article of a few words beside a long story in a plain container is not kept.
 
 White space inside a line becomes one space, lines without text go, and the rest is
 joined by one space in page order. Null and empty pages, and pages without a candidate,
@@ -50,6 +50,8 @@ HINTS = frozenset(
 )
 # what says that a part is somewhere else on the page, or not at all
 NOT_HERE = frozenset("no has with without".split())
+#: How much more a line in an article or main element counts.
+MARK = 1.5
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 # an open element of the key ends where one of these begins
 ENDS = {
@@ -188,9 +190,7 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    if any(article for *_, article in lines):
-        return " ".join(text for text, _, _, article in lines if article)
-    ratio = smooth(np.array([len(text) / max(1, tags) for text, tags, _, _ in lines], float), sigma)
+    ratio = smooth(np.array([len(text) / max(1, tags) * (MARK if article else 1) for text, tags, _, article in lines], float), sigma)
     cut = threshold(ratio)
     kept = {region for (_, _, region, _), r in zip(lines, ratio.tolist()) if r >= cut}
     return " ".join(text for text, _, region, _ in lines if region in kept)

@@ -55,6 +55,41 @@ def test_ratio_picks_the_text_where_nothing_is_marked():
     assert H.main_text(page) == f"{LONG} {LONG} {LONG} Short."
 
 
+def test_marks_do_not_decide_alone():
+    story = f"<p>{LONG}</p><p>{LONG} {LONG}</p><p>Short.</p>"
+    want = f"{LONG} {LONG} {LONG} Short."
+    teasers = "<article><a href='/1'>Teaser one</a></article><article><a href='/2'>Teaser two</a></article>"
+    assert H.main_text(f"<body><div class=content>{story}</div><section>{teasers}</section></body>") == want
+    assert H.main_text(f"<body><section>{teasers}</section><div class=content>{story}</div></body>") == want
+    assert H.main_text(f"<body><main>{story}</main><section>{teasers}</section></body>") == want
+    # the mark tips the balance between texts of like size
+    assert H.main_text(f"<body><article>{story}</article><div><p>{LONG[:60]}</p></div></body>") == want
+
+
+def test_ratios_give_the_text_of_every_page(spark):
+    """Each page of the table by another reading of the method: no line of the kept regions is missing, none is added."""
+    sf = "/root/testdata/sf0.001"
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        parser = H.Lines()
+        parser.feed(r["html"])
+        parser.close()
+        values = [len(t) / max(1, g) * (H.MARK if a else 1) for t, g, _, a in parser.lines]
+        near = [-2, -1, 0, 1, 2]
+        soft = []
+        for i in range(len(values)):
+            weights = [(pow(2.718281828459045, -0.5 * d * d), values[i + d]) for d in near if 0 <= i + d < len(values)]
+            soft.append(sum(w * v for w, v in weights) / sum(w for w, _ in weights))
+        low, high = min(soft), max(soft)
+        for _ in range(100):
+            under = [v for v in soft if v < (low + high) / 2]
+            over = [v for v in soft if v >= (low + high) / 2]
+            if not under:
+                break
+            low, high = sum(under) / len(under), sum(over) / len(over)
+        kept = {region for (_, _, region, _), v in zip(parser.lines, soft) if v >= (low + high) / 2 - 1e-9}
+        assert H.main_text(r["html"]) == " ".join(t for t, _, region, _ in parser.lines if region in kept)
+
+
 def test_marks_and_white_space():
     assert H.main_text("<article><p>a<b>b</b> &amp; \n\t c&nbsp;&#100;<br>e</article>") == "ab & c d e"
     assert H.main_text("<article><p>open <b>bold<p>next</article>") == "open bold next"
