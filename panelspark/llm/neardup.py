@@ -19,8 +19,9 @@ and every pair of different components is tested there. A pair is dropped withou
 look at the texts if the set sizes rule it out, or if the likelihood of both sketches
 and both sizes puts their similarity five standard deviations below the bar.
 
-Null ids link with nothing; their component is null and they are kept. Rows that repeat
-an id are one document; null texts have no words.
+Null ids link with nothing; their component is null and they are kept. Null texts have no words.
+In ``dedup`` rows that repeat an id have to hold texts with equal sets; where ids repeat with different texts,
+``keep_one`` takes every id and text as a document of its own.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 
 from panelspark.llm import words as W
 from panelspark.llm.components import components
+from panelspark.operators.ordering import cumulative_counts
 from panelspark.session import materialise
 
 SHINGLE = 3
@@ -333,3 +335,31 @@ def dedup(df: DataFrame, bar: int = 85, size: int = SHINGLE, id_col: str = "doc_
         component.alias("component_id"),
         F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"),
     )
+
+
+def keep_one(df: DataFrame, bar: int = 85, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with one document of each group of near-duplicates, the one with the smallest id; all columns.
+
+    A document is an id with a text: rows that repeat both are one, and an id with several
+    texts is as many documents, so a text without a copy stays whatever else has its id. Rows without an id stay.
+    """
+    key, node = W.fresh(df.columns, "_key"), W.fresh(df.columns, "_node")
+    keyed = df.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    named = F.col(id_col).isNotNull()
+    pairs = keyed.where(named).groupBy(id_col, key).agg(F.count(F.lit(1)).alias("_rows"))
+    pairs = materialise(pairs, "documents")
+    if pairs.groupBy(id_col).count().where("count > 1").take(1):
+        # numbers in the order of the ids stand for the documents
+        struct = pairs.select(F.struct(id_col, key).alias("_pair"), F.lit(1).alias("_one"))
+        numbered = cumulative_counts(struct, "_pair", "_one").select("_pair.*", F.col("cum").alias(node))
+        rows = materialise(keyed.join(numbered, [id_col, key]).dropDuplicates([node]), "numbered")
+        gone = dedup(rows.select(node, text_col), bar, size, node, text_col).where("NOT kept")
+        left = rows.join(gone.select(F.col("doc_id").alias(node)), node, "left_anti").select(*df.columns)
+        return left.unionByName(df.where(~named))
+    found = materialise(dedup(df.select(id_col, text_col), bar, size, id_col, text_col), "near-duplicates")
+    left = df.join(found.where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_anti").select(*df.columns)
+    again = pairs.where("_rows > 1").select(id_col)
+    if not again.take(1):
+        return left
+    repeated = left.join(again, id_col, "left_semi").dropDuplicates([id_col])
+    return left.join(again, id_col, "left_anti").unionByName(repeated)
