@@ -27,17 +27,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group linked by a similarity of 0.8 in five-word shingles; documents without an id stay."""
-    docs = docs.select(COLUMNS)
-    found = materialise(neardup.dedup(docs.select("doc_id", "text"), bar=NEAR_BAR, size=NEAR_WORDS), "near-duplicates")
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
-    # rows that repeat a document are the same document
-    again = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not again.take(1):
-        return left
-    repeated = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(again, "doc_id", "left_anti").unionByName(repeated)
+    """The document with the smallest id of each group linked by a similarity of 0.8 in five-word shingles; documents without an id stay.
+
+    An id that comes with several texts is as many documents; a row that repeats id and text goes.
+    """
+    return neardup.keep_one(docs.select(COLUMNS), NEAR_BAR, NEAR_WORDS)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
