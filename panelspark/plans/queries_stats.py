@@ -8,6 +8,7 @@ from panelspark.operators import correlation, count_models, regression, rollup
 from panelspark.plans import fixture as fx
 from panelspark.plans.oracle import SERIES, ols_sql, r, t_p_value, with_sql
 from panelspark.plans.registry import query, rounded
+from panelspark.session import materialise
 
 INC = [f"{s}_incidence" for s in SERIES]
 # camel populations are 0 in some regions, so regional fits meet constant series
@@ -516,3 +517,91 @@ def _linear_sql() -> str:
 def i11_linear(spark, sf):
     coefs = count_models.fit_count_model(_item_panel(spark, sf), count_models.CountSpec(combined=True), "linear")
     return _tested(coefs.select("lag", "term", "estimate", "std_error", "dispersion", "statistic", "p_value", "converged"))
+
+
+# ---------------------------------------------------------------- counts with effects of regions
+
+_EFFECT_VARIANCE = 0.05
+_EFFECT_ITERATIONS = 14
+
+
+def _region_effects_sql(final: str, limited: bool) -> str:
+    """Newton steps in which every region's level is solved for in its own sums; ``limited`` shrinks it by a variance."""
+    base = _poisson_sql("SELECT 1", combined=True)
+    text = base[: base.index(",\nz AS (")]
+    k = 3  # 1, cases, time
+    blocks = [
+        "zr AS (SELECT region, lag, y, off, 1.0::DOUBLE AS x0, coalesce((animal_cases - avg(animal_cases) OVER w) / nullif(stddev_samp(animal_cases) OVER w, 0), 0) AS x1, time_code AS x2 FROM full_rows WINDOW w AS (PARTITION BY lag))",
+        "k0 AS (SELECT lag, region, ln(any_value(level)) AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2, 0.0::DOUBLE AS u, count(*) AS n FROM zr JOIN (SELECT lag, sum(y) / sum(exp(off)) AS level FROM zr GROUP BY lag) USING (lag) GROUP BY lag, region)",
+    ]
+    cells = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    at = lambda i, j: f"a{min(i, j)}_{max(i, j)}"
+    first = 0 if limited else 1
+    share = f"{_EFFECT_VARIANCE}::DOUBLE / ({_EFFECT_VARIANCE}::DOUBLE * a0_0 + 1)" if limited else "1 / a0_0"
+    for step in range(_EFFECT_ITERATIONS):
+        eta = "c.b0 + c.b1 * x1 + c.b2 * x2 + c.u"
+        v = ["x0", "x1", "x2", "work"]
+        sums = ", ".join(f"sum(mu * {v[i]} * {v[j]}) AS {at(i, j)}" for i, j in cells)
+        blocks.append(
+            f"h{step} AS (SELECT lag, region, {sums} FROM (SELECT *, eta + (y - mu) / mu AS work FROM (SELECT z.*, {eta} AS eta, exp(off + {eta}) AS mu FROM zr z JOIN k{step} c ON c.lag = z.lag AND c.region = z.region)) GROUP BY lag, region)"
+        )
+        left = ", ".join(f"sum({at(i, j)} - {at(0, i)} * {at(0, j)} * {share}) AS {at(i, j)}" for i, j in cells)
+        blocks.append(f"m{step}_{first} AS (SELECT lag, {left} FROM h{step} GROUP BY lag)")
+        source = f"m{step}_{first}"
+        for p in range(first, k):
+            out = []
+            for i, j in cells:
+                if i == p and j == p:
+                    out.append(f"-1.0::DOUBLE / {at(p, p)} AS {at(i, j)}")
+                elif p in (i, j):
+                    out.append(f"{at(j if i == p else i, p)} / {at(p, p)} AS {at(i, j)}")
+                else:
+                    out.append(f"{at(i, j)} - {at(i, p)} * {at(j, p)} / {at(p, p)} AS {at(i, j)}")
+            blocks.append(f"m{step}_{p + 1} AS (SELECT lag, {', '.join(out)} FROM {source})")
+            source = f"m{step}_{p + 1}"
+        b = [f"s.{at(i, k)}" if i >= first else "0.0::DOUBLE" for i in range(k)]
+        share_h = share.replace("a0_0", "h.a0_0")
+        blocks.append(
+            f"k{step + 1} AS (SELECT h.lag, h.region, {', '.join(f'{e} AS b{i}' for i, e in enumerate(b))}, ({share_h}) * (h.a0_3 - {b[0]} * h.a0_0 - {b[1]} * h.a0_1 - {b[2]} * h.a0_2) AS u, "
+            f"sqrt({share_h}) AS u_se, h.a0_0 AS w, h.a0_1 / h.a0_0 AS m1, h.a0_2 / h.a0_0 AS m2, -s.a1_1 AS v11, -s.a1_2 AS v12, -s.a2_2 AS v22, c.n FROM h{step} h JOIN {source} s ON s.lag = h.lag JOIN k{step} c ON c.lag = h.lag AND c.region = h.region)"
+        )
+    last = f"k{_EFFECT_ITERATIONS}"
+    return text + ",\n" + ",\n".join(blocks) + "\n" + final.replace("LAST", last)
+
+
+@query(
+    "i10_region_effects",
+    _region_effects_sql(
+        f"SELECT lag, region, {r('u', 5, 'effect')}, {r('u_se', 5, 'effect_se')}, {r('b0', 5, 'level')}, {r('b1', 5, 'slope')}, {r('b2', 5, 'time_slope')}, {_EFFECT_VARIANCE}::DOUBLE AS variance, true AS converged FROM LAST",
+        limited=True,
+    ),
+)
+def i10_effects(spark, sf):
+    """Levels of regions, drawn to 0 by a given variance."""
+    spec = count_models.CountSpec(combined=True)
+    design = materialise(count_models.count_design(_count_panel(spark, sf), spec), "count-design")
+    found = count_models.fit_region_effects(design, spec, _EFFECT_VARIANCE, tolerance=1e-9)
+    coef = [F.element_at("coef", i).alias(n) for i, n in enumerate(("level", "slope", "time_slope"), 1)]
+    return rounded(found.select("lag", "region", "effect", "effect_se", *coef, F.col("g00").alias("variance"), "converged"), digits=5)
+
+
+_SPREAD = "{d1} * {d1} * v11 + 2 * {d1} * {d2} * v12 + {d2} * {d2} * v22"
+
+
+@query(
+    "i10_region_dummies",
+    _region_effects_sql(
+        "SELECT lag, term, "
+        + f"{r('estimate', 5)}, {r('std_error', 5)}, true AS converged FROM ("
+        + "SELECT lag, 'animal_cases' AS term, any_value(b1) AS estimate, sqrt(any_value(v11)) AS std_error FROM LAST GROUP BY lag "
+        + "UNION ALL SELECT lag, 'time_code', any_value(b2), sqrt(any_value(v22)) FROM LAST GROUP BY lag "
+        + f"UNION ALL SELECT lag, '(Intercept)', u, sqrt(1 / w + {_SPREAD.format(d1='m1', d2='m2')}) FROM LAST QUALIFY row_number() OVER (PARTITION BY lag ORDER BY n DESC, region DESC) = 1 "
+        + f"UNION ALL SELECT a.lag, 'region_' || a.region, a.u - o.u, sqrt(1 / a.w + 1 / o.w + {_SPREAD.format(d1='(a.m1 - o.m1)', d2='(a.m2 - o.m2)').replace('v11', 'a.v11').replace('v12', 'a.v12').replace('v22', 'a.v22')}) "
+        + "FROM LAST a JOIN (SELECT * FROM LAST QUALIFY row_number() OVER (PARTITION BY lag ORDER BY n DESC, region DESC) = 1) o ON o.lag = a.lag WHERE a.region <> o.region)",
+        limited=False,
+    ),
+)
+def i10_dummies(spark, sf):
+    """A term for each region but one, found without a column for any."""
+    coefs = count_models.fit_count_model(_count_panel(spark, sf), count_models.CountSpec(combined=True, region_effects=True))
+    return rounded(coefs.select("lag", "term", "estimate", "std_error", "converged"), digits=5)
