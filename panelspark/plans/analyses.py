@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelspark.functions import columns as C
 from panelspark.functions import vocab as V
 from panelspark.operators import classify, correlation, count_models, forecast, regression, rollup, rows, series
+from panelspark.session import materialise
 
 DIAGNOSIS_COLUMNS = {V.CLINICAL: "clinical", V.LAB: "lab", V.POST_MORTEM: "post_mortem"}
 RATES = list(rollup.RATE_PAIRS)
@@ -59,11 +60,16 @@ def regressions(panels: dict[str, DataFrame], spec: regression.Spec = regression
     }
 
 
-def count_regressions(panels: dict[str, DataFrame], lags: Sequence[int] = tuple(range(7))) -> dict[str, DataFrame]:
-    """Rate ratios of the pooled model and of the model by species, the latter with scaled errors."""
+def count_regressions(
+    panels: dict[str, DataFrame], lags: Sequence[int] = tuple(range(7)), region_iterations: int = 30
+) -> dict[str, DataFrame]:
+    """Rate ratios of the pooled model and of the model by species, the latter with scaled errors and by likelihood, and the regions' levels and time slopes."""
     pooled = count_models.CountSpec(combined=True, lags=tuple(lags))
     single = count_models.CountSpec(lags=tuple(lags))
+    design = materialise(count_models.count_design(panels["ah2"], pooled), "count-design")
     return {
+        "by_species_linear": count_models.rate_ratios(count_models.fit_count_model(panels["ah2"], single, "linear")),
+        "regions": count_models.fit_region_effects(design, pooled, slope=True, max_iter=region_iterations, tolerance=1e-3),
         "pooled": count_models.rate_ratios(count_models.fit_count_model(panels["ah2"], pooled)),
         "by_species": count_models.rate_ratios(count_models.fit_count_model(panels["ah2"], single, "quasipoisson")),
     }

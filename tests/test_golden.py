@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.operators import correlation, regression, rollup, rows
+from panelspark.plans import analyses
 from panelspark.plans.panels import growth_rates
 
 # FIXED VALUES: cases per year (human, cattle, camel, goat, sheep) and human population
@@ -54,6 +55,9 @@ GROWTH = {
     "Bomet": ([902000, 914000, 927000, 940000, 953000, 965000], 1.36),
     "Bungoma": ([1700000, 1729000, 1758000, 1787000, 1816000, 1845000], 1.65),
 }
+# FIXED VALUES: published error (RMSE) of the forecast without a regressor, and with the lagged one at lag 0 to 6
+FORECAST_RMSE = 123.440
+FORECAST_RMSE_BY_LAG = [121.776, 127.632, 124.753, 121.684, 122.843, 131.292, 118.310]
 
 
 def test_described_incidence(spark):
@@ -103,3 +107,14 @@ def test_correlations(monthly):
     got = {(r.lag, r.var_2): r.r for r in matrix.where("var_1 = 'hum_incidence'").collect()}
     for lag, want in enumerate(CORRELATION):
         assert all(math.isclose(got[(lag, n)], w, abs_tol=0.00006) for n, w in zip(names, want))
+
+
+def test_forecasts(monthly):
+    """Regression with autoregressive errors comes out no worse than the published models, within 5 %."""
+    made = analyses.forecasts(monthly)
+    assert made["plain"].count() == 22
+    plain = regression.accuracy(made["plain"], "actual", "forecast").first().rmse
+    assert plain < 1.05 * FORECAST_RMSE
+    by_lag = {r.lag: r.rmse for r in made["by_lag"].collect()}
+    assert all(by_lag[lag] < 1.05 * want for lag, want in enumerate(FORECAST_RMSE_BY_LAG)), by_lag
+    print("RMSE", plain, by_lag)

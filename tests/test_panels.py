@@ -152,7 +152,10 @@ def test_analyses_on_a_long_panel(spark):
     assert reg["coefficients"].count() == 7 * (5 + 2) and reg["forest"].count() == 7 * 5
     assert reg["metrics"].count() == 14 and reg["regional"].count() == 2 * 49 and reg["ranked"].where("place = 1").count() == 2
     assert analyses.correlations(bundle)["average"].count() == 7
-    assert analyses.count_regressions(bundle, lags=(0, 1))["by_species"].count() == 8
+    counts = analyses.count_regressions(bundle, lags=(0, 1), region_iterations=2)
+    assert counts["by_species"].count() == counts["by_species_linear"].count() == 8
+    regions = bundle["ah2"].select("region").distinct().count()
+    assert counts["regions"].count() == 2 * regions
     fc = analyses.forecasts(national, history_end="2018-12-01", max_p=2, lags=(0, 1))
     assert fc["comparison"].count() == 2 and fc["by_lag"].count() == 2 and fc["full_forecast"].count() == 12
     assert fc["decomposed"].count() == n and fc["ccf"].count() == 25
