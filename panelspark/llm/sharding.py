@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.llm.words import fresh
+
 
 @dataclass(frozen=True)
 class Node:
@@ -118,21 +120,23 @@ def slots(df: DataFrame, keys: list[str], shard: str = "shard", out: str = "slot
     Every shard is cut by hash, into one part for each ``chunk`` rows of the whole table. Equal rows are counted
     before the shuffle, chunks are summed into offsets, each chunk is numbered on its
     own and equal rows are unfolded last, so no task holds a shard and no repeated row
-    makes a task large. The order is that of the keys within the chunks.
+    makes a task large. The order is that of the keys within the chunks. An existing column ``out`` is replaced.
     """
+    kept, names = [c for c in df.columns if c != out], {}
+    for name in ("_n", "_part", "_s", "_c", "_base", "_first", "_rows"):
+        names[name] = fresh([*kept, *names.values()], name)
+    n, part, s, c, base, first, rows = names.values()
     chunks = max(1, df.count() // chunk)
     cells = (
-        df.groupBy(*df.columns)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_chunk", F.pmod(F.xxhash64(*keys, F.lit("slot")), F.lit(chunks)))
-    )
-    sums = cells.groupBy(shard, "_chunk").agg(F.sum("_n").alias("_rows"))
-    over = Window.partitionBy(shard).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(
-        F.col(shard).alias("_s"), F.col("_chunk").alias("_c"), F.coalesce(F.sum("_rows").over(over), F.lit(0)).alias("_base")
+        df.groupBy(*kept)
+        .agg(F.count(F.lit(1)).alias(n))
+        .withColumn(part, F.pmod(F.xxhash64(*keys, F.lit("slot")), F.lit(chunks)))
     )
-    within = Window.partitionBy(shard, "_chunk").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    numbered = cells.withColumn("_first", F.coalesce(F.sum("_n").over(within), F.lit(0)))
-    placed = numbered.join(sums, (F.col(shard) == F.col("_s")) & (F.col("_chunk") == F.col("_c")))
-    start = F.col("_base") + F.col("_first")
-    return placed.select(*df.columns, F.explode(F.sequence(start, start + F.col("_n") - 1)).alias(out))
+    sums = cells.groupBy(shard, part).agg(F.sum(n).alias(rows))
+    over = Window.partitionBy(shard).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col(shard).alias(s), F.col(part).alias(c), F.coalesce(F.sum(rows).over(over), F.lit(0)).alias(base))
+    within = Window.partitionBy(shard, part).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = cells.withColumn(first, F.coalesce(F.sum(n).over(within), F.lit(0)))
+    placed = numbered.join(sums, (F.col(shard) == F.col(s)) & (F.col(part) == F.col(c)))
+    start = F.col(base) + F.col(first)
+    return placed.select(*kept, F.explode(F.sequence(start, start + F.col(n) - 1)).alias(out))

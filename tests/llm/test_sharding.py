@@ -77,3 +77,16 @@ def test_slots_of_odd_rows(spark):
     assert sharding.slots(df.limit(0), ["doc_id", "size"]).count() == 0
     again = df.withColumn("shard", F.lit("old"))
     assert sharding.assign(again, sharding.uniform_tree(1, 1, 1)).select("shard").distinct().collect()[0]["shard"] == 0
+
+
+def test_slots_beside_columns_of_any_name(spark):
+    names = ["_n", "_chunk", "_part", "_s", "_c", "_base", "_first", "_rows", "slot"]
+    df = spark.range(300).selectExpr("id AS doc_id", *[f"id AS {n}" for n in names])
+    df = sharding.assign(df, sharding.uniform_tree(1, 1, 3))
+    got = sharding.slots(df, ["doc_id"], chunk=40)
+    assert got.columns == ["doc_id", *names[:-1], "shard", "slot"]
+    by = collections.defaultdict(list)
+    for r in got.collect():
+        by[r["shard"]].append(r["slot"])
+        assert all(r[n] == r["doc_id"] for n in names[:-1])
+    assert all(sorted(x) == list(range(len(x))) for x in by.values()) and sum(map(len, by.values())) == 300
