@@ -47,27 +47,28 @@ def _path(doc_id, lang, source, text):
 
 
 def _license_sql() -> str:
-    rows, unknown = licenses.vectors()
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    vector = ", ".join(f"({i}, {quoted(n)}, {quoted(w)}, CAST({x!r} AS DOUBLE))" for i, n, w, x in rows)
+    vector = ", ".join(f"({i}, {quoted(n)}, {quoted(w)}, CAST({x!r} AS DOUBLE))" for i, n, w, x in licenses.vectors())
     idf = ", ".join(f"({quoted(w)}, CAST({x!r} AS DOUBLE))" for w, x in licenses.frequencies().items())
+    place = ", ".join(f"({quoted(m)}, {t}, {j}, {n})" for m, t, j, n in licenses.places())
     return rf"""
-    WITH vector(template, license, word, weight) AS (VALUES {vector}), idf(word, idf) AS (VALUES {idf}), f AS (
+    WITH vector(template, license, word, weight) AS (VALUES {vector}), idf(word, idf) AS (VALUES {idf}), place(word, template, j, size) AS (VALUES {place}), f AS (
       SELECT doc_id, text, concat_ws('/', coalesce(source, 'none'), CASE WHEN doc_id % 3 > 0 THEN coalesce(lang, 'none') END,
         CASE WHEN doc_id % 3 > 1 THEN CAST(doc_id % 16 AS VARCHAR) END) AS dir, strlen(text) < {LICENSE_BYTES} AS is_license FROM documents
-    ), units AS (
-      SELECT doc_id, unnest(string_split(text, chr(10))) AS passage FROM f UNION SELECT doc_id, text FROM f WHERE is_license
+    ), t AS (
+      SELECT doc_id, is_license, regexp_extract_all(lower(text), '{licenses.WORD}') AS w FROM f
+    ), m AS (
+      SELECT doc_id, w, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM t
     ), p AS (
-      SELECT doc_id, passage, unnest(regexp_extract_all(lower(passage), '{licenses.WORD}')) AS word FROM units
-      WHERE regexp_matches(passage, '(?i){licenses.MARKS}') OR (doc_id, passage) IN (SELECT doc_id, text FROM f WHERE is_license)
-    ), w AS (
-      SELECT doc_id, passage, word, count(*) * coalesce(any_value(idf), {unknown!r}) AS w FROM p LEFT JOIN idf USING (word) GROUP BY doc_id, passage, word
+      SELECT doc_id, template, i, j, w[greatest(i - j, 0) + 1 : i - j + size] AS w FROM m JOIN place USING (word)
+      UNION ALL SELECT doc_id, template, -1, -1, w FROM t, (SELECT DISTINCT template FROM vector) WHERE is_license
+    ), u AS (
+      SELECT doc_id, template, i, j, word, count(*) AS n FROM (SELECT doc_id, template, i, j, unnest(w) AS word FROM p) GROUP BY ALL
     ), c AS (
-      SELECT doc_id, license, round(sum(w * weight) / any_value(norm), 6) AS score
-      FROM w JOIN vector USING (word) JOIN (SELECT doc_id, passage, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id, passage) USING (doc_id, passage)
-      GROUP BY doc_id, passage, license, template
+      SELECT doc_id, template, round(sum(n * coalesce(idf, {licenses.unknown()!r}) * coalesce(weight, 0)) / sqrt(sum(pow(n * coalesce(idf, {licenses.unknown()!r}), 2))), 6) AS score
+      FROM u LEFT JOIN idf USING (word) LEFT JOIN vector USING (template, word) GROUP BY doc_id, template, i, j
     ), own AS (
-      SELECT doc_id, license, score FROM c WHERE score >= {licenses.BAR}
+      SELECT doc_id, license, score FROM c JOIN (SELECT DISTINCT template, license FROM vector) USING (template) WHERE score >= {licenses.BAR}
       QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1
     ), stated AS (
       SELECT dir AS license_dir, license AS inherited FROM own JOIN f USING (doc_id) WHERE is_license
