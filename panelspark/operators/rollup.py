@@ -16,7 +16,7 @@ CASES = [f"{s}_cases" for s in SERIES]
 POPS = list(POPULATION_OF.values())
 RATE_PAIRS = {f"{s}_incidence": (f"{s}_cases", POPULATION_OF[s]) for s in SERIES}
 
-# grain name -> its keys, out of (region, year, month, diagnosis)
+# FIXED VALUES: the names of the published panels, and the keys of each out of (region, year, month, diagnosis)
 GRAINS: dict[str, tuple[str, ...]] = {
     "ah2": ("region", "month", "year"),
     "kenya_ah": ("month", "year", "diagnosis"),

@@ -19,6 +19,7 @@ from panelspark.functions import vocab as V
 from panelspark.operators import joins, reshape, rollup, rows
 from panelspark.sources import sinks
 
+# FIXED VALUES: column names of the input files and of the published panels
 REPORT_COLUMNS = ["county", "month", "year", "disease_condition", "diagnosis", "species", "no_sick"]
 PANEL_KEYS = ["region", "year", "month", "diagnosis"]
 ANIMAL_POPS = ["catt_pop", "goat_pop", "sheep_pop", "cam_pop"]
