@@ -308,8 +308,12 @@ def o2_shared(spark, sf):
 _COUNT_ITERATIONS = 12
 
 
-def _poisson_sql(final: str, combined: bool) -> str:
-    """Newton steps for the count model, unrolled; each solves the weighted normal equations by sweeping."""
+def _poisson_sql(final: str, combined: bool, regional: bool = False) -> str:
+    """Newton steps for the count model, unrolled; each solves the weighted normal equations by sweeping.
+
+    With ``regional`` the key called lag is region and lag in one text.
+    """
+    key = "region || '|' || lag AS lag" if regional else "lag"
     xs = ["animal_cases"] if combined else [f"{s}_cases" for s in SERIES[1:]]
     raw = [f"{s}_cases" for s in SERIES[1:]]
     steps = _lag_blocks("counted", raw, KEY, "hum_cases", diff=False)
@@ -327,12 +331,12 @@ def _poisson_sql(final: str, combined: bool) -> str:
         ),
         (
             "z",
-            "SELECT lag, y, off, 1.0::DOUBLE AS x0, "
+            f"SELECT {key}, y, off, 1.0::DOUBLE AS x0, "
             + ", ".join(
-                f"coalesce(({c} - avg({c}) OVER (PARTITION BY lag)) / nullif(stddev_samp({c}) OVER (PARTITION BY lag), 0), 0) AS x{i}"
+                f"coalesce(({c} - avg({c}) OVER (PARTITION BY f.lag)) / nullif(stddev_samp({c}) OVER (PARTITION BY f.lag), 0), 0) AS x{i}"
                 for i, c in enumerate(xs, 1)
             )
-            + f", time_code AS x{len(xs) + 1} FROM full_rows",
+            + f", time_code AS x{len(xs) + 1} FROM full_rows f",
         ),
     ]
     k = len(xs) + 2
@@ -417,6 +421,20 @@ def i10(spark, sf):
     return _tested(coefs.select("lag", "term", "estimate", "std_error", "statistic", "p_value", "converged"))
 
 
+@query(
+    "i10_poisson_by_region",
+    _poisson_sql(
+        f"SELECT split_part(lag, '|', 1) AS region, split_part(lag, '|', 2)::INT AS lag, term, {r('b', 5, 'estimate')}, {r('se', 5, 'std_error')}, true AS converged FROM coefs",
+        combined=True,
+        regional=True,
+    ),
+)
+def i10_by_region(spark, sf):
+    """A fit of its own for every region and lag, all in one job an iteration."""
+    coefs = count_models.fit_count_model(_count_panel(spark, sf), count_models.CountSpec(combined=True), by_region=True)
+    return rounded(coefs.select("region", "lag", "term", "estimate", "std_error", "converged"), digits=5)
+
+
 @query(
     "i11_overdispersed_counts",
     _poisson_sql(
