@@ -43,6 +43,8 @@ from panelspark.session import materialise, scratch_path
 
 U64 = np.uint64
 END_HASH = U64(0x0123456789ABCDEF)
+#: The largest number of 32 bits stands for a count in the list of large ones.
+MOST = 2**32 - 1
 #: Tokens a task adds up before it sends counts on; entries of a part of the arrays; numbers of a block of statistics.
 GATHER, PART, BLOCK = 1_000_000, 1_000_000, 1 << 18
 
@@ -174,6 +176,7 @@ class Trained:
     pairs: int
     discounts: tuple[tuple[float, ...], tuple[float, ...]]
     low_rest: float
+    most: int = MOST
 
     @property
     def vocabulary(self) -> int:
@@ -219,8 +222,11 @@ def discounts(n: np.ndarray) -> tuple[float, float, float]:
     return float(np.clip(d1, 0.05, 0.95)), float(np.clip(d2, 0.05, 1.95)), float(np.clip(d3, 0.05, 2.95))
 
 
-def train(texts: DataFrame, text_col: str = "text") -> Trained:
-    """Counts the model of ``texts`` and writes its arrays to the shared folder."""
+def train(texts: DataFrame, text_col: str = "text", most: int = MOST) -> Trained:
+    """Counts the model of ``texts`` and writes its arrays to the shared folder.
+
+    Counts of pairs have 32 bits; those of ``most`` and more are listed beside them in 64.
+    """
     spark = texts.sparkSession
     folder = scratch_path(spark, "ngrams")
     source = texts.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -263,7 +269,10 @@ def train(texts: DataFrame, text_col: str = "text") -> Trained:
         for part, rows in _groups(batches):
             keys, counts = add_up(*zip(*((unpack(r[1]), from_planes(r[2])) for r in rows)))
             arrays.save(folder, f"pairs-{part}", keys)
-            arrays.save(folder, f"pair-counts-{part}", np.minimum(counts, 2**32 - 1).astype(np.uint32))
+            arrays.save(folder, f"pair-counts-{part}", np.minimum(counts, most).astype(np.uint32))
+            large = np.flatnonzero(counts >= most)
+            if len(large):
+                arrays.save(folder, f"pair-large-{part}", np.stack([large, counts[large]], 1).astype(np.int64))
             packed = unmix(keys)
             of_counts = np.bincount(np.minimum(counts, 5), minlength=6)
             for side, ids in (("v", packed >> U64(32)), ("w", packed & U64(0xFFFFFFFF))):
@@ -314,7 +323,7 @@ def train(texts: DataFrame, text_col: str = "text") -> Trained:
     pairs = int(n[1:].sum())
     d, e = discounts(n), discounts(k)
     rest = (e[0] * k[1] + e[1] * k[2] + e[2] * k[3:].sum()) / pairs if pairs else 1.0
-    return Trained(folder, word_bits, sizes, pair_bits, tokens, pairs, ((0.0, *d), (0.0, *e)), rest)
+    return Trained(folder, word_bits, sizes, pair_bits, tokens, pairs, ((0.0, *d), (0.0, *e)), rest, most)
 
 
 class Model:
@@ -326,6 +335,7 @@ class Model:
         self.counts = [arrays.load(t.folder, f"word-counts-{p}", np.int64) if n else np.zeros(0, np.int64) for p, n in enumerate(t.word_sizes)]
         self.pairs = [self._pair(p, "pairs", U64) for p in range(1 << t.pair_bits)]
         self.pair_counts = [self._pair(p, "pair-counts", np.uint32) for p in range(1 << t.pair_bits)]
+        self.large: dict[int, np.ndarray] = {}
         self.blocks = [self._block(b) for b in range((v + 2) // BLOCK + 1)]
         self.d, self.e = (np.array(x) for x in t.discounts)
 
@@ -360,6 +370,12 @@ class Model:
             if a < b and len(table):
                 at = arrays.find(table, ordered[a:b])
                 found[a:b] = np.where(at >= 0, counts[np.maximum(at, 0)], 0)
+                large = np.flatnonzero(found[a:b] == self.t.most)
+                if len(large):
+                    if p not in self.large:
+                        self.large[p] = arrays.load(self.t.folder, f"pair-large-{p}", np.int64).reshape(-1, 2)
+                    place, count = self.large[p].T
+                    found[a + large] = count[np.searchsorted(place, at[large])]
         out = np.empty_like(found)
         out[order] = found
         return out

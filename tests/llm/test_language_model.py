@@ -98,6 +98,15 @@ def test_small_texts(spark, bits):
         assert sum(p(context, w) for w in [*uni, "unknown"]) == pytest.approx(1)
 
 
+def test_large_counts_are_whole(spark, bits):
+    """Counts beyond the short form, made small for the test, give the same scores."""
+    df = frame(spark, TEXTS * 3)
+    columns = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
+    want = sorted(map(tuple, L.score(df, L.train(df)).select(*columns).collect()))
+    for most in (1, 2, 7):
+        assert sorted(map(tuple, L.score(df, L.train(df, most=most)).select(*columns).collect())) == want
+
+
 def test_no_training_texts(spark):
     df = frame(spark, TEXTS)
     trained = L.train(df.limit(0))
