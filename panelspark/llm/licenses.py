@@ -214,6 +214,8 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> Data
     nearest = above.join(of_dir, "license_dir").groupBy("dir").agg(
         F.max(F.struct(F.length("license_dir").alias("n"), "license_dir", "inherited")).alias("near")
     )
+    # written, so that the join below can be split or broadcast however many files a directory has
+    nearest = materialise(nearest, "directories")
     named = paths.join(own, "path", "left").withColumn("dir", directory(F.col("path"))).join(nearest, "dir", "left")
     free = F.col("license").isNull()
     return named.select(
