@@ -47,7 +47,7 @@ SCALE = 4096
 #: Components are at most this, so that a squared distance over 64 components fits in 64 bits.
 LIMIT = 1 << 14
 BLOCK = 4096
-LEAF = 24
+LEAF = 32
 
 
 def grid(vectors: np.ndarray) -> np.ndarray:
@@ -181,6 +181,12 @@ def runs(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
 
 def nearest_of(points: np.ndarray, book: np.ndarray, listed: np.ndarray) -> np.ndarray:
     """The nearest listed entry of each point, by exact distances; the lower index wins ties."""
+    top = max(int(np.abs(book).max()), int(np.abs(points).max()) if len(points) else 0)
+    if 8 * book.shape[1] * top * top < 1 << 53:
+        # every number on the way is a whole one that doubles hold, so the products are exact
+        x, c = points.astype(np.float64), book.astype(np.float64)
+        d = np.square(x).sum(1)[:, None] - 2 * (x @ c.T) + np.square(c).sum(1)
+        return np.where(listed, d, np.inf).argmin(1)
     best, entry = np.full(len(points), np.iinfo(np.int64).max), np.zeros(len(points), np.int64)
     for e in range(len(book)):
         rows = np.flatnonzero(listed[:, e])

@@ -52,6 +52,8 @@ def vectors(seed, n, kind):
             v = [base * 3 + rnd.gauss(0, 0.1) for _ in range(16)]
         elif kind == "hot":  # a third of all rows is one vector
             v = [0.5] * 16 if rnd.random() < 0.4 else [rnd.gauss(0, 1) for _ in range(16)]
+        elif kind == "huge":  # squares beyond the whole numbers that doubles hold
+            v = [max(-16000.0, min(16000.0, rnd.gauss(0, 6000))) for _ in range(16)]
         else:
             v = [rnd.gauss(0, 100) for _ in range(16)]
         rows.append((i * 7 % n, v, rnd.choice([None, 1, 1, 1, 2]), "x", "y"))
@@ -64,7 +66,7 @@ def run(spark, rows, **how):
     return sorted(((r["vec_id"], r["code"], r["error"]) for r in made.collect()), key=str), books.sha256()
 
 
-@pytest.mark.parametrize("kind", ["grid", "clusters", "hot", "wide"])
+@pytest.mark.parametrize("kind", ["grid", "clusters", "hot", "wide", "huge"])
 def test_like_plain_k_means(spark, kind):
     rows = vectors(3, 700, kind)
     want, sha = brute(rows)
