@@ -23,6 +23,7 @@ from panelspark.functions.linalg import add_steps, back_steps, factor_steps, int
 from panelspark.operators.joins import join_same
 from panelspark.operators.regression import accuracy
 from panelspark.operators.windows import series_window
+from panelspark.session import reach_workers
 
 # standard normal quantiles of the two-sided 80 % and 95 % limits
 Z_80, Z_95 = 1.2815515655446004, 1.959963984540054
@@ -213,6 +214,7 @@ def fit_ar_errors(
     schema = stats.select(*kept, "n").schema
     for name, kind in zip(names, ["int", "double", "array<double>", "double", "double", "double", "array<double>", "long", "boolean"]):
         schema = schema.add(name, DataType.fromDDL(kind))
+    reach_workers(df.sparkSession)
     return stats.mapInArrow(run, schema).select(*key, "n", "p", F.lit(d).alias("d"), *names[1:6], "_last.*", *names[6:])
 
 
@@ -281,6 +283,7 @@ def fit_arma(
     names, schema = list(kinds), whole.select(*kept).schema
     for name, kind in kinds.items():
         schema = schema.add(name, DataType.fromDDL(kind))
+    reach_workers(df.sparkSession)
     return whole.mapInArrow(run, schema).withColumns({"d": F.lit(d), "beta": F.lit(0.0)})
 
 

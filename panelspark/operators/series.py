@@ -21,6 +21,7 @@ from panelspark.functions.vocab import ANIMALS
 from panelspark.operators.joins import join_same
 from panelspark.operators.reshape import pivot
 from panelspark.operators.windows import series_window
+from panelspark.session import reach_workers
 
 # published critical values of the unit-root statistic with constant and trend, large samples
 ADF_CRITICAL = {"crit_1": -3.96, "crit_5": -3.41, "crit_10": -3.12}
@@ -146,6 +147,7 @@ def decompose_local(
     schema = rows.select("*").schema
     for name in parts:
         schema = schema.add(name, ArrayType(DoubleType()))
+    reach_workers(df.sparkSession)
     fitted = rows.mapInArrow(run, schema)
     cells = F.arrays_zip(
         F.col("_rows")[month].alias(month),
@@ -266,22 +268,23 @@ def ccf(
     return rows.select(*key, F.inline_outer(F.transform(F.sequence(-F.col("_top"), F.col("_top")), at)))
 
 
-def interpolate(x: Column, xs: Sequence[Column], ys: Sequence[Column]) -> Column:
-    """The broken line through the points (ascending in ``xs``) at ``x``; beyond the ends, the value of the end."""
-    out = F.when(x.isNull(), F.lit(None).cast("double")).when(x <= xs[0], ys[0])
+def interpolate(x: str, xs: Sequence[str], ys: Sequence[str]) -> str:
+    """Expression of the broken line through the points (ascending in ``xs``) at ``x``; beyond the ends, the value of the end."""
+    parts = [f"WHEN {x} IS NULL THEN NULL WHEN {x} <= {xs[0]} THEN {ys[0]}"]
     for i in range(1, len(xs)):
-        out = out.when(x <= xs[i], ys[i - 1] + (ys[i] - ys[i - 1]) * (x - xs[i - 1]) / (xs[i] - xs[i - 1]))
-    return out.otherwise(ys[-1])
+        share = f"({x} - {xs[i - 1]}) / ({xs[i]} - {xs[i - 1]})"
+        parts.append(f"WHEN {x} <= {xs[i]} THEN {ys[i - 1]} + ({ys[i]} - {ys[i - 1]}) * {share}")
+    return f"CASE {' '.join(parts)} ELSE {ys[-1]} END"
 
 
 def adf_p_value(statistic: str, changes: str) -> Column:
     """Probability of a lower statistic, between the tabled sample sizes and then between the tabled probabilities (0.01 to 0.99)."""
-    size = F.col(changes).cast("double")
-    sizes = [F.lit(float(n)) for n in ADF_SIZES]
-    cuts = F.array(*[interpolate(size, sizes, [F.lit(v) for v in row]) for row in ADF_TABLE.values()])
-    probabilities = [F.lit(p) for p in ADF_TABLE]
+    size, number = f"CAST({changes} AS DOUBLE)", lambda v: f"({float(v)!r}D)"
+    sizes = [number(n) for n in ADF_SIZES]
+    cuts = ", ".join(interpolate(size, sizes, [number(v) for v in row]) for row in ADF_TABLE.values())
+    line = interpolate(f"`{statistic}`", [f"c[{i}]" for i in range(len(ADF_TABLE))], [number(p) for p in ADF_TABLE])
     # the one-element transform evaluates the cuts once
-    return F.transform(F.array(cuts), lambda c: interpolate(F.col(statistic), [c[i] for i in range(len(ADF_TABLE))], probabilities))[0]
+    return F.expr(f"transform(array(array({cuts})), c -> {line})[0]")
 
 
 def adf(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -34,6 +35,18 @@ def build_session(app: str = "panelspark", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def reach_workers(spark: SparkSession) -> None:
+    """Let Python workers started from here on find this package where the driver found it.
+
+    A worker doesn't see additions to the driver's path. On a cluster the package is shipped with the job; a folder that isn't there does no harm.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(

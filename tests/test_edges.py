@@ -1,6 +1,9 @@
 """Zero denominators, empty groups, ties, gaps, singular fits, unreadable text."""
 
 import datetime as dt
+import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -306,3 +309,23 @@ def test_unit_root_probabilities_rise_with_the_statistic(spark):
     assert at[None, 40] is None and at[-3.6, 25] == 0.05 and at[-3.6, 5] == 0.05
     # between 25 and 50 changes the cut of 5 % lies at -3.54, of 10 % at -3.204
     assert abs(at[-3.5, 40] - (0.05 + 0.05 * 0.04 / 0.336)) < 1e-12
+
+
+def test_workers_find_the_package_from_any_folder(tmp_path):
+    """A driver elsewhere, with the package on its own path only."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from panelspark.operators import forecast, series
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+df = spark.range(36).selectExpr("add_months(date'2020-01-01', int(id)) AS month", "sin(id) + id AS value")
+assert forecast.fit_ar_errors(df, [], max_p=1).count() == 1
+assert forecast.fit_arma(df, [], max_p=1).count() == 1
+assert series.decompose_local(df, []).count() == 36
+print("fine")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.stdout.strip().endswith("fine"), done.stderr[-2000:]
